@@ -82,6 +82,7 @@ TABLES = ("conversations", "documents", "embeddings", "events")
 
 # The whitespace characters of the text functions, as a SQL expression.
 SPACES_SQL = " || ".join(f"chr({code})" for code in SPACE_CODES)
+SPACE_PATTERN = "[" + "".join(f"\\x{{{code:x}}}" for code in SPACE_CODES) + "]+"
 
 
 def oracle(sql):

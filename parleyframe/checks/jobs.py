@@ -68,10 +68,10 @@ def job_assign(inputs):
         fresh_folder(spark, name) for name in ("segments", "turns", "diarized"))
     write_segments(inputs.transcript, segments, SEGMENT_FIELDS)
     write_rttm(inputs.voiced, turns, order=["line_no"])
-    transcript = read_transcript(spark, segments, layout="lines", partitioned=True)
-    result = jobs.assign(transcript, read_rttm(spark, turns, partitioned=True), strict=True)
+    transcript = read_transcript(spark, segments, layout="records")
+    result = jobs.assign(transcript, read_rttm(spark, turns, episodes="line"), strict=True)
     write_segments(result, output)
-    return read_utterances(spark, output, layout="lines", partitioned=True)
+    return read_utterances(spark, output, layout="records")
 
 
 # ------------------------------------------------------------------ infer names

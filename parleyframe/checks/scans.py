@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from parleyframe.checks.inputs import BLOCK, EMBEDDED, MONO, RATE, SPACES_SQL, SPOKEN, STEREO, VOICED
+from parleyframe.checks.inputs import BLOCK, EMBEDDED, MONO, RATE, SPACE_PATTERN, SPACES_SQL, SPOKEN, STEREO, VOICED
 from parleyframe.checks.registry import check
 from parleyframe.functions import numbers, text
 from parleyframe.functions.vectors import cosine_distance
@@ -161,9 +161,9 @@ _PADDED = "concat(chr(9), chr(12288), text, chr(160), chr(10))"
 @check(f"""
 SELECT doc_id, trim({_PADDED}, {SPACES_SQL}) AS stripped,
        CASE WHEN trim(text, {SPACES_SQL}) = '' THEN 0
-            ELSE len(regexp_split_to_array(trim(text, {SPACES_SQL}), '{text.SPACE_CLASS}+')) END::INT
+            ELSE len(regexp_split_to_array(trim(text, {SPACES_SQL}), '{SPACE_PATTERN}')) END::INT
          AS n_words,
-       array_to_string(regexp_split_to_array(trim(text, {SPACES_SQL}), '{text.SPACE_CLASS}+'), ', ')
+       array_to_string(regexp_split_to_array(trim(text, {SPACES_SQL}), '{SPACE_PATTERN}'), ', ')
          AS joined,
        upper(lang) AS up, lower(source) AS low, split_part(text, ' - ', 1) AS title
 FROM {{documents}}""")

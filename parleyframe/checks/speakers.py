@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from parleyframe.checks.inputs import EPISODES, PROPOSED, SPACES_SQL, SPOKEN
+from parleyframe.checks.inputs import EPISODES, PROPOSED, SPACE_PATTERN, SPACES_SQL, SPOKEN
 from parleyframe.checks.registry import check
 from parleyframe.checks.stand_ins import PEOPLE
 from parleyframe.functions import text
@@ -124,7 +124,7 @@ def candidate_people(inputs):
 
 
 def words_sql(c):
-    return f"regexp_split_to_array(trim({c}, {SPACES_SQL}), '{text.SPACE_CLASS}+')"
+    return f"regexp_split_to_array(trim({c}, {SPACES_SQL}), '{SPACE_PATTERN}')"
 
 
 def limited_sql(c, n):

@@ -13,7 +13,8 @@ SPACE_CODES = (
     0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
 )
 SPACE_CHARS = "".join(map(chr, SPACE_CODES))
-SPACE_CLASS = "[" + "".join(f"\\x{{{code:x}}}" for code in SPACE_CODES) + "]"
+# The same set for Java patterns, several times faster than listing it.
+SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 
 
 def strip(c):
@@ -25,15 +26,18 @@ def words(c):
     """Split on whitespace runs; blank text has no words."""
     bare = strip(c)
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(
-        F.split(bare, SPACE_CLASS + "+"))
+        F.split(bare, SPACE_RUN))
 
 
 def limit_words(c, most):
     """Text with at most ``most`` words is returned untouched; longer text is
     cut to that many words, joined by single spaces."""
     parts = words(c)
-    return F.when(F.size(parts) <= most, c).otherwise(
-        F.array_join(F.slice(parts, 1, most), " "))
+    # More than n words take at least 2n + 1 characters; most texts need no split.
+    return (
+        F.when(F.length(c) <= 2 * most, c)
+        .when(F.size(parts) <= most, c)
+        .otherwise(F.array_join(F.slice(parts, 1, most), " ")))
 
 
 def show_title(name):

@@ -104,11 +104,12 @@ def assign(transcript, turns, settings=DEFAULTS, strict=False):
 
 
 def assign_files(spark, transcript_path, rttm_path, output_path, settings=DEFAULTS,
-                 layout="array", rttm_mode=FAILFAST, strict=True):
+                 layout="array", rttm_mode=FAILFAST, rttm_episodes="file", strict=True):
     """The same from transcript JSON and RTTM files to segment JSON."""
     transcript = read_transcript(
         spark, transcript_path, settings.transcript_time_factor, layout)
-    result = assign(transcript, read_rttm(spark, rttm_path, rttm_mode), settings, strict)
+    turns = read_rttm(spark, rttm_path, rttm_mode, rttm_episodes)
+    result = assign(transcript, turns, settings, strict)
     write_segments(result, output_path, layout=layout)
     return result
 
@@ -162,9 +163,9 @@ def infer_names(utterances, episodes, model, extractor=None, hosts=(), settings=
     """
     profiles = settle(
         speaker_profiles(utterances, settings.quotes_start, settings.quotes_end), "profiles")
-    about = contexts(episodes, extractor, hosts, settings)
-    if settings.max_passes > 1 or extractor is not None:
-        about = settle(about, "contexts")
+    spoken = profiles.select("episode_id").distinct()
+    about = settle(contexts(
+        episodes.join(spoken, "episode_id", "left_semi"), extractor, hosts, settings), "contexts")
     proposals = inference_cycle(
         profiles, about, model, 1, strict=strict, concurrency=concurrency)
     merged = naming.consolidate(proposals)

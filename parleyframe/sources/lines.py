@@ -1,4 +1,4 @@
-"""Text files as numbered lines, without reading a file in one piece."""
+"""Text files as ordered lines, without reading a file in one piece."""
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -7,68 +7,71 @@ from pyspark.sql import types as T
 EXTENSION = r"\.[^.]*$"
 
 
-def _text(spark, path, partitioned):
+def ordered_lines(spark, path, partitioned=False):
+    """(episode_id, line_no, value) in one pass.
+
+    The episode is the file name without its extension, or the ``episode_id=``
+    directory when ``partitioned``.  ``line_no`` is a struct (file, block, row)
+    that compares like the place of the line: files by name, then splits of a
+    file by offset, then rows of a split.
+    """
     reader = spark.read
     if partitioned:
         # Declared, because inference would turn an id such as "007" into 7.
         reader = reader.schema(T.StructType([
             T.StructField("value", T.StringType()),
             T.StructField("episode_id", T.StringType())]))
-    return reader.text(path)
-
-
-def _episode(partitioned):
-    if partitioned:
-        return F.col("episode_id")
-    return F.regexp_replace(F.col("_metadata.file_name"), EXTENSION, "")
+        episode = F.col("episode_id")
+    else:
+        episode = F.regexp_replace(F.col("_metadata.file_name"), EXTENSION, "")
+    return reader.text(path).select(
+        episode.alias("episode_id"),
+        F.struct(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("row")).alias("line_no"),
+        "value")
 
 
 def numbered_lines(spark, path, partitioned=False):
-    """(episode_id, line_no, value): line numbers count from 0 within each file.
-
-    The episode is the file name without its extension, or the ``episode_id=``
-    directory when ``partitioned``; there, line numbers count within each file
-    and files of one episode follow each other in name order.
+    """The same with ``line_no`` counting from 0 within each episode.
 
     A large file is read as many splits.  The first row id and row count of
     every split give the number of lines before it, so no task ever sees more
-    than one split.
+    than one split.  Costs a second pass; ``ordered_lines`` does without where
+    the order alone is enough.
     """
-    rows = _text(spark, path, partitioned).select(
-        _episode(partitioned).alias("episode_id"),
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row_id"),
-        "value")
-    owner = ["episode_id"] if partitioned else ["file"]
-    before = (Window.partitionBy(*owner).orderBy("file", "block")
+    rows = ordered_lines(spark, path, partitioned).select("episode_id", "line_no.*", "value")
+    before = (Window.partitionBy("episode_id").orderBy("file", "block")
               .rowsBetween(Window.unboundedPreceding, -1))
     splits = (
         rows.groupBy("episode_id", "file", "block")
-        .agg(F.min("row_id").alias("first"), F.count("*").alias("n"))
+        .agg(F.min("row").alias("first"), F.count("*").alias("n"))
         .withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
         .select("file", "block", "first", "before"))
     return rows.join(splits, ["file", "block"]).select(
-        "episode_id",
-        (F.col("before") + F.col("row_id") - F.col("first")).alias("line_no"),
-        "value")
+        "episode_id", (F.col("before") + F.col("row") - F.col("first")).alias("line_no"), "value")
 
 
 def whole_files(spark, path):
     """(episode_id, value): one row per file, for formats that cannot be split."""
     return (
         spark.read.option("wholetext", True).text(path)
-        .select(_episode(False).alias("episode_id"), "value"))
+        .select(F.regexp_replace(F.col("_metadata.file_name"), EXTENSION, "").alias("episode_id"),
+                "value"))
 
 
-def write_lines(lines, path, order, mode="errorifexists"):
-    """Write column ``line`` as text, one directory per episode.
+def write_lines(lines, path, order, mode="errorifexists", per_episode=False):
+    """Write column ``line`` as text, ordered by episode and the ``order`` columns.
 
-    ``order`` lists the columns that order lines inside an episode.  Rows are
-    range-partitioned on (episode, order), so a very long episode becomes
-    several part files whose names follow its order.
+    Rows are range-partitioned on (episode, order): a very long episode becomes
+    several part files whose names follow its order, and short ones share a
+    file.  ``per_episode`` writes a directory for each episode instead, which
+    suits a limited number of episodes.
     """
-    # The directory column is a copy: the range sort needs the id itself too.
     ordered = lines.repartitionByRange("episode_id", *order).sortWithinPartitions(
         "episode_id", *order)
-    ordered.select("episode_id", "line").write.mode(mode).partitionBy("episode_id").text(path)
+    if per_episode:
+        ordered.select("episode_id", "line").write.mode(mode).partitionBy("episode_id").text(path)
+    else:
+        ordered.select("line").write.mode(mode).text(path)

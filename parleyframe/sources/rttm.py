@@ -5,23 +5,24 @@
 
 from pyspark.sql import functions as F
 
-from parleyframe.functions.numbers import parse_float
-from parleyframe.functions.text import fixed, strip, words
-from parleyframe.sources.lines import numbered_lines, write_lines
+from parleyframe.functions.numbers import parse_float, required
+from parleyframe.functions.text import SPACE_RUN, fixed, strip, words
+from parleyframe.sources.lines import ordered_lines, write_lines
 
 FAILFAST, PERMISSIVE, DROPMALFORMED = "FAILFAST", "PERMISSIVE", "DROPMALFORMED"
 
 # Fields a line needs, and where the used ones are (from 1).
 FIELDS_NEEDED = 9
-START_FIELD, DURATION_FIELD, SPEAKER_FIELD = 4, 5, 8
+RECORDING_FIELD, START_FIELD, DURATION_FIELD, SPEAKER_FIELD = 2, 4, 5, 8
 
 
-def parse_rttm(lines, mode=FAILFAST):
+def parse_rttm(lines, mode=FAILFAST, episode_from_line=False):
     """Parse (episode_id, line_no, value) into speaker turns.
 
     Blank lines and ``#`` comments are skipped.  A malformed line fails the job
     (FAILFAST), is kept with NULL fields and its text in ``_corrupt_record``
-    (PERMISSIVE), or is left out (DROPMALFORMED).
+    (PERMISSIVE), or is left out (DROPMALFORMED).  With ``episode_from_line``
+    the episode is the recording named in the line.
     """
     if mode not in (FAILFAST, PERMISSIVE, DROPMALFORMED):
         raise ValueError(f"unknown mode {mode!r}")
@@ -45,8 +46,9 @@ def parse_rttm(lines, mode=FAILFAST):
         complaint = F.concat(F.lit("Invalid RTTM line: "), F.col("line"))
         parsed = parsed.where(
             F.when(good, F.lit(True)).otherwise(F.raise_error(complaint).cast("boolean")))
+    episode = field(RECORDING_FIELD) if episode_from_line else F.col("episode_id")
     columns = [
-        "episode_id", "line_no",
+        episode.alias("episode_id"), "line_no",
         F.when(good, F.col("start")).alias("start"),
         F.when(good, F.col("start") + F.col("span")).alias("end"),
         F.when(good, field(SPEAKER_FIELD)).alias("speaker"),
@@ -56,8 +58,16 @@ def parse_rttm(lines, mode=FAILFAST):
     return parsed.select(*columns)
 
 
-def read_rttm(spark, path, mode=FAILFAST, partitioned=False):
-    return parse_rttm(numbered_lines(spark, path, partitioned), mode)
+def read_rttm(spark, path, mode=FAILFAST, episodes="file"):
+    """Speaker turns of a file, folder or pattern.
+
+    ``episodes`` says where the episode id is: the ``file`` name, the
+    ``directory`` (``episode_id=``), or the recording field of each ``line``.
+    """
+    if episodes not in ("file", "directory", "line"):
+        raise ValueError(f"unknown place of the episode id {episodes!r}")
+    return parse_rttm(
+        ordered_lines(spark, path, episodes == "directory"), mode, episodes == "line")
 
 
 def rttm_line(start, end, speaker, recording=None):
@@ -68,9 +78,17 @@ def rttm_line(start, end, speaker, recording=None):
         fixed(start, 3), fixed(end - start, 3), gap, gap, speaker, gap, gap)
 
 
-def write_rttm(turns, path, mode="errorifexists", order=("start", "end", "speaker")):
-    """Write turns (episode_id, start, end, speaker) ordered by time (or ``order``)."""
+def write_rttm(turns, path, mode="errorifexists", order=("start", "end", "speaker"),
+               per_episode=False):
+    """Write turns (episode_id, start, end, speaker) ordered by time (or ``order``).
+
+    Lines name their episode as the recording; with ``per_episode`` they do not,
+    and each episode has a directory.
+    """
+    one_word = F.when(~F.col("episode_id").rlike(SPACE_RUN), F.col("episode_id"))
+    recording = None if per_episode else required(one_word, F.concat(
+        F.lit("an episode id with spaces cannot be a recording: "), F.col("episode_id")))
     lines = turns.select(
         "episode_id", *order,
-        rttm_line(F.col("start"), F.col("end"), F.col("speaker")).alias("line"))
-    write_lines(lines, path, order, mode)
+        rttm_line(F.col("start"), F.col("end"), F.col("speaker"), recording).alias("line"))
+    write_lines(lines, path, order, mode, per_episode)

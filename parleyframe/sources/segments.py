@@ -1,8 +1,12 @@
 """Transcript segments as JSON.
 
-Two layouts: ``array`` is one JSON array per recording and file, ``lines`` is
-one JSON object per line.  A JSON array cannot be split, so very long
-recordings should be kept as lines (or as tables).
+Layouts:
+
+``records``  one JSON object per line that names its episode_id and pos; any
+             number of episodes per file.  Splittable, read in one pass.
+``lines``    one JSON object per line, one episode per file or directory.
+``array``    one JSON array per episode and file.  A file like this cannot be
+             split, so very long recordings should be kept in another layout.
 """
 
 from pyspark.sql import functions as F
@@ -79,10 +83,15 @@ def in_spoken_order(table):
 
 
 def _records(spark, path, fields, layout, partitioned):
-    if layout == "array":
-        return parse_arrays(whole_files(spark, path), fields)
+    if layout == "records":
+        kinds = ", ".join(f"`{name}` string" for name in fields)
+        return (
+            spark.read.schema(f"episode_id string, pos bigint, {kinds}")
+            .option("mode", "FAILFAST").json(path))
     if layout == "lines":
         return parse_objects(numbered_lines(spark, path, partitioned), fields)
+    if layout == "array":
+        return parse_arrays(whole_files(spark, path), fields)
     raise ValueError(f"unknown layout {layout!r}")
 
 
@@ -100,18 +109,24 @@ def segment_json(fields):
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
 
-def write_segments(segments, path, fields=DIARIZED_FIELDS, layout="lines",
+def write_segments(segments, path, fields=DIARIZED_FIELDS, layout="records",
                    mode="errorifexists"):
-    """Write segments in ``pos`` order under ``episode_id=`` directories.
+    """Write segments in (episode, ``pos``) order.
 
-    ``lines``: one object per line.  ``array``: the part files of an episode,
-    read one after the other, are one JSON array (an episode of ordinary length
-    is a single file).  The brackets are lines of their own and commas lead, so
-    the array is never assembled in memory.
+    ``records`` share files; ``lines`` and ``array`` have a directory per
+    episode.  The part files of an ``array``, read one after the other, are one
+    JSON array (an episode of ordinary length is a single file): the brackets
+    are lines of their own and commas lead, so the array is never assembled in
+    memory.
     """
-    rows = segments.select("episode_id", "pos", segment_json(fields).alias("json"))
+    if layout == "records":
+        rows = segments.select(
+            "episode_id", "pos", segment_json(("episode_id", "pos", *fields)).alias("line"))
+        write_lines(rows, path, ["pos"], mode)
+        return
+    rows = segments.select("episode_id", "pos", segment_json(fields).alias("line"))
     if layout == "lines":
-        write_lines(rows.withColumnRenamed("json", "line"), path, ["pos"], mode)
+        write_lines(rows, path, ["pos"], mode, per_episode=True)
         return
     if layout != "array":
         raise ValueError(f"unknown layout {layout!r}")
@@ -120,7 +135,8 @@ def write_segments(segments, path, fields=DIARIZED_FIELDS, layout="lines",
     body = rows.join(ends, "episode_id").select(
         "episode_id", "pos", F.lit(1).alias("part"),
         F.concat(F.when(F.col("pos") == F.col("first_pos"), "").otherwise(","),
-                 F.col("json")).alias("line"))
+                 F.col("line")).alias("line"))
     opening = ends.select("episode_id", F.col("first_pos").alias("pos"), F.lit(0), F.lit("["))
     closing = ends.select("episode_id", F.col("last_pos").alias("pos"), F.lit(2), F.lit("]"))
-    write_lines(body.union(opening).union(closing), path, ["pos", "part"], mode)
+    write_lines(
+        body.union(opening).union(closing), path, ["pos", "part"], mode, per_episode=True)
