@@ -74,11 +74,13 @@ def mixdown_pcm(pcm):
     return blocks.select("episode_id", "block", *same, mixed.alias("samples"))
 
 
-def chunk_audio(mono, block_samples, chunk_minutes=10, overlap_seconds=30):
-    """Cut mono blocks into the windows of ``chunk_windows``.
+def chunk_audio(pcm, block_samples, chunk_minutes=10, overlap_seconds=30):
+    """Cut blocks into the windows of ``chunk_windows``.
 
-    Gives (episode_id, idx, first_sample, sample_rate, samples) where
-    ``first_sample`` counts from the window's start.  Each block finds its
+    Gives (episode_id, channel, idx, first_sample, sample_rate, samples) where
+    ``first_sample`` counts from the window's start.  Channels stay apart (a
+    mixed table has none): the models mix them when they assemble a window,
+    which spares long audio a shuffle of its own.  Each block finds its
     windows from the grid; blocks across a window's edge are sliced.  A clip's
     blocks say where they start in ``first_sample``.
     """
@@ -87,7 +89,7 @@ def chunk_audio(mono, block_samples, chunk_minutes=10, overlap_seconds=30):
     def samples_of(ms):
         return F.floor(ms * F.col("sample_rate") / 1000.0)
 
-    begin = (F.col("first_sample") if "first_sample" in mono.columns
+    begin = (F.col("first_sample") if "first_sample" in pcm.columns
              else F.col("block") * block_samples)
     end = begin + F.size("samples")
     per_ms = F.col("sample_rate") / 1000.0
@@ -97,12 +99,13 @@ def chunk_audio(mono, block_samples, chunk_minutes=10, overlap_seconds=30):
     skip = F.greatest(F.lit(0), low - begin)
     keep = F.least(end, high) - begin - skip
     return (
-        mono.where(F.size("samples") > 0)
+        pcm.where(F.size("samples") > 0)
         .withColumn("idx", F.explode(F.sequence(first, last)))
         .withColumn("_skip", skip.cast("int")).withColumn("_keep", keep.cast("int"))
         .where(F.col("_keep") > 0)
         .select(
-            "episode_id", F.col("idx").cast("int").alias("idx"),
+            "episode_id", *[c for c in ("channel",) if c in pcm.columns],
+            F.col("idx").cast("int").alias("idx"),
             (begin + F.col("_skip") - low).alias("first_sample"), "sample_rate",
             F.slice("samples", F.col("_skip") + 1, F.col("_keep")).alias("samples")))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from parleyframe.functions.prompts import RETRY_NOTE, context_summary
 from parleyframe.operators import models, naming
-from parleyframe.operators.audio import audio_duration, chunk_audio, clip_pcm, mixdown_pcm
+from parleyframe.operators.audio import audio_duration, chunk_audio, clip_pcm
 from parleyframe.operators.chunks import (
     _grid, chunk_windows, dedup_turns, reference_chunks, with_speaker_label)
 from parleyframe.operators.evidence import speaker_profiles
@@ -37,27 +37,30 @@ def transcribe(pcm, model, block_samples, settings=DEFAULTS, window_minutes=WIND
     if settings.clip_audio:
         pcm = clip_pcm(pcm, settings.clip_start_sec, settings.clip_duration_sec,
                        block_samples, settings.sample_rate)
-    audio = chunk_audio(mixdown_pcm(pcm), block_samples, window_minutes, 0)
+    audio = chunk_audio(pcm, block_samples, window_minutes, 0)
     _, step_ms = _grid(window_minutes, 0)
     return models.transcribe_windows(audio, model, step_ms, settings.tick_factor)
 
 
 # ------------------------------------------------------------------ diarize
 
-def diarize(pcm, detector, embedder, block_samples, settings=DEFAULTS, reference_path=None):
+def diarize(pcm, detector, embedder, block_samples, settings=DEFAULTS, reference_path=None,
+            lengths=None):
     """PCM to speaker turns (episode_id, line_no, start, end, speaker).
 
     Voices are clustered in the first window of each episode; every window's
     turns then go to the nearest voice.  ``line_no`` is the pair (start, end),
     the order turns are written in.  With ``reference_path`` the labelled
-    reference turns are stored there and read back.
+    reference turns are stored there and read back.  ``lengths`` (episode_id,
+    duration_ms) saves reading the audio to find out how long it is.
     """
     spark = pcm.sparkSession
     grid = (settings.chunk_minutes, settings.overlap_seconds)
-    lengths = audio_duration(pcm).select(
-        "episode_id", F.round(F.col("seconds") * 1000).cast("long").alias("duration_ms"))
+    if lengths is None:
+        lengths = audio_duration(pcm).select(
+            "episode_id", F.round(F.col("seconds") * 1000).cast("long").alias("duration_ms"))
     windows = settle(chunk_windows(lengths, *grid), "windows")
-    audio = chunk_audio(mixdown_pcm(pcm), block_samples, *grid)
+    audio = chunk_audio(pcm, block_samples, *grid)
     wanted = F.lit(settings.num_speakers).cast("int")
 
     def turns_of(some_audio, some_windows, name):

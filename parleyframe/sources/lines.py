@@ -56,7 +56,7 @@ def numbered_lines(spark, path, partitioned=False):
 def whole_files(spark, path):
     """(episode_id, value): one row per file, for formats that cannot be split."""
     return (
-        spark.read.option("wholetext", True).text(path)
+        spark.read.text(path, wholetext=True)
         .select(F.regexp_replace(F.col("_metadata.file_name"), EXTENSION, "").alias("episode_id"),
                 "value"))
 

@@ -5,6 +5,9 @@ import uuid
 
 from parleyframe.schemas import TURNS
 
+# Where a local session without a named folder keeps its own.
+OWN_FOLDER = "parleyframe.working.folder"
+
 
 def working_folder(spark):
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
@@ -12,13 +15,13 @@ def working_folder(spark):
     Only a local session may fall back to a folder of its own: on a cluster a
     machine-local folder is not visible to the other executors.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_FOLDER, None)
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     own = tempfile.mkdtemp(prefix="parleyframe-")
-    spark.conf.set("spark.checkpoint.dir", own)
+    spark.conf.set(OWN_FOLDER, own)
     return own
 
 

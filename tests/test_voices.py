@@ -1,0 +1,112 @@
+"""Centroids, nearest centroids and clustering."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from parleyframe.operators import voices
+
+
+def pairwise_average_linkage(vectors, k):
+    """Merge the two clusters with the smallest mean pairwise distance, k left."""
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    distance = 1 - unit @ unit.T
+    clusters = [[i] for i in range(len(vectors))]
+    while len(clusters) > k:
+        pairs = [(distance[np.ix_(a, b)].mean(), i, j)
+                 for i, a in enumerate(clusters) for j, b in enumerate(clusters) if i < j]
+        _, i, j = min(pairs)
+        clusters[i] += clusters.pop(j)
+    return {frozenset(c) for c in clusters}
+
+
+def as_sets(labels):
+    return {frozenset(np.flatnonzero(np.array(labels) == x)) for x in set(labels)}
+
+
+@pytest.mark.parametrize("seed,n,k", [(0, 2, 1), (1, 12, 3), (2, 40, 5), (3, 60, 2), (4, 30, 30),
+                                      (5, 1, 1), (6, 3, 9)])
+def test_linkage_against_brute_force(seed, n, k):
+    vectors = np.random.default_rng(seed).normal(size=(n, 6))
+    labels = voices.average_linkage(vectors, np.ones(n), k)
+    assert as_sets(labels) == pairwise_average_linkage(vectors, k)
+    assert list(dict.fromkeys(labels)) == list(range(len(set(labels))))
+
+
+def test_copies_weigh_as_much_as_repeated_points():
+    rng = np.random.default_rng(7)
+    points = rng.normal(size=(15, 4))
+    copies = rng.integers(1, 5, size=15)
+    repeated = np.repeat(points, copies, axis=0)
+    weighted = voices.average_linkage(points, copies, 4)
+    assert as_sets(np.repeat(weighted, copies)) == pairwise_average_linkage(repeated, 4)
+
+
+def test_cluster_speakers(spark):
+    rng = np.random.default_rng(1)
+    middles = np.eye(8)[:3] * 5
+    rows = []
+    for episode in ("a", "b"):
+        for pos in range(60):
+            who = (pos * 7 + (episode == "b")) % 3
+            vector = middles[who] + rng.normal(scale=0.3, size=8)
+            rows += [(episode, pos, [float(x) for x in vector], who)]
+            if pos % 10 == 0:
+                rows += [(episode, 1000 + pos, [float(x) for x in vector], who)]
+    turns = spark.createDataFrame(
+        rows, "episode_id string, turn_pos long, embedding array<float>, who int")
+    targets = voices.target_speakers(voices.count_speakers(turns, "who"))
+    found = voices.cluster_speakers(turns, targets).collect()
+    assert len(found) == len(rows)
+    for episode in ("a", "b"):
+        mine = sorted((r.turn_pos, r.who, r.label) for r in found if r.episode_id == episode)
+        names = {}
+        assert all(label == names.setdefault(who, len(names)) for _, who, label in mine)
+
+
+def test_too_many_reference_turns_stop_the_job(spark, monkeypatch):
+    monkeypatch.setattr(voices, "MOST_REFERENCE_TURNS", 3)
+    turns = spark.createDataFrame(
+        [("a", i, [float(i), 1.0]) for i in range(5)],
+        "episode_id string, turn_pos long, embedding array<float>")
+    targets = spark.createDataFrame([("a", 2)], "episode_id string, num_speakers int")
+    with pytest.raises(Exception, match="too many distinct turns"):
+        voices.cluster_speakers(turns, targets).collect()
+
+
+def test_target_speakers(spark, rows):
+    counts = spark.createDataFrame([("a", 3)], "episode_id string, n_speakers long")
+    assert rows(voices.target_speakers(counts), "num_speakers") == [(3,)]
+    assert rows(voices.target_speakers(counts, 0), "num_speakers") == [(3,)]
+    assert rows(voices.target_speakers(counts, 2), "num_speakers") == [(2,)]
+
+
+def test_nearest_centroid(spark):
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(300, 5)).astype("float32")
+    vectors[7] = 0
+    middles = rng.normal(size=(4, 5))
+    turns = spark.createDataFrame(
+        [("a", i % 20, i * 97, [float(x) for x in v]) for i, v in enumerate(vectors)]
+        + [("no voices", 0, 0, [1.0] * 5)],
+        "episode_id string, chunk_idx int, turn_pos long, embedding array<float>")
+    labelled = spark.createDataFrame(
+        [("a", i, [float(x) for x in m]) for i, m in enumerate(middles)],
+        "episode_id string, label int, centroid array<double>")
+    found = {(r.episode_id, r.turn_pos // 97): r for r in
+             voices.assign_centroid(turns, labelled).collect()}
+    assert found["no voices", 0].label is None and len(found) == 301
+    unit = middles / np.linalg.norm(middles, axis=1, keepdims=True)
+    for i, v in enumerate(vectors.astype("float64")):
+        gaps = 1 - unit @ v / (np.linalg.norm(v) or 1)
+        assert found["a", i].label == int(gaps.argmin())
+        assert abs(found["a", i].distance - gaps.min()) < 1e-9
+    assert found["a", 7].label == 0 and found["a", 7].distance == 1.0
+
+
+def test_centroids(spark):
+    rows = [("a", 0, [1.0, 2.0]), ("a", 0, [3.0, 6.0]), ("a", 2, [5.0, 5.0])]
+    found = voices.centroids(spark.createDataFrame(
+        rows, "episode_id string, label int, embedding array<float>"))
+    assert sorted((r.label, r.centroid) for r in found.collect()) == [
+        (0, [2.0, 4.0]), (2, [5.0, 5.0])]
