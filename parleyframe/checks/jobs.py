@@ -13,7 +13,8 @@ from parleyframe.plans import jobs
 from parleyframe.schemas import Settings
 from parleyframe.sources.rttm import read_rttm, write_rttm
 from parleyframe.sources.segments import (
-    DIARIZED_FIELDS, SEGMENT_FIELDS, read_transcript, read_utterances, write_segments)
+    SEGMENT_FIELDS, read_transcript, read_utterances, write_segments)
+from parleyframe.sources.tables import settle
 
 # ------------------------------------------------------------------ transcribe
 
@@ -121,13 +122,13 @@ SELECT a.episode_id, pos, t_start AS start, t_end AS "end", speaker, text,
        coalesce(justification, '') AS justification
 FROM {ASSIGNED} a LEFT JOIN names n ON a.episode_id = n.episode_id AND a.speaker = n.speaker_id""")
 def job_infer_names(inputs):
-    utterances = jobs.assign(inputs.transcript, inputs.voiced)
+    utterances = settle(jobs.assign(inputs.transcript, inputs.voiced), "utterances")
     return jobs.infer_names(utterances, inputs.episodes, NAMER, PEOPLE, ["Zoë"]).labelled
 
 
 @check(f"""{INFER} SELECT * FROM names""")
 def job_infer_assignments(inputs):
-    utterances = jobs.assign(inputs.transcript, inputs.voiced)
+    utterances = settle(jobs.assign(inputs.transcript, inputs.voiced), "utterances")
     return jobs.infer_names(utterances, inputs.episodes, NAMER).assignments.drop(
         "first_pass", "first_pos")
 
@@ -135,7 +136,7 @@ def job_infer_assignments(inputs):
 @check(f"""{INFER}
 SELECT episode_id, speaker_id, proposed_name, confidence, justification FROM round1""")
 def inference_cycle(inputs):
-    utterances = jobs.assign(inputs.transcript, inputs.voiced)
+    utterances = settle(jobs.assign(inputs.transcript, inputs.voiced), "utterances")
     return jobs.inference_cycle(
         evidence.speaker_profiles(utterances), jobs.contexts(inputs.episodes), NAMER, 1
     ).drop("pass", "pos")

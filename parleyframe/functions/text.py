@@ -32,10 +32,12 @@ def words(c):
 def limit_words(c, most):
     """Text with at most ``most`` words is returned untouched; longer text is
     cut to that many words, joined by single spaces."""
-    parts = words(c)
-    # More than n words take at least 2n + 1 characters; most texts need no split.
+    bare = strip(c)
+    # The split stops at the word that is one too many; a short text needs none,
+    # as more than n words take at least 2n + 1 characters.
+    parts = F.split(bare, SPACE_RUN, most + 1)
     return (
-        F.when(F.length(c) <= 2 * most, c)
+        F.when((F.length(c) <= 2 * most) | (bare == ""), c)
         .when(F.size(parts) <= most, c)
         .otherwise(F.array_join(F.slice(parts, 1, most), " ")))
 
