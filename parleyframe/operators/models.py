@@ -14,6 +14,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from parleyframe.functions.text import strip
@@ -38,13 +39,17 @@ class Model:
 def _waveform(pieces):
     """One array from the sample slices of a window (first_sample, samples); it
     is the mean over channels if the slices name several."""
-    total = int((pieces["first_sample"] + pieces["samples"].map(len)).max())
-    wave = np.zeros(total, dtype="float64")
-    for first, samples in zip(pieces["first_sample"], pieces["samples"]):
-        wave[first:first + len(samples)] += samples
-    if "channel" in pieces:
-        wave /= pieces["channel"].nunique()
-    return wave.astype("float32"), int(pieces["sample_rate"].iloc[0])
+    first = pieces["first_sample"].to_numpy()
+    slices = [
+        part.values.to_numpy()[low:high]
+        for part in pieces["samples"].chunks
+        for low, high in zip(part.offsets.to_numpy()[:-1], part.offsets.to_numpy()[1:])]
+    wave = np.zeros(max(f + len(s) for f, s in zip(first, slices)), dtype="float64")
+    for f, s in zip(first, slices):
+        wave[f:f + len(s)] += s
+    if "channel" in pieces.column_names:
+        wave /= len(pieces["channel"].unique())
+    return wave.astype("float32"), pieces["sample_rate"][0].as_py()
 
 
 # ------------------------------------------------------------------ speech to text
@@ -56,16 +61,19 @@ def transcribe_windows(audio, model: Model, step_ms, tick_factor=100.0):
     ticks from the window's start.  Gives transcript rows in episode time;
     ``pos`` orders by window, then by position in the model's answer.
     """
-    def run(pieces: pd.DataFrame) -> pd.DataFrame:
+    def run(pieces: pa.Table) -> pa.Table:
         wave, rate = _waveform(pieces)
         answer = list(model.get()(wave, rate))
-        return pd.DataFrame({
-            "episode_id": pieces["episode_id"].iloc[0], "idx": pieces["idx"].iloc[0],
-            "i": np.arange(len(answer)),
-            "t0": [float(a[0]) for a in answer], "t1": [float(a[1]) for a in answer],
-            "text": [str(a[2]) for a in answer]})
-
-    raw = audio.groupBy("episode_id", "idx").applyInPandas(
+        n = len(answer)
+        return pa.table({
+            "episode_id": pa.array([pieces["episode_id"][0].as_py()] * n, pa.string()),
+            "idx": pa.array([pieces["idx"][0].as_py()] * n, pa.int64()),
+            "i": pa.array(range(n), pa.int64()),
+            "t0": pa.array([float(a[0]) for a in answer], pa.float64()),
+            "t1": pa.array([float(a[1]) for a in answer], pa.float64()),
+            "text": pa.array([str(a[2]) for a in answer], pa.string())})
+
+    raw = audio.groupBy("episode_id", "idx").applyInArrow(
         run, "episode_id string, idx long, i long, t0 double, t1 double, text string")
     return normalize_segments(raw, tick_factor, F.col("idx") * step_ms / 1000.0).select(
         "episode_id", (F.col("idx") * POSITIONS_PER_PART + F.col("i")).alias("pos"),
@@ -115,41 +123,41 @@ def detect_turns(audio, windows, detector: Model, embedder: Model | None = None,
     vector; the turn itself keeps its own bounds.  Each window's audio reaches
     one task once, for both models; its length bounds the group.
     """
-    def run(pieces: pd.DataFrame, window: pd.DataFrame) -> pd.DataFrame:
+    def run(pieces: pa.Table, window: pa.Table) -> pa.Table:
         turns, vectors = [], []
-        if len(pieces) and len(window):
+        about = window.to_pylist()[0] if window.num_rows else {}
+        if pieces.num_rows and about:
             wave, rate = _waveform(pieces)
-            wanted = window["num_speakers"].iloc[0]
-            turns = list(detector.get()(wave, rate, None if pd.isna(wanted) else int(wanted)))
+            turns = list(detector.get()(wave, rate, about["num_speakers"]))
             if embedder is not None and turns:
-                start = np.array([t[0] for t in turns], dtype="float64")
-                end = np.array([t[1] for t in turns], dtype="float64")
-                low, high = _padded(start, end, min_seconds, len(wave) / rate)
+                bounds = np.array([(t[0], t[1]) for t in turns], dtype="float64")
+                low, high = _padded(*bounds.T, min_seconds, len(wave) / rate)
                 vectors = [
                     np.asarray(embedder.get()(
                         wave[int(round(a * rate)):int(round(b * rate))], rate),
                         dtype="float32").ravel()
                     for a, b in zip(low, high)]
-        found = pd.DataFrame({
-            "episode_id": pd.Series([window["episode_id"].iloc[0]] * len(turns), dtype="object"),
-            "chunk_idx": np.full(len(turns), window["idx"].iloc[0] if turns else 0, "int32"),
-            "turn_pos": np.arange(len(turns)),
-            "start": [float(t[0]) for t in turns], "end": [float(t[1]) for t in turns],
-            "local_label": pd.Series([str(t[2]) for t in turns], dtype="object"),
-            "global_start": np.full(
-                len(turns), window["global_start"].iloc[0] if turns else 0.0)})
+        n = len(turns)
+        found = {
+            "episode_id": pa.array([about.get("episode_id")] * n, pa.string()),
+            "chunk_idx": pa.array([about.get("idx")] * n, pa.int32()),
+            "turn_pos": pa.array(range(n), pa.int64()),
+            "start": pa.array([float(t[0]) for t in turns], pa.float64()),
+            "end": pa.array([float(t[1]) for t in turns], pa.float64()),
+            "local_label": pa.array([str(t[2]) for t in turns], pa.string()),
+            "global_start": pa.array([about.get("global_start")] * n, pa.float64())}
         if embedder is not None:
-            found["embedding"] = pd.Series(vectors, dtype="object")
-        return found
+            found["embedding"] = pa.array(vectors, pa.list_(pa.float32()))
+        return pa.table(found)
 
     schema = TURN_COLUMNS + (", embedding array<float>" if embedder is not None else "")
     settings = windows.select(
         "episode_id", F.col("idx").cast("int").alias("idx"), "global_start",
-        F.col("num_speakers").cast("double").alias("num_speakers"))
+        F.col("num_speakers").cast("int").alias("num_speakers"))
     return (
         audio.groupBy("episode_id", "idx")
         .cogroup(settings.groupBy("episode_id", "idx"))
-        .applyInPandas(run, schema))
+        .applyInArrow(run, schema))
 
 
 def embed_turns(turns, embedder: Model):

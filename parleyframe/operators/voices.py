@@ -1,7 +1,7 @@
 """Speaker identities from voice embeddings."""
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,21 +44,27 @@ def _units(matrix):
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
+def _matrix(vectors):
+    """A column of equally long vectors as one array."""
+    return vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(
+        len(vectors), -1).astype("float64")
+
+
 def _nearest(turns, middles):
     """Cosine-nearest centroid of each turn of one group; the lowest label wins ties."""
-    result = turns.drop(columns=["embedding", "_group", "_slice"])
-    if len(turns) == 0:
-        return result.assign(label=pd.Series(dtype="Int32"), distance=pd.Series(dtype="float64"))
-    if len(middles) == 0:
-        return result.assign(
-            label=pd.array([pd.NA] * len(turns), dtype="Int32"), distance=np.nan)
-    middles = middles.sort_values("label")
-    voices = np.stack(turns["embedding"].to_numpy()).astype("float64")
-    targets = np.stack(middles["centroid"].to_numpy()).astype("float64")
-    distance = np.clip(1.0 - _units(voices) @ _units(targets).T, 0.0, 2.0)
-    best = distance.argmin(axis=1)
-    return result.assign(
-        label=middles["label"].to_numpy()[best], distance=distance[np.arange(len(best)), best])
+    result = turns.drop_columns(["embedding", "_group", "_slice"])
+    if turns.num_rows and middles.num_rows:
+        middles = middles.sort_by("label")
+        distance = np.clip(
+            1.0 - _units(_matrix(turns["embedding"])) @ _units(_matrix(middles["centroid"])).T,
+            0.0, 2.0)
+        best = distance.argmin(axis=1)
+        labels = middles["label"].to_numpy()[best]
+        gaps = distance[np.arange(len(best)), best]
+    else:
+        labels, gaps = [None] * turns.num_rows, [None] * turns.num_rows
+    return result.append_column("label", pa.array(labels, pa.int32())).append_column(
+        "distance", pa.array(gaps, pa.float64()))
 
 
 def assign_centroid(turns, middles):
@@ -82,7 +88,7 @@ def assign_centroid(turns, middles):
     return (
         keyed.groupBy("episode_id", "_group", "_slice")
         .cogroup(offered.groupBy("_episode", "_of_group", "_of_slice"))
-        .applyInPandas(_nearest, schema))
+        .applyInArrow(_nearest, schema))
 
 
 def average_linkage(vectors, weights, k):
@@ -132,11 +138,11 @@ def average_linkage(vectors, weights, k):
 
 
 def _cluster(group):
-    group = group.sort_values("first_pos").reset_index(drop=True)
+    group = group.sort_by("first_pos")
     labels = average_linkage(
-        np.stack(group["embedding"].to_numpy()), group["copies"], int(group["num_speakers"][0]))
-    return pd.DataFrame({
-        "episode_id": group["episode_id"], "embedding": group["embedding"], "label": labels})
+        _matrix(group["embedding"]), group["copies"].to_numpy(), group["num_speakers"][0].as_py())
+    return group.select(["episode_id", "embedding"]).append_column(
+        "label", pa.array(labels, pa.int32()))
 
 
 def cluster_speakers(reference, targets):
@@ -156,6 +162,6 @@ def cluster_speakers(reference, targets):
     checked = points.join(sizes, "episode_id").where(
         F.when(F.col("points") <= MOST_REFERENCE_TURNS, F.lit(True))
         .otherwise(F.raise_error(complaint).cast("boolean")))
-    labels = checked.groupBy("episode_id").applyInPandas(
+    labels = checked.groupBy("episode_id").applyInArrow(
         _cluster, "episode_id string, embedding array<float>, label int")
     return reference.join(labels, ["episode_id", "embedding"])
