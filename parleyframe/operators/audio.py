@@ -6,6 +6,7 @@ table may also carry ``n_samples``, so that lengths can be read without
 touching the samples.
 """
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,16 @@ def file_durations(catalog):
     return catalog.withColumn("seconds", F.col("num_frames") / F.col("sample_rate"))
 
 
+def blocks_between(pcm, start_sec, end_sec, block_samples, sample_rate):
+    """Leave out blocks that hold no sample between two times, as far as a filter
+    on literals can tell: recordings at another rate are kept whole."""
+    low = math.floor(start_sec * sample_rate / block_samples)
+    high = math.ceil(end_sec * sample_rate / block_samples)
+    return pcm.where(
+        (F.col("sample_rate") != sample_rate)
+        | ((F.col("block") >= low) & (F.col("block") < high)))
+
+
 def clip_pcm(pcm, start_sec, duration_sec, block_samples, sample_rate=None):
     """Samples from ``start_sec`` on, for ``duration_sec``; both bounds are cut
     at the end of the recording.  ``first_sample`` counts from the clip's start.
@@ -36,11 +47,8 @@ def clip_pcm(pcm, start_sec, duration_sec, block_samples, sample_rate=None):
     that reaches the scan; recordings at another rate are clipped by their own.
     """
     if sample_rate is not None:
-        low = start_sec * sample_rate // block_samples
-        high = -(-(start_sec + duration_sec) * sample_rate // block_samples)
-        pcm = pcm.where(
-            (F.col("sample_rate") != sample_rate)
-            | ((F.col("block") >= low) & (F.col("block") < high)))
+        pcm = blocks_between(
+            pcm, start_sec, start_sec + duration_sec, block_samples, sample_rate)
     low = F.lit(start_sec) * F.col("sample_rate")
     high = F.lit(start_sec + duration_sec) * F.col("sample_rate")
     begin = F.col("block") * block_samples

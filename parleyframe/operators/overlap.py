@@ -51,10 +51,10 @@ def overlap_join(segments, turns, bucket_seconds=BUCKET_SECONDS):
 
 
 def first_of_copies(turns):
-    """Of turns with equal bounds only the first line can win a segment."""
+    """Of a speaker's turns with equal bounds only the first line can win a segment."""
     return (
-        turns.groupBy("episode_id", "start", "end")
-        .agg(F.min("line_no").alias("line_no"), F.min_by("speaker", "line_no").alias("speaker")))
+        turns.groupBy("episode_id", "start", "end", "speaker")
+        .agg(F.min("line_no").alias("line_no")))
 
 
 def assign_speakers(transcript, turns, unknown_label=UNKNOWN, bucket_seconds=BUCKET_SECONDS):

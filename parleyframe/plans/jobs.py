@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from parleyframe.functions.prompts import RETRY_NOTE, context_summary
 from parleyframe.operators import models, naming
-from parleyframe.operators.audio import audio_duration, chunk_audio, clip_pcm
+from parleyframe.operators.audio import audio_duration, blocks_between, chunk_audio, clip_pcm
 from parleyframe.operators.chunks import (
     _grid, chunk_windows, dedup_turns, reference_chunks, with_speaker_label)
 from parleyframe.operators.evidence import speaker_profiles
@@ -73,8 +73,10 @@ def diarize(pcm, detector, embedder, block_samples, settings=DEFAULTS, reference
         targets = target_speakers(count_speakers(reference), settings.num_speakers)
     else:
         # The number found in the first window is what the detector is then asked for.
+        opening = blocks_between(
+            pcm, 0, settings.chunk_minutes * 60, block_samples, settings.sample_rate)
         reference = turns_of(
-            audio.where(F.col("idx") == 0),
+            chunk_audio(opening, block_samples, *grid).where(F.col("idx") == 0),
             reference_chunks(windows).withColumn("num_speakers", wanted), "reference")
         targets = settle(target_speakers(count_speakers(reference)), "targets")
         turns = turns_of(

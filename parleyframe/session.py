@@ -3,12 +3,14 @@
 from pyspark.sql import SparkSession
 
 # Adaptive execution picks partition counts, splits skewed join partitions and
-# turns a shuffled join into a broadcast one only when the measured size allows.
+# turns a shuffled join into a broadcast or hash join only when the measured
+# sizes allow.
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
 }

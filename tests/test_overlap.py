@@ -90,9 +90,9 @@ def test_infinite_or_nan_bounds(spark):
 
 def test_first_of_copies(spark, rows):
     turns = spark.createDataFrame(
-        [("a", 3, 0.0, 1.0, "late"), ("a", 1, 0.0, 1.0, "first"), ("a", 2, 0.0, 2.0, "other")],
-        TURNS)
-    assert rows(first_of_copies(turns), "line_no", "speaker") == [(1, "first"), (2, "other")]
+        [("a", 3, 0.0, 1.0, "A"), ("a", 1, 0.0, 1.0, "A"), ("a", 2, 0.0, 2.0, "A"),
+         ("a", 4, 0.0, 1.0, "B")], TURNS)
+    assert rows(first_of_copies(turns), "line_no", "speaker") == [(1, "A"), (2, "A"), (4, "B")]
 
 
 def test_episodes_without_turns(spark, rows):
