@@ -54,25 +54,27 @@ SELECT CAST(doc_id AS STRING) AS episode_id, doc_id AS ep_no,
        text AS description, n_chars * 500 AS duration_ms
 FROM {documents})"""
 
-# Embedded turns: five recordings of four windows, seconds within the window.
+# Embedded turns: every hundred vectors are a recording of four windows; seconds
+# within the window.
 EMBEDDED = """(
-SELECT CAST(vec_id % 5 AS STRING) AS episode_id, CAST(vec_id % 4 AS INT) AS chunk_idx,
+SELECT CAST(CAST(floor(vec_id / 100.0) AS BIGINT) AS STRING) AS episode_id, CAST(vec_id % 4 AS INT) AS chunk_idx,
        vec_id AS turn_pos, CAST((vec_id * 37) % 5700 AS DOUBLE) / 10 AS t_start,
        CAST((vec_id * 37) % 5700 + 3 + vec_id % 40 AS DOUBLE) / 10 AS t_end,
        label, embedding
 FROM {embeddings})"""
 
-# Stereo audio at 16 samples per second: each vector is a block of one channel.
+# Stereo audio at 16 samples per second: each vector is a block of one channel,
+# every hundred a recording.
 STEREO = """(
-SELECT CAST(CAST(floor((vec_id % 10) / 2.0) AS INT) AS STRING) AS episode_id,
-       CAST(vec_id % 2 AS INT) AS channel, CAST(floor(vec_id / 10.0) AS BIGINT) AS block,
+SELECT CAST(CAST(floor(vec_id / 100.0) AS BIGINT) AS STRING) AS episode_id,
+       CAST(vec_id % 2 AS INT) AS channel, CAST(floor(vec_id % 100 / 2.0) AS BIGINT) AS block,
        16 AS sample_rate, embedding AS samples
 FROM {embeddings})"""
 
 # The same as single-channel recordings.
 MONO = """(
-SELECT CAST(vec_id % 5 AS STRING) AS episode_id, 0 AS channel,
-       CAST(floor(vec_id / 5.0) AS BIGINT) AS block, 16 AS sample_rate,
+SELECT CAST(CAST(floor(vec_id / 100.0) AS BIGINT) AS STRING) AS episode_id, 0 AS channel,
+       vec_id % 100 AS block, 16 AS sample_rate,
        embedding AS samples
 FROM {embeddings})"""
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from parleyframe.functions.text import speaker_label
+from parleyframe.schemas import UNKNOWN
 
 # Fixed value: turns no longer than this (seconds) count as empty.
 EMPTY_TURN_SECONDS = 1e-6
@@ -90,4 +91,12 @@ def dedup_turns(turns):
 
 
 def with_speaker_label(turns):
-    return turns.withColumn("speaker", speaker_label(F.col("label")))
+    """Add ``speaker``; a turn without a label is UNKNOWN."""
+    return turns.withColumn("speaker", F.when(
+        F.col("label").isNotNull(), speaker_label(F.col("label"))).otherwise(UNKNOWN))
+
+
+def windows_without_turns(chunks, turns):
+    """Windows in which no turn was found."""
+    seen = turns.select("episode_id", F.col("chunk_idx").alias("idx")).distinct()
+    return chunks.join(seen, ["episode_id", "idx"], "left_anti")

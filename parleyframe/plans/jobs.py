@@ -13,16 +13,18 @@ from parleyframe.functions.prompts import RETRY_NOTE, context_summary
 from parleyframe.operators import models, naming
 from parleyframe.operators.audio import audio_duration, blocks_between, chunk_audio, clip_pcm
 from parleyframe.operators.chunks import (
-    _grid, chunk_windows, dedup_turns, reference_chunks, with_speaker_label)
+    _grid, chunk_windows, dedup_turns, reference_chunks, windows_without_turns,
+    with_speaker_label)
 from parleyframe.operators.evidence import speaker_profiles
 from parleyframe.operators.overlap import assign_speakers, episodes_without_turns
 from parleyframe.operators.prompting import build_prompts, refine_targets
 from parleyframe.operators.roster import candidate_roster, people_from_entities
 from parleyframe.operators.voices import (
     assign_centroid, centroids, cluster_speakers, count_speakers, target_speakers)
-from parleyframe.schemas import Settings
-from parleyframe.sources.rttm import FAILFAST, read_rttm
-from parleyframe.sources.segments import read_transcript, write_segments
+from parleyframe.schemas import PCM, Settings
+from parleyframe.sources.rttm import FAILFAST, read_rttm, write_rttm
+from parleyframe.sources.segments import (
+    NAMED_FIELDS, SEGMENT_FIELDS, read_transcript, read_utterances, write_segments)
 from parleyframe.sources.tables import load_reference, save_reference, settle
 
 DEFAULTS = Settings()
@@ -42,17 +44,27 @@ def transcribe(pcm, model, block_samples, settings=DEFAULTS, window_minutes=WIND
     return models.transcribe_windows(audio, model, step_ms, settings.tick_factor)
 
 
+def transcribe_files(spark, pcm_path, output_path, model, block_samples, settings=DEFAULTS,
+                     window_minutes=WINDOW_MINUTES, layout="records"):
+    """The same from a stored PCM table to segment JSON."""
+    pcm = spark.read.schema(PCM).parquet(pcm_path)
+    transcript = transcribe(pcm, model, block_samples, settings, window_minutes)
+    write_segments(transcript, output_path, SEGMENT_FIELDS, layout)
+
+
 # ------------------------------------------------------------------ diarize
 
 def diarize(pcm, detector, embedder, block_samples, settings=DEFAULTS, reference_path=None,
-            lengths=None):
+            lengths=None, strict=False):
     """PCM to speaker turns (episode_id, line_no, start, end, speaker).
 
     Voices are clustered in the first window of each episode; every window's
     turns then go to the nearest voice.  ``line_no`` is the pair (start, end),
     the order turns are written in.  With ``reference_path`` the labelled
     reference turns are stored there and read back.  ``lengths`` (episode_id,
-    duration_ms) saves reading the audio to find out how long it is.
+    duration_ms) saves reading the audio to find out how long it is.  ``strict``
+    stops when a window has no turns at all; otherwise an episode whose first
+    window has none gets UNKNOWN turns.
     """
     spark = pcm.sparkSession
     grid = (settings.chunk_minutes, settings.overlap_seconds)
@@ -82,6 +94,8 @@ def diarize(pcm, detector, embedder, block_samples, settings=DEFAULTS, reference
         turns = turns_of(
             audio, windows.join(targets.select("episode_id", "num_speakers"), "episode_id"),
             "turns")
+    if strict and not windows_without_turns(windows, turns).isEmpty():
+        raise ValueError("some windows have no turns")
     labelled = cluster_speakers(
         reference.select("episode_id", "turn_pos", "embedding"), targets)
     if reference_path:
@@ -96,6 +110,15 @@ def diarize(pcm, detector, embedder, block_samples, settings=DEFAULTS, reference
         "episode_id", F.struct("start", "end").alias("line_no"), "start", "end", "speaker")
 
 
+def diarize_files(spark, pcm_path, output_path, detector, embedder, block_samples,
+                  settings=DEFAULTS, reference_path=None, strict=True, per_episode=False):
+    """The same from a stored PCM table to RTTM."""
+    pcm = spark.read.schema(PCM).parquet(pcm_path)
+    turns = diarize(pcm, detector, embedder, block_samples, settings, reference_path,
+                    strict=strict)
+    write_rttm(turns, output_path, per_episode=per_episode)
+
+
 # ------------------------------------------------------------------ assign speakers
 
 def assign(transcript, turns, settings=DEFAULTS, strict=False):
@@ -190,6 +213,16 @@ def infer_names(utterances, episodes, model, extractor=None, hosts=(), settings=
         final, naming.label_transcript(utterances, final, settings.start_offset_sec))
 
 
+def infer_files(spark, transcript_path, output_path, episodes, model, extractor=None, hosts=(),
+                settings=DEFAULTS, layout="array", strict=False, concurrency=None):
+    """The same from diarized JSON to JSON with names; returns the assignments."""
+    utterances = read_utterances(spark, transcript_path, layout)
+    result = infer_names(
+        utterances, episodes, model, extractor, hosts, settings, strict, concurrency)
+    write_segments(result.labelled, output_path, NAMED_FIELDS, layout)
+    return result.assignments
+
+
 # ------------------------------------------------------------------ everything
 
 def process_corpus(pcm, episodes, speech, detector, embedder, namer, block_samples,

@@ -17,6 +17,7 @@ from parleyframe.sources.lines import numbered_lines, whole_files, write_lines
 
 SEGMENT_FIELDS = ("start", "end", "text")
 DIARIZED_FIELDS = ("start", "end", "speaker", "text")
+NAMED_FIELDS = (*DIARIZED_FIELDS, "speaker_name", "confidence", "justification")
 
 
 def _json_struct(fields):

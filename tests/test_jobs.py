@@ -169,6 +169,38 @@ def test_corpus(spark):
         for i, s in enumerate(np.repeat([2, 0, 1, 2, 0, 1], 2).tolist())]
 
 
+def test_files_from_audio_to_names(spark, tmp_path):
+    """Every job through its files, as separate runs would be."""
+    paths = {n: str(tmp_path / n) for n in ("pcm", "text", "turns", "said", "named")}
+    pcm(spark, {"x": [wave([2, 0, 1, 2, 0, 1])]}, BLOCK, RATE).write.parquet(paths["pcm"])
+    settings = Settings(chunk_minutes=8 / 60, overlap_seconds=2)
+    jobs.transcribe_files(spark, paths["pcm"], paths["text"], Model("speech", load_speech), BLOCK)
+    jobs.diarize_files(spark, paths["pcm"], paths["turns"], DETECTOR, EMBEDDER, BLOCK, settings)
+    jobs.assign_files(spark, paths["text"], paths["turns"], paths["said"], layout="records",
+                      rttm_episodes="line")
+    episodes = spark.createDataFrame([("x", "Show - 1", "about", 12000)], EPISODES)
+    names = jobs.infer_files(spark, paths["said"], paths["named"], episodes,
+                             Model("namer", load_namer), layout="records")
+    assert {r.speaker_id: r.proposed_name for r in names.collect()} == {
+        f"SPEAKER_{i:02d}": f"Person {i}" for i in range(3)}
+    named = sorted(spark.read.json(paths["named"]).collect(), key=lambda r: r.start)
+    assert [(r.text, r.speaker_name) for r in named] == [
+        (f"{LEVELS[s]:.1f}", f"Person {'201'.index(str(s))}")
+        for s in np.repeat([2, 0, 1, 2, 0, 1], 2).tolist()]
+
+
+def load_deaf():
+    return lambda samples, rate, num_speakers: []
+
+
+def test_windows_without_turns(spark):
+    table = pcm(spark, {"x": [wave([0, 1])]}, BLOCK, RATE)
+    deaf = Model("deaf", load_deaf)
+    assert jobs.diarize(table, deaf, EMBEDDER, BLOCK).count() == 0
+    with pytest.raises(ValueError, match="no turns"):
+        jobs.diarize(table, deaf, EMBEDDER, BLOCK, strict=True)
+
+
 def test_clipped_transcript(spark):
     table = pcm(spark, {"x": [wave([2, 0, 1, 2, 0, 1])]}, BLOCK, RATE)
     settings = Settings(clip_audio=True, clip_start_sec=3, clip_duration_sec=4, sample_rate=RATE)
