@@ -147,11 +147,12 @@ FROM {EPISODES} e)"""
 
 @check(f"""
 SELECT b.episode_id, CAST(0 AS BIGINT) AS prompt_no,
-       '{INSTRUCTIONS}' || chr(10) || 'Episode Context:' || chr(10) || any_value(context) || chr(10)
-       || chr(10) || 'Candidate Names: ' || any_value(names) || chr(10) || chr(10)
+       '{INSTRUCTIONS}' || chr(10) || 'Episode Context:' || chr(10)
+       || coalesce(any_value(context), '') || chr(10) || chr(10) || 'Candidate Names: '
+       || coalesce(any_value(names), 'Unknown') || chr(10) || chr(10)
        || 'Speaker Evidence:' || chr(10)
        || string_agg(block, chr(10) || chr(10) ORDER BY first_start, first_pos) || chr(10) AS prompt
-FROM {BLOCKS} b JOIN {CONTEXT} c ON b.episode_id = c.episode_id GROUP BY b.episode_id""")
+FROM {BLOCKS} b LEFT JOIN {CONTEXT} c ON b.episode_id = c.episode_id GROUP BY b.episode_id""")
 def build_prompts(inputs):
     profiles = evidence.speaker_profiles(inputs.utterances, 2, 1)
     about = contexts(inputs.episodes, hosts=["Al", "Zoë", " spaced"])
@@ -263,23 +264,23 @@ def label_transcript(inputs):
 
 
 # An answer per proposal: an array with one good, one alien and one bare element;
-# some answers are fenced or followed by words, which makes them invalid.
+# answers about Eve are fenced, which makes them invalid.
 @check(f"""
 SELECT episode_id, pass, CAST(line * 4294967296 + k AS BIGINT) AS pos, speaker_id, proposed_name,
        confidence, justification
 FROM (
   SELECT episode_id, pass, pos AS line, 0 AS k, speaker_id, proposed_name, confidence, justification
-  FROM {PROPOSED} p WHERE pos % 5 <> 3
+  FROM {PROPOSED} p WHERE proposed_name <> 'Eve'
   UNION ALL
   SELECT episode_id, pass, pos, 1, 'None', 'UNKNOWN', 0.4e0, '' FROM {PROPOSED} q
-  WHERE pos % 5 <> 3) x""")
+  WHERE proposed_name <> 'Eve') x""")
 def parse_assignments(inputs):
     p = inputs.proposed
     good = F.to_json(F.struct("speaker_id", "proposed_name", "confidence", "justification"))
     array = F.concat(
         F.lit(" [1, "), good, F.lit(', {"speaker_id": null, "confidence": "0.4"}, '),
         F.lit('{"speaker_id": "S", "confidence": null}]\n'))
-    answer = F.when(F.col("pos") % 5 == 3, F.concat(F.lit("```json"), array, F.lit("```"))).otherwise(
-        array)
+    fenced = F.concat(F.lit("```json"), array, F.lit("```"))
+    answer = F.when(F.col("proposed_name") == "Eve", fenced).otherwise(array)
     return models.parse_proposals(p.select(
         "episode_id", "pass", F.col("pos").alias("prompt_no"), answer.alias("response")))

@@ -32,14 +32,13 @@ def words(c):
 def limit_words(c, most):
     """Text with at most ``most`` words is returned untouched; longer text is
     cut to that many words, joined by single spaces."""
-    bare = strip(c)
     # The split stops at the word that is one too many; a short text needs none,
-    # as more than n words take at least 2n + 1 characters.
-    parts = F.split(bare, SPACE_RUN, most + 1)
-    return (
-        F.when((F.length(c) <= 2 * most) | (bare == ""), c)
-        .when(F.size(parts) <= most, c)
-        .otherwise(F.array_join(F.slice(parts, 1, most), " ")))
+    # as more than n words take at least 2n + 1 characters.  Going through an
+    # array of one keeps Spark from splitting twice.
+    parts = F.array(F.split(strip(c), SPACE_RUN, most + 1))
+    cut = F.transform(parts, lambda p: F.when(
+        F.size(p) > most, F.array_join(F.slice(p, 1, most), " ")))[0]
+    return F.when(F.length(c) <= 2 * most, c).otherwise(F.coalesce(cut, c))
 
 
 def show_title(name):

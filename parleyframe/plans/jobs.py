@@ -191,9 +191,11 @@ def infer_names(utterances, episodes, model, extractor=None, hosts=(), settings=
     """
     profiles = settle(
         speaker_profiles(utterances, settings.quotes_start, settings.quotes_end), "profiles")
-    spoken = profiles.select("episode_id").distinct()
-    about = settle(contexts(
-        episodes.join(spoken, "episode_id", "left_semi"), extractor, hosts, settings), "contexts")
+    # An episode without metadata is asked about with an empty title and description.
+    known = (
+        profiles.select("episode_id").distinct().join(episodes, "episode_id", "left")
+        .fillna("", ["name", "description"]))
+    about = settle(contexts(known, extractor, hosts, settings), "contexts")
     proposals = inference_cycle(
         profiles, about, model, 1, strict=strict, concurrency=concurrency)
     merged = naming.consolidate(proposals)

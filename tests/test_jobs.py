@@ -102,6 +102,22 @@ def test_single_pass(spark):
         "A": "Ann", "B": "ann", "C": "Cy"}
 
 
+def load_note_reader():
+    def name(prompt):
+        again = "Focus on previously uncertain speakers only." in prompt
+        return json.dumps([{"speaker_id": "A", "proposed_name": "Ann", "confidence": .9 if again
+                            else .1, "justification": prompt.split("Candidate Names: ")[1][:27]}])
+    return name
+
+
+def test_episode_without_metadata(spark):
+    said = spark.createDataFrame([("lost", 0, 0.0, 1.0, "A", "t")], UTTERANCES)
+    episodes = spark.createDataFrame([], EPISODES)
+    result = jobs.infer_names(said, episodes, Model("note", load_note_reader))
+    (row,) = result.assignments.collect()
+    assert (row.proposed_name, row.justification) == ("Ann", "Unknown Guest, Unknown Host")
+
+
 # Audio whose every two seconds are one voice: a constant level per speaker.
 LEVELS = (0.1, 0.5, 0.9)
 
