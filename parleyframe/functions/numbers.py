@@ -18,7 +18,7 @@ def parse_float(c):
     bare = strip(c)
     return (
         F.when(bare.rlike(DECIMAL_PATTERN),
-               F.regexp_replace(bare, "_", "").try_cast("double"))
+               F.translate(bare, "_", "").try_cast("double"))
         .when(bare.rlike(INFINITY_PATTERN),
               F.when(bare.startswith("-"), float("-inf")).otherwise(float("inf")))
         .when(bare.rlike(NAN_PATTERN), float("nan")))

@@ -13,7 +13,9 @@ INSTRUCTIONS = (
     "When the evidence does not settle a name, answer \"UNKNOWN\" with a confidence of at "
     "most 0.3.\n"
 )
-RETRY_NOTE = "\nFocus on previously uncertain speakers only."
+RETRY_NOTE = "\nThe speakers below are those still in doubt; consider only them."
+
+# The layouts below are fixed values: labels, their order, and line breaks.
 
 
 def profile_block(speaker_id, total_duration, total_turns, first_start, last_end, quotes):

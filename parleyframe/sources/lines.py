@@ -53,6 +53,15 @@ def numbered_lines(spark, path, partitioned=False):
         "episode_id", (F.col("before") + F.col("row") - F.col("first")).alias("line_no"), "value")
 
 
+def computed_once(table):
+    """The same rows, with every column evaluated here and only here.
+
+    Spark moves filters on a parsed column below the parsing, repeating it for
+    each condition.  Filters do not move below a generator.
+    """
+    return table.select(F.inline(F.array(F.struct(*table.columns))))
+
+
 def whole_files(spark, path):
     """(episode_id, value): one row per file, for formats that cannot be split."""
     return (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parleyframe.functions.numbers import parse_float, required
 from parleyframe.functions.text import SPACE_RUN, fixed, strip, words
-from parleyframe.sources.lines import ordered_lines, write_lines
+from parleyframe.sources.lines import computed_once, ordered_lines, write_lines
 
 FAILFAST, PERMISSIVE, DROPMALFORMED = "FAILFAST", "PERMISSIVE", "DROPMALFORMED"
 
@@ -34,24 +34,27 @@ def parse_rttm(lines, mode=FAILFAST, episode_from_line=False):
         lines.withColumn("line", strip(F.col("value")))
         .where((F.col("line") != "") & ~F.col("line").startswith("#"))
         .withColumn("fields", words(F.col("line")))
-        .withColumn("start", parse_float(field(START_FIELD)))
-        .withColumn("span", parse_float(field(DURATION_FIELD)))
-        .withColumn("good", (F.size("fields") >= FIELDS_NEEDED)
-                    & (F.upper(field(1)) == "SPEAKER")
-                    & F.col("start").isNotNull() & F.col("span").isNotNull()))
-    good = F.coalesce(F.col("good"), F.lit(False))
+        .withColumns({
+            "start": parse_float(field(START_FIELD)), "span": parse_float(field(DURATION_FIELD)),
+            "head": F.upper(field(1)), "recording": field(RECORDING_FIELD),
+            "speaker": field(SPEAKER_FIELD), "n_fields": F.size("fields")})
+        .drop("fields"))
+    parsed = computed_once(parsed)
+    good = F.coalesce(
+        (F.col("n_fields") >= FIELDS_NEEDED) & (F.col("head") == "SPEAKER")
+        & F.col("start").isNotNull() & F.col("span").isNotNull(), F.lit(False))
     if mode == DROPMALFORMED:
         parsed = parsed.where(good)
     elif mode == FAILFAST:
         complaint = F.concat(F.lit("Invalid RTTM line: "), F.col("line"))
         parsed = parsed.where(
             F.when(good, F.lit(True)).otherwise(F.raise_error(complaint).cast("boolean")))
-    episode = field(RECORDING_FIELD) if episode_from_line else F.col("episode_id")
+    episode = F.col("recording") if episode_from_line else F.col("episode_id")
     columns = [
         episode.alias("episode_id"), "line_no",
         F.when(good, F.col("start")).alias("start"),
         F.when(good, F.col("start") + F.col("span")).alias("end"),
-        F.when(good, field(SPEAKER_FIELD)).alias("speaker"),
+        F.when(good, F.col("speaker")).alias("speaker"),
     ]
     if mode == PERMISSIVE:
         columns.append(F.when(~good, F.col("value")).alias("_corrupt_record"))

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from parleyframe.functions.numbers import parse_float, required
 from parleyframe.functions.text import strip
-from parleyframe.sources.lines import numbered_lines, whole_files, write_lines
+from parleyframe.sources.lines import (
+    computed_once, numbered_lines, whole_files, write_lines)
 
 SEGMENT_FIELDS = ("start", "end", "text")
 DIARIZED_FIELDS = ("start", "end", "speaker", "text")
@@ -62,9 +63,9 @@ def _text(name):
 
 def as_transcript(records, time_factor=1.0):
     """Typed transcript rows; times are divided by ``time_factor``."""
-    return records.select(
+    return computed_once(records.select(
         "episode_id", "pos", _seconds("start", time_factor), _seconds("end", time_factor),
-        _text("text").alias("text"))
+        _text("text").alias("text")))
 
 
 def as_utterances(records):
@@ -74,9 +75,9 @@ def as_utterances(records):
     columns, because numbering the rows would bring a whole recording into one
     task; use ``in_spoken_order`` to sort a table by it.
     """
-    return records.select(
+    return computed_once(records.select(
         "episode_id", "pos", _seconds("start", 1.0), _seconds("end", 1.0),
-        _text("speaker").alias("speaker"), strip(_text("text")).alias("text"))
+        _text("speaker").alias("speaker"), strip(_text("text")).alias("text")))
 
 
 def in_spoken_order(table):

@@ -5,6 +5,7 @@ import json
 import numpy as np
 import pytest
 
+from parleyframe.functions.prompts import RETRY_NOTE
 from parleyframe.operators.models import Model
 from parleyframe.plans import jobs
 from parleyframe.schemas import Settings
@@ -49,7 +50,7 @@ ANSWERS = {
 def load_table():
     def answer(prompt):
         show = prompt.split("Title: ")[1].split(" - ")[0]
-        again = 2 if "Focus on previously uncertain speakers only." in prompt else 1
+        again = 2 if RETRY_NOTE in prompt else 1
         shown = [line[9:] for line in prompt.split("\n") if line.startswith("Speaker: ")]
         rows = ANSWERS[show, again]
         if rows is None:
@@ -104,7 +105,7 @@ def test_single_pass(spark):
 
 def load_note_reader():
     def name(prompt):
-        again = "Focus on previously uncertain speakers only." in prompt
+        again = RETRY_NOTE in prompt
         return json.dumps([{"speaker_id": "A", "proposed_name": "Ann", "confidence": .9 if again
                             else .1, "justification": prompt.split("Candidate Names: ")[1][:27]}])
     return name
