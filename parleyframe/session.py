@@ -1,5 +1,9 @@
 """Session settings the jobs are written for."""
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 # Adaptive execution picks partition counts, splits skewed join partitions and
@@ -26,3 +30,17 @@ def build_session(app="parleyframe", master=None, **conf):
     for name, value in conf.items():
         builder = builder.config(name.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+_SHIPPED = set()
+
+
+def ship(spark):
+    """Send the package to the Python workers, once per application."""
+    application = spark.sparkContext.applicationId
+    if application not in _SHIPPED:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        archive = shutil.make_archive(
+            os.path.join(tempfile.mkdtemp(), "parleyframe"), "zip", root, "parleyframe")
+        spark.sparkContext.addPyFile(archive)
+        _SHIPPED.add(application)

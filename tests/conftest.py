@@ -17,8 +17,8 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate())
     session.sparkContext.setLogLevel("OFF")
-    import __spark_entry__
-    __spark_entry__._ship(session)
+    from parleyframe.session import ship
+    ship(session)
     yield session
     session.stop()
 
