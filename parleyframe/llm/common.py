@@ -2,6 +2,7 @@
 
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Blank and tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -36,3 +37,8 @@ def keep_columns(batch, **columns):
     for name, values in columns.items():
         table = table.append_column(name, values)
     return table
+
+
+def with_fields(field, ddl):
+    """A schema of one field of another schema and the columns of a DDL string."""
+    return StructType([field, *StructType.fromDDL(ddl)])

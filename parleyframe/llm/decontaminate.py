@@ -15,9 +15,8 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from parleyframe.llm.common import id_and_text, map_batches
+from parleyframe.llm.common import id_and_text, map_batches, with_fields
 
 # Lower-case letters and digits stay, all other ASCII parts words.
 _WORDS = bytes(
@@ -250,10 +249,8 @@ def with_hits(docs, items, window=10, item_column="item_id", item_text="text",
                 ["row", "n_words", "hits", "items"])
 
     packed = docs.select(F.struct("*").alias("row"), docs[text_column].alias("text"))
-    schema = (
-        StructType().add(packed.schema["row"]).add("n_words", "bigint")
-        .add("hits", "array<array<int>>").add("items", "array<string>"))
-    return packed.mapInArrow(run, schema)
+    return packed.mapInArrow(run, with_fields(
+        packed.schema["row"], "n_words bigint, hits array<array<int>>, items array<string>"))
 
 
 def contamination(docs, items, window=10, id_column="doc_id", text_column="text", **options):
@@ -296,7 +293,7 @@ def decontaminate(docs, items, window=10, most_coverage=0.5, text_column="text",
     row = hit.schema["row"].dataType
     done = map_batches(
         kept.select("row", F.col("row")[text_column].alias("text"), "hits"), cut,
-        StructType().add("row", row).add("cut", "string"))
+        with_fields(hit.schema["row"], "cut string"))
     return done.select(*(
         F.col("cut").alias(name) if name == text_column else F.col("row")[name].alias(name)
         for name in row.names))

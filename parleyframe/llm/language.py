@@ -15,9 +15,8 @@ from; a null label is not learnt from.  Repeated rows are answered alike.
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from parleyframe.llm.common import map_batches
+from parleyframe.llm.common import map_batches, with_fields
 
 UNDETERMINED = "und"
 PIECE = 128
@@ -276,7 +275,7 @@ def with_language(docs, network, text_column="text", batch_texts=500):
     packed = docs.select(F.struct("*").alias("row"), docs[text_column].alias("text"))
     return map_batches(
         packed, label,
-        StructType().add(packed.schema["row"]).add("lang_pred", "string").add("score", "double"))
+        with_fields(packed.schema["row"], "lang_pred string, score double"))
 
 
 def identify(docs, id_column="doc_id", text_column="text", label_column="lang", **fitting):
