@@ -4,7 +4,7 @@ import uuid
 
 import public_tokenizers
 
-from parleyframe.llm import decontaminate, language, token_counts
+from parleyframe.llm import decontaminate, language, simhash, token_counts
 from parleyframe.sources.tables import working_folder
 
 QUERIES = {}
@@ -41,3 +41,8 @@ def op8(spark, folder):
     cache = f"{working_folder(spark).rstrip('/')}/parleyframe/token-counts-{uuid.uuid4().hex}"
     return token_counts.count_tokens(
         table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), cache)
+
+
+@query("op9_simhash_near_dedup")
+def op9(spark, folder):
+    return simhash.near_duplicates(table(spark, folder, "documents"))
