@@ -4,7 +4,7 @@ import uuid
 
 import public_tokenizers
 
-from parleyframe.llm import decontaminate, language, simhash, token_counts
+from parleyframe.llm import decontaminate, language, secrets, simhash, token_counts
 from parleyframe.sources.tables import working_folder
 
 QUERIES = {}
@@ -46,3 +46,8 @@ def op8(spark, folder):
 @query("op9_simhash_near_dedup")
 def op9(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op3_secret_scan")
+def op3(spark, folder):
+    return secrets.digests(table(spark, folder, "documents"))
