@@ -3,8 +3,10 @@
 import uuid
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from parleyframe.llm import decontaminate, language, secrets, simhash, token_counts
+from parleyframe.llm import (
+    decontaminate, language, secrets, simhash, substring_dedup, token_counts)
 from parleyframe.sources.tables import working_folder
 
 QUERIES = {}
@@ -51,3 +53,9 @@ def op9(spark, folder):
 @query("op3_secret_scan")
 def op3(spark, folder):
     return secrets.digests(table(spark, folder, "documents"))
+
+
+@query("op1_substring_dedup")
+def op1(spark, folder):
+    return substring_dedup.deduplicate(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
