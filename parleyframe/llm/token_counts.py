@@ -98,19 +98,23 @@ def count_tokens(docs, model_path, cache_path, limit=4096, id_column="doc_id",
     texts = id_and_text(docs, id_column, text_column).withColumn(
         "digest", F.unhex(F.sha2("text", 256)))
     cached = read_cache(spark, cache_path).where(F.col("version") == version)
-    missing = texts.select("digest").distinct().join(cached, "digest", "left_anti")
-    # One text for each missing digest: copies are combined before the shuffle.
-    todo = (
-        texts.select("digest", "text").join(missing, "digest", "left_semi")
-        .groupBy("digest").agg(F.first("text").alias("text")))
+    # One row for each missing digest; by its id too, so that copies are dealt out.
+    missing = texts.groupBy("digest").agg(F.min("doc_id").alias("one")).join(
+        cached, "digest", "left_anti").withColumnRenamed("digest", "missing")
+    todo = texts.join(
+        missing, (F.col("digest") == F.col("missing")) & F.col("doc_id").eqNullSafe(F.col("one")),
+        "left_semi").select("digest", "text")
 
     def encode(batch):
         counter = _counter(shipped.value, version)
+        # Rows that repeat an id and a text stand in one batch, or nearly so.
+        batch = pa.Table.from_batches([batch]).group_by("digest", use_threads=False).aggregate(
+            [("text", "first")]).rename_columns(["digest", "text"]).combine_chunks()
         counts = []
         for at in range(0, batch.num_rows, batch_texts):
             counts += counter(batch["text"].slice(at, batch_texts).to_pylist())
         return pa.table({
-            "version": pa.array([version] * batch.num_rows, pa.string()),
+            "version": [version] * batch.num_rows,
             "digest": batch["digest"], "n_tokens": pa.array(counts, pa.int64())})
 
     map_batches(todo, encode, CACHE).write.mode("append").parquet(cache_path)
