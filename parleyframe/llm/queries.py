@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from parleyframe.llm import (
-    decontaminate, language, secrets, simhash, substring_dedup, token_counts)
+    decontaminate, language, packing, secrets, simhash, substring_dedup, token_counts)
 from parleyframe.sources.tables import working_folder
 
 QUERIES = {}
@@ -59,3 +59,9 @@ def op3(spark, folder):
 def op1(spark, folder):
     return substring_dedup.deduplicate(table(spark, folder, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op2_best_fit_packing")
+def op2(spark, folder):
+    return packing.pack(
+        table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
