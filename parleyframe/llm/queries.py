@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from parleyframe.llm import (
-    decontaminate, language, packing, secrets, simhash, substring_dedup, token_counts)
+    decontaminate, grades, language, packing, secrets, simhash, substring_dedup, token_counts)
 from parleyframe.sources.tables import working_folder
 
 QUERIES = {}
@@ -65,3 +65,9 @@ def op1(spark, folder):
 def op2(spark, folder):
     return packing.pack(
         table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op4_quality_grades")
+def op4(spark, folder):
+    return grades.select_by_grade(
+        table(spark, folder, "documents"), table(spark, folder, "labels"))
