@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from parleyframe.llm import (
-    decontaminate, grades, language, packing, secrets, simhash, substring_dedup, token_counts)
+    decontaminate, grades, language, packing, sanitise, secrets, simhash, substring_dedup,
+    token_counts)
 from parleyframe.sources.tables import working_folder
 
 QUERIES = {}
@@ -71,3 +72,8 @@ def op2(spark, folder):
 def op4(spark, folder):
     return grades.select_by_grade(
         table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op5_pii")
+def op5(spark, folder):
+    return sanitise.digests(table(spark, folder, "documents"))
