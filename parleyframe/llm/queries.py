@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parleyframe.llm import (
     decontaminate, grades, language, packing, sanitise, secrets, simhash, substring_dedup,
-    token_counts)
+    syncmers, token_counts)
 from parleyframe.sources.tables import working_folder
 
 QUERIES = {}
@@ -77,3 +77,8 @@ def op4(spark, folder):
 @query("op5_pii")
 def op5(spark, folder):
     return sanitise.digests(table(spark, folder, "documents"))
+
+
+@query("op10_document_fingerprints")
+def op10(spark, folder):
+    return syncmers.compared(table(spark, folder, "documents"))
