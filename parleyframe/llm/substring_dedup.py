@@ -164,7 +164,7 @@ _MESSAGES = pa.schema([("bucket", pa.int64()), ("unit", pa.binary()), ("kind", p
                        ("payload", pa.binary())])
 
 
-def _emit(width, buckets):
+def _emit(width, buckets, unit_words):
     def run(batches):
         unit = _Unit()
         for batch in batches:
@@ -172,12 +172,12 @@ def _emit(width, buckets):
             for row, value in enumerate(batch[3]):
                 words = value.as_py().encode().split()
                 doc_id = _NO_ID if ids[row] is None else ids[row]
-                for start in range(0, max(len(words) - width, 0) + 1, UNIT_WORDS):
+                for start in range(0, max(len(words) - width, 0) + 1, unit_words):
                     # A segment reads on far enough for windows that begin in it.
-                    segment = words[start:start + UNIT_WORDS + width - 1]
+                    segment = words[start:start + unit_words + width - 1]
                     if len(segment) >= width:
                         unit.add(doc_id, (a[row], b[row]), start, _digest_words(segment))
-                    if unit.size >= UNIT_WORDS:
+                    if unit.size >= unit_words:
                         for message in unit.messages(width, buckets):
                             yield _table([message], _MESSAGES).to_batches()[0]
                         unit = _Unit()
@@ -253,7 +253,8 @@ def _merge(width):
     return run
 
 
-def repeated_intervals(docs, width=WIDTH, id_column="doc_id", text_column="text", buckets=None):
+def repeated_intervals(docs, width=WIDTH, id_column="doc_id", text_column="text", buckets=None,
+                       unit_words=UNIT_WORDS):
     """id, a, b (text key) and ``cuts``: arrays of begin, end, begin, end ... in
     words, of the documents with windows that also start earlier."""
     spark = docs.sparkSession
@@ -262,7 +263,7 @@ def repeated_intervals(docs, width=WIDTH, id_column="doc_id", text_column="text"
     texts = id_and_text(docs, id_column, text_column).withColumn("key", text_key(F.col("text")))
     sent = texts.select(
         F.col("doc_id").cast("bigint").alias("id"), "key.a", "key.b", "text").mapInArrow(
-        _emit(width, buckets), MESSAGE)
+        _emit(width, buckets, unit_words), MESSAGE)
     judged = sent.groupBy("bucket").applyInArrow(_judge, "unit binary, kind int, payload binary")
     merged = judged.groupBy("unit").applyInArrow(
         _merge(width), "id bigint, a bigint, b bigint, cut array<bigint>")
