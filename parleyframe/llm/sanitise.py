@@ -31,7 +31,7 @@ PATTERNS = {
 }
 # What a line with a valid match of any kind holds at least.
 _ANY = r"@|\+[0-9]|[0-9]\.[0-9]++\.[0-9]++\.[0-9]|[0-9](?:[\x20-]?[0-9]){13}"
-_BYTE = r"0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+_BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _WORD = r"\p{L}{3,}"
 #: Up to so many terms are joined as a copy in every task; more by a shuffle.
 COPIED_TERMS = 20_000
