@@ -109,8 +109,16 @@ def values_in(lines):
         (F.col("start") + F.col("end")).alias("end"), value.alias("value"))
 
 
+# An address is read as one match, so that its parts are not words.
+_WORD_OR_ADDRESS = PATTERNS["email"] + "|" + _WORD
+
+
 def _words(text):
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)))
+    low = F.lower(text)
+    return F.array_distinct(F.when(F.contains(text, F.lit("@")), F.filter(
+        F.regexp_extract_all(low, F.lit(_WORD_OR_ADDRESS), F.lit(0)),
+        lambda w: ~F.contains(w, F.lit("@")))).otherwise(
+        F.regexp_extract_all(low, F.lit(_WORD), F.lit(0))))
 
 
 def disclosing_terms(texts, lines, values, support=3, generalise=0.8):
@@ -148,7 +156,7 @@ def term_spans(lines, values, disclosing, remove=0.95):
         F.max("share").alias("share"))
     there = lines.join(wanted.select("a", "b", "line").distinct(), ["a", "b", "line"], "left_semi")
     words = _placed(there.select(
-        "a", "b", "line", "start", F.posexplode(_found(F.col("text"), _WORD)).alias("at", "f")
+        "a", "b", "line", "start", F.posexplode(_found(F.col("text"), _WORD_OR_ADDRESS)).alias("at", "f")
     ).select("a", "b", "line", "start", "at", "f.gap", "f.match"), ("a", "b", "line"))
     return words.withColumn("term", F.lower("match")).join(
         wanted, ["a", "b", "line", "term"]).select(
@@ -211,8 +219,8 @@ def sanitise(docs, id_column="doc_id", text_column="text", support=3, generalise
     _, _, terms = _searched(docs, id_column, text_column, support, generalise, remove)
     # Per text, the words of each line that go or are generalised, as patterns.
     by_line = terms.groupBy("a", "b", "line", "kind").agg(
-        F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(
-            F.array_sort(F.collect_set("term")), "|"), F.lit(r")(?!\p{L})")).alias("pattern"))
+        F.concat(F.lit(r"(?iu)(?<![\p{L}\[])(?:"), F.array_join(
+            F.array_sort(F.collect_set("term")), "|"), F.lit(r")(?![\p{L}\]])")).alias("pattern"))
     by_text = by_line.groupBy("a", "b").agg(F.map_from_entries(F.collect_list(F.struct(
         F.concat_ws(":", "kind", "line"), "pattern"))).alias("patterns"))
     key = text_key(F.coalesce(docs[text_column], F.lit("")))
@@ -226,13 +234,12 @@ def sanitise(docs, id_column="doc_id", text_column="text", support=3, generalise
                 F.regexp_replace(line, pattern, F.lit(instead)))
         return line
 
-    text = F.col("row")[text_column]
-    marked = F.when(F.col("patterns").isNull(), text).otherwise(F.array_join(
-        F.transform(F.split(text, "\n"), without_terms), "\n"))
-    out = rows.withColumn("clean", marked)
+    out = rows.withColumn("clean", F.col("row")[text_column])
     for kind in PATTERNS:
         out = out.withColumn("clean", F.when(
             F.col("clean").rlike(_ANY), _masked(F.col("clean"), kind)).otherwise(F.col("clean")))
+    out = out.withColumn("clean", F.when(F.col("patterns").isNull(), F.col("clean")).otherwise(
+        F.array_join(F.transform(F.split("clean", "\n"), without_terms), "\n")))
     return out.select(*(
         F.col("clean" if name == text_column else f"row.`{name}`").alias(name)
         for name in docs.columns))

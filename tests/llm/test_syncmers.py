@@ -1,0 +1,76 @@
+import hashlib
+import random
+
+from pyspark.sql import functions as F
+
+from parleyframe.llm import syncmers
+from tests.llm.conftest import ODD
+
+
+def expected_edits(rows):
+    docs = sorted(set((i, t or "") for i, t in rows))
+    docs.sort(key=lambda d: -d[0])
+    out = {}
+    for at, (i, text) in enumerate(docs):
+        following = docs[(at + 1) % len(docs)][1]
+        n = len(text) // 3
+        edited = text[:len(text) - n] + following[:n]
+        out[i] = (len(text), hashlib.sha256(edited.encode()).hexdigest())
+    return out
+
+
+def sample(n=60):
+    rng = random.Random(n)
+    return [(k * 7 % 101, " ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randrange(120))))
+            for k in range(n)] + [(500, None), (501, "é🙂ß" * 5), (502, "")]
+
+
+def test_edits_and_likeness(documents):
+    rows = sample()
+    found = syncmers.compared(documents(rows).repartition(6)).collect()
+    expected = expected_edits(rows)
+    assert len(found) == len(rows)
+    for row in found:
+        assert (row["n_chars"], row["edited_sha256"]) == expected[row["doc_id"]]
+        assert 0 <= row["near_edited"] <= 1 and 0 <= row["near_next"] <= 1
+    long = [r for r in found if r["n_chars"] > 300]
+    assert all(r["near_edited"] > 0.25 > r["near_next"] for r in long)
+
+
+def test_repeated_rows_and_one_document(documents):
+    rows = [(1, "a b c d e f g h"), (1, "a b c d e f g h")]
+    found = syncmers.compared(documents(rows)).collect()
+    assert len(found) == 2 and found[0] == found[1] and found[0]["near_next"] == 1.0
+
+
+def test_odd_rows(odd, none):
+    found = syncmers.compared(odd).collect()
+    assert len(found) == len(ODD)
+    prints = {}
+    texts = {}
+    for i, t in ODD:
+        texts.setdefault(i, set()).add(t or "")
+    for row in found:
+        if len(texts[row["doc_id"]]) == 1:
+            prints.setdefault(min(texts[row["doc_id"]]), set()).add(row["fingerprint"])
+    assert all(len(p) == 1 for p in prints.values())
+    assert syncmers.compared(none).collect() == []
+
+
+def test_anchors_do_not_depend_on_context(documents):
+    rng = random.Random(5)
+    passage = [f"p{rng.randrange(900)}" for _ in range(80)]
+    other = [f"q{k}" for k in range(37)]
+    rows = syncmers.anchors(documents([(1, " ".join(passage)), (2, " ".join(other + passage))]))
+    by = {}
+    for row in rows.collect():
+        by.setdefault(row["doc_id"], {})[row["position"]] = row["hash"]
+    inside = {p - 37: h for p, h in by[2].items() if p >= 37}
+    assert inside == by[1]
+
+
+def test_anchor_rule(spark):
+    frame = spark.range(1).select(F.array(*map(F.lit, [5, 1, 7, 3, 9, 2])).cast("array<bigint>").alias("h"))
+    found = frame.select(syncmers._positions(F.col("h"))).first()[0]
+    h = [5, 1, 7, 3, 9, 2]
+    assert found == [i for i in range(4) if min(h[i:i + 3]) in (h[i], h[i + 2])]
