@@ -73,7 +73,8 @@ def fingerprints(docs, id_column="doc_id", text_column="text"):
 
 
 def _paired(groups):
-    """Links of a spanning forest of each bounded group (array ``fps``)."""
+    """Each fingerprint of a bounded group (array ``fps``) and the first one that
+    links within the group join it to."""
     def run(batch):
         a, b = [], []
         for group in batch["fps"]:
