@@ -35,6 +35,8 @@ _BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _WORD = r"\p{L}{3,}"
 #: Up to so many terms are joined as a copy in every task; more by a shuffle.
 COPIED_TERMS = 20_000
+#: Common words are ruled out by this part of the contexts, dealt by hash.
+BOUNDED_BY = 16
 
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 
@@ -134,21 +136,35 @@ def disclosing_terms(texts, lines, values, support=3, generalise=0.8):
         often.select("kind", "value", "n_value", F.explode(_words(F.col("text"))).alias("term"))
         .groupBy("kind", "value", "n_value", "term").agg(F.count("*").alias("n_both"))
         .where(F.col("n_both") >= support), "terms-beside-values")
-    terms = together.select("term").distinct()
-    few = terms.count() <= COPIED_TERMS
-    # The same words, and all contexts, over the whole corpus.
     contexts = texts.select(F.explode(F.split("text", "\n")).alias("text"))
     total = contexts.agg(F.count_distinct(F.xxhash64("text"))).first()[0]
-    of_term = contexts.select(
-        F.xxhash64("text").alias("context"), F.explode(_words(F.col("text"))).alias("term")).join(
-        F.broadcast(terms) if few else terms, "term", "left_semi").distinct().groupBy(
-        "term").agg(F.count("*").alias("n_term"))
+    # In more lines than this a word discloses too little about any of its values.
+    most = F.col("n_both") * F.pow(total / F.col("n_value"), F.lit(1 - generalise))
+    terms = settle(together.where(F.col("n_value") < total).groupBy("term").agg(
+        F.max(most).alias("most")), "terms")
+    # Common words are known by a part of the contexts, a lower bound; the others
+    # are counted over all of them.
+    part = _lines_with(
+        contexts.where(F.pmod(F.xxhash64("text"), F.lit(BOUNDED_BY)) == 0), terms)
+    rare = settle(terms.join(part, "term", "left").where(
+        F.coalesce("n_term", F.lit(0)) <= F.col("most") * 1.001).select("term"), "rare-terms")
+    of_term = _lines_with(contexts, rare)
     share = (F.log(F.col("n_both") * total) - F.log(F.col("n_value") * F.col("n_term"))) / F.log(
         total / F.col("n_value"))
     return together.join(of_term, "term").where(F.col("n_value") < total).select(
         "kind", "value", "term", share.alias("share")).where(F.col("share") >= generalise)
 
 
+def _lines_with(contexts, terms):
+    """term, n_term: the number of distinct contexts that hold each of the terms."""
+    wanted = terms.select("term")
+    few = wanted.count() <= COPIED_TERMS
+    return contexts.select(
+        F.xxhash64("text").alias("context"), F.explode(_words(F.col("text"))).alias("term")).join(
+        F.broadcast(wanted) if few else wanted, "term", "left_semi").distinct().groupBy(
+        "term").agg(F.count("*").alias("n_term"))
+
+
 def term_spans(lines, values, disclosing, remove=0.95):
     """a, b, line, kind, begin, end, term of disclosing words in the lines of their values."""
     wanted = values.select("a", "b", "line", "kind", "value").distinct().join(
@@ -181,9 +197,9 @@ def spans(docs, id_column="doc_id", text_column="text", support=3, generalise=0.
     order = F.array(*map(F.lit, KINDS))
     span = F.struct("begin", F.array_position(order, F.col("kind")).alias("place"), "end", "kind")
     is_term = F.col("kind").isin("term", "reveal")
-    found = values.drop("value").unionByName(terms.drop("term")).groupBy("a", "b").agg(
+    found = settle(values.drop("value").unionByName(terms.drop("term")).groupBy("a", "b").agg(
         F.array_sort(F.collect_set(F.when(~is_term, span))).alias("base"),
-        F.array_sort(F.collect_set(F.when(is_term, span))).alias("terms"))
+        F.array_sort(F.collect_set(F.when(is_term, span))).alias("terms")), "spans")
     none = F.array().cast("array<struct<begin:int,place:bigint,end:int,kind:string>>")
     return texts.select("doc_id", "key.a", "key.b").join(found, ["a", "b"], "left").select(
         "doc_id", F.coalesce("base", none).alias("base"), F.coalesce("terms", none).alias("terms"))
