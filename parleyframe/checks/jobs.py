@@ -1,19 +1,19 @@
 """Whole jobs with stand-in models."""
 
-from dataclasses import replace
+from pyspark.sql import functions as F
 
-from parleyframe.checks.inputs import BLOCK, RATE, STEREO
+from parleyframe.checks.inputs import BLOCK, MONO, RATE, STEREO
 from parleyframe.checks.registry import check
 from parleyframe.checks.scans import fresh_folder
 from parleyframe.checks.speakers import flags_sql, merged_sql
-from parleyframe.checks.stand_ins import DETECTOR, EMBEDDER, NAMER, PEOPLE, SPEECH
+from parleyframe.checks.stand_ins import (
+    DETECTOR, NAMER, PEOPLE, QUIET, RETRY_NOTE, SPEECH, VOICE)
 from parleyframe.checks.timeline import ASSIGNED
 from parleyframe.operators import evidence
 from parleyframe.plans import jobs
 from parleyframe.schemas import Settings
-from parleyframe.sources.rttm import read_rttm, write_rttm
-from parleyframe.sources.segments import (
-    SEGMENT_FIELDS, read_transcript, read_utterances, write_segments)
+from parleyframe.sources.rttm import write_rttm
+from parleyframe.sources.segments import SEGMENT_FIELDS, read_utterances, write_segments
 from parleyframe.sources.tables import settle
 
 # ------------------------------------------------------------------ transcribe
@@ -25,13 +25,16 @@ SELECT episode_id, block * {BLOCK} + i AS nth, avg(x) AS x FROM (
 GROUP BY episode_id, block * {BLOCK} + i)"""
 
 
+# Whatever the windows, the answer is that for the whole recording.
 @check(f"""
-SELECT episode_id, CAST(sec // 30 * 4294967296 + sec % 30 AS BIGINT) AS pos,
-       CAST(sec AS DOUBLE) AS start, sec + 1e0 AS "end", CAST(n AS STRING) AS text
+SELECT seconds, episode_id, CAST(sec AS DOUBLE) AS start, sec + 1e0 AS "end", CAST(n AS STRING) AS text
 FROM (SELECT episode_id, nth // {RATE} AS sec, count(*) FILTER (WHERE CAST(x AS FLOAT) > 0) AS n
-      FROM {MIXED} m GROUP BY episode_id, nth // {RATE}) t""")
+      FROM {MIXED} m GROUP BY episode_id, nth // {RATE}) t, (VALUES (30), (14)) w(seconds)""")
 def job_transcribe(inputs):
-    return jobs.transcribe(inputs.stereo, SPEECH, BLOCK, window_minutes=0.5)
+    def by(seconds):
+        return jobs.transcribe(inputs.stereo, SPEECH, BLOCK, window_minutes=seconds / 60,
+                               overlap_seconds=4).withColumn("seconds", F.lit(seconds)).drop("pos")
+    return by(30).unionByName(by(14))
 
 
 @check(f"""
@@ -51,10 +54,42 @@ def job_transcribe_clip(inputs):
 DIARIZE = Settings(chunk_minutes=40 / 60, overlap_seconds=8)
 
 
-@check()
+# A voice is the loudest sample of four seconds, modulo 3; voices are numbered by
+# their first turn in the first window, and one that is new later sounds like
+# the first (all are equally far away).
+VOICES = f"""(
+SELECT episode_id, block, (list_position(samples, list_max(samples)) - 1) % 3 AS voice FROM {{mono}} m)"""
+
+
+def diarized(mono):
+    heard = VOICES.format(mono=mono)
+    return f"""(
+SELECT h.episode_id, block * 4e0 AS t_start, block * 4e0 + 4 AS t_end,
+       printf('SPEAKER_%02d', CAST(coalesce(n, 0) AS INT)) AS speaker
+FROM {heard} h LEFT JOIN (
+  SELECT episode_id, voice, row_number() OVER (PARTITION BY episode_id ORDER BY min(block)) - 1 AS n
+  FROM {heard} f WHERE block < 10 GROUP BY episode_id, voice) k
+ON h.episode_id = k.episode_id AND h.voice = k.voice)"""
+
+
+@check(f"""SELECT episode_id, t_start AS start, t_end AS "end", speaker FROM {diarized(MONO)} d""")
 def job_diarize(inputs):
     path = fresh_folder(inputs.spark, "voices")
-    return jobs.diarize(inputs.mono, DETECTOR, EMBEDDER, BLOCK, DIARIZE, path).drop("line_no")
+    return jobs.diarize(inputs.mono, DETECTOR, VOICE, BLOCK, DIARIZE, path).drop("line_no")
+
+
+# Channels count from 1 and the first window is silent: turns stay, unnamed.
+@check(f"""
+SELECT episode_id, (block + 10) * 4e0 AS start, (block + 10) * 4e0 + 4 AS "end",
+       'UNKNOWN' AS speaker FROM {MONO} m""")
+def job_diarize_late(inputs):
+    block = F.explode(F.when(F.col("block") > 0, F.array("block")).otherwise(
+        F.sequence(F.lit(-10).cast("long"), F.lit(0).cast("long"))))
+    late = inputs.mono.withColumn("b", block).select(
+        "episode_id", F.lit(1).alias("channel"), (F.col("b") + 10).alias("block"), "sample_rate",
+        F.when(F.col("b") < 0, F.transform("samples", lambda x: F.lit(0.0).cast("float")))
+        .otherwise(F.col("samples")).alias("samples"))
+    return jobs.diarize(late, QUIET, VOICE, BLOCK, DIARIZE).drop("line_no")
 
 
 # ------------------------------------------------------------------ assign
@@ -69,20 +104,19 @@ def job_assign(inputs):
         fresh_folder(spark, name) for name in ("segments", "turns", "diarized"))
     write_segments(inputs.transcript, segments, SEGMENT_FIELDS)
     write_rttm(inputs.voiced, turns, order=["line_no"])
-    transcript = read_transcript(spark, segments, layout="records")
-    result = jobs.assign(transcript, read_rttm(spark, turns, episodes="line"), strict=True)
-    write_segments(result, output)
-    return read_utterances(spark, output, layout="records")
+    jobs.assign_files(spark, segments, turns, output)
+    return read_utterances(spark, output)
 
 
 # ------------------------------------------------------------------ infer names
 
-EVIDENCE = f"""(
+def evidence_sql(assigned):
+    return f"""(
 SELECT episode_id, speaker AS speaker_id, count(*) AS n,
        CASE WHEN regexp_matches(right(speaker, 1), '[0-9]') THEN CAST(right(speaker, 1) AS INT)
             ELSE 9 END AS s,
        row_number() OVER (PARTITION BY episode_id ORDER BY min((t_start, pos))) AS spot
-FROM {ASSIGNED} a GROUP BY episode_id, speaker)"""
+FROM {assigned} a GROUP BY episode_id, speaker)"""
 
 
 def replies(evidence_sql, retry):
@@ -99,8 +133,9 @@ SELECT DISTINCT episode_id, CAST({retry + 1} AS INT), 1000000, 'SPEAKER_99', 'Ze
 FROM {evidence_sql} f)"""
 
 
-INFER = f"""
-WITH evidence AS {EVIDENCE},
+def infer_sql(assigned):
+    return f"""
+WITH evidence AS {evidence_sql(assigned)},
 round1 AS {replies('evidence', 0)},
 flags AS {flags_sql('round1')},
 merged1 AS {merged_sql('round1')},
@@ -116,20 +151,27 @@ names AS (
   FROM {merged_sql('both_rounds')} m)"""
 
 
-@check(f"""{INFER}
-SELECT a.episode_id, pos, t_start AS start, t_end AS "end", speaker, text,
+INFER = infer_sql(ASSIGNED)
+
+LABELLED = """
+SELECT a.episode_id, {pos} t_start AS start, t_end AS "end", speaker, text,
        coalesce(proposed_name, 'UNKNOWN') AS speaker_name, coalesce(confidence, 0e0) AS confidence,
        coalesce(justification, '') AS justification
-FROM {ASSIGNED} a LEFT JOIN names n ON a.episode_id = n.episode_id AND a.speaker = n.speaker_id""")
+FROM {assigned} a LEFT JOIN names n ON a.episode_id = n.episode_id AND a.speaker = n.speaker_id"""
+
+
+@check(INFER + LABELLED.format(pos="pos,", assigned=ASSIGNED))
 def job_infer_names(inputs):
     utterances = settle(jobs.assign(inputs.transcript, inputs.voiced), "utterances")
-    return jobs.infer_names(utterances, inputs.episodes, NAMER, PEOPLE, ["Zoë"]).labelled
+    return jobs.infer_names(
+        utterances, inputs.episodes, NAMER, PEOPLE, ["Zoë"], retry_note=RETRY_NOTE).labelled
 
 
 @check(f"""{INFER} SELECT * FROM names""")
 def job_infer_assignments(inputs):
     utterances = settle(jobs.assign(inputs.transcript, inputs.voiced), "utterances")
-    return jobs.infer_names(utterances, inputs.episodes, NAMER).assignments.drop(
+    return jobs.infer_names(
+        utterances, inputs.episodes, NAMER, retry_note=RETRY_NOTE).assignments.drop(
         "first_pass", "first_pos")
 
 
@@ -142,9 +184,18 @@ def inference_cycle(inputs):
     ).drop("pass", "pos")
 
 
-@check()
+# Each second of speech belongs to the voice of its four seconds.
+SECONDS = f"""(
+SELECT m.episode_id, sec AS pos, CAST(sec AS DOUBLE) AS t_start, sec + 1e0 AS t_end,
+       CAST(n AS STRING) AS text, speaker
+FROM (SELECT episode_id, block * 4 + i // {RATE} AS sec, count(*) FILTER (WHERE x > 0) AS n
+      FROM (SELECT episode_id, block, unnest(generate_series(0, len(samples) - 1)) AS i,
+                   unnest(samples) AS x FROM {MONO} u) v GROUP BY episode_id, block * 4 + i // {RATE}) m
+JOIN {diarized(MONO)} d ON m.episode_id = d.episode_id AND sec >= d.t_start AND sec < d.t_end)"""
+
+
+@check(infer_sql(SECONDS) + LABELLED.format(pos="", assigned=SECONDS))
 def job_corpus(inputs):
-    settings = replace(DIARIZE, num_speakers=4)
     return jobs.process_corpus(
-        inputs.mono, inputs.episodes, SPEECH, DETECTOR, EMBEDDER, NAMER, BLOCK,
-        settings=settings, window_minutes=0.5).labelled
+        inputs.mono, inputs.episodes, SPEECH, DETECTOR, VOICE, NAMER, BLOCK, settings=DIARIZE,
+        window_minutes=0.5, overlap_seconds=4, retry_note=RETRY_NOTE).labelled.drop("pos")

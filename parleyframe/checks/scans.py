@@ -1,6 +1,5 @@
 """Readers, writers and scalar functions."""
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -13,12 +12,12 @@ from parleyframe.operators.chunks import chunk_file
 from parleyframe.sources.rttm import parse_rttm, rttm_line
 from parleyframe.sources.segments import (
     DIARIZED_FIELDS, SEGMENT_FIELDS, as_transcript, as_utterances, parse_arrays, parse_objects,
-    segment_json)
-from parleyframe.sources.tables import load_reference, save_reference, working_folder
+    read_transcript, segment_json, write_segments)
+from parleyframe.sources.tables import load_reference, run_folder, save_reference
 
 
 def fresh_folder(spark, name):
-    return f"{working_folder(spark).rstrip('/')}/parleyframe/{name}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{name}"
 
 
 # Each document is one transcript file: a JSON array with a segment per line of
@@ -109,11 +108,33 @@ def cluster_state_roundtrip(inputs):
 
 
 @check(f"""
-SELECT episode_id, CAST(sum(len(samples)) AS BIGINT) AS num_frames, 16 AS sample_rate,
-       sum(len(samples)) / 16.0e0 AS seconds
-FROM {STEREO} s WHERE channel = 0 GROUP BY episode_id""", name="audio_duration")
+SELECT episode_id, CAST(max(n) AS BIGINT) AS num_frames, 16 AS sample_rate,
+       max(n) / 16.0e0 AS seconds
+FROM (SELECT episode_id, channel, sum(len(samples)) AS n FROM {STEREO} s
+      WHERE channel = 1 OR block < 40 GROUP BY episode_id, channel) c
+GROUP BY episode_id""", name="audio_duration")
 def duration_per_episode(inputs):
-    return audio_duration(inputs.stereo)
+    # Channels count from 1, and one is shorter.
+    uneven = inputs.stereo.where("channel = 1 OR block < 40")
+    return audio_duration(uneven.withColumn("channel", F.col("channel") + 1))
+
+
+# Arrays of many episodes, each over several part files, are read back as lines.
+@check(f"""
+SELECT episode_id, pos, t_start AS start, t_end AS "end", text FROM {SPOKEN} s""")
+def array_roundtrip(inputs):
+    path = fresh_folder(inputs.spark, "arrays")
+    spark, kept = inputs.spark, inputs.spark.conf.get("spark.sql.files.maxRecordsPerFile")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 3)
+    try:
+        write_segments(inputs.transcript, path, SEGMENT_FIELDS, "array")
+    finally:
+        spark.conf.set("spark.sql.files.maxRecordsPerFile", kept)
+    read = read_transcript(spark, path, layout="array", partitioned=True)
+    # Lines count from the opening bracket; turns are not always numbered without gaps.
+    ranks = inputs.transcript.select("episode_id", "start", "end", "text", F.col("pos"))
+    return read.drop("pos").join(ranks, ["episode_id", "start", "end", "text"]).select(
+        "episode_id", "pos", "start", "end", "text")
 
 
 CHUNK_MINUTES, OVERLAP_SECONDS = 0.5, 4.5

@@ -6,7 +6,7 @@ from parleyframe.checks.inputs import EPISODES, PROPOSED, SPACE_PATTERN, SPACES_
 from parleyframe.checks.registry import check
 from parleyframe.checks.stand_ins import PEOPLE
 from parleyframe.functions import text
-from parleyframe.functions.prompts import INSTRUCTIONS
+from parleyframe.functions.prompts import ANSWER_FORMAT
 from parleyframe.operators import evidence, models, naming, prompting, roster
 from parleyframe.operators.voices import count_speakers as count
 from parleyframe.plans.jobs import contexts
@@ -21,7 +21,9 @@ FROM {SPOKEN} s GROUP BY episode_id, role)"""
 
 
 def quotes_sql(n, m):
-    """Head and tail rows per speaker (part, start, pos, text) of the spoken table."""
+    """Head and tail rows per speaker (part, start, pos, text) of the spoken table;
+    no ``m``: all rows."""
+    tail = f"WHERE rn <= {m}" if m else ""
     return f"""(
 SELECT episode_id, role AS speaker, 0 AS part, t_start, pos, text FROM (
   SELECT *, row_number() OVER (PARTITION BY episode_id, role ORDER BY t_start, pos) AS rn
@@ -29,7 +31,7 @@ SELECT episode_id, role AS speaker, 0 AS part, t_start, pos, text FROM (
 UNION ALL
 SELECT episode_id, role, 1, t_start, pos, text FROM (
   SELECT *, row_number() OVER (PARTITION BY episode_id, role ORDER BY t_start DESC, pos DESC) AS rn
-  FROM {SPOKEN} s) b WHERE rn <= {m})"""
+  FROM {SPOKEN} s) b {tail})"""
 
 
 def quotes_joined(n, m, before="", after="", between=" | "):
@@ -60,11 +62,20 @@ def sample_quotes(inputs):
 # The last sample of size 0 is the whole list.
 @check(f"""
 SELECT episode_id, speaker, part, t_start AS start, pos, text
-FROM {quotes_sql(1, 1_000_000_000)} q""")
+FROM {quotes_sql(1, None)} q""")
 def sample_quotes_all(inputs):
     return evidence.quote_rows(inputs.utterances, 1, 0)
 
 
+# Samples of size 0 as arrays: no first texts, and every text as the last.
+@check(f"""
+SELECT episode_id, speaker, string_agg(text, ' | ' ORDER BY part, t_start, pos) AS quotes
+FROM {quotes_sql(0, None)} q GROUP BY episode_id, speaker""")
+def sample_quotes_array(inputs):
+    return evidence.sample_quotes(inputs.utterances, 0, 0).select(
+        "episode_id", "speaker", F.array_join("sample_quotes", " | ").alias("quotes"))
+
+
 @check(f"""
 SELECT episode_id, count(DISTINCT role) AS n_speakers, CAST(count(DISTINCT role) AS INT)
          AS num_speakers FROM {SPOKEN} s GROUP BY episode_id""")
@@ -146,8 +157,8 @@ FROM {EPISODES} e)"""
 
 
 @check(f"""
-SELECT b.episode_id, CAST(0 AS BIGINT) AS prompt_no,
-       '{INSTRUCTIONS}' || chr(10) || 'Episode Context:' || chr(10)
+SELECT b.episode_id,
+       '{ANSWER_FORMAT}' || chr(10) || 'Episode Context:' || chr(10)
        || coalesce(any_value(context), '') || chr(10) || chr(10) || 'Candidate Names: '
        || coalesce(any_value(names), 'Unknown') || chr(10) || chr(10)
        || 'Speaker Evidence:' || chr(10)
@@ -184,17 +195,17 @@ def flags_sql(proposals):
     return f"""(
 WITH o AS (
   SELECT *, upper(proposed_name) = 'UNKNOWN' AS unk,
-         first_value(speaker_id) OVER (PARTITION BY episode_id, lower(proposed_name) ORDER BY pos)
+         first_value(speaker_id) OVER (PARTITION BY episode_id, pass, lower(proposed_name) ORDER BY pos)
            AS owner
   FROM {proposals} p),
 ev AS (
-  SELECT episode_id, speaker_id, pos, CASE WHEN unk THEN confidence <= 0.8
+  SELECT episode_id, pass, speaker_id, pos, CASE WHEN unk THEN confidence <= 0.8
          WHEN owner <> speaker_id THEN false END AS v FROM o
   UNION ALL
-  SELECT episode_id, owner, pos, false FROM o WHERE NOT unk AND owner <> speaker_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY episode_id, speaker_id
+  SELECT episode_id, pass, owner, pos, false FROM o WHERE NOT unk AND owner <> speaker_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY episode_id, pass, speaker_id
              ORDER BY CASE WHEN v IS NULL THEN 1 ELSE 0 END, pos DESC) AS rn FROM ev)
-SELECT episode_id, speaker_id, coalesce(v, true) AS consistent FROM r WHERE rn = 1)"""
+SELECT episode_id, pass, speaker_id, coalesce(v, true) AS consistent FROM r WHERE rn = 1)"""
 
 
 def merged_sql(proposals):
@@ -209,9 +220,9 @@ SELECT episode_id, speaker_id, proposed_name, confidence, justification FROM (
 FIRST_PASS = f"(SELECT * FROM {PROPOSED} f WHERE pass = 1)"
 
 
-@check(f"SELECT episode_id, 1 AS pass, speaker_id, consistent FROM {flags_sql(FIRST_PASS)} f")
+@check(f"SELECT * FROM {flags_sql(PROPOSED)} f")
 def critic_flags(inputs):
-    return naming.conflict_flags(inputs.proposed.where("pass = 1"))
+    return naming.conflict_flags(inputs.proposed)
 
 
 @check(f"SELECT * FROM {merged_sql(PROPOSED)} m")
@@ -266,13 +277,13 @@ def label_transcript(inputs):
 # An answer per proposal: an array with one good, one alien and one bare element;
 # answers about Eve are fenced, which makes them invalid.
 @check(f"""
-SELECT episode_id, pass, CAST(line * 4294967296 + k AS BIGINT) AS pos, speaker_id, proposed_name,
-       confidence, justification
+SELECT concat(episode_id, '/', CAST(line AS STRING)) AS episode_id, pass, CAST(k AS BIGINT) AS pos,
+       speaker_id, proposed_name, confidence, justification
 FROM (
-  SELECT episode_id, pass, pos AS line, 0 AS k, speaker_id, proposed_name, confidence, justification
+  SELECT episode_id, pass, pos AS line, 1 AS k, speaker_id, proposed_name, confidence, justification
   FROM {PROPOSED} p WHERE proposed_name <> 'Eve'
   UNION ALL
-  SELECT episode_id, pass, pos, 1, 'None', 'UNKNOWN', 0.4e0, '' FROM {PROPOSED} q
+  SELECT episode_id, pass, pos, 2, 'None', 'UNKNOWN', 0.4e0, '' FROM {PROPOSED} q
   WHERE proposed_name <> 'Eve') x""")
 def parse_assignments(inputs):
     p = inputs.proposed
@@ -283,4 +294,5 @@ def parse_assignments(inputs):
     fenced = F.concat(F.lit("```json"), array, F.lit("```"))
     answer = F.when(F.col("proposed_name") == "Eve", fenced).otherwise(array)
     return models.parse_proposals(p.select(
-        "episode_id", "pass", F.col("pos").alias("prompt_no"), answer.alias("response")))
+        F.concat_ws("/", "episode_id", "pos").alias("episode_id"), "pass",
+        answer.alias("response")))

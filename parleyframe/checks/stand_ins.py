@@ -5,9 +5,9 @@ import re
 
 import numpy as np
 
-from parleyframe.functions.prompts import RETRY_NOTE
 from parleyframe.operators.models import Model
 
+RETRY_NOTE = "\n(asked again)"
 NAMES = ("Ann", "ann", "Bob", "unknown", "Eve", "UNKNOWN")
 EVIDENCE = re.compile(r"^Speaker: (.*)\ntotal_duration_sec: .*\nturn_count: (\d+)$", re.M)
 SPAN_SECONDS = 4
@@ -33,12 +33,29 @@ def _load_detector():
     return detect
 
 
+def _load_quiet():
+    def detect(samples, rate, num_speakers):
+        """The same, but silence has no turns."""
+        return [t for t in _load_detector()(samples, rate, num_speakers)
+                if samples[int(t[0] * rate):int(t[1] * rate)].any()]
+    return detect
+
+
 def _load_embedder():
     def embed(samples, rate):
         return np.asarray(samples)
     return embed
 
 
+def _load_voice():
+    def voice(samples, rate):
+        """A vector that points along one of three axes, by the loudest sample."""
+        vector = np.zeros(3)
+        vector[int(np.argmax(samples)) % 3] = 1 + len(samples) % 7
+        return vector
+    return voice
+
+
 def _load_namer():
     def reply(prompt):
         """Names and confidences by turn count and speaker number; some speakers
@@ -74,7 +91,9 @@ def _load_echo():
 
 SPEECH = Model("stand-in speech", _load_speech)
 DETECTOR = Model("stand-in detector", _load_detector)
+QUIET = Model("stand-in detector of sound", _load_quiet)
 EMBEDDER = Model("stand-in embedder", _load_embedder)
+VOICE = Model("stand-in voice", _load_voice)
 NAMER = Model("stand-in namer", _load_namer)
 PEOPLE = Model("stand-in people", _load_people)
 ECHO = Model("stand-in echo", _load_echo)

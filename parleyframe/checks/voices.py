@@ -38,10 +38,18 @@ def assign_centroid(inputs):
         "episode_id", "chunk_idx", "turn_pos", "label", F.round("distance", 6).alias("distance"))
 
 
-# Clusters of the reference windows.  No SQL: tested against brute force.
-@check()
+# Vectors point along one axis per label, so the clusters are the labels, numbered
+# by first turn.
+@check(f"""
+SELECT episode_id, turn_pos, CAST(dense_rank() OVER (PARTITION BY episode_id ORDER BY first) - 1
+       AS INT) AS label
+FROM (SELECT *, min(turn_pos) OVER (PARTITION BY episode_id, label) AS first
+      FROM {EMBEDDED} e WHERE chunk_idx = 0) x""")
 def cluster_speakers(inputs):
-    reference = inputs.embedded.where("chunk_idx = 0")
+    length = (1 + F.col("turn_pos") % 5).cast("float")
+    axes = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.when(
+        i == F.col("label"), length).otherwise(F.lit(0.0).cast("float")))
+    reference = inputs.embedded.where("chunk_idx = 0").withColumn("embedding", axes)
     targets = voices.target_speakers(voices.count_speakers(reference, "label"))
     return voices.cluster_speakers(
         reference.select("episode_id", "turn_pos", "embedding"), targets

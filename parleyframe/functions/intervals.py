@@ -1,5 +1,7 @@
 """Expressions over (start, end) pairs in seconds."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 
@@ -17,26 +19,34 @@ def proper(start, end):
     return (start < end) & ~F.isnan(start) & ~F.isnan(end)
 
 
-def pad_to(start, end, shortest, whole):
-    """Grow an interval to ``shortest`` seconds inside ``[0, whole]``.
+def padded(start, end, shortest, whole):
+    """Intervals (arrays) grown to ``shortest`` seconds inside ``[0, whole]``.
 
-    Returns a struct (start, end).  An interval that is long enough is left
-    alone.  A short one is centred; if a bound of the recording cuts it, the
-    other side takes the rest.  When both sides are cut, the start decides.
+    An interval that is long enough is left alone.  A short one is centred; if a
+    bound of the recording cuts it, the other side takes the rest.  When both
+    sides are cut, the start decides.
     """
-    shortest, whole = F.lit(float(shortest)), whole.cast("double")
-    zero = F.lit(0.0)
-    middle = F.lit(0.5) * (start + end)
-    low = F.greatest(zero, middle - shortest / 2.0)
-    high = F.least(whole, middle + shortest / 2.0)
+    middle = 0.5 * (start + end)
+    low = np.maximum(0.0, middle - shortest / 2.0)
+    high = np.minimum(whole, middle + shortest / 2.0)
     missing = (shortest - (high - low)) / 2.0
+    cases = [end - start >= shortest, high - low >= shortest, low == 0.0, high == whole]
+    return (
+        np.select(cases, [start, low, low, np.maximum(0.0, whole - shortest)],
+                  np.maximum(0.0, low - missing)),
+        np.select(cases, [end, high, np.minimum(whole, shortest), high],
+                  np.minimum(whole, high + missing)))
 
-    def pair(a, b):
-        return F.struct(a.alias("start"), b.alias("end"))
 
-    return (
-        F.when(end - start >= shortest, pair(start, end))
-        .when(high - low >= shortest, pair(low, high))
-        .when(low == 0.0, pair(low, F.least(whole, shortest)))
-        .when(high == whole, pair(F.greatest(zero, whole - shortest), high))
-        .otherwise(pair(F.greatest(zero, low - missing), F.least(whole, high + missing))))
+def pad_to(start, end, shortest, whole):
+    """``padded`` for columns: a struct (start, end)."""
+    shortest = float(shortest)
+
+    @F.pandas_udf("start double, end double")
+    def pad(starts: pd.Series, ends: pd.Series, wholes: pd.Series) -> pd.DataFrame:
+        low, high = padded(
+            *(x.to_numpy(dtype="float64") for x in (starts, ends)), shortest,
+            wholes.to_numpy(dtype="float64"))
+        return pd.DataFrame({"start": low, "end": high})
+
+    return pad(start.cast("double"), end.cast("double"), whole.cast("double"))

@@ -4,16 +4,11 @@ from pyspark.sql import functions as F
 
 from parleyframe.functions.text import fixed, limit_words, strip
 
-INSTRUCTIONS = (
-    "Work out who is speaking. The transcript below was split by voice, and each voice "
-    "has only a code.\n"
-    "Match codes to people, using what is said, the episode details and the candidate names.\n"
-    "Answer with nothing but a JSON array. Give one object per speaker code with the keys "
-    "speaker_id, proposed_name, confidence (a number from 0 to 1) and justification.\n"
-    "When the evidence does not settle a name, answer \"UNKNOWN\" with a confidence of at "
-    "most 0.3.\n"
-)
-RETRY_NOTE = "\nThe speakers below are those still in doubt; consider only them."
+# What an answer must look like to be read; everything else is the caller's wording.
+ANSWER_FORMAT = (
+    "Reply with a JSON array of objects: speaker_id, proposed_name (or \"UNKNOWN\"), "
+    "confidence from 0 to 1, justification.\n")
+SECOND_ROUND = "\nSecond round."
 
 # The layouts below are fixed values: labels, their order, and line breaks.
 
@@ -36,10 +31,10 @@ def context_summary(name, description, most_words):
         F.lit("\nDescription: "), limit_words(strip(description), most_words))
 
 
-def naming_prompt(blocks, names, context):
+def naming_prompt(blocks, names, context, instructions=ANSWER_FORMAT):
     """Instructions, episode context, candidate names and all evidence blocks."""
     candidates = F.when(F.size(names) > 0, F.array_join(names, ", ")).otherwise("Unknown")
     return F.concat(
-        F.lit(INSTRUCTIONS + "\nEpisode Context:\n"), context,
+        F.lit(instructions + "\nEpisode Context:\n"), context,
         F.lit("\n\nCandidate Names: "), candidates,
         F.lit("\n\nSpeaker Evidence:\n"), F.array_join(blocks, "\n\n"), F.lit("\n"))

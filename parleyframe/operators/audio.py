@@ -13,14 +13,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from parleyframe.operators.chunks import _grid
+from parleyframe.operators.chunks import _grid, window_indexes
 
 
 def audio_duration(pcm):
-    """(episode_id, num_frames, sample_rate, seconds) from the first channel."""
+    """(episode_id, num_frames, sample_rate, seconds) of the longest channel."""
     frames = F.col("n_samples") if "n_samples" in pcm.columns else F.size("samples")
-    catalog = pcm.where(F.col("channel") == 0).groupBy("episode_id").agg(
-        F.sum(frames).alias("num_frames"), F.max("sample_rate").alias("sample_rate"))
+    catalog = pcm.groupBy("episode_id", "channel").agg(
+        F.sum(frames).alias("n"), F.max("sample_rate").alias("rate")
+    ).groupBy("episode_id").agg(
+        F.max("n").alias("num_frames"), F.max("rate").alias("sample_rate"))
     return file_durations(catalog)
 
 
@@ -62,15 +64,25 @@ def clip_pcm(pcm, start_sec, duration_sec, block_samples, sample_rate=None):
         .drop("_skip", "_keep"))
 
 
+def mixed(slices):
+    """One array from (first sample, samples) slices of any channels: every
+    sample is the mean over the channels that have it."""
+    total = np.zeros(max((first + len(x) for first, x in slices), default=0))
+    seen = np.zeros(len(total))
+    for first, x in slices:
+        total[first:first + len(x)] += x
+        seen[first:first + len(x)] += 1
+    return (total / np.maximum(seen, 1)).astype("float32")
+
+
 def _mean_of_channels(blocks: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in blocks:
-        yield pd.Series([
-            np.mean(np.stack(list(channels)), axis=0, dtype="float64").astype("float32")
-            for channels in batch])
+        yield pd.Series([mixed([(0, x) for x in channels]) for channels in batch])
 
 
 def mixdown_pcm(pcm):
-    """Mean over channels, block by block; a single channel passes unchanged.
+    """Mean over channels, block by block, by the rule windows are mixed with; a
+    single channel passes unchanged.
 
     A group is the channels of one block, which an audio file's header bounds.
     """
@@ -101,14 +113,14 @@ def chunk_audio(pcm, block_samples, chunk_minutes=10, overlap_seconds=30):
              else F.col("block") * block_samples)
     end = begin + F.size("samples")
     per_ms = F.col("sample_rate") / 1000.0
-    first = F.greatest(F.lit(0), F.floor((F.floor(begin / per_ms) - length_ms) / step_ms))
-    last = F.floor(F.ceil(end / per_ms) / step_ms)
+    until = F.ceil(end / per_ms)
+    indexes = window_indexes(F.floor(begin / per_ms), until, until, length_ms, step_ms)
     low, high = samples_of(F.col("idx") * step_ms), samples_of(F.col("idx") * step_ms + length_ms)
     skip = F.greatest(F.lit(0), low - begin)
     keep = F.least(end, high) - begin - skip
     return (
         pcm.where(F.size("samples") > 0)
-        .withColumn("idx", F.explode(F.sequence(first, last)))
+        .withColumn("idx", F.explode(indexes))
         .withColumn("_skip", skip.cast("int")).withColumn("_keep", keep.cast("int"))
         .where(F.col("_keep") > 0)
         .select(

@@ -41,17 +41,15 @@ def quote_rows(utterances, n_start, n_end):
 
 
 def sample_quotes(utterances, n_start=50, n_end=50):
-    """(episode_id, speaker, sample_quotes, first_pos): first and last texts."""
-    if n_start < 1 or n_end < 1:
-        raise ValueError(
-            "as arrays, both samples need at least one row; quote_rows() takes n_end = 0 "
-            "(every row) without gathering a speaker in one place")
+    """(episode_id, speaker, sample_quotes): first and last texts as one array.
+
+    With ``n_end = 0`` the array holds all texts of a speaker.
+    """
     rows = quote_rows(utterances, n_start, n_end)
     return (
         rows.groupBy("episode_id", "speaker")
         .agg(F.array_sort(F.collect_list(F.struct("part", "start", "pos", "text"))).alias("q"))
-        .select("episode_id", "speaker",
-                F.col("q.text").alias("sample_quotes"), F.col("q")[0]["pos"].alias("first_pos")))
+        .select("episode_id", "speaker", F.col("q.text").alias("sample_quotes")))
 
 
 def speaker_stats(utterances):
@@ -59,7 +57,8 @@ def speaker_stats(utterances):
         F.sum(duration(F.col("start"), F.col("end"))).alias("total_duration"),
         F.count("*").alias("total_turns"),
         F.min("start").alias("first_start"),
-        F.max("end").alias("last_end"))
+        F.max("end").alias("last_end"),
+        F.min_by("pos", F.struct("start", "pos")).alias("first_pos"))
 
 
 def speaker_profiles(utterances, n_start=50, n_end=50):

@@ -17,7 +17,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from parleyframe.functions.intervals import padded
+from parleyframe.functions.numbers import parse_float
 from parleyframe.functions.text import strip
+from parleyframe.operators.audio import mixed
+from parleyframe.schemas import UNKNOWN
+from parleyframe.sources.lines import computed_once
 
 LOG = logging.getLogger(__name__)
 POSITIONS_PER_PART = 2 ** 32
@@ -37,33 +42,38 @@ class Model:
 
 
 def _waveform(pieces):
-    """One array from the sample slices of a window (first_sample, samples); it
-    is the mean over channels if the slices name several."""
-    first = pieces["first_sample"].to_numpy()
+    """One array from the sample slices of a window (first_sample, samples)."""
+    first = pieces["first_sample"].to_pylist()
     slices = [
         part.values.to_numpy()[low:high]
         for part in pieces["samples"].chunks
         for low, high in zip(part.offsets.to_numpy()[:-1], part.offsets.to_numpy()[1:])]
-    wave = np.zeros(max(f + len(s) for f, s in zip(first, slices)), dtype="float64")
-    for f, s in zip(first, slices):
-        wave[f:f + len(s)] += s
-    if "channel" in pieces.column_names:
-        wave /= len(pieces["channel"].unique())
-    return wave.astype("float32"), pieces["sample_rate"][0].as_py()
+    return mixed(list(zip(first, slices))), pieces["sample_rate"][0].as_py()
 
 
 # ------------------------------------------------------------------ speech to text
 
-def transcribe_windows(audio, model: Model, step_ms, tick_factor=100.0):
+def transcribe_windows(audio, model: Model, step_ms, tick_factor=100.0, overlap_ms=0):
     """Timed text for window audio (episode_id, idx, first_sample, ...).
 
     The model takes (samples, sample_rate) and returns (t0, t1, text) triples in
-    ticks from the window's start.  Gives transcript rows in episode time;
-    ``pos`` orders by window, then by position in the model's answer.
+    ticks from the window's start.  Where windows overlap, a segment counts in
+    the window whose core holds its midpoint: cores meet in the middle of the
+    overlaps.  Gives transcript rows in episode time; ``pos`` orders by window,
+    then by position in the model's answer.
     """
+    margin, step = overlap_ms / 2000.0, step_ms / 1000.0
+
     def run(pieces: pa.Table) -> pa.Table:
         wave, rate = _waveform(pieces)
-        answer = list(model.get()(wave, rate))
+        low = margin if pieces["idx"][0].as_py() else -np.inf
+        # Nothing is said after the audio's end, whatever the model puts there.
+        last = len(wave) / rate - 1e-9
+        answer = []
+        for a in model.get()(wave, rate):
+            middle = (float(a[0]) + float(a[1])) / (2 * tick_factor)
+            if low <= min(middle, last) < step + margin:
+                answer.append(a)
         n = len(answer)
         return pa.table({
             "episode_id": pa.array([pieces["episode_id"][0].as_py()] * n, pa.string()),
@@ -91,22 +101,6 @@ def normalize_segments(raw, tick_factor=100.0, offset=None):
 
 # ------------------------------------------------------------------ turns and voices
 
-def _padded(start, end, shortest, whole):
-    """Array form of ``functions.intervals.pad_to``, for use next to a model."""
-    middle = 0.5 * (start + end)
-    low = np.maximum(0.0, middle - shortest / 2.0)
-    high = np.minimum(whole, middle + shortest / 2.0)
-    missing = (shortest - (high - low)) / 2.0
-    cases = [end - start >= shortest, high - low >= shortest, low == 0.0, high == whole]
-    low_out = np.select(
-        cases, [start, low, low, np.maximum(0.0, whole - shortest)],
-        np.maximum(0.0, low - missing))
-    high_out = np.select(
-        cases, [end, high, np.minimum(whole, shortest), high],
-        np.minimum(whole, high + missing))
-    return low_out, high_out
-
-
 TURN_COLUMNS = (
     "episode_id string, chunk_idx int, turn_pos long, start double, end double, "
     "local_label string, global_start double")
@@ -126,12 +120,15 @@ def detect_turns(audio, windows, detector: Model, embedder: Model | None = None,
     def run(pieces: pa.Table, window: pa.Table) -> pa.Table:
         turns, vectors = [], []
         about = window.to_pylist()[0] if window.num_rows else {}
-        if pieces.num_rows and about:
+        if pieces.num_rows and not about:
+            raise ValueError(
+                f"audio of {pieces['episode_id'][0]} after its given length: no window holds it")
+        if pieces.num_rows:
             wave, rate = _waveform(pieces)
             turns = list(detector.get()(wave, rate, about["num_speakers"]))
             if embedder is not None and turns:
                 bounds = np.array([(t[0], t[1]) for t in turns], dtype="float64")
-                low, high = _padded(*bounds.T, min_seconds, len(wave) / rate)
+                low, high = padded(*bounds.T, min_seconds, len(wave) / rate)
                 vectors = [
                     np.asarray(embedder.get()(
                         wave[int(round(a * rate)):int(round(b * rate))], rate),
@@ -178,21 +175,22 @@ def embed_turns(turns, embedder: Model):
 
 # ------------------------------------------------------------------ text generation
 
-def http_text_model(url, model, options=None, timeout=120):
-    """Client of a text-generation endpoint: posts model, prompt and options as
-    JSON and returns the ``response`` field, or "" when there is none.  An HTTP
-    error or a timeout fails the task."""
+def http_text_model(name, url, body, answer, timeout=120):
+    """A model behind an HTTP endpoint that speaks JSON.
+
+    ``body(prompt)`` builds what is posted and ``answer(reply)`` picks the text
+    out of what comes back, so any service can be asked.  An HTTP error or a
+    timeout fails the task.  ``name`` tells loaded models apart.
+    """
     def load():
         def ask(prompt):
-            body = {"model": model, "prompt": prompt, "stream": False}
-            if options:
-                body["options"] = options
             request = urllib.request.Request(
-                url, json.dumps(body).encode(), {"Content-Type": "application/json"})
+                url, data=json.dumps(body(prompt)).encode(),
+                headers={"Content-Type": "application/json"})
             with urllib.request.urlopen(request, timeout=timeout) as reply:
-                return json.load(reply).get("response", "")
+                return answer(json.load(reply))
         return ask
-    return Model(f"http:{url}:{model}:{json.dumps(options, sort_keys=True)}", load)
+    return Model(f"http:{name}:{url}", load)
 
 
 def generate(prompts, model: Model, concurrency=None):
@@ -216,31 +214,17 @@ def generate(prompts, model: Model, concurrency=None):
 
 # ------------------------------------------------------------------ person extraction
 
-def person_model(name):
-    """Entities of an installed NLP model; without it, no entities and a warning."""
-    def load():
-        try:
-            import spacy
-            nlp = spacy.load(name)
-        except (ImportError, OSError) as problem:
-            LOG.warning("person extraction is skipped: %s", problem)
-            return None
-        return lambda text: [(e.text, e.label_) for e in nlp(text).ents]
-    return Model(f"person:{name}", load)
-
-
 def with_entities(table, column, model: Model):
     """Add ``entities`` (array of text, label) found in a text column.
 
-    The model takes a text and returns (text, label) pairs; a model that loads
-    as None gives no entities.
+    The model takes a text and returns (text, label) pairs.
     """
     @F.pandas_udf("array<struct<text:string,label:string>>")
     def extract(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         find = model.get()
         for texts in batches:
             yield pd.Series([
-                [] if find is None else [{"text": t, "label": k} for t, k in find(text)]
+                [{"text": t, "label": k} for t, k in find(text)]
                 for text in texts])
 
     return table.withColumn("entities", extract(column))
@@ -248,50 +232,57 @@ def with_entities(table, column, model: Model):
 
 # ------------------------------------------------------------------ model answers
 
-def _read_answer(answer, strict):
-    """Proposals in one answer; anything malformed is skipped on its own."""
+VALUE = "struct<kind:string,text:string>"
+ANSWER = f"struct<kind:string,items:array<map<string,{VALUE}>>>"
+
+
+def _members(answer):
+    """The JSON text's type and, for an array, the members of its objects as typed text."""
     try:
-        data = json.loads(answer.strip())
-    except json.JSONDecodeError as problem:
+        data = json.loads(answer)
+    except ValueError as problem:
         LOG.error("answer is not JSON: %s", problem)
-        return []
-    if not isinstance(data, (list, dict, str)):
-        if strict:
-            raise TypeError(f"answer is not a list: {answer.strip()}")
-        return []
-    found = []
-    for item in data:
-        if not isinstance(item, dict) or "speaker_id" not in item:
-            LOG.warning("skipping malformed proposal %s", item)
-            continue
-        try:
-            confidence = float(item.get("confidence", 0.0))
-        except (TypeError, ValueError) as problem:
-            LOG.warning("skipping malformed proposal %s: %s", item, problem)
-            continue
-        found.append({
-            "speaker_id": str(item["speaker_id"]),
-            "proposed_name": str(item.get("proposed_name", "UNKNOWN")).strip(),
-            # As text, since the way back to Spark would turn NaN into NULL.
-            "confidence": repr(confidence),
-            "justification": str(item.get("justification", "")).strip()})
-    return found
+        return {"kind": None, "items": []}
+    items = [
+        {name: {"kind": type(value).__name__, "text": str(value)} for name, value in item.items()}
+        if isinstance(item, dict) else {} for item in (data if isinstance(data, list) else [])]
+    return {"kind": type(data).__name__, "items": items}
 
 
 def parse_proposals(answers, strict=False):
-    """Rows (episode_id, pass, pos, speaker_id, ...) from (episode_id, pass,
-    prompt_no, response).  ``strict`` fails on an answer that is a bare number,
-    boolean or null; otherwise such an answer has no proposals."""
-    @F.pandas_udf(
-        "array<struct<speaker_id:string,proposed_name:string,"
-        "confidence:string,justification:string>>")
-    def read(texts: pd.Series) -> pd.Series:
-        return pd.Series([_read_answer(t, strict) for t in texts], dtype="object")
+    """Rows (episode_id, pass, pos, speaker_id, ...) from (episode_id, pass, response).
 
-    return (
-        answers.select(
-            "episode_id", "pass", "prompt_no",
-            F.posexplode(read(F.coalesce("response", F.lit("")))).alias("i", "item"))
-        .select("episode_id", "pass",
-                (F.col("prompt_no") * POSITIONS_PER_PART + F.col("i")).alias("pos"), "item.*")
-        .withColumn("confidence", F.col("confidence").cast("double")))
+    Only an answer that is a JSON array holds proposals.  Each object with a
+    speaker_id is one, unless its confidence is not a number; other elements are
+    skipped on their own.  ``strict`` fails on an answer that is a bare number,
+    boolean or null.  Settle the result if it is used more than once.
+    """
+    @F.pandas_udf(ANSWER)
+    def read(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_members(t) for t in texts], columns=["kind", "items"])
+
+    parsed = computed_once(answers.select(
+        "episode_id", "pass",
+        read(strip(F.coalesce("response", F.lit("")))).alias("answer")))
+    if strict:
+        complaint = F.concat(F.lit("answer is not a list, episode "), F.col("episode_id"))
+        bare = F.coalesce(F.col("answer.kind").isin("int", "float", "bool", "NoneType"), F.lit(False))
+        parsed = parsed.where(
+            F.when(bare, F.raise_error(complaint).cast("boolean")).otherwise(F.lit(True)))
+
+    def member(name):
+        return F.col("item")[name]
+
+    confidence = F.when(member("confidence").isNull(), F.lit(0.0)).when(
+        member("confidence")["kind"] == "bool",
+        (member("confidence")["text"] == "True").cast("double")).otherwise(
+        parse_float(member("confidence")["text"]))
+    rows = parsed.select(
+        "episode_id", "pass", F.posexplode("answer.items").alias("pos", "item"))
+    return rows.select(
+        "episode_id", "pass", F.col("pos").cast("long").alias("pos"),
+        member("speaker_id")["text"].alias("speaker_id"),
+        strip(F.coalesce(member("proposed_name")["text"], F.lit(UNKNOWN))).alias("proposed_name"),
+        confidence.alias("confidence"),
+        strip(F.coalesce(member("justification")["text"], F.lit(""))).alias("justification")
+    ).where(F.col("speaker_id").isNotNull() & F.col("confidence").isNotNull())

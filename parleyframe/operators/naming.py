@@ -23,32 +23,36 @@ def conflict_flags(proposals, threshold=THRESHOLD):
     and a speaker without one is consistent.
 
     Proposals are first reduced to one row per (name, speaker): the first and
-    last use are all that matters.
+    last use are all that matters.  All verdicts come out of one join of those
+    rows with the owners of the names.
     """
     key = ["episode_id", "pass"]
-    unknown = F.upper("proposed_name") == UNKNOWN
-    claims = (
-        proposals.where(~unknown)
-        .groupBy(*key, F.lower("proposed_name").alias("name"), "speaker_id")
-        .agg(F.min("pos").alias("first_use"), F.max("pos").alias("last_use")))
+    claims = proposals.groupBy(
+        *key, F.when(F.upper("proposed_name") != UNKNOWN, F.lower("proposed_name")).alias("name"),
+        "speaker_id").agg(
+        F.min("pos").alias("first_use"), F.max("pos").alias("last_use"),
+        F.max_by(F.col("confidence") <= threshold, "pos").alias("modest"))
     owners = (
-        claims.where(F.col("speaker_id") != "")
+        claims.where(F.col("name").isNotNull() & (F.col("speaker_id") != ""))
         .groupBy(*key, "name")
         .agg(F.min("first_use").alias("owned_from"),
              F.min_by("speaker_id", "first_use").alias("owner")))
-    clashes = claims.join(owners, [*key, "name"]).where(
-        (F.col("speaker_id") != F.col("owner")) & (F.col("last_use") > F.col("owned_from")))
-    no = F.lit(False).alias("verdict")
-    verdicts = (
-        proposals.where(unknown)
-        .select(*key, "speaker_id", "pos", (F.col("confidence") <= threshold).alias("verdict"))
-        .unionByName(clashes.select(*key, "speaker_id", F.col("last_use").alias("pos"), no))
-        .unionByName(clashes.select(
-            *key, F.col("owner").alias("speaker_id"), F.col("last_use").alias("pos"), no))
-        .unionByName(proposals.select(
-            *key, "speaker_id", F.lit(BEFORE_ALL).alias("pos"), F.lit(True).alias("verdict"))))
-    return verdicts.groupBy(*key, "speaker_id").agg(
-        F.max_by("verdict", "pos").alias("consistent"))
+    clash = F.coalesce(
+        (F.col("speaker_id") != F.col("owner")) & (F.col("last_use") > F.col("owned_from")),
+        F.lit(False))
+
+    def verdict(speaker, pos, value):
+        return F.struct(speaker.alias("speaker_id"), pos.alias("at"), value.alias("verdict"))
+
+    speaker, last, no = F.col("speaker_id"), F.col("last_use"), F.lit(False)
+    verdicts = F.concat(
+        F.array(verdict(speaker, F.lit(BEFORE_ALL).cast("long"), F.lit(True))),
+        F.when(F.col("name").isNull(), F.array(verdict(speaker, last, F.col("modest")))).when(
+            clash, F.array(verdict(speaker, last, no), verdict(F.col("owner"), last, no)))
+        .otherwise(F.array().cast("array<struct<speaker_id:string,at:bigint,verdict:boolean>>")))
+    return claims.join(owners, [*key, "name"], "left").select(
+        *key, F.inline(verdicts)).groupBy(*key, "speaker_id").agg(
+        F.max_by("verdict", "at").alias("consistent"))
 
 
 def consolidate(proposals):

@@ -6,18 +6,43 @@ from parleyframe.functions.intervals import overlap, proper
 from parleyframe.schemas import UNKNOWN
 
 BUCKET_SECONDS = 60.0
+# Each level's buckets are so many times wider than those of the level below it;
+# the top level is one bucket without bounds.
+WIDER, TOP = 64, 3
+# A wide bucket is dealt out: short intervals to one part each, wide ones to all.
+PARTS = 16
 
 
-def _bucketed(table, width):
-    """One row per time bucket an interval touches; ``home`` is its first one.
+def _placed(table, number, width):
+    """One row per bucket an interval touches, on its own level and those above.
 
-    An interval that is empty, inverted or not a number overlaps nothing.
+    The own level is the first whose buckets are as wide as the interval is long,
+    so no level takes more than two rows, however long the interval.  An interval
+    that is empty, inverted or not a number overlaps nothing.
     """
-    home = F.floor(F.col("start") / width)
+    widths = [width * WIDER ** level for level in range(TOP)]
+    length = F.col("end") - F.col("start")
+    own = F.lit(TOP)
+    for level in reversed(range(TOP)):
+        own = F.when(length <= widths[level], level).otherwise(own)
+    buckets = F.array(F.lit(0).cast("long"))
+    home = F.lit(0).cast("long")
+    for level in range(TOP):
+        first = F.floor(F.col("start") / widths[level])
+        here = F.col("level") == level
+        buckets = F.when(here, F.sequence(first, F.floor(F.col("end") / widths[level]))).otherwise(
+            buckets)
+        home = F.when(here, first).otherwise(home)
+    parts = F.when(F.col("level") == 0, F.array(F.lit(0))).when(
+        F.col("own") == F.col("level"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(
+        F.array(F.pmod(F.hash(number), F.lit(PARTS))))
     return (
         table.where(proper(F.col("start"), F.col("end")))
+        .withColumn("own", own)
+        .withColumn("level", F.explode(F.sequence("own", F.lit(TOP))))
         .withColumn("home", home)
-        .withColumn("bucket", F.explode(F.sequence(home, F.floor(F.col("end") / width)))))
+        .withColumn("bucket", F.explode(buckets))
+        .withColumn("part", F.explode(parts)))
 
 
 def overlap_join(segments, turns, bucket_seconds=BUCKET_SECONDS):
@@ -25,24 +50,28 @@ def overlap_join(segments, turns, bucket_seconds=BUCKET_SECONDS):
 
     ``segments`` (episode_id, pos, start, end) and ``turns`` (episode_id,
     line_no, start, end, speaker) give (episode_id, pos, line_no, speaker,
-    overlap).  Both sides are spread over time buckets and joined on (episode,
-    bucket), so one very long recording is many join keys and the work grows
-    with the neighbours of a segment, not with the recording.  A pair that
-    shares several buckets is kept only in the first, where the later of the
-    two starts.
+    overlap).  A pair meets on the level of the longer of the two, in an
+    equi-join on (episode, level, bucket, part), so one very long recording is
+    many join keys and the work grows with the neighbours of a segment, not with
+    the recording.  A pair that shares several buckets is kept only in the first,
+    where the later of the two starts.  Bounds may be infinite.
     """
-    a = _bucketed(segments.select("episode_id", "pos", "start", "end"), bucket_seconds)
-    b = _bucketed(
-        turns.select("episode_id", "line_no", "start", "end", "speaker"), bucket_seconds
-    ).select(
-        F.col("episode_id").alias("turn_episode"), F.col("bucket").alias("turn_bucket"),
-        F.col("start").alias("turn_start"), F.col("end").alias("turn_end"),
-        F.col("home").alias("turn_home"), "line_no", "speaker")
+    a = _placed(segments.select("episode_id", "pos", "start", "end"), "pos", bucket_seconds)
+    b = _placed(
+        turns.select("episode_id", "line_no", "start", "end", "speaker"), "line_no",
+        bucket_seconds).select(
+        *(F.col(name).alias(f"turn_{name}") for name in (
+            "episode_id", "level", "bucket", "part", "own", "home", "start", "end")),
+        "line_no", "speaker")
+    same = F.lit(True)
+    for name in ("episode_id", "level", "bucket", "part"):
+        same &= F.col(name) == F.col(f"turn_{name}")
     return a.join(
         b,
-        (F.col("episode_id") == F.col("turn_episode"))
-        & (F.col("bucket") == F.col("turn_bucket"))
+        same & (F.col("level") == F.greatest("own", "turn_own"))
         & (F.col("bucket") == F.greatest("home", "turn_home"))
+        # Two wide intervals meet in every part.
+        & ((F.col("own") != F.col("turn_own")) | (F.col("part") == 0))
         & (F.col("start") < F.col("turn_end")) & (F.col("turn_start") < F.col("end")),
     ).select(
         "episode_id", "pos", "line_no", "speaker",
@@ -76,3 +105,12 @@ def episodes_without_turns(episodes, turns):
     """Episodes the diarization says nothing about."""
     known = turns.select("episode_id").distinct()
     return episodes.join(known, "episode_id", "left_anti")
+
+
+def require_turns(transcript, turns):
+    """The transcript; the job fails at the first row whose episode has no turns."""
+    known = turns.select("episode_id").distinct().withColumn("_known", F.lit(True))
+    complaint = F.concat(F.lit("no diarization segments for episode "), F.col("episode_id"))
+    return transcript.join(known, "episode_id", "left").where(
+        F.when(F.col("_known"), F.lit(True)).otherwise(F.raise_error(complaint).cast("boolean"))
+    ).drop("_known")

@@ -2,9 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from parleyframe.functions.prompts import naming_prompt, profile_block
-
-SPEAKERS_PER_PROMPT = 500
+from parleyframe.functions.prompts import ANSWER_FORMAT, naming_prompt, profile_block
 
 
 def refine_targets(profiles, targets, strict=False):
@@ -35,24 +33,17 @@ def prompt_blocks(profiles):
 
 
 def build_prompts(profiles, contexts, order=("first_start", "first_pos"),
-                  speakers_per_prompt=SPEAKERS_PER_PROMPT):
-    """(episode_id, prompt_no, prompt) for profiles and contexts.
+                  instructions=ANSWER_FORMAT):
+    """(episode_id, prompt) for profiles and contexts.
 
     ``contexts`` has (episode_id, candidate_names, context).  An episode is one
-    prompt with its speakers in ``order``.  Only an episode with more than
-    ``speakers_per_prompt`` speakers is dealt out over several prompts, by a
-    hash of the speaker, so that no prompt gathers without bound.
+    prompt with its speakers in ``order``, which the model reads as one text.
     """
-    blocks = prompt_blocks(profiles).select("episode_id", "speaker_id", *order, "block")
-    parts = blocks.groupBy("episode_id").agg(
-        F.ceil(F.count("*") / speakers_per_prompt).alias("n_prompts"))
-    evidence = (
-        blocks.join(parts, "episode_id")
-        .withColumn("prompt_no", F.pmod(F.xxhash64("speaker_id"), F.col("n_prompts")))
-        .groupBy("episode_id", "prompt_no")
-        .agg(F.array_sort(F.collect_list(F.struct(*order, "speaker_id", "block"))).alias("b")))
+    evidence = prompt_blocks(profiles).groupBy("episode_id").agg(
+        F.array_sort(F.collect_list(F.struct(*order, "speaker_id", "block"))).alias("b"))
     names = F.coalesce("candidate_names", F.array().cast("array<string>"))
     return (
         evidence.join(contexts, "episode_id", "left")
-        .select("episode_id", "prompt_no", naming_prompt(
-            F.col("b.block"), names, F.coalesce("context", F.lit(""))).alias("prompt")))
+        .select("episode_id", naming_prompt(
+            F.col("b.block"), names, F.coalesce("context", F.lit("")), instructions)
+            .alias("prompt")))

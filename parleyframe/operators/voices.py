@@ -5,12 +5,6 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A reference chunk is a few minutes of audio.  More distinct turns than this in
-# one of them is a broken input, and stops the job instead of exhausting a task.
-MOST_REFERENCE_TURNS = 50_000
-CHUNKS_PER_GROUP = 8
-TURNS_PER_GROUP = 1024
-
 
 def count_speakers(turns, label="local_label"):
     """Distinct labels per episode."""
@@ -50,45 +44,50 @@ def _matrix(vectors):
         len(vectors), -1).astype("float64")
 
 
-def _nearest(turns, middles):
-    """Cosine-nearest centroid of each turn of one group; the lowest label wins ties."""
-    result = turns.drop_columns(["embedding", "_group", "_slice"])
-    if turns.num_rows and middles.num_rows:
-        middles = middles.sort_by("label")
-        distance = np.clip(
-            1.0 - _units(_matrix(turns["embedding"])) @ _units(_matrix(middles["centroid"])).T,
-            0.0, 2.0)
-        best = distance.argmin(axis=1)
-        labels = middles["label"].to_numpy()[best]
-        gaps = distance[np.arange(len(best)), best]
-    else:
-        labels, gaps = [None] * turns.num_rows, [None] * turns.num_rows
-    return result.append_column("label", pa.array(labels, pa.int32())).append_column(
-        "distance", pa.array(gaps, pa.float64()))
+def _nearest(turns):
+    """Cosine-nearest centroid of each turn; the lowest label wins ties."""
+    n = turns.num_rows
+    labels, gaps = np.full(n, -1, "int32"), np.full(n, np.nan)
+    episodes = turns["episode_id"].combine_chunks().dictionary_encode()
+    codes = episodes.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    for code in np.unique(codes):
+        mine = np.flatnonzero(codes == code)
+        middles = turns["middles"][int(mine[0])].as_py()
+        if middles:
+            vectors = _matrix(turns["embedding"].take(pa.array(mine)))
+            middle = np.array([m["centroid"] for m in middles], dtype="float64")
+            distance = np.clip(1.0 - _units(vectors) @ _units(middle).T, 0.0, 2.0)
+            best = distance.argmin(axis=1)
+            labels[mine] = np.array([m["label"] for m in middles], "int32")[best]
+            gaps[mine] = distance[np.arange(len(best)), best]
+    missing = np.isnan(gaps)
+    return turns.drop_columns(["embedding", "middles"]).append_column(
+        "label", pa.array(labels, mask=missing)).append_column(
+        "distance", pa.array(gaps, mask=missing))
 
 
 def assign_centroid(turns, middles):
     """Give every turn the label of its episode's nearest centroid.
 
     ``turns`` has (episode_id, chunk_idx, turn_pos, embedding, ...) and
-    ``middles`` (episode_id, label, centroid).  Turns meet the few centroids of
-    their episode in groups of some chunks and a slice of turn positions, so no
-    group grows with the recording.  An episode without centroids gets NULL.
+    ``middles`` (episode_id, label, centroid).  The few centroids of an episode
+    are one row, joined by episode: adaptive execution copies them to the tasks
+    if they are small and otherwise splits an episode that holds many turns.
+    Vectors are multiplied as Arrow batches where they stand.  An episode
+    without centroids gets NULL.
     """
-    keyed = turns.withColumns({
-        "_group": F.floor(F.col("chunk_idx") / CHUNKS_PER_GROUP),
-        "_slice": F.floor(F.col("turn_pos") / TURNS_PER_GROUP)})
-    groups = keyed.select("episode_id", "_group", "_slice").distinct()
-    offered = groups.join(middles, "episode_id").select(
-        F.col("episode_id").alias("_episode"), F.col("_group").alias("_of_group"),
-        F.col("_slice").alias("_of_slice"), "label", "centroid")
+    per_episode = middles.groupBy("episode_id").agg(
+        F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("middles"))
     schema = T.StructType(
         [f for f in turns.schema if f.name != "embedding"]
         + [T.StructField("label", T.IntegerType()), T.StructField("distance", T.DoubleType())])
-    return (
-        keyed.groupBy("episode_id", "_group", "_slice")
-        .cogroup(offered.groupBy("_episode", "_of_group", "_of_slice"))
-        .applyInArrow(_nearest, schema))
+
+    def run(batches):
+        for batch in batches:
+            yield from _nearest(pa.Table.from_batches([batch])).to_batches()
+
+    joined = turns.join(per_episode, "episode_id", "left")
+    return joined.select(*turns.columns, "middles").mapInArrow(run, schema)
 
 
 def average_linkage(vectors, weights, k):
@@ -150,18 +149,14 @@ def cluster_speakers(reference, targets):
 
     ``reference`` has (episode_id, turn_pos, embedding), ``targets``
     (episode_id, num_speakers).  Clusters are numbered by first turn.  Equal
-    embeddings are clustered as one weighted point, so copies cost nothing.
+    embeddings are clustered as one weighted point, so copies cost nothing.  A
+    group is one window of audio, whose length bounds its turns; memory grows
+    with the turns, not with their pairs.
     """
     points = reference.groupBy("episode_id", "embedding").agg(
         F.count("*").alias("copies"), F.min("turn_pos").alias("first_pos"))
-    sizes = (
-        points.groupBy("episode_id").agg(F.count("*").alias("points"))
-        .join(targets.select("episode_id", "num_speakers"), "episode_id"))
-    complaint = F.concat(
-        F.lit("too many distinct turns in one reference chunk: "), F.col("episode_id"))
-    checked = points.join(sizes, "episode_id").where(
-        F.when(F.col("points") <= MOST_REFERENCE_TURNS, F.lit(True))
-        .otherwise(F.raise_error(complaint).cast("boolean")))
-    labels = checked.groupBy("episode_id").applyInArrow(
+    labels = points.join(
+        targets.select("episode_id", "num_speakers"), "episode_id"
+    ).groupBy("episode_id").applyInArrow(
         _cluster, "episode_id string, embedding array<float>, label int")
     return reference.join(labels, ["episode_id", "embedding"])

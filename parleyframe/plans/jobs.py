@@ -1,7 +1,8 @@
 """The jobs: transcribe, diarize, assign speakers, infer names, and all in a row.
 
 Each runs over all episodes of its input tables at once.  Model calls are
-settled (written once) before their answers are used.
+settled (written once) before their answers are used, in a run folder that the
+caller may name and drop afterwards.
 """
 
 from dataclasses import dataclass
@@ -9,91 +10,98 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parleyframe.functions.prompts import RETRY_NOTE, context_summary
+from parleyframe.functions.prompts import ANSWER_FORMAT, SECOND_ROUND, context_summary
 from parleyframe.operators import models, naming
 from parleyframe.operators.audio import audio_duration, blocks_between, chunk_audio, clip_pcm
 from parleyframe.operators.chunks import (
     _grid, chunk_windows, dedup_turns, reference_chunks, windows_without_turns,
     with_speaker_label)
 from parleyframe.operators.evidence import speaker_profiles
-from parleyframe.operators.overlap import assign_speakers, episodes_without_turns
+from parleyframe.operators.overlap import assign_speakers, require_turns
 from parleyframe.operators.prompting import build_prompts, refine_targets
 from parleyframe.operators.roster import candidate_roster, people_from_entities
 from parleyframe.operators.voices import (
     assign_centroid, centroids, cluster_speakers, count_speakers, target_speakers)
-from parleyframe.schemas import PCM, Settings
+from parleyframe.schemas import Settings
 from parleyframe.sources.rttm import FAILFAST, read_rttm, write_rttm
 from parleyframe.sources.segments import (
     NAMED_FIELDS, SEGMENT_FIELDS, read_transcript, read_utterances, write_segments)
-from parleyframe.sources.tables import load_reference, save_reference, settle
+from parleyframe.sources.tables import load_reference, run_folder, save_reference, settle
 
 DEFAULTS = Settings()
-WINDOW_MINUTES = 30
+WINDOW_MINUTES, WINDOW_OVERLAP = 30, 30
 
 
 # ------------------------------------------------------------------ transcribe
 
-def transcribe(pcm, model, block_samples, settings=DEFAULTS, window_minutes=WINDOW_MINUTES):
-    """PCM to transcript.  A recording longer than the window is transcribed
-    window by window, so that no task has to hold a whole recording."""
+def transcribe(pcm, model, block_samples, settings=DEFAULTS, window_minutes=WINDOW_MINUTES,
+               overlap_seconds=WINDOW_OVERLAP):
+    """PCM to transcript.  Every recording is transcribed in overlapping windows,
+    so that no task holds more than one; a segment comes from the window whose
+    core holds its midpoint, whole on either side of an edge."""
     if settings.clip_audio:
         pcm = clip_pcm(pcm, settings.clip_start_sec, settings.clip_duration_sec,
                        block_samples, settings.sample_rate)
-    audio = chunk_audio(pcm, block_samples, window_minutes, 0)
-    _, step_ms = _grid(window_minutes, 0)
-    return models.transcribe_windows(audio, model, step_ms, settings.tick_factor)
+    audio = chunk_audio(pcm, block_samples, window_minutes, overlap_seconds)
+    length_ms, step_ms = _grid(window_minutes, overlap_seconds)
+    return models.transcribe_windows(
+        audio, model, step_ms, settings.tick_factor, length_ms - step_ms)
 
 
 def transcribe_files(spark, pcm_path, output_path, model, block_samples, settings=DEFAULTS,
                      window_minutes=WINDOW_MINUTES, layout="records"):
     """The same from a stored PCM table to segment JSON."""
-    pcm = spark.read.schema(PCM).parquet(pcm_path)
-    transcript = transcribe(pcm, model, block_samples, settings, window_minutes)
+    transcript = transcribe(
+        spark.read.parquet(pcm_path), model, block_samples, settings, window_minutes)
     write_segments(transcript, output_path, SEGMENT_FIELDS, layout)
 
 
 # ------------------------------------------------------------------ diarize
 
 def diarize(pcm, detector, embedder, block_samples, settings=DEFAULTS, reference_path=None,
-            lengths=None, strict=False):
+            lengths=None, strict=False, folder=None):
     """PCM to speaker turns (episode_id, line_no, start, end, speaker).
 
     Voices are clustered in the first window of each episode; every window's
     turns then go to the nearest voice.  ``line_no`` is the pair (start, end),
     the order turns are written in.  With ``reference_path`` the labelled
     reference turns are stored there and read back.  ``lengths`` (episode_id,
-    duration_ms) saves reading the audio to find out how long it is.  ``strict``
-    stops when a window has no turns at all; otherwise an episode whose first
-    window has none gets UNKNOWN turns.
+    duration_ms) are found from the PCM table if not given, from ``n_samples``
+    where it has that column; audio beyond them fails the job.  ``strict`` stops
+    when a window has no turns at all; otherwise an episode whose first window
+    has none keeps its later turns, as UNKNOWN.  Tables are settled in ``folder``.
     """
     spark = pcm.sparkSession
+    folder = folder or run_folder(spark)
     grid = (settings.chunk_minutes, settings.overlap_seconds)
     if lengths is None:
         lengths = audio_duration(pcm).select(
-            "episode_id", F.round(F.col("seconds") * 1000).cast("long").alias("duration_ms"))
-    windows = settle(chunk_windows(lengths, *grid), "windows")
+            "episode_id", F.ceil(F.col("seconds") * 1000).cast("long").alias("duration_ms"))
+    windows = settle(chunk_windows(lengths, *grid), "windows", folder)
     audio = chunk_audio(pcm, block_samples, *grid)
     wanted = F.lit(settings.num_speakers).cast("int")
 
     def turns_of(some_audio, some_windows, name):
         return settle(models.detect_turns(
-            some_audio, some_windows, detector, embedder, settings.min_embedding_seconds), name)
+            some_audio, some_windows, detector, embedder, settings.min_embedding_seconds),
+            name, folder)
 
     if settings.num_speakers:
         turns = turns_of(audio, windows.withColumn("num_speakers", wanted), "turns")
         reference = turns.where(F.col("chunk_idx") == 0)
         targets = target_speakers(count_speakers(reference), settings.num_speakers)
     else:
-        # The number found in the first window is what the detector is then asked for.
+        # The number found in the first window is what the detector is then asked
+        # for; it is left to itself where there was none.
         opening = blocks_between(
             pcm, 0, settings.chunk_minutes * 60, block_samples, settings.sample_rate)
         reference = turns_of(
             chunk_audio(opening, block_samples, *grid).where(F.col("idx") == 0),
             reference_chunks(windows).withColumn("num_speakers", wanted), "reference")
-        targets = settle(target_speakers(count_speakers(reference)), "targets")
+        targets = settle(target_speakers(count_speakers(reference)), "targets", folder)
         turns = turns_of(
-            audio, windows.join(targets.select("episode_id", "num_speakers"), "episode_id"),
-            "turns")
+            audio, windows.join(
+                targets.select("episode_id", "num_speakers"), "episode_id", "left"), "turns")
     if strict and not windows_without_turns(windows, turns).isEmpty():
         raise ValueError("some windows have no turns")
     labelled = cluster_speakers(
@@ -101,7 +109,7 @@ def diarize(pcm, detector, embedder, block_samples, settings=DEFAULTS, reference
     if reference_path:
         save_reference(labelled, reference_path)
         labelled = load_reference(spark, reference_path)
-    middles = settle(centroids(labelled), "centroids")
+    middles = settle(centroids(labelled), "centroids", folder)
     named = assign_centroid(turns, middles)
     placed = named.withColumns({
         "start": F.col("start") + F.col("global_start"),
@@ -111,33 +119,37 @@ def diarize(pcm, detector, embedder, block_samples, settings=DEFAULTS, reference
 
 
 def diarize_files(spark, pcm_path, output_path, detector, embedder, block_samples,
-                  settings=DEFAULTS, reference_path=None, strict=True, per_episode=False):
+                  settings=DEFAULTS, reference_path=None, strict=True, per_episode=False,
+                  folder=None):
     """The same from a stored PCM table to RTTM."""
-    pcm = spark.read.schema(PCM).parquet(pcm_path)
-    turns = diarize(pcm, detector, embedder, block_samples, settings, reference_path,
-                    strict=strict)
+    turns = diarize(
+        spark.read.parquet(pcm_path), detector, embedder, block_samples, settings,
+        reference_path, strict=strict, folder=folder)
     write_rttm(turns, output_path, per_episode=per_episode)
 
 
 # ------------------------------------------------------------------ assign speakers
 
-def assign(transcript, turns, settings=DEFAULTS, strict=False):
-    """Transcript and turns to utterances.  ``strict`` stops when an episode of
-    the transcript has no turns at all; otherwise its rows are UNKNOWN."""
+def assign(transcript, turns, settings=DEFAULTS, strict=False, folder=None):
+    """Transcript and turns to utterances.  ``strict`` fails on an episode of the
+    transcript that has no turns at all; otherwise its rows are UNKNOWN.  Both
+    inputs are used more than once and settled first, so each is parsed once."""
+    folder = folder or run_folder(transcript.sparkSession)
+    transcript = settle(transcript, "transcript", folder)
+    turns = settle(turns, "turns", folder)
     if strict:
-        episodes = transcript.select("episode_id").distinct()
-        if not episodes_without_turns(episodes, turns).isEmpty():
-            raise ValueError("some episodes have no diarization segments")
+        transcript = require_turns(transcript, turns)
     return assign_speakers(transcript, turns, settings.unknown_label)
 
 
 def assign_files(spark, transcript_path, rttm_path, output_path, settings=DEFAULTS,
-                 layout="array", rttm_mode=FAILFAST, rttm_episodes="file", strict=True):
+                 layout="records", rttm_mode=FAILFAST, rttm_episodes="line", strict=True,
+                 partitioned=False, folder=None):
     """The same from transcript JSON and RTTM files to segment JSON."""
     transcript = read_transcript(
-        spark, transcript_path, settings.transcript_time_factor, layout)
+        spark, transcript_path, settings.transcript_time_factor, layout, partitioned)
     turns = read_rttm(spark, rttm_path, rttm_mode, rttm_episodes)
-    result = assign(transcript, turns, settings, strict)
+    result = assign(transcript, turns, settings, strict, folder)
     write_segments(result, output_path, layout=layout)
     return result
 
@@ -161,16 +173,16 @@ def contexts(episodes, extractor=None, hosts=(), settings=DEFAULTS):
 
 
 def inference_cycle(profiles, episode_contexts, model, number, targets=None, strict=False,
-                    concurrency=None):
+                    concurrency=None, instructions=ANSWER_FORMAT, folder=None):
     """One round of asking: prompts for the target speakers (default: all, by
-    first appearance), answers, parsed proposals of pass ``number``."""
+    first appearance), answers, and their proposals of pass ``number``, settled."""
     order = ("first_start", "first_pos")
     if targets is not None:
         profiles = refine_targets(profiles, targets, strict)
         order = ("target_pass", "target_pos")
-    prompts = build_prompts(profiles, episode_contexts, order)
-    answers = settle(models.generate(prompts, model, concurrency), f"answers-{number}")
-    return models.parse_proposals(answers.withColumn("pass", F.lit(number)), strict)
+    prompts = build_prompts(profiles, episode_contexts, order, instructions)
+    answers = models.generate(prompts, model, concurrency).withColumn("pass", F.lit(number))
+    return settle(models.parse_proposals(answers, strict), f"proposals-{number}", folder)
 
 
 @dataclass
@@ -182,22 +194,32 @@ class NamedSpeakers:
 
 
 def infer_names(utterances, episodes, model, extractor=None, hosts=(), settings=DEFAULTS,
-                strict=False, concurrency=None):
+                strict=False, concurrency=None, instructions=ANSWER_FORMAT,
+                retry_note=SECOND_ROUND, folder=None):
     """Utterances to named utterances.
 
     All speakers are asked about once.  Those whose proposal is not confident,
     or clashes with another, are asked about once more; of both answers the more
     confident counts, unchecked.  What stays below the threshold is UNKNOWN.
+    ``instructions`` open every prompt and ``retry_note`` ends the context of the
+    second round's.
     """
+    folder = folder or run_folder(utterances.sparkSession)
     profiles = settle(
-        speaker_profiles(utterances, settings.quotes_start, settings.quotes_end), "profiles")
+        speaker_profiles(utterances, settings.quotes_start, settings.quotes_end), "profiles",
+        folder)
     # An episode without metadata is asked about with an empty title and description.
     known = (
         profiles.select("episode_id").distinct().join(episodes, "episode_id", "left")
         .fillna("", ["name", "description"]))
-    about = settle(contexts(known, extractor, hosts, settings), "contexts")
-    proposals = inference_cycle(
-        profiles, about, model, 1, strict=strict, concurrency=concurrency)
+    about = settle(contexts(known, extractor, hosts, settings), "contexts", folder)
+
+    def cycle(number, some_contexts, targets=None):
+        return inference_cycle(
+            profiles, some_contexts, model, number, targets, strict, concurrency, instructions,
+            folder)
+
+    proposals = cycle(1, about)
     merged = naming.consolidate(proposals)
     if settings.max_passes > 1:
         open_cases = naming.unresolved_speakers(
@@ -206,21 +228,23 @@ def infer_names(utterances, episodes, model, extractor=None, hosts=(), settings=
         targets = open_cases.select(
             "episode_id", "speaker_id", F.col("first_pass").alias("target_pass"),
             F.col("first_pos").alias("target_pos"))
-        focused = about.withColumn("context", F.concat(F.col("context"), F.lit(RETRY_NOTE)))
-        retried = inference_cycle(
-            profiles, focused, model, 2, targets, strict, concurrency)
-        merged = naming.consolidate(proposals.unionByName(retried))
-    final = settle(naming.finalize_assignments(merged, settings.high_confidence), "names")
+        focused = about.withColumn("context", F.concat(F.col("context"), F.lit(retry_note)))
+        merged = naming.consolidate(proposals.unionByName(cycle(2, focused, targets)))
+    final = settle(
+        naming.finalize_assignments(merged, settings.high_confidence), "names", folder)
     return NamedSpeakers(
         final, naming.label_transcript(utterances, final, settings.start_offset_sec))
 
 
 def infer_files(spark, transcript_path, output_path, episodes, model, extractor=None, hosts=(),
-                settings=DEFAULTS, layout="array", strict=False, concurrency=None):
+                settings=DEFAULTS, layout="records", strict=False, partitioned=False,
+                folder=None, **asking):
     """The same from diarized JSON to JSON with names; returns the assignments."""
-    utterances = read_utterances(spark, transcript_path, layout)
+    folder = folder or run_folder(spark)
+    utterances = settle(
+        read_utterances(spark, transcript_path, layout, partitioned), "utterances", folder)
     result = infer_names(
-        utterances, episodes, model, extractor, hosts, settings, strict, concurrency)
+        utterances, episodes, model, extractor, hosts, settings, strict, folder=folder, **asking)
     write_segments(result.labelled, output_path, NAMED_FIELDS, layout)
     return result.assignments
 
@@ -228,10 +252,14 @@ def infer_files(spark, transcript_path, output_path, episodes, model, extractor=
 # ------------------------------------------------------------------ everything
 
 def process_corpus(pcm, episodes, speech, detector, embedder, namer, block_samples,
-                   extractor=None, hosts=(), settings=DEFAULTS, window_minutes=WINDOW_MINUTES):
+                   extractor=None, hosts=(), settings=DEFAULTS, window_minutes=WINDOW_MINUTES,
+                   overlap_seconds=WINDOW_OVERLAP, strict=False, folder=None, **asking):
     """PCM and episode metadata to named utterances."""
-    transcript = settle(
-        transcribe(pcm, speech, block_samples, settings, window_minutes), "transcript")
-    turns = diarize(pcm, detector, embedder, block_samples, settings)
-    utterances = settle(assign(transcript, turns, settings), "utterances")
-    return infer_names(utterances, episodes, namer, extractor, hosts, settings)
+    folder = folder or run_folder(pcm.sparkSession)
+    transcript = transcribe(pcm, speech, block_samples, settings, window_minutes, overlap_seconds)
+    turns = diarize(
+        pcm, detector, embedder, block_samples, settings, strict=strict, folder=folder)
+    utterances = settle(
+        assign(transcript, turns, settings, strict, folder), "utterances", folder)
+    return infer_names(
+        utterances, episodes, namer, extractor, hosts, settings, strict, folder=folder, **asking)

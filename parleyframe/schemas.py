@@ -35,7 +35,7 @@ ASSIGNMENTS = _table(
     ("proposed_name", _S), ("confidence", _D), ("justification", _S))
 PCM = _table(
     ("episode_id", _S), ("channel", _I), ("block", _L), ("sample_rate", _I),
-    ("samples", T.ArrayType(_F)))
+    ("n_samples", _I), ("samples", T.ArrayType(_F)))
 
 
 @dataclass(frozen=True)

@@ -4,6 +4,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parleyframe.sources.tables import settle
+
 EXTENSION = r"\.[^.]*$"
 
 
@@ -36,12 +38,13 @@ def ordered_lines(spark, path, partitioned=False):
 def numbered_lines(spark, path, partitioned=False):
     """The same with ``line_no`` counting from 0 within each episode.
 
-    A large file is read as many splits.  The first row id and row count of
-    every split give the number of lines before it, so no task ever sees more
-    than one split.  Costs a second pass; ``ordered_lines`` does without where
-    the order alone is enough.
+    A large file is read as many splits.  The rows are settled with their places,
+    and the row count of every split gives the number of lines before it, so no
+    task ever sees more than one split.  ``ordered_lines`` does without where the
+    order alone is enough.
     """
-    rows = ordered_lines(spark, path, partitioned).select("episode_id", "line_no.*", "value")
+    rows = settle(
+        ordered_lines(spark, path, partitioned).select("episode_id", "line_no.*", "value"), "lines")
     before = (Window.partitionBy("episode_id").orderBy("file", "block")
               .rowsBetween(Window.unboundedPreceding, -1))
     splits = (

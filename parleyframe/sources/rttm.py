@@ -61,7 +61,7 @@ def parse_rttm(lines, mode=FAILFAST, episode_from_line=False):
     return parsed.select(*columns)
 
 
-def read_rttm(spark, path, mode=FAILFAST, episodes="file"):
+def read_rttm(spark, path, mode=FAILFAST, episodes="line"):
     """Speaker turns of a file, folder or pattern.
 
     ``episodes`` says where the episode id is: the ``file`` name, the

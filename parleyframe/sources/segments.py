@@ -5,8 +5,10 @@ Layouts:
 ``records``  one JSON object per line that names its episode_id and pos; any
              number of episodes per file.  Splittable, read in one pass.
 ``lines``    one JSON object per line, one episode per file or directory.
-``array``    one JSON array per episode and file.  A file like this cannot be
-             split, so very long recordings should be kept in another layout.
+``array``    one JSON array per episode.  ``write_segments`` writes it with a segment
+             per line into ``episode_id=`` folders, which are read back as lines,
+             split and in any number of part files (``partitioned``).  An array
+             from elsewhere is one file named after its episode and read whole.
 """
 
 from pyspark.sql import functions as F
@@ -92,17 +94,21 @@ def _records(spark, path, fields, layout, partitioned):
             .option("mode", "FAILFAST").json(path))
     if layout == "lines":
         return parse_objects(numbered_lines(spark, path, partitioned), fields)
+    if layout == "array" and partitioned:
+        lines = numbered_lines(spark, path, True).where(~F.col("value").isin("[", "]"))
+        return parse_objects(
+            lines.withColumn("value", F.regexp_replace("value", "^,", "")), fields)
     if layout == "array":
         return parse_arrays(whole_files(spark, path), fields)
     raise ValueError(f"unknown layout {layout!r}")
 
 
-def read_transcript(spark, path, time_factor=1.0, layout="array", partitioned=False):
+def read_transcript(spark, path, time_factor=1.0, layout="records", partitioned=False):
     return as_transcript(
         _records(spark, path, SEGMENT_FIELDS, layout, partitioned), time_factor)
 
 
-def read_utterances(spark, path, layout="array", partitioned=False):
+def read_utterances(spark, path, layout="records", partitioned=False):
     return as_utterances(_records(spark, path, DIARIZED_FIELDS, layout, partitioned))
 
 

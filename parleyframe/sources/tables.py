@@ -1,39 +1,45 @@
 """Tables that outlive the job step that made them."""
 
-import tempfile
 import uuid
 
 from parleyframe.schemas import TURNS
 
-# Where a local session without a named folder keeps its own.
-OWN_FOLDER = "parleyframe.working.folder"
+# For sessions without a shared checkpoint folder, such as tests.
+FOLDER = "parleyframe.working.folder"
 
 
 def working_folder(spark):
-    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+    """The folder that ``spark.checkpoint.dir`` or the setting ``FOLDER`` names.
 
-    Only a local session may fall back to a folder of its own: on a cluster a
-    machine-local folder is not visible to the other executors.
+    All executors must see it; there is no fallback to a folder of one machine.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_FOLDER, None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    own = tempfile.mkdtemp(prefix="parleyframe-")
-    spark.conf.set(OWN_FOLDER, own)
-    return own
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(FOLDER, None)
+    if not named:
+        raise ValueError(
+            f"set spark.checkpoint.dir (or {FOLDER}) to a folder all executors share")
+    return named
 
 
-def settle(table, name):
-    """Write a table once and read it back.
+def run_folder(spark):
+    """A new folder for the tables of one run; ``drop_folder`` removes it."""
+    return f"{working_folder(spark).rstrip('/')}/parleyframe/run-{uuid.uuid4().hex}"
+
+
+def drop_folder(spark, folder):
+    """Delete a run's folder and the tables in it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def settle(table, name, folder=None):
+    """Write a table once, into a run's folder, and read it back.
 
     Used after steps that must not run twice (model calls, whose answers can
     differ) and for small tables used several times.  The written copy also
     cuts the lineage: a lost executor costs a re-read, not another model call.
     """
     spark = table.sparkSession
-    path = f"{working_folder(spark).rstrip('/')}/parleyframe/{name}-{uuid.uuid4().hex}"
+    path = f"{folder or run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     table.write.parquet(path)
     return spark.read.schema(table.schema).parquet(path)
 

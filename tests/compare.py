@@ -7,6 +7,7 @@ import glob
 import math
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -76,6 +77,7 @@ def main():
     spark = (
         SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-compare-"))
         .getOrCreate())
     spark.sparkContext.setLogLevel("OFF")
     out = open(os.environ.get("COMPARE_LOG", "/dev/stdout"), "a")

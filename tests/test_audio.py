@@ -101,8 +101,31 @@ def test_duration(spark, rows):
     assert rows(audio.audio_duration(slim)) == [("a", 25, 10, 2.5), ("b", 3, 10, 0.3)]
 
 
+def test_duration_is_that_of_the_longest_channel(spark, rows, tmp_path):
+    table = pcm(spark, {"a": [np.zeros(5), np.zeros(25)]}, 8, 10).withColumn(
+        "channel", F.col("channel") + 1)
+    assert rows(audio.audio_duration(table)) == [("a", 25, 10, 2.5)]
+    table.withColumn("n_samples", F.size("samples")).write.parquet(str(tmp_path / "pcm"))
+    plan = audio.audio_duration(spark.read.parquet(str(tmp_path / "pcm")))
+    scan = plan._jdf.queryExecution().executedPlan().toString().split("ReadSchema: ")[1]
+    assert "n_samples" in scan and "<samples" not in scan and ",samples" not in scan
+
+
+def test_a_missing_block_does_not_halve_the_others(spark):
+    left, right = np.arange(16) + 1.0, np.arange(8) + 3.0
+    table = pcm(spark, {"e": [left, right]}, 8, 10)
+    expected = [*((left[:8] + right) / 2), *left[8:]]
+    found = {}
+    for r in audio.mixdown_pcm(table).collect():
+        found.update({r.block * 8 + i: x for i, x in enumerate(r.samples)})
+    assert [found[i] for i in range(16)] == expected
+    pieces = audio.chunk_audio(table, 8, 1, 0)
+    (row,) = models.transcribe_windows(pieces, REPORT, 60_000, tick_factor=10).collect()
+    assert [float(x) for x in row.text.strip("[]").split(",")] == expected
+
+
 def load_report():
-    return lambda samples, rate: [(0, len(samples), str(samples.round(3).tolist()))]
+    return lambda samples, rate: [(0, 1, str(samples.round(3).tolist()))]
 
 
 REPORT = Model("window report", load_report)

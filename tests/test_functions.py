@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from parleyframe.functions import intervals, numbers, text
 from parleyframe.functions.vectors import cosine_distance
-from parleyframe.operators.models import _padded
+from parleyframe.functions.intervals import padded as _padded
 
 
 def column(spark, values, kind):

@@ -5,7 +5,7 @@ import json
 import numpy as np
 import pytest
 
-from parleyframe.functions.prompts import RETRY_NOTE
+from parleyframe.functions.prompts import SECOND_ROUND as RETRY_NOTE
 from parleyframe.operators.models import Model
 from parleyframe.plans import jobs
 from parleyframe.schemas import Settings
@@ -21,14 +21,16 @@ def test_assign_files(spark, tmp_path):
         [{"start": 0, "end": 4, "text": "one"}, {"start": 9, "end": 10, "text": "two"}]))
     (tmp_path / "r" / "ep1.rttm").write_text(
         "# turns\nSPEAKER x 1 0 2 <NA> <NA> A <NA> <NA>\n\nSPEAKER x 1 2 2 <NA> <NA> B <NA> <NA>\n")
-    jobs.assign_files(spark, str(tmp_path / "t"), str(tmp_path / "r"), str(tmp_path / "out"))
+    own = {"layout": "array", "rttm_episodes": "file"}
+    jobs.assign_files(spark, str(tmp_path / "t"), str(tmp_path / "r"), str(tmp_path / "out"), **own)
     (part,) = (tmp_path / "out" / "episode_id=ep1").glob("*.txt")
     assert json.loads(part.read_text()) == [
         {"start": 0.0, "end": 4.0, "speaker": "A", "text": "one"},
         {"start": 9.0, "end": 10.0, "speaker": "UNKNOWN", "text": "two"}]
     (tmp_path / "t" / "ep2.json").write_text('[{"start": 0, "end": 4, "text": "one"}]')
-    with pytest.raises(ValueError, match="no diarization"):
-        jobs.assign_files(spark, str(tmp_path / "t"), str(tmp_path / "r"), str(tmp_path / "out2"))
+    with pytest.raises(Exception, match="no diarization segments for episode ep2"):
+        jobs.assign_files(
+            spark, str(tmp_path / "t"), str(tmp_path / "r"), str(tmp_path / "out2"), **own)
 
 
 UTTERANCES = "episode_id string, pos long, start double, end double, speaker string, text string"
@@ -179,7 +181,8 @@ def test_corpus(spark):
     episodes = spark.createDataFrame([("x", "Show - 1", "about", 12000)], EPISODES)
     result = jobs.process_corpus(
         table, episodes, Model("speech", load_speech), DETECTOR, EMBEDDER, Model("namer", load_namer),
-        BLOCK, settings=Settings(chunk_minutes=8 / 60, overlap_seconds=2), window_minutes=5 / 60)
+        BLOCK, settings=Settings(chunk_minutes=8 / 60, overlap_seconds=2), window_minutes=6 / 60,
+        overlap_seconds=2)
     rows = result.labelled.orderBy("start").collect()
     assert [(r.start, r.text, r.speaker_name) for r in rows] == [
         (float(i), f"{LEVELS[s]:.1f}", f"Person {'201'.index(str(s))}")
@@ -193,11 +196,10 @@ def test_files_from_audio_to_names(spark, tmp_path):
     settings = Settings(chunk_minutes=8 / 60, overlap_seconds=2)
     jobs.transcribe_files(spark, paths["pcm"], paths["text"], Model("speech", load_speech), BLOCK)
     jobs.diarize_files(spark, paths["pcm"], paths["turns"], DETECTOR, EMBEDDER, BLOCK, settings)
-    jobs.assign_files(spark, paths["text"], paths["turns"], paths["said"], layout="records",
-                      rttm_episodes="line")
+    jobs.assign_files(spark, paths["text"], paths["turns"], paths["said"])
     episodes = spark.createDataFrame([("x", "Show - 1", "about", 12000)], EPISODES)
     names = jobs.infer_files(spark, paths["said"], paths["named"], episodes,
-                             Model("namer", load_namer), layout="records")
+                             Model("namer", load_namer))
     assert {r.speaker_id: r.proposed_name for r in names.collect()} == {
         f"SPEAKER_{i:02d}": f"Person {i}" for i in range(3)}
     named = sorted(spark.read.json(paths["named"]).collect(), key=lambda r: r.start)
@@ -206,6 +208,53 @@ def test_files_from_audio_to_names(spark, tmp_path):
         for s in np.repeat([2, 0, 1, 2, 0, 1], 2).tolist()]
 
 
+def test_audio_beyond_its_length_fails(spark):
+    table = pcm(spark, {"x": [wave([0, 1, 2, 0, 1, 2])]}, BLOCK, RATE)
+    lengths = spark.createDataFrame([("x", 3000)], "episode_id string, duration_ms long")
+    settings = Settings(chunk_minutes=4 / 60, overlap_seconds=1)
+    with pytest.raises(Exception, match="no window holds it"):
+        jobs.diarize(table, DETECTOR, EMBEDDER, BLOCK, settings, lengths=lengths).collect()
+
+
+def load_late_detector():
+    def detect(samples, rate, num_speakers):
+        return [t for t in load_detector()(samples, rate, num_speakers) if not t[2].startswith("0.1")]
+    return detect
+
+
+@pytest.mark.parametrize("wanted", [None, 2])
+def test_a_silent_first_window_loses_nothing(spark, wanted):
+    table = pcm(spark, {"x": [wave([0, 0, 0, 0, 1, 2, 1, 2])], "y": [wave([1, 2, 1, 2])]}, BLOCK, RATE)
+    settings = Settings(chunk_minutes=8 / 60, overlap_seconds=2, num_speakers=wanted)
+    turns = jobs.diarize(table, Model("late", load_late_detector), EMBEDDER, BLOCK, settings).collect()
+    assert sorted((r.start, r.speaker) for r in turns if r.episode_id == "x") == [
+        (2.0 * k, "UNKNOWN") for k in range(4, 8)]
+    assert len([r for r in turns if r.episode_id == "y"]) == 4
+
+
+def test_each_input_is_parsed_once(spark, tmp_path):
+    """Everything after the settled copies reads those."""
+    said = spark.createDataFrame([("x", 0, 0.0, 1.0, "t")],
+                                 "episode_id string, pos long, start double, end double, text string")
+    turns = spark.createDataFrame([("x", 0, 0.0, 1.0, "A")],
+                                  "episode_id string, line_no long, start double, end double, speaker string")
+    path = str(tmp_path / "said")
+    said.write.json(path)
+    read = spark.read.schema(said.schema).json(path)
+    plan = jobs.assign(read, turns, strict=True)._jdf.queryExecution().executedPlan().toString()
+    assert "json" not in plan.lower().replace("parquet", "")
+
+
+def test_run_folder_can_be_dropped(spark, tmp_path):
+    from parleyframe.sources.tables import drop_folder
+    folder = str(tmp_path / "run")
+    table = pcm(spark, {"x": [wave([0, 1])]}, BLOCK, RATE)
+    jobs.diarize(table, DETECTOR, EMBEDDER, BLOCK, folder=folder).collect()
+    assert any((tmp_path / "run").iterdir())
+    drop_folder(spark, folder)
+    assert not (tmp_path / "run").exists()
+
+
 def load_deaf():
     return lambda samples, rate, num_speakers: []
 

@@ -88,6 +88,21 @@ def test_infinite_or_nan_bounds(spark):
         ("a", 0): "C", ("a", 1): "UNKNOWN", ("a", 2): "UNKNOWN"}
 
 
+@pytest.mark.parametrize("bucket", [60.0, 0.01])
+def test_long_and_unbounded_intervals(spark, bucket):
+    inf = float("inf")
+    pick = random.Random(3)
+    lengths = [0.5, 59, 100, 4000, 86400, 3e5, 1e12, inf]
+    rows = [(pick.randrange(-500, 90000) / 2, pick.choice(lengths)) for _ in range(120)]
+    segments = [("e", i, a, a + n, "t") for i, (a, n) in enumerate(rows[:60])]
+    turns = [("e", i, -inf if i % 17 == 0 else a, a + n, f"S{i}") for i, (a, n) in enumerate(rows[60:])]
+    pairs = overlap_join(
+        spark.createDataFrame(segments, SEGMENTS), spark.createDataFrame(turns, TURNS), bucket)
+    found = sorted((r.pos, r.line_no) for r in pairs.collect())
+    assert found == sorted((p, n) for _, p, start, end, _ in segments for _, n, a, b, _ in turns
+                           if min(end, b) > max(start, a))
+
+
 def test_first_of_copies(spark, rows):
     turns = spark.createDataFrame(
         [("a", 3, 0.0, 1.0, "A"), ("a", 1, 0.0, 1.0, "A"), ("a", 2, 0.0, 2.0, "A"),

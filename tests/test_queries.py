@@ -19,6 +19,7 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_only_jobs_without_sql_lack_an_oracle():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {
-        "cluster_speakers", "job_diarize", "job_corpus"}
+def test_every_speech_query_has_an_oracle():
+    from parleyframe.checks.registry import ORACLES, QUERIES
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries())

@@ -92,7 +92,7 @@ def test_json_array_files(spark, rows, tmp_path):
          {"start": 3.25, "end": 4, "text": "é \"q\""}], indent=4))
     (tmp_path / "two.json").write_text("[]")
     (tmp_path / "three.json").write_text('\n [{"text": "z", "end": 1e1, "start": 0}]')
-    assert rows(segments.read_transcript(spark, str(tmp_path), time_factor=2)) == [
+    assert rows(segments.read_transcript(spark, str(tmp_path), 2, "array")) == [
         ("one", 0, 0.5, 1.25, " a\n"), ("one", 1, 1.625, 2.0, "é \"q\""), ("three", 0, 0.0, 5.0, "z")]
 
 
@@ -102,7 +102,7 @@ def test_json_array_files(spark, rows, tmp_path):
 def test_unusable_json_fails(spark, tmp_path, content):
     (tmp_path / "bad.json").write_text(content)
     with pytest.raises(Exception):
-        segments.read_transcript(spark, str(tmp_path)).collect()
+        segments.read_transcript(spark, str(tmp_path), layout="array").collect()
 
 
 UTTERANCES = "episode_id string, pos long, start double, end double, speaker string, text string"
@@ -124,11 +124,11 @@ def test_segments_round_trip(spark, rows, tmp_path, layout):
             "e": [{"start": 0.0, "end": 1.0, "speaker": "S0", "text": "é"},
                   {"start": 1.0, "end": 2.0, "speaker": "S1", "text": 'say "x"\n'}],
             "f": [{"start": 0.5, "end": 0.75, "speaker": "S0", "text": " pad "}]}
-        return
-    found = segments.read_utterances(spark, path, layout=layout, partitioned=layout == "lines")
-    if layout == "lines":
-        # Positions are counted anew from the order of the lines.
-        places = {("e", 2): 0, ("e", 5): 1, ("f", 0): 0}
+    found = segments.read_utterances(spark, path, layout=layout, partitioned=layout != "records")
+    if layout != "records":
+        # Positions are counted anew from the order of the lines (an array's first is its bracket).
+        first = int(layout == "array")
+        places = {("e", 2): first, ("e", 5): first + 1, ("f", 0): first}
         expected = [(e, places[e, p], a, b, s, t.strip()) for e, p, a, b, s, t in SAID]
     else:
         expected = [(*rest, t.strip()) for *rest, t in SAID]
@@ -166,7 +166,8 @@ class Session:
 def test_working_folder_is_the_sessions(tmp_path):
     named = Session("spark://host", **{"spark.checkpoint.dir": str(tmp_path)})
     assert tables.working_folder(named) == str(tmp_path)
-    local = Session("local[2]")
-    assert tables.working_folder(local) == tables.working_folder(local)
-    with pytest.raises(ValueError, match="share"):
-        tables.working_folder(Session("spark://host"))
+    own = Session("local[2]", **{tables.FOLDER: "/shared"})
+    assert tables.working_folder(own) == "/shared"
+    for master in ("spark://host", "local[2]"):
+        with pytest.raises(ValueError, match="share"):
+            tables.working_folder(Session(master))

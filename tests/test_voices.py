@@ -64,16 +64,6 @@ def test_cluster_speakers(spark):
         assert all(label == names.setdefault(who, len(names)) for _, who, label in mine)
 
 
-def test_too_many_reference_turns_stop_the_job(spark, monkeypatch):
-    monkeypatch.setattr(voices, "MOST_REFERENCE_TURNS", 3)
-    turns = spark.createDataFrame(
-        [("a", i, [float(i), 1.0]) for i in range(5)],
-        "episode_id string, turn_pos long, embedding array<float>")
-    targets = spark.createDataFrame([("a", 2)], "episode_id string, num_speakers int")
-    with pytest.raises(Exception, match="too many distinct turns"):
-        voices.cluster_speakers(turns, targets).collect()
-
-
 def test_target_speakers(spark, rows):
     counts = spark.createDataFrame([("a", 3)], "episode_id string, n_speakers long")
     assert rows(voices.target_speakers(counts), "num_speakers") == [(3,)]
@@ -110,3 +100,18 @@ def test_centroids(spark):
         rows, "episode_id string, label int, embedding array<float>"))
     assert sorted((r.label, r.centroid) for r in found.collect()) == [
         (0, [2.0, 4.0]), (2, [5.0, 5.0])]
+
+
+def test_vectors_are_not_shuffled(spark):
+    """The turns meet the centroids where they are, as far as these are small."""
+    turns = spark.range(4000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("e"), F.col("id") % 50))
+        .alias("episode_id"), F.lit(0).alias("chunk_idx"), F.col("id").alias("turn_pos"),
+        F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
+    middles = spark.createDataFrame(
+        [(e, k, [float(k), 1.0]) for e in ["hot"] + [f"e{i}" for i in range(50)] for k in range(3)],
+        "episode_id string, label int, centroid array<double>")
+    found = voices.assign_centroid(turns, middles)
+    assert found.groupBy("label").count().count() == 3 and found.count() == 4000
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "CoGroup" not in plan and "Cartesian" not in plan
