@@ -273,3 +273,25 @@ def test_clipped_transcript(spark):
     rows = jobs.transcribe(table, Model("speech", load_speech), BLOCK, settings).collect()
     assert sorted((r.start, r.text) for r in rows) == [
         (0.0, "0.1"), (1.0, "0.5"), (2.0, "0.5"), (3.0, "0.9")]
+
+
+def test_readme_example(spark, tmp_path):
+    """The chain of file jobs as the README prints it, over two episodes."""
+    import pathlib
+    import re
+    text = (pathlib.Path(__file__).parent.parent / "README.md").read_text()
+    code = re.search(r"```python\n(.*?)```", text, re.S)[1]
+    code = re.sub(r'"(\w+)/"', lambda m: repr(f"{tmp_path}/{m[1]}/"), code)
+    waves = {"x": [wave([2, 0, 1, 2, 0, 1])], "y": [wave([1, 0])]}
+    pcm(spark, waves, BLOCK, RATE).write.parquet(f"{tmp_path}/pcm/")
+    episodes = spark.createDataFrame(
+        [("x", "Show - 1", "about", 12000), ("y", "Show - 2", "", 4000)], EPISODES)
+    exec(code, {
+        "spark": spark, "speech": Model("speech", load_speech), "detector": DETECTOR,
+        "embedder": EMBEDDER, "namer": Model("namer", load_namer), "episodes": episodes,
+        "block_samples": BLOCK})
+    named = spark.read.json(f"{tmp_path}/named/").collect()
+    assert sorted((r.episode_id, r.start, r.text, r.speaker_name) for r in named) == sorted(
+        (e, float(i), f"{LEVELS[s]:.1f}", f"Person {list(dict.fromkeys(v)).index(s)}")
+        for e, v in (("x", [2, 0, 1, 2, 0, 1]), ("y", [1, 0]))
+        for i, s in enumerate(np.repeat(v, 2).tolist()))
