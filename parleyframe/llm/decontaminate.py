@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 from parleyframe.llm.common import id_and_text, map_batches, with_fields
 
+#: Item words in one automaton, which takes some hundred bytes for each.
+SHARD_WORDS = 100_000
+
 # Lower-case letters and digits stay, all other ASCII parts words.
 _WORDS = bytes(
     c if c >= 0x80 or chr(c).isalnum() and not 0x41 <= c <= 0x5A
@@ -173,7 +176,7 @@ class Matcher:
         return longest
 
 
-def item_shards(items, item_column="item_id", text_column="text", shard_words=500_000):
+def item_shards(items, item_column="item_id", text_column="text", shard_words=SHARD_WORDS):
     """Lists of (id, text) of about ``shard_words`` words at most, one at a time.
 
     Several shards are dealt by hash, half full on average, and only one is on
@@ -217,12 +220,12 @@ def _matcher(key, shard, window):
 
 
 def with_hits(docs, items, window=10, item_column="item_id", item_text="text",
-              shard_words=500_000, text_column="text"):
+              shard_words=SHARD_WORDS, text_column="text"):
     """All columns of ``docs`` in the struct ``row``, with ``n_words``, ``hits``
     (merged [begin, end) word intervals) and ``items`` (ids with matches).
 
     The automaton of a shard of items is broadcast (``shard_words`` bounds it);
-    with several shards the documents are read once and pass through each.
+    with several shards each batch of documents passes through one after another.
     """
     spark = docs.sparkSession
     shards = [
@@ -232,18 +235,19 @@ def with_hits(docs, items, window=10, item_column="item_id", item_text="text",
 
     def run(batches):
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            sequences = [words_of(text) if text else [] for text in texts]
-            found, names = [[] for _ in texts], [set() for _ in texts]
+            n = batch.num_rows
+            counts, found, names = [0] * n, [[] for _ in range(n)], [set() for _ in range(n)]
             for number, shard in enumerate(shards):
                 matcher = _matcher((run_id, number), shard, window)
-                for i, sequence in enumerate(sequences):
-                    spans, matched = matcher(sequence)
+                for i, text in enumerate(batch["text"]):
+                    words = words_of(text.as_py() or "")
+                    counts[i] = len(words)
+                    spans, matched = matcher(words)
                     if spans:
                         found[i] += spans
                         names[i] |= matched
             yield pa.RecordBatch.from_arrays([
-                batch["row"], pa.array(map(len, sequences), pa.int64()),
+                batch["row"], pa.array(counts, pa.int64()),
                 pa.array([_merged(x) for x in found], pa.list_(pa.list_(pa.int32()))),
                 pa.array([sorted(x) for x in names], pa.list_(pa.string()))],
                 ["row", "n_words", "hits", "items"])

@@ -29,8 +29,9 @@ from parleyframe.sources.tables import settle
 
 CAPACITY = 4096
 END = 1
-#: Words whose ids a worker remembers before it starts afresh.
-REMEMBERED_WORDS = 700_000
+#: Words in each of two generations a worker remembers; a word that is met again
+#: moves to the younger, and the older is forgotten when that is full.
+REMEMBERED_WORDS = 150_000
 
 # Control characters, wide blanks and letters past Latin: the library reads these texts whole.
 _UNUSUAL = re.compile(r"[\x00-\x08\x0E-\x1F\x7F-\xA0ɐ-\U0010FFFF]|<\|")
@@ -54,7 +55,7 @@ class WordEncoder:
         kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
         self.by_word = bool(mark) and kinds == ["NFC", "Replace", "Lowercase"] and (
             json.dumps(_PARTS) in json.dumps(spec["pre_tokenizer"]))
-        self.words = {}
+        self.words, self.older = {}, {}
         if self.by_word:
             self.letters = Tokenizer.from_str(file)
             self.letters.normalizer = normalizers.Sequence([])
@@ -81,6 +82,14 @@ class WordEncoder:
         data = ids.tobytes()
         return [data[4 * a:4 * b] for a, b in zip([0, *ends], ends)]
 
+    def _remembered(self, word):
+        ids = self.words.get(word)
+        if ids is None:
+            ids = self.older.get(word)
+            if ids is not None:
+                self.words[word] = ids
+        return ids
+
     def __call__(self, texts):
         out, split = [None] * len(texts), {}
         for i, text in enumerate(texts):
@@ -89,18 +98,18 @@ class WordEncoder:
             else:
                 out[i] = self._ids([text])[0]
         if len(self.words) > REMEMBERED_WORDS:
-            self.words.clear()
+            self.words, self.older = {}, self.words
         known, table, stopped = self.words, {}, []
         letters, others = set(), []
         for word in set().union(*split.values()) if split else ():
-            ids = known.get(word)
+            ids = self._remembered(word)
             if ids is not None:
                 table[word] = ids
             elif word.isalpha():
                 letters.add(word)
             elif word[-1] in self.stops and word[:-1].isalpha():
                 stopped.append(word)
-                if word[:-1] not in known:
+                if self._remembered(word[:-1]) is None:
                     letters.add(word[:-1])
             else:
                 others.append(word)
