@@ -243,6 +243,9 @@ def _members(answer):
     except ValueError as problem:
         LOG.error("answer is not JSON: %s", problem)
         return {"kind": None, "items": []}
+    for item in data if isinstance(data, list) else ():
+        if not isinstance(item, dict) or "speaker_id" not in item:
+            LOG.warning("no proposal in this element of an answer: %r", item)
     items = [
         {name: {"kind": type(value).__name__, "text": str(value)} for name, value in item.items()}
         if isinstance(item, dict) else {} for item in (data if isinstance(data, list) else [])]

@@ -1,11 +1,14 @@
 """Session settings the jobs are written for."""
 
 import os
+import re
 import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
 
+from parleyframe.sources.tables import FOLDER
+
 # Adaptive execution picks partition counts, splits skewed join partitions and
 # turns a shuffled join into a broadcast or hash join only when the measured
 # sizes allow.
@@ -36,7 +39,11 @@ _SHIPPED = set()
 
 
 def ship(spark):
-    """Send the package to the Python workers, once per application."""
+    """Send the package to the Python workers, once per application.
+
+    A session of one machine that names no shared folder, as in tests, gets a
+    working folder of its own; a cluster must name one.
+    """
     application = spark.sparkContext.applicationId
     if application not in _SHIPPED:
         root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -44,3 +51,6 @@ def ship(spark):
             os.path.join(tempfile.mkdtemp(), "parleyframe"), "zip", root, "parleyframe")
         spark.sparkContext.addPyFile(archive)
         _SHIPPED.add(application)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(FOLDER, None)
+    if not named and re.match(r"local(\[|$)", spark.sparkContext.master):
+        spark.conf.set(FOLDER, tempfile.mkdtemp(prefix="parleyframe-"))

@@ -123,3 +123,13 @@ def test_labels(spark, rows):
         ("e", 0, 11.0, 12.0, "A", "x", "Ann", .9, "why"),
         ("e", 1, 12.0, 13.0, "B", "y", "UNKNOWN", 0.0, ""),
         ("f", 0, 10.0, 11.0, "A", "z", "UNKNOWN", 0.0, "")]
+
+
+def test_verdicts_need_two_evaluations_of_the_proposals(spark, tmp_path):
+    spark.createDataFrame(
+        [("e", 1, 0, "A", "Ann", 0.9, "")],
+        "episode_id string, pass int, pos long, speaker_id string, proposed_name string, "
+        "confidence double, justification string").write.parquet(str(tmp_path / "p"))
+    flags = naming.conflict_flags(spark.read.parquet(str(tmp_path / "p")))
+    plan = flags._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2 and plan.count("Exchange hashpartitioning") <= 5
