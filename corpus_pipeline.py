@@ -35,6 +35,7 @@ def benchmark_decontamination(spark, docs, sf_dir):
 
 
 def pii(spark, docs, sf_dir):
+    ship(spark)
     return sanitise.sanitise(docs)
 
 
