@@ -1,6 +1,6 @@
 """What the operators of this folder share."""
 
-import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -31,12 +31,14 @@ def map_batches(frame, function, schema):
     return frame.mapInArrow(run, schema)
 
 
-def keep_columns(batch, **columns):
-    """The batch's columns and further ones, as a table."""
-    table = pa.Table.from_batches([batch])
-    for name, values in columns.items():
-        table = table.append_column(name, values)
-    return table
+def packed(docs):
+    """All columns as one struct ``row``, to pass through Python together."""
+    return docs.select(F.struct("*").alias("row"))
+
+
+def column_of(batch, name):
+    """A column of the rows packed in a batch."""
+    return pc.struct_field(batch["row"], name)
 
 
 def with_fields(field, ddl):

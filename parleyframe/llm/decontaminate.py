@@ -16,7 +16,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from parleyframe.llm.common import id_and_text, map_batches, with_fields
+from parleyframe.llm.common import column_of, id_and_text, packed, with_fields
 
 #: Item words in one automaton, which takes some hundred bytes for each.
 SHARD_WORDS = 100_000
@@ -222,7 +222,8 @@ def _matcher(key, shard, window):
 def with_hits(docs, items, window=10, item_column="item_id", item_text="text",
               shard_words=SHARD_WORDS, text_column="text"):
     """All columns of ``docs`` in the struct ``row``, with ``n_words``, ``hits``
-    (merged [begin, end) word intervals) and ``items`` (ids with matches).
+    (merged [begin, end) word intervals), ``items`` (ids with matches) and ``cut``
+    (the text without what is hit; null where nothing is).
 
     The automaton of a shard of items is broadcast (``shard_words`` bounds it);
     with several shards each batch of documents passes through one after another.
@@ -235,26 +236,29 @@ def with_hits(docs, items, window=10, item_column="item_id", item_text="text",
 
     def run(batches):
         for batch in batches:
-            n = batch.num_rows
+            texts, n = column_of(batch, text_column), batch.num_rows
             counts, found, names = [0] * n, [[] for _ in range(n)], [set() for _ in range(n)]
             for number, shard in enumerate(shards):
                 matcher = _matcher((run_id, number), shard, window)
-                for i, text in enumerate(batch["text"]):
+                for i, text in enumerate(texts):
                     words = words_of(text.as_py() or "")
                     counts[i] = len(words)
                     spans, matched = matcher(words)
                     if spans:
                         found[i] += spans
                         names[i] |= matched
+            hits = [_merged(x) for x in found]
+            cut = [_cut(texts[i].as_py(), hits[i]) if hits[i] else None for i in range(n)]
             yield pa.RecordBatch.from_arrays([
                 batch["row"], pa.array(counts, pa.int64()),
-                pa.array([_merged(x) for x in found], pa.list_(pa.list_(pa.int32()))),
-                pa.array([sorted(x) for x in names], pa.list_(pa.string()))],
-                ["row", "n_words", "hits", "items"])
+                pa.array(hits, pa.list_(pa.list_(pa.int32()))),
+                pa.array([sorted(x) for x in names], pa.list_(pa.string())),
+                pa.array(cut, pa.string())], ["row", "n_words", "hits", "items", "cut"])
 
-    packed = docs.select(F.struct("*").alias("row"), docs[text_column].alias("text"))
-    return packed.mapInArrow(run, with_fields(
-        packed.schema["row"], "n_words bigint, hits array<array<int>>, items array<string>"))
+    rows = packed(docs)
+    return rows.mapInArrow(run, with_fields(
+        rows.schema["row"],
+        "n_words bigint, hits array<array<int>>, items array<string>, cut string"))
 
 
 def contamination(docs, items, window=10, id_column="doc_id", text_column="text", **options):
@@ -287,17 +291,6 @@ def decontaminate(docs, items, window=10, most_coverage=0.5, text_column="text",
     share = F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x[1] - x[0]) / F.col(
         "n_words")
     kept = hit.where((F.col("n_words") == 0) | (share <= most_coverage))
-
-    def cut(batch):
-        texts = [
-            text if not hits else _cut(text, hits)
-            for text, hits in zip(batch["text"].to_pylist(), batch["hits"].to_pylist())]
-        return pa.table({"row": batch["row"], "cut": pa.array(texts, pa.string())})
-
-    row = hit.schema["row"].dataType
-    done = map_batches(
-        kept.select("row", F.col("row")[text_column].alias("text"), "hits"), cut,
-        with_fields(hit.schema["row"], "cut string"))
-    return done.select(*(
-        F.col("cut").alias(name) if name == text_column else F.col("row")[name].alias(name)
-        for name in row.names))
+    return kept.select(*(
+        F.coalesce("cut", F.col("row")[name]).alias(name) if name == text_column
+        else F.col("row")[name].alias(name) for name in docs.columns))

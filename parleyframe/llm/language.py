@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from parleyframe.llm.common import map_batches, with_fields
+from parleyframe.llm.common import column_of, map_batches, packed, with_fields
 
 UNDETERMINED = "und"
 PIECE = 128
@@ -258,7 +258,7 @@ def with_language(docs, network, text_column="text", batch_texts=500):
     def label(batch):
         names, scores = [], []
         for at in range(0, batch.num_rows, batch_texts):
-            texts = batch["text"].slice(at, batch_texts).to_pylist()
+            texts = column_of(batch, text_column).slice(at, batch_texts).to_pylist()
             written = [bool(text) and any(map(str.isalpha, text)) for text in texts]
             if network is None or not any(written):
                 names += [UNDETERMINED] * len(texts)
@@ -272,10 +272,9 @@ def with_language(docs, network, text_column="text", batch_texts=500):
         return pa.table({"row": batch["row"], "lang_pred": pa.array(names, pa.string()),
                          "score": pa.array(scores, pa.float64())})
 
-    packed = docs.select(F.struct("*").alias("row"), docs[text_column].alias("text"))
+    rows = packed(docs)
     return map_batches(
-        packed, label,
-        with_fields(packed.schema["row"], "lang_pred string, score double"))
+        rows, label, with_fields(rows.schema["row"], "lang_pred string, score double"))
 
 
 def identify(docs, id_column="doc_id", text_column="text", label_column="lang", **fitting):

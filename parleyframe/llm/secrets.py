@@ -123,8 +123,8 @@ def scan(docs, id_column="doc_id", text_column="text", reach=300):
             F.transform("strong", lambda x: F.struct(F.lit(False).alias("weak"), x.alias("x"))),
             F.transform("weak", lambda x: F.struct(F.lit(True).alias("weak"), x.alias("x")))))
         .alias("p")).select("key", "p.weak", "p.x.*").distinct()
-    linked = linked_parts(parts, reach).groupBy("key").agg(
-        F.collect_set(F.struct("kind", "begin", "end")).alias("linked"))
+    linked = settle(linked_parts(parts, reach).groupBy("key").agg(
+        F.collect_set(F.struct("kind", "begin", "end")).alias("linked")), "linked-parts")
     return found.join(linked, "key", "left").select(
         "doc_id", F.transform("strong", lambda x: F.struct(
             x["kind"].alias("kind"), x["begin"].alias("begin"), x["end"].alias("end")))
