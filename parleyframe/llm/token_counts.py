@@ -15,6 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from parleyframe.llm.common import id_and_text, map_batches
+from parleyframe.sources.tables import settle
 
 CACHE = "version string, digest binary, n_tokens bigint"
 #: Words whose counts a worker remembers before it starts afresh.
@@ -119,9 +120,9 @@ def count_tokens(docs, model_path, cache_path, limit=4096, id_column="doc_id",
 
     map_batches(todo, encode, CACHE).write.mode("append").parquet(cache_path)
     # Two runs at the same time may both store a count.
-    counts = (
+    counts = settle(
         read_cache(spark, cache_path).where(F.col("version") == version)
-        .groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")))
+        .groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     return texts.select(
         "doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")
     ).join(counts, "digest").select(
