@@ -35,6 +35,8 @@ def build_session(app="parleyframe", master=None, **conf):
     return builder.getOrCreate()
 
 
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
 _SHIPPED = set()
 
 
@@ -42,8 +44,12 @@ def ship(spark):
     """Send the package to the Python workers, once per application.
 
     A session of one machine that names no shared folder, as in tests, gets a
-    working folder of its own; a cluster must name one.
+    working folder of its own; a cluster must name one.  Rows that hold whole
+    texts or blocks of audio reach Python in batches of ``BATCH_ROWS``, unless
+    the session sets another size than Spark's own.
     """
+    if spark.conf.get(BATCH_SETTING) == "10000":
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
     application = spark.sparkContext.applicationId
     if application not in _SHIPPED:
         root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
