@@ -1,0 +1,122 @@
+"""Every registered query over the smallest tables, against brute force."""
+
+import hashlib
+
+import __spark_entry__ as entry
+import numpy as np
+import pytest
+
+from tests.llm import test_decontaminate, test_packing, test_sanitise, test_secrets
+from tests.llm import test_simhash, test_substring_dedup, test_syncmers, test_token_counts
+
+FOLDER = "/root/testdata/sf0.001"
+QUERIES = {name.split("_")[0]: query for name, query in entry.queries().items()
+           if name.startswith("op")}
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = spark.read.parquet(f"{FOLDER}/documents.parquet").collect()
+    return {r["doc_id"]: r for r in rows}
+
+
+@pytest.fixture
+def run(spark, docs):
+    def of(name):
+        rows = QUERIES[name](spark, FOLDER).collect()
+        assert {r["doc_id"] for r in rows} == set(docs)
+        return rows
+    return of
+
+
+def pairs(docs):
+    return [(i, r["text"]) for i, r in docs.items()]
+
+
+def test_op1(run, docs):
+    expected = {i: (n, gone, sha(kept))
+                for i, n, gone, kept in test_substring_dedup.brute(pairs(docs), 20)}
+    for row in run("op1"):
+        assert (row["n_words"], row["n_removed"], row["kept_sha256"]) == expected[row["doc_id"]]
+
+
+def test_op2(run, docs):
+    rows = run("op2")
+    assert test_packing.check(rows, pairs(docs), 4096) <= -(
+        -sum(r["length"] for r in rows) // 4096) + 1
+
+
+def test_op3(run, docs):
+    for row in run("op3"):
+        base = test_secrets.base(docs[row["doc_id"]]["text"])
+        assert row["base_sha256"] == sha(base)
+        assert (row["n_assign"], row["n_access"], row["n_hex"]) == tuple(
+            base.count(f"{kind}:") for kind in ("assign", "access", "hex"))
+        assert set(filter(None, base.split(","))) <= set(row["spans"].split(","))
+
+
+def test_op4(spark, run):
+    selected = {r["doc_id"]: r["selected"] for r in run("op4")}
+    rated = spark.read.parquet(f"{FOLDER}/labels.parquet").collect()
+    clean = [selected[r["doc_id"]] for r in rated if not r["toxic"]]
+    assert np.mean(clean) > 0.9
+
+
+def test_op5(run, docs):
+    for row in run("op5"):
+        base = test_sanitise.base(docs[row["doc_id"]]["text"])
+        assert row["base_sha256"] == sha(",".join(base))
+        assert (row["n_email"], row["n_ip"], row["n_card"], row["n_phone"]) == tuple(
+            sum(x.startswith(kind) for x in base) for kind in ("email", "ip", "card", "phone"))
+        assert set(base) <= set(row["spans"].split(","))
+        assert base or not row["spans"]
+
+
+def test_op6(run, docs):
+    rows = run("op6")
+    import zlib
+    held = [r for r in rows if r["held_out"]]
+    assert {r["doc_id"] for r in held} == {i for i in docs if zlib.crc32(str(i).encode()) % 3 == 1}
+    assert np.mean([r["lang_pred"] == docs[r["doc_id"]]["lang"] for r in held]) > 0.9
+
+
+def test_op7(spark, run, docs):
+    items = [(str(r["item_id"]), r["text"])
+             for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
+    for row in run("op7"):
+        text = docs[row["doc_id"]]["text"]
+        if row["contaminated"] or row["doc_id"] % 10 == 0:
+            hit, names = test_decontaminate.brute(text, items, 10)
+            assert (row["n_hit"], row["n_items"]) == (len(hit), len(names))
+            assert row["items_sha256"] == sha(",".join(sorted(names)))
+        assert row["n_words"] == len(test_decontaminate.words(text))
+
+
+def test_op8(run, docs):
+    for row in run("op8"):
+        text = docs[row["doc_id"]]["text"]
+        n = len(test_token_counts.LIBRARY.encode(text))
+        assert (row["n_bytes"], row["n_tokens"], row["over_limit"]) == (
+            len(text.encode()), n, n > 4096)
+
+
+def test_op9(run, docs):
+    prints = {i: test_simhash.brute_print(r["text"]) for i, r in docs.items()}
+    expected = test_simhash.roots(docs, [
+        (a, b) for a in docs for b in docs
+        if a < b and (prints[a] ^ prints[b]).bit_count() <= 4])
+    for row in run("op9"):
+        assert row["fingerprint"] == f"{prints[row['doc_id']]:016x}"
+        assert row["component_id"] == expected[row["doc_id"]]
+
+
+def test_op10(run, docs):
+    expected = test_syncmers.expected_edits(pairs(docs))
+    rows = run("op10")
+    for row in rows:
+        assert (row["n_chars"], row["edited_sha256"]) == expected[row["doc_id"]]
+    assert np.mean([r["near_edited"] for r in rows]) > 0.4 > np.mean([r["near_next"] for r in rows])
