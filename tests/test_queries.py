@@ -5,12 +5,13 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from parleyframe.checks.registry import ORACLES, QUERIES
 from tests.compare import compare
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, name):
     assert compare(spark, FOLDER, name) is None
 
@@ -20,6 +21,5 @@ def test_entry(spark):
 
 
 def test_every_speech_query_has_an_oracle():
-    from parleyframe.checks.registry import ORACLES, QUERIES
     assert set(QUERIES) == set(ORACLES)
     assert set(QUERIES) <= set(entry.queries())
