@@ -13,6 +13,8 @@ from parleyframe.sources.tables import working_folder
 QUERIES = {}
 ORACLES = {}
 
+UPPER, LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
+
 
 def query(name, sql=None):
     def register(f):
@@ -32,7 +34,33 @@ def op6(spark, folder):
     return language.identify(table(spark, folder, "documents"))
 
 
-@query("op7_benchmark_decontamination")
+@query("op7_benchmark_decontamination", f"""
+WITH low AS (
+  SELECT 'd' AS kind, doc_id AS id, translate(coalesce(text, ''), {UPPER}, {LOWER}) AS t FROM documents
+  UNION ALL
+  SELECT 'i', item_id, translate(coalesce(text, ''), {UPPER}, {LOWER}) FROM benchmark),
+split AS (
+  SELECT kind, id, regexp_extract_all(t, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM low),
+sized AS (
+  SELECT DISTINCT least(len(w), 10) AS size FROM split WHERE kind = 'i' AND len(w) > 0),
+places AS (
+  SELECT kind, id, size, unnest(generate_series(1, len(w) - size + 1)) AS spot, w
+  FROM split, sized WHERE len(w) >= size
+    AND (kind = 'd' OR size = least(len(w), 10))),
+windows AS (
+  SELECT kind, id, size, spot, array_to_string(w[spot:spot + size - 1], ' ') AS k FROM places),
+met AS (
+  SELECT d.id, d.size, d.spot, CAST(i.id AS VARCHAR) AS item FROM windows d JOIN windows i
+  ON d.kind = 'd' AND i.kind = 'i' AND d.size = i.size AND d.k = i.k),
+hit AS (
+  SELECT id, count(DISTINCT place) AS n FROM (
+    SELECT id, unnest(generate_series(spot, spot + size - 1)) AS place FROM met) x GROUP BY id),
+named AS (
+  SELECT id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT id, item FROM met) y GROUP BY id)
+SELECT s.id AS doc_id, len(w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM split s LEFT JOIN hit ON s.id = hit.id LEFT JOIN named ON s.id = named.id WHERE kind = 'd'""")
 def op7(spark, folder):
     return decontaminate.contamination(
         table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -56,7 +84,27 @@ def op3(spark, folder):
     return secrets.digests(table(spark, folder, "documents"))
 
 
-@query("op1_substring_dedup")
+@query("op1_substring_dedup", """
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+places AS (
+  SELECT doc_id, unnest(generate_series(1, len(w) - 19)) AS spot, w FROM split WHERE len(w) >= 20),
+ranked AS (
+  SELECT doc_id, spot, row_number() OVER (
+    PARTITION BY array_to_string(w[spot:spot + 19], ' ') ORDER BY doc_id, spot) AS n FROM places),
+gone AS (
+  SELECT doc_id, list(DISTINCT place) AS g FROM (
+    SELECT doc_id, unnest(generate_series(spot, spot + 19)) AS place FROM ranked WHERE n > 1) x
+  GROUP BY doc_id),
+words AS (
+  SELECT doc_id, unnest(generate_series(1, len(w))) AS place, unnest(w) AS word FROM split),
+kept AS (
+  SELECT x.doc_id, string_agg(word, ' ' ORDER BY place) AS k, count(*) AS n
+  FROM words x LEFT JOIN gone ON x.doc_id = gone.doc_id
+  WHERE g IS NULL OR NOT list_contains(g, place) GROUP BY x.doc_id)
+SELECT s.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
+       sha256(coalesce(k, '')) AS kept_sha256
+FROM split s LEFT JOIN kept ON s.doc_id = kept.doc_id""")
 def op1(spark, folder):
     return substring_dedup.deduplicate(table(spark, folder, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
