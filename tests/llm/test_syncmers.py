@@ -74,3 +74,31 @@ def test_anchor_rule(spark):
     found = frame.select(syncmers._positions(F.col("h"))).first()[0]
     h = [5, 1, 7, 3, 9, 2]
     assert found == [i for i in range(4) if min(h[i:i + 3]) in (h[i], h[i + 2])]
+
+
+def test_all_anchors_count(documents):
+    rng = random.Random(11)
+    words = [f"u{rng.randrange(10 ** 9)}" for _ in range(4000)]
+    shared = [f"s{rng.randrange(10 ** 9)}" for _ in range(40)]
+    other = [f"v{rng.randrange(10 ** 9)}" for _ in range(4000)]
+    # A passage of a hundredth of either text, at places of its own.
+    rows = [(2, " ".join(words[:3000] + shared + words[3000:])),
+            (1, " ".join(other[:500] + shared + other[500:])), (0, "one two"), (-1, None)]
+    docs = documents(rows)
+    listed = {}
+    for r in syncmers.anchors(docs).collect():
+        listed.setdefault(r["doc_id"], []).append((r["position"], r["hash"]))
+    found = {r["doc_id"]: r for r in syncmers.compared(docs).collect()}
+    for i in (2, 1, 0, -1):
+        own = list(zip(found[i]["positions"], found[i]["anchors"]))
+        assert own == sorted(listed.get(i, []))
+        edited = set(found[i]["edited_anchors"])
+        both = {h for _, h in own} | edited
+        same = {h for _, h in own} & edited
+        assert found[i]["near_edited"] == (len(same) / len(both) if both else 1.0)
+    assert len(found[2]["anchors"]) > 2000 and len(found[0]["anchors"]) == 1
+    a, b = dict(map(reversed, listed[2])), dict(map(reversed, listed[1]))
+    met = set(a) & set(b)
+    assert 10 < len(met) == found[2]["shared_next"]
+    assert {a[h] - b[h] for h in met} == {2500}
+    assert found[2]["near_next"] == len(met) / len(set(a) | set(b)) > 0
