@@ -4,15 +4,22 @@ Strong parts are found by pattern alone and always reported: ``assign`` and
 ``hex`` (secrets) and ``access`` (identifiers).  Weak parts, ``identifier``,
 ``opaque`` (secrets) and ``endpoint``, are reported only when a complementary
 part stands within ``reach`` code points in the same text: a secret needs an
-identifier or an endpoint, an identifier or an endpoint needs a secret.  The
-parts meet in an interval join on (text, cell of ``reach`` code points); parts
-of one kind do not overlap, so the partners of a part are bounded by the reach.
+identifier or an endpoint, an identifier or an endpoint needs a secret.  A weak
+part over a strong one of its own role is that part read again and not reported
+beside it; it is a partner as any other.  Two parts that overlap are readings of
+one string and no pair, and an opaque string that is itself an identifier or an
+access id is no secret.  Any 20 characters with a letter or digit are opaque;
+whether they are a secret is left to the company they keep.  The parts meet in
+an interval join on (text, cell of ``reach`` code points); parts of one kind do
+not overlap, so the partners of a part are bounded by the reach.
 
 Null and empty texts have no parts.  Rows that repeat an id and a text are
 answered alike, one answer per row; an id may be null.
 """
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -33,6 +40,7 @@ _IDENTIFIER = re.compile(
     re.IGNORECASE | re.ASCII)
 _ENDPOINT = re.compile(r"""(?<![A-Za-z])[A-Za-z][A-Za-z0-9+.-]{1,11}://[^\s"'<>]{3,}""")
 _OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+_SOLID = re.compile("[A-Za-z0-9]")
 
 PART = "array<struct<kind:string,role:string,begin:int,end:int>>"
 
@@ -48,39 +56,66 @@ def strong_parts(text):
 def weak_parts(text):
     """(start, kind, end) of what is a secret only in company."""
     found = [(m.start(), 3, m.end()) for m in _IDENTIFIER.finditer(text)]
-    for m in _OPAQUE.finditer(text):
-        word = m[0]
-        # Upper case, lower case and digits mixed: not a word of a language.
-        if (any("0" <= c <= "9" for c in word) and any("a" <= c <= "z" for c in word)
-                and any("A" <= c <= "Z" for c in word)):
-            found.append((m.start(), 4, m.end()))
+    ids = sorted(found + [x for x in strong_parts(text) if x[1] == 1])
+    for begin, end in _apart(_opaque(text), ids):
+        found.append((begin, 4, end))
     if "://" in text:
         found += [(m.start(), 5, m.end()) for m in _ENDPOINT.finditer(text)]
     return sorted(found)
 
 
+def _opaque(text):
+    return [m.span() for m in _OPAQUE.finditer(text) if _SOLID.search(m[0])]
+
+
+def _apart(spans, ids):
+    """The spans that do not end in one of the sorted ``ids`` that they overlap."""
+    ends = list(accumulate((x[2] for x in ids), max))
+    for begin, end in spans:
+        at = bisect_left(ids, (end,)) - 1
+        if at < 0 or ends[at] < end:
+            yield begin, end
+
+
 _ROLE = {0: "secret", 1: "id", 2: "secret", 3: "id", 4: "secret", 5: "endpoint"}
 
 
+def read_again(weak, strong):
+    """Whether each of the sorted weak parts overlaps a strong part of its role."""
+    by_role = {}
+    for begin, kind, end in strong:
+        by_role.setdefault(_ROLE[kind], []).append((begin, end))
+    latest = {role: list(accumulate((end for _, end in own), max)) for role, own in by_role.items()}
+    out = []
+    for begin, kind, end in weak:
+        own = by_role.get(_ROLE[kind], [])
+        at = bisect_left(own, (end,)) - 1
+        out.append(at >= 0 and latest[_ROLE[kind]][at] > begin)
+    return out
+
+
 def _parts(docs, id_column, text_column):
     def find(batch):
-        strong, weak = [], []
+        strong, weak, again = [], [], []
         for value in batch["text"]:
             text = value.as_py()
             own = strong_parts(text)
             strong.append(_rows(own))
-            weak.append(_rows([
-                x for x in weak_parts(text)
-                if not any(x[0] < end and begin < x[2] for begin, _, end in own)]))
+            others = weak_parts(text)
+            seen = read_again(others, own)
+            weak.append(_rows([x for x, same in zip(others, seen) if not same]))
+            again.append(_rows([x for x, same in zip(others, seen) if same]))
         kind = pa.list_(pa.struct([("kind", pa.string()), ("role", pa.string()),
                                    ("begin", pa.int32()), ("end", pa.int32())]))
         return pa.table({"doc_id": batch["doc_id"], "key": batch["key"],
-                         "strong": pa.array(strong, kind), "weak": pa.array(weak, kind)})
+                         "strong": pa.array(strong, kind), "weak": pa.array(weak, kind),
+                         "again": pa.array(again, kind)})
 
     texts = id_and_text(docs, id_column, text_column).withColumn("key", text_key(F.col("text")))
     kinds = dict(texts.dtypes)
     return map_batches(
-        texts, find, f"doc_id {kinds['doc_id']}, key {kinds['key']}, strong {PART}, weak {PART}")
+        texts, find, f"doc_id {kinds['doc_id']}, key {kinds['key']}, strong {PART}, weak {PART}, "
+        f"again {PART}")
 
 
 def _rows(parts):
@@ -95,7 +130,8 @@ def linked_parts(parts, reach=300):
     """Weak parts with a complementary part within reach, and that partner.
 
     ``parts``: distinct rows key, kind, role, weak, begin, end.  A pair is met
-    in each cell that both touch and kept in the first of them.
+    in each cell that both touch and kept in the first of them; the parts of a
+    pair do not overlap.
     """
     left = parts.where("weak").withColumn(
         "cell", F.explode(_cells(F.col("begin") - reach, F.col("end") + reach, reach)))
@@ -105,11 +141,12 @@ def linked_parts(parts, reach=300):
         F.col("end").alias("other_end"),
         F.explode(_cells(F.col("begin"), F.col("end"), reach)).alias("other_cell"))
     complementary = (F.col("role") == "secret") != (F.col("other_role") == "secret")
+    apart = (F.col("other_end") <= F.col("begin")) | (F.col("end") <= F.col("other_begin"))
     first = F.greatest(
         F.floor((F.col("begin") - reach) / reach), F.floor(F.col("other_begin") / reach))
     return left.join(
         right, (F.col("key") == F.col("other_key")) & (F.col("cell") == F.col("other_cell"))
-        & complementary & (F.col("cell") == first)
+        & complementary & apart & (F.col("cell") == first)
         & (F.col("other_begin") <= F.col("end") + reach)
         & (F.col("begin") - reach <= F.col("other_end"))).select(
         "key", "kind", "begin", "end", "other_kind", "other_begin", "other_end")
@@ -120,7 +157,8 @@ def scan(docs, id_column="doc_id", text_column="text", reach=300):
     found = settle(_parts(docs, id_column, text_column), "secret-parts")
     parts = found.where(F.size("weak") > 0).select(
         "key", F.explode(F.concat(
-            F.transform("strong", lambda x: F.struct(F.lit(False).alias("weak"), x.alias("x"))),
+            F.transform(F.concat("strong", "again"), lambda x: F.struct(
+                F.lit(False).alias("weak"), x.alias("x"))),
             F.transform("weak", lambda x: F.struct(F.lit(True).alias("weak"), x.alias("x")))))
         .alias("p")).select("key", "p.weak", "p.x.*").distinct()
     linked = settle(linked_parts(parts, reach).groupBy("key").agg(
