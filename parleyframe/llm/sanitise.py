@@ -38,7 +38,8 @@ COPIED_TERMS = 20_000
 #: Common words are ruled out by this part of the contexts, dealt by hash.
 BOUNDED_BY = 16
 
-LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
+LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]",
+          "term": "[TERM]", "reveal": ""}
 
 
 def _digits(value):
@@ -219,43 +220,48 @@ def digests(docs, **options):
         _listed(F.array_sort(F.concat("base", "terms"))).alias("spans"))
 
 
-def _masked(text, kind):
-    """The text with its valid matches of a kind replaced."""
-    pattern, label = PATTERNS[kind], LABELS[kind]
-    parts = F.split(text, pattern)
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    rebuilt = F.array_join(F.transform(F.arrays_zip(parts.alias("p"), matches.alias("m")), lambda x: (
-        F.concat(x["p"], F.when(x["m"].isNull(), "").when(
-            _valid(kind, x["m"]), label).otherwise(x["m"])))), "")
-    return F.when(text.rlike(pattern), rebuilt).otherwise(text)
+def cuts(values, terms):
+    """a, b and cuts: the spans of each text, overlapping ones merged, as ascending
+    (begin, end, label).  A value's label stands before a word's, then the first."""
+    every = values.drop("value").unionByName(terms.drop("term")).select(
+        "a", "b", "begin", "end", "kind").distinct()
+    before = Window.partitionBy("a", "b").orderBy("begin", "end", "kind")
+    new = F.coalesce(F.col("begin") >= F.max("end").over(
+        before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    merged = every.withColumn("new", new.cast("int")).withColumn(
+        "number", F.sum("new").over(before)).groupBy("a", "b", "number").agg(
+        F.min("begin").alias("begin"), F.max("end").alias("end"), F.min(F.struct(
+            F.when(F.col("kind") == "reveal", 2).when(F.col("kind") == "term", 1).otherwise(0)
+            .alias("rank"), "begin", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+            .alias("place"), "kind")).alias("first"))
+    label = F.lit("")
+    for kind, instead in LABELS.items():
+        label = F.when(F.col("first.kind") == kind, instead).otherwise(label)
+    return merged.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct(
+        "begin", "end", label.alias("label")))).alias("cuts"))
+
+
+def _cut(text, spans):
+    """The text with ascending spans, which do not overlap, replaced by their labels."""
+    def piece(x, i):
+        since = F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(0)
+        return F.concat(text.substr(since + 1, x["begin"] - since), x["label"])
+
+    last = F.get(spans, F.size(spans) - 1)["end"]
+    return F.concat(F.array_join(F.transform(spans, piece), ""), text.substr(
+        last + 1, F.length(text) - last))
 
 
 def sanitise(docs, id_column="doc_id", text_column="text", support=3, generalise=0.8, remove=0.95):
-    """``docs`` with values replaced by labels, disclosing words by ``[TERM]`` or nothing."""
-    _, _, terms = _searched(docs, id_column, text_column, support, generalise, remove)
-    # Per text, the words of each line that go or are generalised, as patterns.
-    by_line = terms.groupBy("a", "b", "line", "kind").agg(
-        F.concat(F.lit(r"(?iu)(?<![\p{L}\[])(?:"), F.array_join(
-            F.array_sort(F.collect_set("term")), "|"), F.lit(r")(?![\p{L}\]])")).alias("pattern"))
-    by_text = by_line.groupBy("a", "b").agg(F.map_from_entries(F.collect_list(F.struct(
-        F.concat_ws(":", "kind", "line"), "pattern"))).alias("patterns"))
+    """``docs`` with values replaced by labels, disclosing words by ``[TERM]`` or nothing:
+    the original texts, cut once by the spans that ``spans`` tells."""
+    _, values, terms = _searched(docs, id_column, text_column, support, generalise, remove)
     key = text_key(F.coalesce(docs[text_column], F.lit("")))
     rows = docs.select(F.struct("*").alias("row"), key["a"].alias("a"), key["b"].alias("b")).join(
-        by_text, ["a", "b"], "left")
-
-    def without_terms(line, number):
-        for kind, instead in (("term", "[TERM]"), ("reveal", "")):
-            pattern = F.element_at("patterns", F.concat_ws(":", F.lit(kind), number))
-            line = F.when(pattern.isNull(), line).otherwise(
-                F.regexp_replace(line, pattern, F.lit(instead)))
-        return line
-
-    out = rows.withColumn("clean", F.col("row")[text_column])
-    for kind in PATTERNS:
-        out = out.withColumn("clean", F.when(
-            F.col("clean").rlike(_ANY), _masked(F.col("clean"), kind)).otherwise(F.col("clean")))
-    out = out.withColumn("clean", F.when(F.col("patterns").isNull(), F.col("clean")).otherwise(
-        F.array_join(F.transform(F.split("clean", "\n"), without_terms), "\n")))
+        cuts(values, terms), ["a", "b"], "left")
+    text = F.col("row")[text_column]
+    out = rows.withColumn("clean", F.when(
+        F.col("cuts").isNull(), text).otherwise(_cut(text, F.col("cuts"))))
     return out.select(*(
         F.col("clean" if name == text_column else f"row.`{name}`").alias(name)
         for name in docs.columns))

@@ -91,3 +91,34 @@ def test_a_common_word_discloses_little(documents):
 def test_empty_table(none):
     assert sanitise.digests(none).collect() == []
     assert sanitise.sanitise(none).collect() == []
+
+
+def cut_by(text, listed):
+    """The text without the merged spans, and how many those are, as a pattern of the output."""
+    spans = sorted((int(b), int(e)) for _, b, e in (x.split(":") for x in listed.split(",") if x))
+    merged = []
+    for begin, end in spans:
+        if merged and begin < merged[-1][1]:
+            merged[-1][1] = max(end, merged[-1][1])
+        else:
+            merged.append([begin, end])
+    kept, at = [], 0
+    for begin, end in merged:
+        kept.append(re.escape(text[at:begin]))
+        at = end
+    return r"(\[EMAIL\]|\[IP\]|\[CARD\]|\[PHONE\]|\[TERM\]|)".join([*kept, re.escape(text[at:])])
+
+
+def test_no_character_of_a_span_survives(documents):
+    bracketed = [(300 + k, f"Filler {w}\nThe [zanzibar] office of {w} writes to kim@corp.example today")
+                 for k, w in enumerate(["kilo", "lima"])]
+    texts = dict(BETRAYED + CLEAN + OTHERS + bracketed + [
+        (400, "call +33.1.42.68.53.00 or"), (401, "é🙂 +33.1.42.68.53.00a@b.co 🙂"),
+        *((500 + k, t) for k, t in enumerate(TEXTS))])
+    docs = documents(list(texts.items()))
+    spans = {r["doc_id"]: r["spans"] for r in sanitise.digests(docs, generalise=0.7).collect()}
+    clean = {r["doc_id"]: r["text"] for r in sanitise.sanitise(docs, generalise=0.7).collect()}
+    for i, text in texts.items():
+        assert re.fullmatch(cut_by(text, spans[i]), clean[i], re.DOTALL), (text, clean[i])
+    assert clean[400] == "call [PHONE] or"
+    assert "zanzibar" not in clean[300] + clean[301] and "term:" in spans[300]
