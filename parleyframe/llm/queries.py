@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from parleyframe.llm import (
-    decontaminate, grades, language, packing, sanitise, secrets, simhash, substring_dedup,
-    syncmers, token_counts)
+    decontaminate, grades, language, packing, sanitise, secrets, simhash, spelling,
+    substring_dedup, syncmers, token_counts)
 from parleyframe.sources.tables import working_folder
 
 QUERIES = {}
@@ -130,3 +130,8 @@ def op5(spark, folder):
 @query("op10_document_fingerprints")
 def op10(spark, folder):
     return syncmers.compared(table(spark, folder, "documents"))
+
+
+@query("op11_spelling_variants")
+def op11(spark, folder):
+    return spelling.variants(table(spark, folder, "documents"))
