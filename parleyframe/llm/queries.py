@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from parleyframe.llm import (
-    decontaminate, grades, language, packing, sanitise, secrets, simhash, spelling,
-    substring_dedup, syncmers, token_counts)
+    decontaminate, grades, language, minhash, packing, sanitise, secrets, simhash,
+    spelling, substring_dedup, syncmers, token_counts)
 from parleyframe.sources.tables import working_folder
 
 QUERIES = {}
@@ -135,3 +135,8 @@ def op10(spark, folder):
 @query("op11_spelling_variants")
 def op11(spark, folder):
     return spelling.variants(table(spark, folder, "documents"))
+
+
+@query("op12_minhash_near_dedup")
+def op12(spark, folder):
+    return minhash.near_duplicates(table(spark, folder, "documents"))

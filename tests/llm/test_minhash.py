@@ -1,0 +1,122 @@
+import math
+import random
+
+import numpy as np
+import pytest
+
+from parleyframe.llm import minhash
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def brute_set(text):
+    words = (text or "").encode().lower().split()
+    if not words:
+        return frozenset()
+    return frozenset(tuple(words[i:i + 3]) for i in range(max(1, len(words) - 2)))
+
+
+def brute(pairs):
+    pairs = list(pairs)
+    sets = [brute_set(text) for _, text in pairs]
+    root = list(range(len(pairs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if a and 100 * both >= 85 * (len(a) + len(sets[j]) - both):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    groups = {}
+    for i, (name, _) in enumerate(pairs):
+        groups.setdefault(find(i), []).append(name)
+    low = {r: min((x for x in names if x is not None), default=None)
+           for r, names in groups.items()}
+    return sorted([(name, len(sets[i]), low[find(i)], name == low[find(i)])
+                   for i, (name, _) in enumerate(pairs)], key=repr)
+
+
+def result(frame):
+    return sorted([tuple(r) for r in frame.select(
+        "doc_id", "n_shingles", "component_id", "kept").collect()], key=repr)
+
+
+def edited(words, share, rng):
+    return [rng.choice("abcdefgh") + w if rng.random() < share else w for w in words]
+
+
+@pytest.fixture(scope="module")
+def family():
+    """A base text edited a little and a lot, so that links and unlinked pairs mix."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10 ** 6)}" for _ in range(120)]
+    texts = [" ".join(edited(base, share, rng)) for share in (.01, .02, .03, .06) for _ in range(30)]
+    return [(i, text) for i, text in enumerate(texts, 5)]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_family(spark, documents, monkeypatch, family, small):
+    if small:
+        monkeypatch.setattr(minhash, "SIGNATURE_BYTES", 1300)
+        monkeypatch.setattr(minhash, "SET_BYTES", 9000)
+    expected = brute(family)
+    assert 1 < len({x[2] for x in expected}) < len(expected)
+    assert result(minhash.near_duplicates(documents(family))) == expected
+
+
+def test_whole_table(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    expected = brute((r["doc_id"], r["text"]) for r in docs.collect())
+    assert sum(not x[3] for x in expected) > 5
+    assert result(minhash.near_duplicates(docs)) == expected
+
+
+def test_exactly_at_the_threshold(documents):
+    # 17 of 20 shingles in common, and 16 of 19.
+    def text(shared, own, tag):
+        return " . ".join([f"s{i} s{i}" for i in range(shared)] + [f"{tag}{i} {tag}{i}" for i in range(own)])
+    pairs = [(1, "a b c"), (2, "A b\tc"), (3, "a b"), (4, "A  B"), (5, "a"), (6, text(40, 1, "x")),
+             (7, text(40, 2, "y"))]
+    assert result(minhash.near_duplicates(documents(pairs))) == brute(pairs)
+    near = minhash._near_sets([np.arange(20, dtype=np.uint64).tobytes(),
+                               np.arange(17, dtype=np.uint64).tobytes(),
+                               np.arange(16, dtype=np.uint64).tobytes()])
+    assert near(0, np.array([1, 2])).tolist() == [True, False]
+
+
+def test_every_pair_within_the_radius_shares_a_key():
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        one = rng.integers(0, 2 ** 16, (1, minhash.SYMBOLS), np.uint16)
+        other = one.copy()
+        other[0, rng.choice(minhash.SYMBOLS, minhash.RADIUS, replace=False)] += 1
+        assert (minhash.chunk_keys(one) == minhash.chunk_keys(other)).any()
+
+
+def test_radius():
+    n, p = minhash.SYMBOLS, 1 - minhash.PERCENT / 100
+    missed = sum(math.comb(n, k) * p ** k * (1 - p) ** (n - k)
+                 for k in range(minhash.RADIUS + 1, n + 1))
+    assert missed < 1 / 4e9
+
+
+def test_signatures_estimate_likeness():
+    rng = np.random.default_rng(4)
+    share = []
+    for _ in range(200):
+        whole = rng.integers(0, 2 ** 63, 230, np.uint64)
+        a, b = (minhash.signature(np.unique(x)) for x in (whole[:215], whole[15:]))
+        share.append((a == b).mean())
+    assert abs(np.mean(share) - 200 / 230) < 0.01
+
+
+def test_odd_rows(odd):
+    assert result(minhash.near_duplicates(odd)) == brute(
+        [(r["doc_id"], r["text"]) for r in odd.collect()])
+
+
+def test_no_rows(none):
+    assert minhash.near_duplicates(none).collect() == []
