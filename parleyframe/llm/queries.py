@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from parleyframe.llm import (
-    decontaminate, grades, language, minhash, packing, sanitise, secrets, simhash,
+    collocations, decontaminate, grades, language, minhash, packing, sanitise, secrets, simhash,
     spelling, substring_dedup, syncmers, token_counts)
 from parleyframe.sources.tables import working_folder
 
@@ -140,3 +140,41 @@ def op11(spark, folder):
 @query("op12_minhash_near_dedup")
 def op12(spark, folder):
     return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op13_phrase_collocations", f"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), {UPPER}, {LOWER}), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents) x),
+places AS (
+  SELECT lang, w, size, unnest(generate_series(1, len(w) - size + 1)) AS spot
+  FROM pieces, (SELECT unnest(generate_series(1, 5)) AS size) s WHERE len(w) >= size),
+f AS (
+  SELECT lang, w[spot:spot + size - 1] AS p, count(*) AS a FROM places GROUP BY 1, 2),
+totals AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE len(p) = 1 GROUP BY lang),
+chosen AS (SELECT * FROM f WHERE len(p) > 1 AND a >= 100),
+inner_sizes AS (
+  SELECT lang, p, a, unnest(generate_series(2, len(p) - 1)) AS size FROM chosen WHERE len(p) > 2),
+inner_places AS (
+  SELECT *, unnest(generate_series(1, len(p) - size + 1)) AS spot FROM inner_sizes),
+explained AS (
+  SELECT lang, p[spot:spot + size - 1] AS p, max(a) AS longer FROM inner_places GROUP BY 1, 2),
+kept AS (
+  SELECT c.* FROM chosen c LEFT JOIN explained e ON c.lang = e.lang AND c.p = e.p
+  WHERE longer IS NULL OR 100 * longer < 100 * a),
+cuts AS (SELECT *, unnest(generate_series(1, len(p) - 1)) AS k FROM kept),
+scored AS (
+  SELECT c.lang, c.p, c.a, k, x.a AS l, y.a AS r, n,
+         (CAST(1000 AS HUGEINT) * c.a * n) // (CAST(x.a AS HUGEINT) * y.a) AS score
+  FROM cuts c JOIN f x ON c.lang = x.lang AND c.p[1:k] = x.p
+  JOIN f y ON c.lang = y.lang AND c.p[k + 1:len(c.p)] = y.p JOIN totals t ON c.lang = t.lang),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, k) AS nth FROM scored),
+ranked AS (
+  SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score,
+         row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank
+  FROM best WHERE nth = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000""")
+def op13(spark, folder):
+    return collocations.collocations(table(spark, folder, "documents"))
