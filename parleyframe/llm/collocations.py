@@ -30,8 +30,8 @@ from parleyframe.sources.tables import settle
 
 #: The longest phrase, the fewest occurrences, phrases told a language.
 LONGEST, LEAST, FIRST = 5, 100, 2000
-#: Words a map task reads before it sends; suffixes a bucket is meant to hold.
-UNIT_WORDS, BUCKET = 2_000_000, 500_000
+#: Words a map task counts, and sends to buckets, at once; suffixes a bucket is meant to hold.
+UNIT_WORDS, SENT_WORDS, BUCKET = 2_000_000, 1_000_000, 500_000
 #: Bits of the bitmap of frequent words, and the fewest cells suffixes are counted in.
 BITS, CELLS = 1 << 23, 1 << 16
 _SLICE, _CHUNK = 4096, 8_000_000
@@ -65,8 +65,8 @@ def _tokens(text):
         at = end
 
 
-def _units(batches):
-    """(numbers of words in a row, names) for about ``UNIT_WORDS`` words at a time."""
+def _units(batches, words):
+    """(numbers of words in a row, names) for about ``words`` words at a time."""
     names, by_lang, held, size = [None], {}, [], 0
     for batch in batches:
         for lang, text in zip(batch["lang"], batch["text"].cast(pa.binary())):
@@ -78,7 +78,7 @@ def _units(batches):
                     map(by_lang[lang].__getitem__, tokens), np.int32, len(tokens)))
                 held.append(np.zeros(1, np.int32))
                 size += len(tokens)
-                if size >= UNIT_WORDS:
+                if size >= words:
                     yield np.concatenate(held), names
                     names, by_lang, held, size = [None], {}, [], 0
                     by_lang[lang] = _Names(lang, names)
@@ -108,11 +108,16 @@ def _mixed(x):
     return x ^ (x >> np.uint64(29))
 
 
+def _longer(mixed, word):
+    """The hash of leading words, of those before and the next one."""
+    return _mixed(mixed * _STEP + word)
+
+
 def _leading(columns, hashes):
     """A hash of the first i words of every suffix, for i from 2 on."""
     mixed, out = _mixed(hashes[columns[0]]), []
     for column in columns[1:]:
-        mixed = _mixed(mixed * _STEP + hashes[column])
+        mixed = _longer(mixed, hashes[column])
         out.append(mixed)
     return out
 
@@ -135,7 +140,7 @@ def _counted(texts, seed, cells):
     slices = cells // _SLICE
 
     def run(batches):
-        for ids, names in _units(batches):
+        for ids, names in _units(batches, UNIT_WORDS):
             hashes, n = _hashes(names, seed), np.bincount(ids, minlength=len(names))
             size = len(names) - 1
             yield pa.record_batch({
@@ -143,9 +148,10 @@ def _counted(texts, seed, cells):
                 "word": pa.array([x[1] for x in names[1:]], pa.binary()).cast(pa.string()),
                 "h": pa.array(hashes[1:].view(np.int64)), "n": pa.array(n[1:], pa.int64()),
                 "slice": pa.nulls(size, pa.int32()), "cells": pa.nulls(size, pa.binary())})
-            leading = _leading(_suffixes(ids, np.ones(len(names), bool)), hashes)
-            at, packed = [], []
-            for level, mixed in enumerate(leading[:-1]):
+            columns, at, packed = _suffixes(ids, np.ones(len(names), bool)), [], []
+            mixed = _mixed(hashes[columns[0]])
+            for level, column in enumerate(columns[1:-1]):
+                mixed = _longer(mixed, hashes[column])
                 found, many = _tallied((mixed % np.uint64(cells)).astype(np.int64), cells)
                 edges = np.searchsorted(found, np.arange(slices + 1) * _SLICE)
                 for i in np.flatnonzero(np.diff(edges)):
@@ -214,7 +220,7 @@ def _buckets(texts, seed, bits, hot, cells, buckets):
         frequent, full = shared.value
         bitmap = np.unpackbits(frequent, bitorder="little").view(bool)
         pack = zstandard.ZstdCompressor(level=1).compress
-        for ids, names in _units(batches):
+        for ids, names in _units(batches, SENT_WORDS):
             hashes = _hashes(names, seed)
             keep = bitmap[hashes.view(np.int64) % BITS]
             keep[0] = False

@@ -57,7 +57,7 @@ def table(spark):
 @pytest.mark.parametrize("least, first, sizes", [
     (100, 2000, {}), (4, 70, {}),
     # Small units and buckets: words that are frequent only together, deep routes.
-    (4, 10 ** 6, {"UNIT_WORDS": 3000, "BUCKET": 20, "CELLS": 4096})])
+    (4, 10 ** 6, {"UNIT_WORDS": 3000, "SENT_WORDS": 2000, "BUCKET": 20, "CELLS": 4096})])
 def test_whole_table(table, monkeypatch, least, first, sizes):
     for name, value in sizes.items():
         monkeypatch.setattr(collocations, name, value)

@@ -55,7 +55,7 @@ def test_run_is_the_stages(spark, stages):
 
 def test_every_operator_has_its_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
