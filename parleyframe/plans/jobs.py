@@ -1,8 +1,10 @@
 """The jobs: transcribe, diarize, assign speakers, infer names, and all in a row.
 
 Each runs over all episodes of its input tables at once.  Model calls are
-settled (written once) before their answers are used, in a run folder that the
-caller may name and drop afterwards.
+settled (written once) before their answers are used.  A job that is given a
+``folder`` keeps the tables of its steps there: run again with the same inputs and
+models (by name), it takes over finished steps, and of prompts it asks only those
+without an answer.  ``drop_folder`` removes them.
 """
 
 from dataclasses import dataclass
@@ -26,7 +28,7 @@ from parleyframe.schemas import Settings
 from parleyframe.sources.rttm import FAILFAST, read_rttm, write_rttm
 from parleyframe.sources.segments import (
     NAMED_FIELDS, SEGMENT_FIELDS, read_transcript, read_utterances, write_segments)
-from parleyframe.sources.tables import load_reference, run_folder, save_reference, settle
+from parleyframe.sources.tables import Steps, load_reference, save_reference
 
 DEFAULTS = Settings()
 WINDOW_MINUTES, WINDOW_OVERLAP = 30, 30
@@ -48,11 +50,19 @@ def transcribe(pcm, model, block_samples, settings=DEFAULTS, window_minutes=WIND
         audio, model, step_ms, settings.tick_factor, length_ms - step_ms)
 
 
+def _settled_transcript(steps, pcm, model, *arguments):
+    return steps("transcript", lambda: transcribe(pcm, model, *arguments), pcm,
+                 model=model.name, arguments=arguments)
+
+
 def transcribe_files(spark, pcm_path, output_path, model, block_samples, settings=DEFAULTS,
-                     window_minutes=WINDOW_MINUTES, layout="records"):
-    """The same from a stored PCM table to segment JSON."""
-    transcript = transcribe(
-        spark.read.parquet(pcm_path), model, block_samples, settings, window_minutes)
+                     window_minutes=WINDOW_MINUTES, layout="records", folder=None,
+                     overlap_seconds=WINDOW_OVERLAP):
+    """The same from a stored PCM table to segment JSON; the model hears every window
+    once, whatever the layout."""
+    transcript = _settled_transcript(
+        Steps.of(spark, folder), spark.read.parquet(pcm_path), model, block_samples, settings,
+        window_minutes, overlap_seconds)
     write_segments(transcript, output_path, SEGMENT_FIELDS, layout)
 
 
@@ -72,19 +82,21 @@ def diarize(pcm, detector, embedder, block_samples, settings=DEFAULTS, reference
     has none keeps its later turns, as UNKNOWN.  Tables are settled in ``folder``.
     """
     spark = pcm.sparkSession
-    folder = folder or run_folder(spark)
+    steps = Steps.of(spark, folder)
     grid = (settings.chunk_minutes, settings.overlap_seconds)
     if lengths is None:
         lengths = audio_duration(pcm).select(
             "episode_id", F.ceil(F.col("seconds") * 1000).cast("long").alias("duration_ms"))
-    windows = settle(chunk_windows(lengths, *grid), "windows", folder)
+    windows = steps("windows", lambda: chunk_windows(lengths, *grid), lengths, grid=grid)
     audio = chunk_audio(pcm, block_samples, *grid)
     wanted = F.lit(settings.num_speakers).cast("int")
 
     def turns_of(some_audio, some_windows, name):
-        return settle(models.detect_turns(
-            some_audio, some_windows, detector, embedder, settings.min_embedding_seconds),
-            name, folder)
+        return steps(
+            name, lambda: models.detect_turns(
+                some_audio, some_windows, detector, embedder, settings.min_embedding_seconds),
+            pcm, some_windows, detector=detector.name, embedder=embedder and embedder.name,
+            settings=settings, block_samples=block_samples)
 
     if settings.num_speakers:
         turns = turns_of(audio, windows.withColumn("num_speakers", wanted), "turns")
@@ -98,18 +110,20 @@ def diarize(pcm, detector, embedder, block_samples, settings=DEFAULTS, reference
         reference = turns_of(
             chunk_audio(opening, block_samples, *grid).where(F.col("idx") == 0),
             reference_chunks(windows).withColumn("num_speakers", wanted), "reference")
-        targets = settle(target_speakers(count_speakers(reference)), "targets", folder)
+        targets = steps(
+            "targets", lambda: target_speakers(count_speakers(reference)), reference)
         turns = turns_of(
             audio, windows.join(
                 targets.select("episode_id", "num_speakers"), "episode_id", "left"), "turns")
     if strict and not windows_without_turns(windows, turns).isEmpty():
         raise ValueError("some windows have no turns")
-    labelled = cluster_speakers(
-        reference.select("episode_id", "turn_pos", "embedding"), targets)
+    labelled = steps("labelled", lambda: cluster_speakers(
+        reference.select("episode_id", "turn_pos", "embedding"), targets), reference, targets)
     if reference_path:
-        save_reference(labelled, reference_path)
+        # A run that goes on writes what it wrote before.
+        save_reference(labelled, reference_path, "overwrite" if steps.named else "errorifexists")
         labelled = load_reference(spark, reference_path)
-    middles = settle(centroids(labelled), "centroids", folder)
+    middles = steps("centroids", lambda: centroids(labelled), labelled)
     named = assign_centroid(turns, middles)
     placed = named.withColumns({
         "start": F.col("start") + F.col("global_start"),
@@ -134,9 +148,9 @@ def assign(transcript, turns, settings=DEFAULTS, strict=False, folder=None):
     """Transcript and turns to utterances.  ``strict`` fails on an episode of the
     transcript that has no turns at all; otherwise its rows are UNKNOWN.  Both
     inputs are used more than once and settled first, so each is parsed once."""
-    folder = folder or run_folder(transcript.sparkSession)
-    transcript = settle(transcript, "transcript", folder)
-    turns = settle(turns, "turns", folder)
+    steps, read, heard = Steps.of(transcript.sparkSession, folder), transcript, turns
+    transcript = steps("segments", lambda: read, read)
+    turns = steps("speaker-turns", lambda: heard, heard)
     if strict:
         transcript = require_turns(transcript, turns)
     return assign_speakers(transcript, turns, settings.unknown_label)
@@ -175,14 +189,23 @@ def contexts(episodes, extractor=None, hosts=(), settings=DEFAULTS):
 def inference_cycle(profiles, episode_contexts, model, number, targets=None, strict=False,
                     concurrency=None, instructions=ANSWER_FORMAT, folder=None):
     """One round of asking: prompts for the target speakers (default: all, by
-    first appearance), answers, and their proposals of pass ``number``, settled."""
+    first appearance), answers, and their proposals of pass ``number``, settled.  In a
+    named folder the answers are kept one by one (``models.generate_into``)."""
+    steps = Steps.of(profiles.sparkSession, folder)
     order = ("first_start", "first_pos")
     if targets is not None:
         profiles = refine_targets(profiles, targets, strict)
         order = ("target_pass", "target_pos")
     prompts = build_prompts(profiles, episode_contexts, order, instructions)
-    answers = models.generate(prompts, model, concurrency).withColumn("pass", F.lit(number))
-    return settle(models.parse_proposals(answers, strict), f"proposals-{number}", folder)
+
+    def proposals():
+        if steps.named:
+            answers = models.generate_into(prompts, model, f"{steps.folder}/answers", concurrency)
+        else:
+            answers = models.generate(prompts, model, concurrency)
+        return models.parse_proposals(answers.withColumn("pass", F.lit(number)), strict)
+
+    return steps(f"proposals-{number}", proposals, prompts, model=model.name, strict=strict)
 
 
 @dataclass
@@ -204,23 +227,24 @@ def infer_names(utterances, episodes, model, extractor=None, hosts=(), settings=
     ``instructions`` open every prompt and ``retry_note`` ends the context of the
     second round's.
     """
-    folder = folder or run_folder(utterances.sparkSession)
-    profiles = settle(
-        speaker_profiles(utterances, settings.quotes_start, settings.quotes_end), "profiles",
-        folder)
+    steps = Steps.of(utterances.sparkSession, folder)
+    profiles = steps("profiles", lambda: speaker_profiles(
+        utterances, settings.quotes_start, settings.quotes_end), utterances, settings=settings)
     # An episode without metadata is asked about with an empty title and description.
     known = (
         profiles.select("episode_id").distinct().join(episodes, "episode_id", "left")
         .fillna("", ["name", "description"]))
-    about = settle(contexts(known, extractor, hosts, settings), "contexts", folder)
+    about = steps("contexts", lambda: contexts(known, extractor, hosts, settings),
+                  profiles, episodes, extractor=extractor and extractor.name,
+                  hosts=tuple(hosts), settings=settings)
 
     def cycle(number, some_contexts, targets=None):
         return inference_cycle(
             profiles, some_contexts, model, number, targets, strict, concurrency, instructions,
-            folder)
+            steps)
 
     proposals = cycle(1, about)
-    merged = naming.consolidate(proposals)
+    merged, rounds = naming.consolidate(proposals), [proposals]
     if settings.max_passes > 1:
         open_cases = naming.unresolved_speakers(
             merged, naming.conflict_flags(proposals, settings.high_confidence),
@@ -229,9 +253,10 @@ def infer_names(utterances, episodes, model, extractor=None, hosts=(), settings=
             "episode_id", "speaker_id", F.col("first_pass").alias("target_pass"),
             F.col("first_pos").alias("target_pos"))
         focused = about.withColumn("context", F.concat(F.col("context"), F.lit(retry_note)))
-        merged = naming.consolidate(proposals.unionByName(cycle(2, focused, targets)))
-    final = settle(
-        naming.finalize_assignments(merged, settings.high_confidence), "names", folder)
+        rounds.append(cycle(2, focused, targets))
+        merged = naming.consolidate(proposals.unionByName(rounds[1]))
+    final = steps("names", lambda: naming.finalize_assignments(
+        merged, settings.high_confidence), *rounds, settings=settings)
     return NamedSpeakers(
         final, naming.label_transcript(utterances, final, settings.start_offset_sec))
 
@@ -240,11 +265,11 @@ def infer_files(spark, transcript_path, output_path, episodes, model, extractor=
                 settings=DEFAULTS, layout="records", strict=False, partitioned=False,
                 folder=None, **asking):
     """The same from diarized JSON to JSON with names; returns the assignments."""
-    folder = folder or run_folder(spark)
-    utterances = settle(
-        read_utterances(spark, transcript_path, layout, partitioned), "utterances", folder)
+    steps = Steps.of(spark, folder)
+    read = read_utterances(spark, transcript_path, layout, partitioned)
+    utterances = steps("utterances", lambda: read, read)
     result = infer_names(
-        utterances, episodes, model, extractor, hosts, settings, strict, folder=folder, **asking)
+        utterances, episodes, model, extractor, hosts, settings, strict, folder=steps, **asking)
     write_segments(result.labelled, output_path, NAMED_FIELDS, layout)
     return result.assignments
 
@@ -255,11 +280,12 @@ def process_corpus(pcm, episodes, speech, detector, embedder, namer, block_sampl
                    extractor=None, hosts=(), settings=DEFAULTS, window_minutes=WINDOW_MINUTES,
                    overlap_seconds=WINDOW_OVERLAP, strict=False, folder=None, **asking):
     """PCM and episode metadata to named utterances."""
-    folder = folder or run_folder(pcm.sparkSession)
-    transcript = transcribe(pcm, speech, block_samples, settings, window_minutes, overlap_seconds)
+    steps = Steps.of(pcm.sparkSession, folder)
+    transcript = _settled_transcript(
+        steps, pcm, speech, block_samples, settings, window_minutes, overlap_seconds)
     turns = diarize(
-        pcm, detector, embedder, block_samples, settings, strict=strict, folder=folder)
-    utterances = settle(
-        assign(transcript, turns, settings, strict, folder), "utterances", folder)
+        pcm, detector, embedder, block_samples, settings, strict=strict, folder=steps)
+    said = assign(transcript, turns, settings, strict, steps)
+    utterances = steps("utterances", lambda: said, said)
     return infer_names(
-        utterances, episodes, namer, extractor, hosts, settings, strict, folder=folder, **asking)
+        utterances, episodes, namer, extractor, hosts, settings, strict, folder=steps, **asking)

@@ -1,10 +1,12 @@
 """Text files as ordered lines, without reading a file in one piece."""
 
+from contextlib import contextmanager
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parleyframe.sources.tables import settle
+from parleyframe.sources.tables import drop_folder, run_folder, settle
 
 EXTENSION = r"\.[^.]*$"
 
@@ -80,6 +82,9 @@ def write_lines(lines, path, order, mode="errorifexists", per_episode=False):
     several part files whose names follow its order, and short ones share a
     file.  ``per_episode`` writes a directory for each episode instead, which
     suits a limited number of episodes.
+
+    Spark samples the rows for the bounds of the ranges before it shuffles them,
+    so ``lines`` is computed twice; see ``settled_while``.
     """
     ordered = lines.repartitionByRange("episode_id", *order).sortWithinPartitions(
         "episode_id", *order)
@@ -87,3 +92,15 @@ def write_lines(lines, path, order, mode="errorifexists", per_episode=False):
         ordered.select("episode_id", "line").write.mode(mode).partitionBy("episode_id").text(path)
     else:
         ordered.select("line").write.mode(mode).text(path)
+
+
+@contextmanager
+def settled_while(table, name):
+    """The rows written out for the time of a ``with`` block, for steps that read them
+    more than once; what they come from, such as model calls, runs once."""
+    spark = table.sparkSession
+    folder = run_folder(spark)
+    try:
+        yield settle(table, name, folder)
+    finally:
+        drop_folder(spark, folder)

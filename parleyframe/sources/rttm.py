@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from parleyframe.functions.numbers import parse_float, required
 from parleyframe.functions.text import SPACE_RUN, fixed, strip, words
-from parleyframe.sources.lines import computed_once, ordered_lines, write_lines
+from parleyframe.sources.lines import (
+    computed_once, ordered_lines, settled_while, write_lines)
 
 FAILFAST, PERMISSIVE, DROPMALFORMED = "FAILFAST", "PERMISSIVE", "DROPMALFORMED"
 
@@ -46,7 +47,10 @@ def parse_rttm(lines, mode=FAILFAST, episode_from_line=False):
     if mode == DROPMALFORMED:
         parsed = parsed.where(good)
     elif mode == FAILFAST:
-        complaint = F.concat(F.lit("Invalid RTTM line: "), F.col("line"))
+        complaint = F.concat(
+            F.lit("malformed speaker turn: "), F.col("n_fields").cast("string"),
+            F.lit(f" fields ({FIELDS_NEEDED} needed), first "), F.coalesce("head", F.lit("none")),
+            F.lit(", in "), F.col("line"))
         parsed = parsed.where(
             F.when(good, F.lit(True)).otherwise(F.raise_error(complaint).cast("boolean")))
     episode = F.col("recording") if episode_from_line else F.col("episode_id")
@@ -83,7 +87,8 @@ def rttm_line(start, end, speaker, recording=None):
 
 def write_rttm(turns, path, mode="errorifexists", order=("start", "end", "speaker"),
                per_episode=False):
-    """Write turns (episode_id, start, end, speaker) ordered by time (or ``order``).
+    """Write turns (episode_id, start, end, speaker) ordered by time (or ``order``),
+    computed once.
 
     Lines name their episode as the recording; with ``per_episode`` they do not,
     and each episode has a directory.
@@ -94,4 +99,5 @@ def write_rttm(turns, path, mode="errorifexists", order=("start", "end", "speake
     lines = turns.select(
         "episode_id", *order,
         rttm_line(F.col("start"), F.col("end"), F.col("speaker"), recording).alias("line"))
-    write_lines(lines, path, order, mode, per_episode)
+    with settled_while(lines, "lines") as rows:
+        write_lines(rows, path, order, mode, per_episode)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from parleyframe.functions.numbers import parse_float, required
 from parleyframe.functions.text import strip
 from parleyframe.sources.lines import (
-    computed_once, numbered_lines, whole_files, write_lines)
+    computed_once, numbered_lines, settled_while, whole_files, write_lines)
 
 SEGMENT_FIELDS = ("start", "end", "text")
 DIARIZED_FIELDS = ("start", "end", "speaker", "text")
@@ -125,19 +125,21 @@ def write_segments(segments, path, fields=DIARIZED_FIELDS, layout="records",
     episode.  The part files of an ``array``, read one after the other, are one
     JSON array (an episode of ordinary length is a single file): the brackets
     are lines of their own and commas lead, so the array is never assembled in
-    memory.
+    memory.  ``segments`` are computed once.
     """
-    if layout == "records":
-        rows = segments.select(
-            "episode_id", "pos", segment_json(("episode_id", "pos", *fields)).alias("line"))
-        write_lines(rows, path, ["pos"], mode)
-        return
-    rows = segments.select("episode_id", "pos", segment_json(fields).alias("line"))
-    if layout == "lines":
-        write_lines(rows, path, ["pos"], mode, per_episode=True)
-        return
-    if layout != "array":
+    if layout not in ("records", "lines", "array"):
         raise ValueError(f"unknown layout {layout!r}")
+    keys = ("episode_id", "pos") if layout == "records" else ()
+    with settled_while(segments.select(
+            "episode_id", "pos", segment_json((*keys, *fields)).alias("line")), "lines") as rows:
+        if layout == "array":
+            write_lines(_bracketed(rows), path, ["pos", "part"], mode, per_episode=True)
+        else:
+            write_lines(rows, path, ["pos"], mode, per_episode=layout == "lines")
+
+
+def _bracketed(rows):
+    """The lines of each episode as those of one JSON array."""
     ends = rows.groupBy("episode_id").agg(
         F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
     body = rows.join(ends, "episode_id").select(
@@ -146,5 +148,4 @@ def write_segments(segments, path, fields=DIARIZED_FIELDS, layout="records",
                  F.col("line")).alias("line"))
     opening = ends.select("episode_id", F.col("first_pos").alias("pos"), F.lit(0), F.lit("["))
     closing = ends.select("episode_id", F.col("last_pos").alias("pos"), F.lit(2), F.lit("]"))
-    write_lines(
-        body.union(opening).union(closing), path, ["pos", "part"], mode, per_episode=True)
+    return body.union(opening).union(closing)

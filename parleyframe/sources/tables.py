@@ -1,7 +1,16 @@
 """Tables that outlive the job step that made them."""
 
+import contextlib
+import hashlib
+import io
+import json
+import re
 import uuid
 
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
 from parleyframe.schemas import TURNS
 
 # For sessions without a shared checkpoint folder, such as tests.
@@ -44,6 +53,76 @@ def settle(table, name, folder=None):
     return spark.read.schema(table.schema).parquet(path)
 
 
+_FIELDS_SHOWN = "spark.sql.debug.maxToStringFields"
+
+
+def identity(table):
+    """Text that tells what a table is computed from: its plan, and the names, sizes
+    and times of the files it reads.
+
+    A table of rows from memory is only known to the application that holds them.
+    """
+    spark, shown = table.sparkSession, io.StringIO()
+    before = spark.conf.get(_FIELDS_SHOWN)
+    spark.conf.set(_FIELDS_SHOWN, 1_000_000)
+    try:
+        with contextlib.redirect_stdout(shown):
+            table.explain("extended")
+    finally:
+        spark.conf.set(_FIELDS_SHOWN, before)
+    plan = re.sub(r"#\d+L?|plan_id=\d+", "", shown.getvalue())
+    known, files = [plan], table.inputFiles()
+    if files:
+        known.append(str(spark.read.format("binaryFile").load(files).agg(
+            F.count("*"), F.sum(F.xxhash64("path", "length", "modificationTime")
+                                .cast("decimal(20,0)"))).first()))
+    if not files or re.search("ExistingRDD|LogicalRDD|LocalRelation|LocalTableScan", plan):
+        known += [spark.sparkContext.applicationId, str(table.semanticHash())]
+    return "\n".join(known)
+
+
+class Steps:
+    """The settled tables of a run's steps.
+
+    In a folder that the caller names they are kept by step, inputs and parameters
+    (models by name), so that a run that starts again after a failure takes over
+    what was finished and computes the rest.  Without a name, tables go to a new
+    folder and are simply settled.
+    """
+
+    def __init__(self, spark, folder=None):
+        self.spark, self.named = spark, folder is not None
+        self.folder = folder or run_folder(spark)
+
+    @classmethod
+    def of(cls, spark, folder):
+        return folder if isinstance(folder, cls) else cls(spark, folder)
+
+    def __call__(self, name, build, *inputs, **parameters):
+        """``build()``, written once and read back; ``inputs`` are the tables and
+        ``parameters`` the values it depends on."""
+        if not self.named:
+            return settle(build(), name, self.folder)
+        known = "\n\n".join([*map(identity, inputs), repr(sorted(parameters.items()))])
+        path = f"{self.folder}/{name}-{hashlib.sha256(known.encode()).hexdigest()[:32]}"
+        schema = self._finished(path)
+        if schema is None:
+            table = build()
+            table.write.mode("overwrite").parquet(path)
+            schema = table.schema
+            # Written last: its row says that the table is whole.
+            self.spark.range(1).select(F.lit(schema.json()).alias("schema")).coalesce(1).write.mode(
+                "overwrite").parquet(f"{path}-finished")
+        return self.spark.read.schema(schema).parquet(path)
+
+    def _finished(self, path):
+        try:
+            row = self.spark.read.schema("schema string").parquet(f"{path}-finished").first()
+        except AnalysisException:  # no such folder yet
+            return None
+        return row and StructType.fromJson(json.loads(row["schema"]))
+
+
 def save_reference(labelled, path, mode="errorifexists"):
     """Store labelled reference turns (episode_id, turn_pos, label, embedding)."""
     labelled.select("episode_id", "turn_pos", "label", "embedding").write.mode(mode).parquet(path)

@@ -295,3 +295,108 @@ def test_readme_example(spark, tmp_path):
         (e, float(i), f"{LEVELS[s]:.1f}", f"Person {list(dict.fromkeys(v)).index(s)}")
         for e, v in (("x", [2, 0, 1, 2, 0, 1]), ("y", [1, 0]))
         for i, s in enumerate(np.repeat(v, 2).tolist()))
+
+
+def counting(model, folder):
+    """The same model; every call leaves a file in ``folder``."""
+    import os
+    import uuid
+
+    def load():
+        call = model.load()
+
+        def counted(*arguments):
+            open(os.path.join(folder, f"{model.name}-{uuid.uuid4().hex}"), "w").close()
+            return call(*arguments)
+        return counted
+    return Model(f"{model.name} counted in {folder}", load)
+
+
+@pytest.mark.parametrize("layout", ["records", "lines", "array"])
+def test_a_window_is_heard_once(spark, tmp_path, layout):
+    """Whatever the layout of the files, the speech model is asked once a window."""
+    (tmp_path / "calls").mkdir()
+    pcm(spark, {"x": [wave([2, 0, 1, 2, 0, 1])], "y": [wave([1, 1])]}, BLOCK, RATE).write.parquet(
+        str(tmp_path / "pcm"))
+    model = counting(Model("speech", load_speech), str(tmp_path / "calls"))
+    jobs.transcribe_files(spark, str(tmp_path / "pcm"), str(tmp_path / "text"), model, BLOCK,
+                          window_minutes=6 / 60, layout=layout, overlap_seconds=2)
+    # Windows start every four seconds of 12 and of 4.
+    assert len(list((tmp_path / "calls").iterdir())) == 3 + 1
+    from parleyframe.sources.segments import read_transcript
+    rows = read_transcript(spark, str(tmp_path / "text"), layout=layout,
+                           partitioned=layout != "records").collect()
+    assert sorted((r.episode_id, r.start, r.text) for r in rows) == sorted(
+        (e, float(i), f"{LEVELS[s]:.1f}") for e, v in (("x", [2, 0, 1, 2, 0, 1]), ("y", [1, 1]))
+        for i, s in enumerate(np.repeat(v, 2).tolist()))
+
+
+def test_turns_are_written_from_one_computation(spark, tmp_path):
+    from parleyframe.sources.rttm import read_rttm, write_rttm
+    (tmp_path / "calls").mkdir()
+    ask = counting(Model("echo", lambda: lambda prompt: prompt), str(tmp_path / "calls"))
+    from parleyframe.operators.models import generate
+    turns = generate(spark.createDataFrame(
+        [("x", float(i), i + 1.0, f"S{i % 3}") for i in range(20)],
+        "episode_id string, start double, end double, prompt string"), ask)
+    write_rttm(turns.withColumnRenamed("response", "speaker"), str(tmp_path / "turns"))
+    assert len(list((tmp_path / "calls").iterdir())) == 20
+    assert read_rttm(spark, str(tmp_path / "turns")).count() == 20
+
+
+def run_corpus(table, episodes, calls, folder, **changed):
+    models = {
+        "speech": Model("speech", load_speech), "detector": DETECTOR, "embedder": EMBEDDER,
+        "namer": Model("namer", load_namer), **changed}
+    models = {name: counting(model, str(calls)) for name, model in models.items()}
+    result = jobs.process_corpus(
+        table, episodes, models["speech"], models["detector"], models["embedder"],
+        models["namer"], BLOCK, settings=Settings(chunk_minutes=8 / 60, overlap_seconds=2),
+        window_minutes=6 / 60, overlap_seconds=2, folder=folder)
+    return sorted((r.start, r.text, r.speaker_name) for r in result.labelled.collect())
+
+
+def test_a_second_run_makes_no_model_call(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    pcm(spark, {"x": [wave([2, 0, 1, 2, 0, 1])]}, BLOCK, RATE).write.parquet(str(tmp_path / "pcm"))
+    episodes = spark.createDataFrame([("x", "Show - 1", "about", 12000)], EPISODES)
+    episodes.write.parquet(str(tmp_path / "episodes"))
+
+    def run(**changed):
+        before = {f.name for f in calls.iterdir()}
+        rows = run_corpus(spark.read.parquet(str(tmp_path / "pcm")),
+                          spark.read.parquet(str(tmp_path / "episodes")),
+                          calls, str(tmp_path / "run"), **changed)
+        asked = {f.name.split("-")[0] for f in calls.iterdir() if f.name not in before}
+        return rows, asked
+
+    first, asked = run()
+    assert asked == {"speech", "levels", "angles", "namer"}
+    assert run() == (first, set())
+    # Another namer is asked, and only it.
+    again, asked = run(namer=Model("other namer", load_namer))
+    assert (again, asked) == (first, {"other namer"})
+    # Changed audio is another input.
+    pcm(spark, {"x": [wave([2, 0, 1, 2, 0, 2])]}, BLOCK, RATE).write.mode("overwrite").parquet(
+        str(tmp_path / "pcm"))
+    changed, asked = run()
+    assert changed != first and {"speech", "levels"} <= asked
+
+
+def test_a_failed_run_goes_on_where_it_stopped(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    table = pcm(spark, {"x": [wave([2, 0, 1, 2, 0, 1])]}, BLOCK, RATE)
+    episodes = spark.createDataFrame([("x", "Show - 1", "about", 12000)], EPISODES)
+
+    def load_broken():
+        def fail(prompt):
+            raise ValueError("the namer is down")
+        return fail
+    with pytest.raises(Exception, match="the namer is down"):
+        run_corpus(table, episodes, calls, str(tmp_path / "run"), namer=Model("broken", load_broken))
+    before = {f.name for f in calls.iterdir()}
+    rows = run_corpus(table, episodes, calls, str(tmp_path / "run"))
+    assert len(rows) == 12
+    assert {f.name.split("-")[0] for f in calls.iterdir() if f.name not in before} == {"namer"}

@@ -100,3 +100,45 @@ def test_answers_are_read_once(spark):
         [("e", 1, json.dumps([A]))], "episode_id string, pass int, response string")
     plan = models.parse_proposals(frame)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def load_marking(folder, fail_on):
+    """Echo that leaves a file a prompt, and fails the first time it sees one of them."""
+    import os
+    import uuid
+
+    def load():
+        def ask(prompt):
+            open(os.path.join(folder, f"{prompt}-{uuid.uuid4().hex}"), "w").close()
+            seen = sum(name.startswith(f"{prompt}-") for name in os.listdir(folder))
+            if prompt == fail_on and seen <= 1:
+                raise ValueError("lost")
+            return prompt.upper()
+        return ask
+    return load
+
+
+def test_answers_outlive_a_failure(spark, rows, tmp_path):
+    from collections import Counter
+    (tmp_path / "calls").mkdir()
+    prompts = spark.createDataFrame(
+        [(i, f"p{i % 30}") for i in range(45)] + [(99, None)], "i int, prompt string")
+    table = str(tmp_path / "answers")
+    model = Model("marking", load_marking(str(tmp_path / "calls"), "p7"))
+
+    def run(some_model=model):
+        return rows(models.generate_into(prompts, some_model, table, at_once=10), "i", "response")
+    expected = sorted([(i, f"P{i % 30}") for i in range(45)] + [(99, None)], key=repr)
+    with pytest.raises(Exception, match="lost"):
+        run()
+    before = Counter(f.name.split("-")[0] for f in (tmp_path / "calls").iterdir())
+    kept = {r.response for r in models.answers_in(spark, table).collect()}
+    assert run() == expected
+    after = Counter(f.name.split("-")[0] for f in (tmp_path / "calls").iterdir())
+    assert max(after.values()) <= 2
+    assert all(after[p.lower()] == before[p.lower()] for p in kept)
+    # All are answered now; another model has answers of its own.
+    assert run() == expected
+    assert Counter(f.name.split("-")[0] for f in (tmp_path / "calls").iterdir()) == after
+    assert run(Model("other", load_marking(str(tmp_path / "calls"), None))) == expected
+    assert models.answers_in(spark, table).count() == 60

@@ -30,9 +30,9 @@ BAD = ["SPEAKER e 1 x 3 <NA> <NA> S <NA>", "SPEAKER e 1 2 3 <NA> <NA> S", "LEXEM
 
 @pytest.mark.parametrize("line", BAD)
 def test_malformed_rttm(spark, rows, line):
-    with pytest.raises(Exception, match="Invalid RTTM line"):
+    with pytest.raises(Exception, match="malformed speaker turn"):
         parse(spark, GOOD, line).collect()
-    with pytest.raises(Exception, match="Invalid RTTM line"):
+    with pytest.raises(Exception, match="malformed speaker turn"):
         parse(spark, GOOD, line).count()
     assert rows(parse(spark, GOOD, line, mode=rttm.DROPMALFORMED)) == [("e", 0, 2.0, 5.0, "S1")]
     kept = rows(parse(spark, GOOD, line, mode=rttm.PERMISSIVE))
