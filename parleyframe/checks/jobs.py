@@ -13,7 +13,8 @@ from parleyframe.operators import evidence
 from parleyframe.plans import jobs
 from parleyframe.schemas import Settings
 from parleyframe.sources.rttm import write_rttm
-from parleyframe.sources.segments import SEGMENT_FIELDS, read_utterances, write_segments
+from parleyframe.sources.segments import (
+    SEGMENT_FIELDS, read_transcript, read_utterances, write_segments)
 from parleyframe.sources.tables import settle
 
 # ------------------------------------------------------------------ transcribe
@@ -37,6 +38,25 @@ def job_transcribe(inputs):
     return by(30).unionByName(by(14))
 
 
+# Written and read again, in every layout of the files.
+@check(f"""
+SELECT layout, episode_id, CAST(sec AS DOUBLE) AS start, sec + 1e0 AS "end", CAST(n AS STRING) AS text
+FROM (SELECT episode_id, nth // {RATE} AS sec, count(*) FILTER (WHERE CAST(x AS FLOAT) > 0) AS n
+      FROM {MIXED} m GROUP BY episode_id, nth // {RATE}) t,
+     (VALUES ('records'), ('lines'), ('array')) w(layout)""")
+def job_transcribe_files(inputs):
+    spark = inputs.spark
+    audio, written = fresh_folder(spark, "audio"), []
+    inputs.stereo.write.parquet(audio)
+    for layout in ("records", "lines", "array"):
+        path = fresh_folder(spark, layout)
+        jobs.transcribe_files(spark, audio, path, SPEECH, BLOCK, layout=layout)
+        written.append(read_transcript(
+            spark, path, layout=layout, partitioned=layout != "records").select(
+            F.lit(layout).alias("layout"), "episode_id", "start", "end", "text"))
+    return written[0].unionByName(written[1]).unionByName(written[2])
+
+
 @check(f"""
 SELECT episode_id, CAST(sec AS BIGINT) AS pos, CAST(sec AS DOUBLE) AS start, sec + 1e0 AS "end",
        CAST(n AS STRING) AS text

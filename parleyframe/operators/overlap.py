@@ -11,37 +11,67 @@ BUCKET_SECONDS = 60.0
 WIDER, TOP = 64, 3
 # A wide bucket is dealt out: short intervals to one part each, wide ones to all.
 PARTS = 16
+# Bits of the bitmap of buckets with wide intervals; the size Spark builds at once.
+FILTER_BITS = 32768
 
 
-def _placed(table, number, width):
-    """One row per bucket an interval touches, on its own level and those above.
+KEY = ("episode_id", "level", "bucket", "part")
 
-    The own level is the first whose buckets are as wide as the interval is long,
-    so no level takes more than two rows, however long the interval.  An interval
-    that is empty, inverted or not a number overlaps nothing.
+
+def _leveled(table, number, width):
+    """Intervals with their ``own`` level and their first bucket on every level.
+
+    The own level is the first whose buckets are as wide as the interval is long.
+    An interval that is empty, inverted or not a number overlaps nothing.
     """
-    widths = [width * WIDER ** level for level in range(TOP)]
     length = F.col("end") - F.col("start")
-    own = F.lit(TOP)
-    for level in reversed(range(TOP)):
-        own = F.when(length <= widths[level], level).otherwise(own)
-    buckets = F.array(F.lit(0).cast("long"))
-    home = F.lit(0).cast("long")
-    for level in range(TOP):
-        first = F.floor(F.col("start") / widths[level])
-        here = F.col("level") == level
-        buckets = F.when(here, F.sequence(first, F.floor(F.col("end") / widths[level]))).otherwise(
-            buckets)
-        home = F.when(here, first).otherwise(home)
-    parts = F.when(F.col("level") == 0, F.array(F.lit(0))).when(
-        F.col("own") == F.col("level"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(
-        F.array(F.pmod(F.hash(number), F.lit(PARTS))))
+    own = sum(((length > width * WIDER ** level).cast("int") for level in range(TOP)), F.lit(0))
     return (
         table.where(proper(F.col("start"), F.col("end")))
         .withColumn("own", own)
-        .withColumn("level", F.explode(F.sequence("own", F.lit(TOP))))
-        .withColumn("home", home)
-        .withColumn("bucket", F.explode(buckets))
+        .withColumn("dealt", F.pmod(F.hash(number), F.lit(PARTS))))
+
+
+def _at_level(bound, width):
+    """The bucket of a bound on the row's level; the top level has one."""
+    return F.when(F.col("level") == TOP, F.lit(0).cast("long")).otherwise(
+        F.floor(bound / (width * F.pow(F.lit(float(WIDER)), F.col("level")))))
+
+
+def _in_buckets(leveled, width):
+    """A row for every bucket the interval touches on the row's level, at most two."""
+    return (
+        leveled.withColumn("home", _at_level(F.col("start"), width))
+        .withColumn("bucket", F.explode(F.sequence("home", _at_level(F.col("end"), width)))))
+
+
+def _bit():
+    return F.pmod(F.xxhash64("episode_id", "level", "bucket"), F.lit(FILTER_BITS))
+
+
+def _wide_filter(leveled, width):
+    """One bitmap of fixed size: the buckets where wide intervals are at home."""
+    wide = _in_buckets(leveled.where(F.col("own") > 0).withColumn(
+        "level", F.explode(F.array("own"))), width)
+    return wide.agg(F.bitmap_construct_agg(F.bitmap_bit_position(_bit() + 1)).alias("bits"))
+
+
+def _placed(leveled, others, width):
+    """One row per bucket and part: of the own level, and of those above only where
+    ``others`` may have a wide interval at home (a bitmap tells, without a join).
+
+    Wide intervals go to all parts of their own level, copies to one each.
+    """
+    byte = F.substring(_wide_filter(others, width).scalar(),
+                       (_bit() / 8).cast("int") + 1, F.lit(1))
+    set_ = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (_bit() % 8).cast("int")) == 1
+    at_home = F.col("level") == F.col("own")
+    parts = F.when(~at_home, F.array("dealt")).when(F.col("own") == 0, F.array(F.lit(0))).otherwise(
+        F.sequence(F.lit(0), F.lit(PARTS - 1)))
+    return (
+        _in_buckets(leveled.withColumn(
+            "level", F.explode(F.sequence("own", F.lit(TOP)))), width)
+        .where(at_home | set_)
         .withColumn("part", F.explode(parts)))
 
 
@@ -56,18 +86,18 @@ def overlap_join(segments, turns, bucket_seconds=BUCKET_SECONDS):
     the recording.  A pair that shares several buckets is kept only in the first,
     where the later of the two starts.  Bounds may be infinite.
     """
-    a = _placed(segments.select("episode_id", "pos", "start", "end"), "pos", bucket_seconds)
-    b = _placed(
-        turns.select("episode_id", "line_no", "start", "end", "speaker"), "line_no",
-        bucket_seconds).select(
-        *(F.col(name).alias(f"turn_{name}") for name in (
-            "episode_id", "level", "bucket", "part", "own", "home", "start", "end")),
-        "line_no", "speaker")
+    a = _leveled(segments.select("episode_id", "pos", "start", "end"), "pos", bucket_seconds)
+    b = _leveled(turns.select("episode_id", "line_no", "start", "end", "speaker"), "line_no",
+                 bucket_seconds)
+
+    place = (*KEY, "own", "home", "start", "end")
+    theirs = _placed(b, a, bucket_seconds).select(*place, "line_no", "speaker").withColumnsRenamed(
+        {name: f"turn_{name}" for name in place})
     same = F.lit(True)
-    for name in ("episode_id", "level", "bucket", "part"):
+    for name in KEY:
         same &= F.col(name) == F.col(f"turn_{name}")
-    return a.join(
-        b,
+    return _placed(a, b, bucket_seconds).select(*place, "pos").join(
+        theirs,
         same & (F.col("level") == F.greatest("own", "turn_own"))
         & (F.col("bucket") == F.greatest("home", "turn_home"))
         # Two wide intervals meet in every part.

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from parleyframe.operators.overlap import (
-    assign_speakers, episodes_without_turns, first_of_copies, overlap_join)
+    _leveled, _placed, assign_speakers, episodes_without_turns, first_of_copies,
+    overlap_join)
 
 SEGMENTS = "episode_id string, pos long, start double, end double, text string"
 TURNS = "episode_id string, line_no long, start double, end double, speaker string"
@@ -129,3 +130,23 @@ def test_plan_has_no_pairwise_join(spark):
         finally:
             spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_copies_only_where_wide_intervals_are(spark):
+    """A short interval has at most two rows, and one more where a wide one stands."""
+    segments = _leveled(spark.createDataFrame(
+        [(e, i, i * 30.0, i * 30.0 + 45, "t") for e in "ab" for i in range(500)], SEGMENTS), "pos", 60.0)
+    short = [(e, i, i * 20.0, i * 20.0 + 60, "A") for e in "ab" for i in range(700)]
+
+    def rows_of(turns):
+        turns = _leveled(spark.createDataFrame(turns, TURNS), "line_no", 60.0)
+        placed = _placed(segments, turns, 60.0).cache()
+        home = placed.where("level = own").groupBy("episode_id", "pos").count()
+        return (home.agg(F.max("count")).first()[0],
+                placed.where("level > own").select("episode_id", "pos", "level").collect())
+    assert rows_of(short) == (2, [])
+    # A turn of five minutes: level 1, the first bucket of 64 minutes of one episode.
+    most, above = rows_of([*short, ("a", 900, 100.0, 400.0, "B")])
+    assert most == 2
+    assert {(r.episode_id, r.level) for r in above} == {("a", 1)}
+    assert sorted(r.pos for r in above) == [i for i in range(500) if i * 30 < 64 * 60]
