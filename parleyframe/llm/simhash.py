@@ -156,11 +156,13 @@ def keep_one(docs, id_column="doc_id", text_column="text"):
     kept = prints.join(roots, "fp", "left").groupBy(
         F.coalesce("root", "fp").alias("root")).agg(F.min(F.struct(
             F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("k"))
-    rows = docs.select(
-        docs[id_column].alias("id"),
-        text_key(F.coalesce(docs[text_column], F.lit(""))).alias("key"), F.struct("*").alias("row"))
-    chosen = kept.select(F.col("k.doc_id").alias("kept_id"), F.col("k.key").alias("kept_key"))
-    return rows.join(
-        chosen, F.col("id").eqNullSafe(F.col("kept_id"))
-        & (F.col("key.a") == F.col("kept_key.a")) & (F.col("key.b") == F.col("kept_key.b")),
-        "left_semi").dropDuplicates(["id", "key"]).select("row.*")
+    # Never null, so that one exchange of the rows serves the join and the repeats.
+    def place(doc_id, key):
+        return [F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit("")).alias("id"),
+                key["a"].alias("a"), key["b"].alias("b")]
+
+    text = F.coalesce(docs[text_column], F.lit(""))
+    rows = docs.select(*place(docs[id_column], text_key(text)), F.struct("*").alias("row"))
+    chosen = kept.select(*place(F.col("k.doc_id"), F.col("k.key")))
+    by = ["id", "a", "b"]
+    return rows.join(chosen, by, "left_semi").dropDuplicates(by).select("row.*")
