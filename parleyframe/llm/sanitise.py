@@ -256,12 +256,14 @@ def sanitise(docs, id_column="doc_id", text_column="text", support=3, generalise
     """``docs`` with values replaced by labels, disclosing words by ``[TERM]`` or nothing:
     the original texts, cut once by the spans that ``spans`` tells."""
     _, values, terms = _searched(docs, id_column, text_column, support, generalise, remove)
-    key = text_key(F.coalesce(docs[text_column], F.lit("")))
-    rows = docs.select(F.struct("*").alias("row"), key["a"].alias("a"), key["b"].alias("b")).join(
-        cuts(values, terms), ["a", "b"], "left")
-    text = F.col("row")[text_column]
-    out = rows.withColumn("clean", F.when(
+    known = F.coalesce(docs[text_column], F.lit(""))
+    key, text = text_key(known), F.col("row")[text_column]
+    # Only texts that are searched can have cuts; the others stay where they are.
+    suspect = docs.where(known.rlike(_ANY)).select(
+        F.struct("*").alias("row"), key["a"].alias("a"), key["b"].alias("b")).join(
+        settle(cuts(values, terms), "cuts"), ["a", "b"], "left")
+    out = suspect.withColumn("clean", F.when(
         F.col("cuts").isNull(), text).otherwise(_cut(text, F.col("cuts"))))
-    return out.select(*(
+    return docs.where(~known.rlike(_ANY)).unionByName(out.select(*(
         F.col("clean" if name == text_column else f"row.`{name}`").alias(name)
-        for name in docs.columns))
+        for name in docs.columns)))
