@@ -286,6 +286,38 @@ FROM (
   SELECT episode_id, pass, pos, 2, 'None', 'UNKNOWN', 0.4e0, '' FROM {PROPOSED} q
   WHERE proposed_name <> 'Eve') x""")
 def parse_assignments(inputs):
+    return models.parse_proposals(_answers(inputs))
+
+
+# The same answers, with what is skipped of them and why.
+@check(f"""
+SELECT concat(episode_id, '/', CAST(pos AS STRING)) AS episode_id, pass, at AS pos,
+       CASE at WHEN 1 THEN speaker_id WHEN 2 THEN 'None' WHEN 3 THEN 'S' END AS speaker_id,
+       CASE WHEN at IS NULL THEN 'not JSON' WHEN at = 0 THEN 'no speaker'
+            WHEN at = 3 THEN 'confidence is not a number' END AS fault
+FROM (SELECT *, unnest(CASE WHEN proposed_name = 'Eve' THEN [CAST(NULL AS BIGINT)]
+                            ELSE [0::BIGINT, 1, 2, 3] END) AS at FROM {PROPOSED} p) x""")
+def read_answers(inputs):
+    return models.read_proposals(_answers(inputs)).select(
+        "episode_id", "pass", "pos", "speaker_id", "fault")
+
+
+# Speaker A of every episode is asked about as well, and the last of them is not.
+@check(f"""
+SELECT episode_id, speaker_id, bool_or(asked) AS asked, bool_or(proposed) AS proposed FROM (
+  SELECT episode_id, speaker_id, true AS asked, false AS proposed FROM {PROPOSED} p
+  WHERE speaker_id <> 'SPEAKER_02'
+  UNION ALL SELECT episode_id, 'A', true, false FROM {PROPOSED} q
+  UNION ALL SELECT episode_id, speaker_id, false, true FROM {PROPOSED} r) x
+GROUP BY episode_id, speaker_id""")
+def answered_speakers(inputs):
+    p = inputs.proposed
+    asked = p.where("speaker_id <> 'SPEAKER_02'").select("episode_id", "speaker_id").union(
+        p.select("episode_id", F.lit("A")))
+    return prompting.answered(asked, p)
+
+
+def _answers(inputs):
     p = inputs.proposed
     good = F.to_json(F.struct("speaker_id", "proposed_name", "confidence", "justification"))
     array = F.concat(
@@ -293,6 +325,6 @@ def parse_assignments(inputs):
         F.lit('{"speaker_id": "S", "confidence": null}]\n'))
     fenced = F.concat(F.lit("```json"), array, F.lit("```"))
     answer = F.when(F.col("proposed_name") == "Eve", fenced).otherwise(array)
-    return models.parse_proposals(p.select(
+    return p.select(
         F.concat_ws("/", "episode_id", "pos").alias("episode_id"), "pass",
-        answer.alias("response")))
+        answer.alias("response"))

@@ -6,7 +6,6 @@ stated by each operator.
 """
 
 import json
-import logging
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -26,7 +25,6 @@ from parleyframe.schemas import UNKNOWN
 from parleyframe.sources.lines import computed_once
 from parleyframe.sources.tables import settle
 
-LOG = logging.getLogger(__name__)
 POSITIONS_PER_PART = 2 ** 32
 # Prompts asked between two commits to an answer table.
 PROMPTS_AT_ONCE = 10_000
@@ -278,16 +276,17 @@ VALUE = "struct<kind:string,text:string>"
 ANSWER = f"struct<kind:string,items:array<map<string,{VALUE}>>>"
 
 
+# What can be wrong with an answer or an element of it.
+NOT_JSON, NOT_A_LIST = "not JSON", "not a list"
+NO_SPEAKER, NO_CONFIDENCE = "no speaker", "confidence is not a number"
+
+
 def _members(answer):
     """The JSON text's type and, for an array, the members of its objects as typed text."""
     try:
         data = json.loads(answer)
-    except ValueError as problem:
-        LOG.error("answer is not JSON: %s", problem)
+    except ValueError:
         return {"kind": None, "items": []}
-    for item in data if isinstance(data, list) else ():
-        if not isinstance(item, dict) or "speaker_id" not in item:
-            LOG.warning("no proposal in this element of an answer: %r", item)
     items = [
         {name: {"kind": type(value).__name__, "text": str(value)} for name, value in item.items()}
         if isinstance(item, dict) else {} for item in (data if isinstance(data, list) else [])]
@@ -302,6 +301,33 @@ def parse_proposals(answers, strict=False):
     skipped on their own.  ``strict`` fails on an answer that is a bare number,
     boolean or null.  Settle the result if it is used more than once.
     """
+    return without_faults(read_proposals(answers, strict))
+
+
+def without_faults(proposals):
+    """The proposals among the rows of ``read_proposals``."""
+    return proposals.where(F.col("fault").isNull()).drop("fault")
+
+
+def fault_counts():
+    """Aggregates by name over the rows of ``read_proposals``."""
+    def number(condition):
+        return F.count_if(F.coalesce(condition, F.lit(False)))
+    fault = F.col("fault")
+    return {
+        "proposals": number(fault.isNull()), "answers_not_json": number(fault == NOT_JSON),
+        "answers_not_a_list": number(fault == NOT_A_LIST),
+        "elements_without_speaker": number(fault == NO_SPEAKER),
+        "elements_without_confidence": number(fault == NO_CONFIDENCE)}
+
+
+def read_proposals(answers, strict=False):
+    """What ``parse_proposals`` gives and what it skips, with the ``fault``.
+
+    An answer that is not a JSON array is one row with its fault and no ``pos``; an
+    element that is no proposal keeps its place and what was readable of it.  An
+    empty array has no row.
+    """
     @F.pandas_udf(ANSWER)
     def read(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_members(t) for t in texts], columns=["kind", "items"])
@@ -322,12 +348,18 @@ def parse_proposals(answers, strict=False):
         member("confidence")["kind"] == "bool",
         (member("confidence")["text"] == "True").cast("double")).otherwise(
         parse_float(member("confidence")["text"]))
+    # One stand-in row for an answer without a list, so that its fault is kept.
+    no_list = F.coalesce(F.col("answer.kind") != "list", F.lit(True))
     rows = parsed.select(
-        "episode_id", "pass", F.posexplode("answer.items").alias("pos", "item"))
+        "episode_id", "pass", F.col("answer.kind").alias("kind"), no_list.alias("no_list"),
+        F.posexplode(F.when(no_list, F.array(F.create_map().cast(f"map<string,{VALUE}>")))
+                     .otherwise(F.col("answer.items"))).alias("pos", "item"))
     return rows.select(
-        "episode_id", "pass", F.col("pos").cast("long").alias("pos"),
+        "episode_id", "pass", F.when(~F.col("no_list"), F.col("pos").cast("long")).alias("pos"),
         member("speaker_id")["text"].alias("speaker_id"),
         strip(F.coalesce(member("proposed_name")["text"], F.lit(UNKNOWN))).alias("proposed_name"),
         confidence.alias("confidence"),
-        strip(F.coalesce(member("justification")["text"], F.lit(""))).alias("justification")
-    ).where(F.col("speaker_id").isNotNull() & F.col("confidence").isNotNull())
+        strip(F.coalesce(member("justification")["text"], F.lit(""))).alias("justification"),
+        F.when(F.col("kind").isNull(), NOT_JSON).when(F.col("no_list"), NOT_A_LIST)
+        .when(member("speaker_id")["text"].isNull(), NO_SPEAKER)
+        .when(confidence.isNull(), NO_CONFIDENCE).alias("fault"))

@@ -26,6 +26,20 @@ def unknown_targets(profiles, targets):
         profiles.select("episode_id", "speaker_id"), ["episode_id", "speaker_id"], "left_anti")
 
 
+def answered(profiles, proposals):
+    """Every (episode_id, speaker_id) with ``asked``, whether a profile has it, and
+    ``proposed``, whether a proposal names it.
+
+    Speakers not asked about are the model's invention; those not proposed were
+    left out of its answer.
+    """
+    def seen(table, name):
+        return table.select("episode_id", "speaker_id").distinct().withColumn(name, F.lit(True))
+    known = seen(profiles, "asked").join(
+        seen(proposals, "proposed"), ["episode_id", "speaker_id"], "full")
+    return known.fillna(False, ["asked", "proposed"])
+
+
 def prompt_blocks(profiles):
     return profiles.withColumn("block", profile_block(
         F.col("speaker_id"), F.col("total_duration"), F.col("total_turns"),

@@ -5,9 +5,12 @@ settled (written once) before their answers are used.  A job that is given a
 ``folder`` keeps the tables of its steps there: run again with the same inputs and
 models (by name), it takes over finished steps, and of prompts it asks only those
 without an answer.  ``drop_folder`` removes them.
+
+What a job skips it counts: give it ``Steps(spark)`` or ``Steps(spark, folder)`` as
+``folder`` and read ``counts``, a dictionary by step, when it is done.
 """
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,18 +22,21 @@ from parleyframe.operators.chunks import (
     _grid, chunk_windows, dedup_turns, reference_chunks, windows_without_turns,
     with_speaker_label)
 from parleyframe.operators.evidence import speaker_profiles
-from parleyframe.operators.overlap import assign_speakers, require_turns
-from parleyframe.operators.prompting import build_prompts, refine_targets
+from parleyframe.operators.overlap import (
+    assign_speakers, episodes_without_turns, require_turns)
+from parleyframe.operators.prompting import answered, build_prompts, refine_targets
 from parleyframe.operators.roster import candidate_roster, people_from_entities
 from parleyframe.operators.voices import (
     assign_centroid, centroids, cluster_speakers, count_speakers, target_speakers)
 from parleyframe.schemas import Settings
-from parleyframe.sources.rttm import FAILFAST, read_rttm, write_rttm
+from parleyframe.sources.rttm import (
+    DROPMALFORMED, FAILFAST, PERMISSIVE, read_rttm, write_rttm)
 from parleyframe.sources.segments import (
     NAMED_FIELDS, SEGMENT_FIELDS, read_transcript, read_utterances, write_segments)
 from parleyframe.sources.tables import Steps, load_reference, save_reference
 
 DEFAULTS = Settings()
+_CORRUPT = "_corrupt_record"
 WINDOW_MINUTES, WINDOW_OVERLAP = 30, 30
 
 
@@ -146,13 +152,26 @@ def diarize_files(spark, pcm_path, output_path, detector, embedder, block_sample
 
 def assign(transcript, turns, settings=DEFAULTS, strict=False, folder=None):
     """Transcript and turns to utterances.  ``strict`` fails on an episode of the
-    transcript that has no turns at all; otherwise its rows are UNKNOWN.  Both
-    inputs are used more than once and settled first, so each is parsed once."""
+    transcript that has no turns at all; otherwise its rows are UNKNOWN and the
+    episode is counted.  Both inputs are used more than once and settled first, so
+    each is parsed once.  Turns that were read with their malformed lines
+    (``_corrupt_record``) are counted and go on without these."""
     steps, read, heard = Steps.of(transcript.sparkSession, folder), transcript, turns
-    transcript = steps("segments", lambda: read, read)
-    turns = steps("speaker-turns", lambda: heard, heard)
+    transcript = steps("segments", lambda: read, read, counted={"segments": F.count("*")})
+    counted = {"turns": F.count("*")}
+    if _CORRUPT in heard.columns:
+        counted = {"turns": F.count_if(F.col(_CORRUPT).isNull()),
+                   "malformed_lines": F.count(_CORRUPT)}
+    turns = steps("speaker-turns", lambda: heard, heard, counted=counted)
+    if _CORRUPT in turns.columns:
+        turns = turns.where(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
     if strict:
         transcript = require_turns(transcript, turns)
+    else:
+        said = transcript
+        steps("episodes-without-turns", lambda: episodes_without_turns(
+            said.select("episode_id").distinct(), turns), said, turns,
+            counted={"episodes_without_turns": F.count("*")})
     return assign_speakers(transcript, turns, settings.unknown_label)
 
 
@@ -162,7 +181,9 @@ def assign_files(spark, transcript_path, rttm_path, output_path, settings=DEFAUL
     """The same from transcript JSON and RTTM files to segment JSON."""
     transcript = read_transcript(
         spark, transcript_path, settings.transcript_time_factor, layout, partitioned)
-    turns = read_rttm(spark, rttm_path, rttm_mode, rttm_episodes)
+    # Lines to be left out are read, so that they can be counted.
+    turns = read_rttm(
+        spark, rttm_path, PERMISSIVE if rttm_mode == DROPMALFORMED else rttm_mode, rttm_episodes)
     result = assign(transcript, turns, settings, strict, folder)
     write_segments(result, output_path, layout=layout)
     return result
@@ -203,17 +224,21 @@ def inference_cycle(profiles, episode_contexts, model, number, targets=None, str
             answers = models.generate_into(prompts, model, f"{steps.folder}/answers", concurrency)
         else:
             answers = models.generate(prompts, model, concurrency)
-        return models.parse_proposals(answers.withColumn("pass", F.lit(number)), strict)
+        return models.read_proposals(answers.withColumn("pass", F.lit(number)), strict)
 
-    return steps(f"proposals-{number}", proposals, prompts, model=model.name, strict=strict)
+    return models.without_faults(steps(
+        f"proposals-{number}", proposals, prompts, counted=models.fault_counts(),
+        model=model.name, strict=strict))
 
 
 @dataclass
 class NamedSpeakers:
-    """``assignments`` per speaker and the ``labelled`` utterances."""
+    """``assignments`` per speaker, the ``labelled`` utterances, and by step the
+    ``counts`` of what was used and what was skipped."""
 
     assignments: DataFrame
     labelled: DataFrame
+    counts: dict = field(default_factory=dict)
 
 
 def infer_names(utterances, episodes, model, extractor=None, hosts=(), settings=DEFAULTS,
@@ -255,10 +280,14 @@ def infer_names(utterances, episodes, model, extractor=None, hosts=(), settings=
         focused = about.withColumn("context", F.concat(F.col("context"), F.lit(retry_note)))
         rounds.append(cycle(2, focused, targets))
         merged = naming.consolidate(proposals.unionByName(rounds[1]))
+    steps("answered", lambda: answered(profiles, proposals), profiles, proposals, counted={
+        "invented_speakers": F.count_if(~F.col("asked")),
+        "speakers_left_out": F.count_if(~F.col("proposed"))})
     final = steps("names", lambda: naming.finalize_assignments(
         merged, settings.high_confidence), *rounds, settings=settings)
     return NamedSpeakers(
-        final, naming.label_transcript(utterances, final, settings.start_offset_sec))
+        final, naming.label_transcript(utterances, final, settings.start_offset_sec),
+        steps.counts)
 
 
 def infer_files(spark, transcript_path, output_path, episodes, model, extractor=None, hosts=(),

@@ -8,6 +8,7 @@ import re
 import uuid
 
 from pyspark.errors import AnalysisException
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -88,39 +89,64 @@ class Steps:
     (models by name), so that a run that starts again after a failure takes over
     what was finished and computes the rest.  Without a name, tables go to a new
     folder and are simply settled.
+
+    ``counts`` has, by step, what was counted while its table was written; a step
+    that is taken over brings its counts along.
     """
 
     def __init__(self, spark, folder=None):
         self.spark, self.named = spark, folder is not None
         self.folder = folder or run_folder(spark)
+        self.counts = {}
 
     @classmethod
     def of(cls, spark, folder):
         return folder if isinstance(folder, cls) else cls(spark, folder)
 
-    def __call__(self, name, build, *inputs, **parameters):
+    def __call__(self, name, build, *inputs, counted=None, **parameters):
         """``build()``, written once and read back; ``inputs`` are the tables and
-        ``parameters`` the values it depends on."""
+        ``parameters`` the values it depends on.  ``counted`` are aggregates by name,
+        observed on the rows as they are written, so no row is read again for them."""
+        seen = Observation() if counted else None
+
+        def watched():
+            table = build()
+            return table.observe(seen, *(
+                c.alias(n) for n, c in counted.items())) if counted else table
+
         if not self.named:
-            return settle(build(), name, self.folder)
+            table = settle(watched(), name, self.folder)
+            self._keep(name, seen and seen.get)
+            return table
         known = "\n\n".join([*map(identity, inputs), repr(sorted(parameters.items()))])
         path = f"{self.folder}/{name}-{hashlib.sha256(known.encode()).hexdigest()[:32]}"
-        schema = self._finished(path)
-        if schema is None:
-            table = build()
+        finished = self._finished(path)
+        if finished is None:
+            table = watched()
             table.write.mode("overwrite").parquet(path)
-            schema = table.schema
+            finished = table.schema, seen and seen.get
             # Written last: its row says that the table is whole.
-            self.spark.range(1).select(F.lit(schema.json()).alias("schema")).coalesce(1).write.mode(
-                "overwrite").parquet(f"{path}-finished")
+            self.spark.range(1).select(
+                F.lit(table.schema.json()).alias("schema"),
+                F.lit(json.dumps(finished[1])).alias("counts")
+            ).coalesce(1).write.mode("overwrite").parquet(f"{path}-finished")
+        schema, counts = finished
+        self._keep(name, counts)
         return self.spark.read.schema(schema).parquet(path)
 
+    def _keep(self, name, counts):
+        if counts:
+            self.counts[name] = counts
+
     def _finished(self, path):
+        """Schema and counts of a table that is whole, or None."""
         try:
-            row = self.spark.read.schema("schema string").parquet(f"{path}-finished").first()
+            row = self.spark.read.schema("schema string, counts string").parquet(
+                f"{path}-finished").first()
         except AnalysisException:  # no such folder yet
             return None
-        return row and StructType.fromJson(json.loads(row["schema"]))
+        return row and (
+            StructType.fromJson(json.loads(row["schema"])), json.loads(row["counts"] or "null"))
 
 
 def save_reference(labelled, path, mode="errorifexists"):

@@ -400,3 +400,91 @@ def test_a_failed_run_goes_on_where_it_stopped(spark, tmp_path):
     rows = run_corpus(table, episodes, calls, str(tmp_path / "run"))
     assert len(rows) == 12
     assert {f.name.split("-")[0] for f in calls.iterdir() if f.name not in before} == {"namer"}
+
+
+def turns_file(folder, lines):
+    folder.mkdir()
+    (folder / "turns.rttm").write_text("\n".join(lines) + "\n")
+    return str(folder)
+
+
+TURN_LINES = [
+    "SPEAKER x 1 0.0 2.0 <NA> <NA> A <NA> <NA>", "# a comment", "",
+    "SPEAKER x 1 2.0 two <NA> <NA> B <NA> <NA>", "SPEAKER x 1 2.0", "TURN x 1 2 2 a b c d",
+    "SPEAKER x 1 2.0 2.0 <NA> <NA> B <NA> <NA>"]
+
+
+@pytest.mark.parametrize("folder", [None, "run"])
+def test_left_out_lines_and_silent_episodes_are_counted(spark, tmp_path, folder):
+    from parleyframe.sources.rttm import DROPMALFORMED, PERMISSIVE
+    from parleyframe.sources.segments import SEGMENT_FIELDS, write_segments
+    from parleyframe.sources.tables import Steps
+    said = spark.createDataFrame(
+        [("x", 0, 0.0, 2.0, "one"), ("x", 1, 2.0, 4.0, "two"), ("y", 0, 0.0, 1.0, "three")],
+        "episode_id string, pos long, start double, end double, text string")
+    write_segments(said, str(tmp_path / "text"), SEGMENT_FIELDS)
+    turns = turns_file(tmp_path / "turns", TURN_LINES)
+    expected = {"segments": {"segments": 3}, "speaker-turns": {"turns": 2, "malformed_lines": 3},
+                "episodes-without-turns": {"episodes_without_turns": 1}}
+    for number, mode in enumerate([DROPMALFORMED, PERMISSIVE, DROPMALFORMED]):
+        # The third run takes over the tables of the first, and their counts.
+        steps = Steps(spark, folder and str(tmp_path / folder))
+        rows = jobs.assign_files(
+            spark, str(tmp_path / "text"), turns, str(tmp_path / f"said{number}"),
+            rttm_mode=mode, strict=False, folder=steps).collect()
+        assert sorted((r.episode_id, r.pos, r.speaker) for r in rows) == [
+            ("x", 0, "A"), ("x", 1, "B"), ("y", 0, "UNKNOWN")]
+        assert steps.counts == expected
+    with pytest.raises(Exception, match="no diarization segments"):
+        jobs.assign_files(spark, str(tmp_path / "text"), turns, str(tmp_path / "strict"),
+                          rttm_mode=DROPMALFORMED)
+
+
+def load_careless():
+    def answer(prompt):
+        if "Speaker: C" in prompt:
+            return "I cannot say"
+        if "Speaker: D" in prompt:
+            return '{"speaker_id": "D"}'
+        return json.dumps([
+            {"speaker_id": "A", "proposed_name": "Ann", "confidence": .9},
+            {"speaker_id": "Z", "proposed_name": "Zoe", "confidence": .9},
+            {"proposed_name": "nobody"}, 7, {"speaker_id": "B", "confidence": "high"}])
+    return answer
+
+
+@pytest.mark.parametrize("folder", [None, "run"])
+def test_skipped_answers_are_counted(spark, tmp_path, folder):
+    rows = [("x", 0, "A"), ("x", 1, "B"), ("y", 0, "C"), ("z", 0, "D")]
+    spark.createDataFrame(
+        [(e, p, float(p), p + 1.0, s, "words") for e, p, s in rows],
+        "episode_id string, pos long, start double, end double, speaker string, text string",
+    ).write.parquet(str(tmp_path / "said"))
+    spark.createDataFrame(
+        [(e, "Show", "", 1) for e in "xyz"], EPISODES).write.parquet(str(tmp_path / "about"))
+
+    def run():
+        return jobs.infer_names(
+            spark.read.parquet(str(tmp_path / "said")), spark.read.parquet(str(tmp_path / "about")),
+            Model("careless", load_careless), settings=Settings(max_passes=1),
+            folder=folder and str(tmp_path / folder))
+    first = run()
+    assert first.counts == {
+        "proposals-1": {"proposals": 2, "answers_not_json": 1, "answers_not_a_list": 1,
+                        "elements_without_speaker": 2, "elements_without_confidence": 1},
+        "answered": {"invented_speakers": 1, "speakers_left_out": 3}}
+    assert {r.speaker: r.speaker_name for r in first.labelled.collect()} == {
+        "A": "Ann", "B": "UNKNOWN", "C": "UNKNOWN", "D": "UNKNOWN"}
+    if folder:
+        assert run().counts == first.counts
+
+
+@pytest.mark.parametrize("folder", [None, "run"])
+def test_nothing_is_counted_as_nothing(spark, tmp_path, folder):
+    empty = spark.createDataFrame(
+        [], "episode_id string, pos long, start double, end double, speaker string, text string")
+    about = spark.createDataFrame([], EPISODES)
+    counts = jobs.infer_names(empty, about, Model("careless", load_careless),
+                              folder=folder and str(tmp_path / folder)).counts
+    assert set(counts) == {"proposals-1", "proposals-2", "answered"}
+    assert not any(n for step in counts.values() for n in step.values())
