@@ -8,8 +8,14 @@ identifier or an endpoint, an identifier or an endpoint needs a secret.  A weak
 part over a strong one of its own role is that part read again and not reported
 beside it; it is a partner as any other.  Two parts that overlap are readings of
 one string and no pair, and an opaque string that is itself an identifier or an
-access id is no secret.  Any 20 characters with a letter or digit are opaque;
-whether they are a secret is left to the company they keep.  The parts meet in
+access id is no secret.  An opaque string is 20 or more characters of which at
+least half stand in pieces that are not words: words, names in camel case, words
+in capitals, and each of these with digits at its end are ordinary (so letters
+alone, without digits or mixed case, are no secret), while a hexadecimal string
+with digits and letters always counts.  In the host or path of an endpoint there
+is no opaque string; what stands in its query, and a strong secret anywhere in it,
+is ``carried`` by it and a partner of identifiers alone, so that two links are no
+credential.  The parts meet in
 an interval join on (text, cell of ``reach`` code points); parts of one kind do
 not overlap, so the partners of a part are bounded by the reach.
 
@@ -40,7 +46,9 @@ _IDENTIFIER = re.compile(
     re.IGNORECASE | re.ASCII)
 _ENDPOINT = re.compile(r"""(?<![A-Za-z])[A-Za-z][A-Za-z0-9+.-]{1,11}://[^\s"'<>]{3,}""")
 _OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
-_SOLID = re.compile("[A-Za-z0-9]")
+_SOLID = re.compile("[A-Za-z0-9]+")
+_HEX_KEY = re.compile(r"(?=.*[0-9])(?=.*[A-Fa-f])(?:[0-9a-f]{20,}|[0-9A-F]{20,})")
+_ORDINARY = re.compile("(?:[A-Z]{0,4}[a-z]{2,}|[A-Z][a-z])*(?:[A-Z]{0,4}|[A-Z]+|[A-Za-z])[0-9]*")
 
 PART = "array<struct<kind:string,role:string,begin:int,end:int>>"
 
@@ -53,19 +61,43 @@ def strong_parts(text):
     return sorted(found)
 
 
-def weak_parts(text):
+def endpoints(text):
+    """(start, end of host and path, end) of every endpoint."""
+    if "://" not in text:
+        return []
+    return [(m.start(), m.start() + len(re.split("[?#]", m[0], maxsplit=1)[0]), m.end())
+            for m in _ENDPOINT.finditer(text)]
+
+
+def around(places, begin, end):
+    """The last of the endpoints that ``begin`` to ``end`` overlaps, or None."""
+    at = bisect_left(places, (end,)) - 1
+    return places[at] if at >= 0 and places[at][2] > begin else None
+
+
+def weak_parts(text, places=None):
     """(start, kind, end) of what is a secret only in company."""
+    places = endpoints(text) if places is None else places
     found = [(m.start(), 3, m.end()) for m in _IDENTIFIER.finditer(text)]
     ids = sorted(found + [x for x in strong_parts(text) if x[1] == 1])
     for begin, end in _apart(_opaque(text), ids):
-        found.append((begin, 4, end))
-    if "://" in text:
-        found += [(m.start(), 5, m.end()) for m in _ENDPOINT.finditer(text)]
-    return sorted(found)
+        place = around(places, begin, end)
+        if place is None or begin >= place[1]:
+            found.append((begin, 4, end))
+    return sorted(found + [(begin, 5, end) for begin, _, end in places])
+
+
+def is_opaque(value):
+    """Whether a string is hexadecimal or at least half of it in no word."""
+    if _HEX_KEY.fullmatch(value):
+        return True
+    pieces = _SOLID.findall(value)
+    strange = sum(len(x) for x in pieces if not _ORDINARY.fullmatch(x))
+    return 0 < sum(map(len, pieces)) <= 2 * strange
 
 
 def _opaque(text):
-    return [m.span() for m in _OPAQUE.finditer(text) if _SOLID.search(m[0])]
+    return [m.span() for m in _OPAQUE.finditer(text) if is_opaque(m[0])]
 
 
 def _apart(spans, ids):
@@ -99,12 +131,12 @@ def _parts(docs, id_column, text_column):
         strong, weak, again = [], [], []
         for value in batch["text"]:
             text = value.as_py()
-            own = strong_parts(text)
-            strong.append(_rows(own))
-            others = weak_parts(text)
+            own, places = strong_parts(text), endpoints(text)
+            strong.append(_rows(own, places))
+            others = weak_parts(text, places)
             seen = read_again(others, own)
-            weak.append(_rows([x for x, same in zip(others, seen) if not same]))
-            again.append(_rows([x for x, same in zip(others, seen) if same]))
+            weak.append(_rows([x for x, same in zip(others, seen) if not same], places))
+            again.append(_rows([x for x, same in zip(others, seen) if same], places))
         kind = pa.list_(pa.struct([("kind", pa.string()), ("role", pa.string()),
                                    ("begin", pa.int32()), ("end", pa.int32())]))
         return pa.table({"doc_id": batch["doc_id"], "key": batch["key"],
@@ -118,8 +150,11 @@ def _parts(docs, id_column, text_column):
         f"again {PART}")
 
 
-def _rows(parts):
-    return [{"kind": KINDS[k], "role": _ROLE[k], "begin": a, "end": b} for a, k, b in parts]
+def _rows(parts, places):
+    def role(begin, kind, end):
+        inside = _ROLE[kind] == "secret" and around(places, begin, end)
+        return "carried" if inside else _ROLE[kind]
+    return [{"kind": KINDS[k], "role": role(a, k, b), "begin": a, "end": b} for a, k, b in parts]
 
 
 def _cells(begin, end, reach):
@@ -140,7 +175,11 @@ def linked_parts(parts, reach=300):
         F.col("kind").alias("other_kind"), F.col("begin").alias("other_begin"),
         F.col("end").alias("other_end"),
         F.explode(_cells(F.col("begin"), F.col("end"), reach)).alias("other_cell"))
-    complementary = (F.col("role") == "secret") != (F.col("other_role") == "secret")
+    secrets = ("secret", "carried")
+    roles = F.array("role", "other_role")
+    complementary = (
+        (F.col("role").isin(*secrets) != F.col("other_role").isin(*secrets))
+        & ~(F.array_contains(roles, "carried") & F.array_contains(roles, "endpoint")))
     apart = (F.col("other_end") <= F.col("begin")) | (F.col("end") <= F.col("other_begin"))
     first = F.greatest(
         F.floor((F.col("begin") - reach) / reach), F.floor(F.col("other_begin") / reach))
