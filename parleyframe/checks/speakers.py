@@ -291,12 +291,12 @@ def parse_assignments(inputs):
 
 # The same answers, with what is skipped of them and why.
 @check(f"""
-SELECT concat(episode_id, '/', CAST(pos AS STRING)) AS episode_id, pass, at AS pos,
-       CASE at WHEN 1 THEN speaker_id WHEN 2 THEN 'None' WHEN 3 THEN 'S' END AS speaker_id,
-       CASE WHEN at IS NULL THEN 'not JSON' WHEN at = 0 THEN 'no speaker'
-            WHEN at = 3 THEN 'confidence is not a number' END AS fault
+SELECT concat(episode_id, '/', CAST(pos AS STRING)) AS episode_id, pass, k AS pos,
+       CASE k WHEN 1 THEN speaker_id WHEN 2 THEN 'None' WHEN 3 THEN 'S' END AS speaker_id,
+       CASE WHEN k IS NULL THEN 'not JSON' WHEN k = 0 THEN 'no speaker'
+            WHEN k = 3 THEN 'confidence is not a number' END AS fault
 FROM (SELECT *, unnest(CASE WHEN proposed_name = 'Eve' THEN [CAST(NULL AS BIGINT)]
-                            ELSE [0::BIGINT, 1, 2, 3] END) AS at FROM {PROPOSED} p) x""")
+                            ELSE [0::BIGINT, 1, 2, 3] END) AS k FROM {PROPOSED} p) x""")
 def read_answers(inputs):
     return models.read_proposals(_answers(inputs)).select(
         "episode_id", "pass", "pos", "speaker_id", "fault")
