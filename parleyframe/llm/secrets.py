@@ -48,7 +48,11 @@ _ENDPOINT = re.compile(r"""(?<![A-Za-z])[A-Za-z][A-Za-z0-9+.-]{1,11}://[^\s"'<>]
 _OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 _SOLID = re.compile("[A-Za-z0-9]+")
 _HEX_KEY = re.compile(r"(?=.*[0-9])(?=.*[A-Fa-f])(?:[0-9a-f]{20,}|[0-9A-F]{20,})")
-_ORDINARY = re.compile("(?:[A-Z]{0,4}[a-z]{2,}|[A-Z][a-z])*(?:[A-Z]{0,4}|[A-Z]+|[A-Za-z])[0-9]*")
+# Words in camel case, with one acronym before a word and one at the end; possessive,
+# so that a long string is read once.
+_WORDS = "(?:[A-Z]?+[a-z]{2,}+|[A-Z][a-z])*+"
+_ORDINARY = re.compile(
+    f"(?:{_WORDS}(?:[A-Z]{{2,5}}+[a-z]{{2,}}+)?+{_WORDS}[A-Z]{{0,4}}|[A-Z]+|[A-Za-z])[0-9]*")
 
 PART = "array<struct<kind:string,role:string,begin:int,end:int>>"
 

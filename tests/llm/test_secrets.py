@@ -172,3 +172,9 @@ def test_odd_rows_keep_their_values(odd):
     for row in secrets.digests(odd).collect():
         assert (row["n_assign"], row["n_access"], row["n_hex"], row["spans"]) == (0, 0, 0, "")
         assert row["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_long_strings_are_read_once():
+    for hard in ("x" * 200_000, "Xx" * 100_000, "ABab" * 50_000, "Xxxx" * 50_000):
+        assert secrets.is_opaque(hard + "9a")
+        assert secrets.is_opaque(hard) == hard.startswith("AB")
