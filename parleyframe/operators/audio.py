@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from parleyframe.operators.chunks import _grid, window_indexes
 
+# Samples whose sums are held at once while channels are mixed.
+SAMPLES_AT_ONCE = 1 << 18
+
 
 def audio_duration(pcm):
     """(episode_id, num_frames, sample_rate, seconds) of the longest channel."""
@@ -64,15 +67,28 @@ def clip_pcm(pcm, start_sec, duration_sec, block_samples, sample_rate=None):
         .drop("_skip", "_keep"))
 
 
-def mixed(slices):
+def mixed(slices, at_once=SAMPLES_AT_ONCE):
     """One array from (first sample, samples) slices of any channels: every
-    sample is the mean over the channels that have it."""
-    total = np.zeros(max((first + len(x) for first, x in slices), default=0))
-    seen = np.zeros(len(total))
+    sample is the mean over the channels that have it.
+
+    Sums are held for ``at_once`` samples at a time, so a long window needs little
+    more than the array it becomes.
+    """
+    touching = {}
     for first, x in slices:
-        total[first:first + len(x)] += x
-        seen[first:first + len(x)] += 1
-    return (total / np.maximum(seen, 1)).astype("float32")
+        for part in range(first // at_once, -(-(first + len(x)) // at_once)):
+            touching.setdefault(part, []).append((first, x))
+    out = np.zeros(max((first + len(x) for first, x in slices), default=0), "float32")
+    for part, some in touching.items():
+        low = part * at_once
+        total = np.zeros(min(at_once, len(out) - low))
+        seen = np.zeros(len(total))
+        for first, x in some:
+            begin, end = max(first, low), min(first + len(x), low + len(total))
+            total[begin - low:end - low] += x[begin - first:end - first]
+            seen[begin - low:end - low] += 1
+        out[low:low + len(total)] = total / np.maximum(seen, 1)
+    return out
 
 
 def _mean_of_channels(blocks: Iterator[pd.Series]) -> Iterator[pd.Series]:

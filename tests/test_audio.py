@@ -151,3 +151,31 @@ def test_written_windows(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "w"))
     assert back.agg(F.sum(F.size("samples"))).first()[0] == 20 + 20 + 20 + 8
     assert chunks.chunk_file(F.lit(7)) is not None
+
+
+def test_mixing_in_parts_is_mixing_at_once():
+    rng = np.random.default_rng(3)
+    slices = [(int(rng.integers(0, 900)), rng.normal(size=int(rng.integers(0, 200))).astype("float32"))
+              for _ in range(60)]
+    total, seen = np.zeros(1100), np.zeros(1100)
+    for first, x in slices:
+        total[first:first + len(x)] += x
+        seen[first:first + len(x)] += 1
+    length = max(first + len(x) for first, x in slices)
+    expected = (total / np.maximum(seen, 1)).astype("float32")[:length]
+    for at_once in (1, 7, 64, 10_000):
+        assert np.array_equal(audio.mixed(slices, at_once), expected)
+    assert len(audio.mixed([])) == 0
+
+
+def test_mixing_half_an_hour_holds_one_array():
+    import tracemalloc
+    rate, seconds = 16_000, 1800
+    blocks = [(rate * s, np.full(rate, s % 2, "float32")) for s in range(seconds)]
+    tracemalloc.start()
+    wave = audio.mixed(blocks * 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert wave[rate * 7] == 1 and len(wave) == rate * seconds
+    # With the samples that came in, under three times the samples that go out.
+    assert peak < 1.25 * wave.nbytes
