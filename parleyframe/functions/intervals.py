@@ -1,7 +1,6 @@
 """Expressions over (start, end) pairs in seconds."""
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 
@@ -40,13 +39,15 @@ def padded(start, end, shortest, whole):
 
 def pad_to(start, end, shortest, whole):
     """``padded`` for columns: a struct (start, end)."""
-    shortest = float(shortest)
-
-    @F.pandas_udf("start double, end double")
-    def pad(starts: pd.Series, ends: pd.Series, wholes: pd.Series) -> pd.DataFrame:
-        low, high = padded(
-            *(x.to_numpy(dtype="float64") for x in (starts, ends)), shortest,
-            wholes.to_numpy(dtype="float64"))
-        return pd.DataFrame({"start": low, "end": high})
-
-    return pad(start.cast("double"), end.cast("double"), whole.cast("double"))
+    start, end, whole = (x.cast("double") for x in (start, end, whole))
+    shortest, zero = F.lit(float(shortest)), F.lit(0.0)
+    middle = F.lit(0.5) * (start + end)
+    low, high = F.greatest(zero, middle - shortest / 2), F.least(whole, middle + shortest / 2)
+    missing = (shortest - (high - low)) / 2
+    kept, fits = end - start >= shortest, high - low >= shortest
+    return F.struct(
+        F.when(kept, start).when(fits | (low == zero), low)
+        .when(high == whole, F.greatest(zero, whole - shortest))
+        .otherwise(F.greatest(zero, low - missing)).alias("start"),
+        F.when(kept, end).when(fits, high).when(low == zero, F.least(whole, shortest))
+        .when(high == whole, high).otherwise(F.least(whole, high + missing)).alias("end"))

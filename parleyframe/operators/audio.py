@@ -7,10 +7,8 @@ touching the samples.
 """
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from parleyframe.operators.chunks import _grid, window_indexes
@@ -91,11 +89,6 @@ def mixed(slices, at_once=SAMPLES_AT_ONCE):
     return out
 
 
-def _mean_of_channels(blocks: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in blocks:
-        yield pd.Series([mixed([(0, x) for x in channels]) for channels in batch])
-
-
 def mixdown_pcm(pcm):
     """Mean over channels, block by block, by the rule windows are mixed with; a
     single channel passes unchanged.
@@ -105,8 +98,16 @@ def mixdown_pcm(pcm):
     same = [c for c in ("sample_rate", "first_sample") if c in pcm.columns]
     blocks = pcm.groupBy("episode_id", "block").agg(
         *[F.max(c).alias(c) for c in same], F.collect_list("samples").alias("channels"))
-    mean = F.pandas_udf(_mean_of_channels, "array<float>")
-    mixed = F.when(F.size("channels") == 1, F.col("channels")[0]).otherwise(mean("channels"))
+
+    def summed(value):
+        # The shorter array is filled up with nulls.
+        return F.aggregate("channels", F.array().cast("array<double>"), lambda total, x: F.zip_with(
+            total, x, lambda t, s: F.coalesce(t, F.lit(0.0)) + value(s)))
+
+    total = summed(lambda s: F.coalesce(s.cast("double"), F.lit(0.0)))
+    seen = summed(lambda s: F.when(s.isNull(), 0.0).otherwise(1.0))
+    mean = F.zip_with(total, seen, lambda t, n: F.try_divide(t, n).cast("float"))
+    mixed = F.when(F.size("channels") == 1, F.col("channels")[0]).otherwise(mean)
     return blocks.select("episode_id", "block", *same, mixed.alias("samples"))
 
 

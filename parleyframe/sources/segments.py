@@ -8,15 +8,17 @@ Layouts:
 ``array``    one JSON array per episode.  ``write_segments`` writes it with a segment
              per line into ``episode_id=`` folders, which are read back as lines,
              split and in any number of part files (``partitioned``).  An array
-             from elsewhere is one file named after its episode and read whole.
+             from elsewhere is one file named after its episode; one with line
+             ends is read in splits too (``arrays.py``).
 """
 
 from pyspark.sql import functions as F
 
 from parleyframe.functions.numbers import parse_float, required
 from parleyframe.functions.text import strip
+from parleyframe.sources.arrays import array_elements
 from parleyframe.sources.lines import (
-    computed_once, numbered_lines, settled_while, whole_files, write_lines)
+    computed_once, numbered_lines, settled_while, write_lines)
 
 SEGMENT_FIELDS = ("start", "end", "text")
 DIARIZED_FIELDS = ("start", "end", "speaker", "text")
@@ -99,7 +101,8 @@ def _records(spark, path, fields, layout, partitioned):
         return parse_objects(
             lines.withColumn("value", F.regexp_replace("value", "^,", "")), fields)
     if layout == "array":
-        return parse_arrays(whole_files(spark, path), fields)
+        return array_elements(spark, path, _json_struct(fields)).select(
+            "episode_id", "pos", "item.*")
     raise ValueError(f"unknown layout {layout!r}")
 
 

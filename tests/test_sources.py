@@ -98,13 +98,46 @@ def test_json_array_files(spark, rows, tmp_path):
 
 @pytest.mark.parametrize("content", [
     '[{"start": 1, "text": "a"}]', '[{"start": 1, "end": "x", "text": "a"}]',
-    '[{"start": 1, "end": 2}]', '{"start": 1, "end": 2, "text": "a"}', '[{"start": 1, ', ' \n'])
+    '[{"start": 1, "end": 2}]', '{"start": 1, "end": 2, "text": "a"}', '[{"start": 1, ', ' \n',
+    '[{"start": 1, "end": 2, "text": "a"}\n{"start": 1, "end": 2, "text": "a"}]',
+    '[{"start": 1, "end": 2, "text": "a"},\n]', '[\n,\n]', '[]\n[]',
+    '[{"start": 1, "end": 2, "text": "a"}\n]\nx', '[{"start": 1, "end": 2, "text": "a\nb"}]'])
 def test_unusable_json_fails(spark, tmp_path, content):
     (tmp_path / "bad.json").write_text(content)
     with pytest.raises(Exception):
         segments.read_transcript(spark, str(tmp_path), layout="array").collect()
 
 
+NASTY = ["plain", 'a "quote" and \\', "[{", "}],", "\\\"", "line\nend", "é\u2028 🙂", "", ",", "x" * 3000]
+
+
+@pytest.mark.parametrize("style", ["indented", "flat", "line each", "leading commas"])
+def test_arrays_are_read_in_splits(spark, rows, tmp_path, style):
+    """Any splits give what the file gives as a whole."""
+    said = {f"e{k}": [{"start": i / 2, "end": i / 2 + 1, "text": NASTY[i % len(NASTY)],
+                       "more": {"words": [i, {"deep": [NASTY[-i % len(NASTY)]]}]}}
+                      for i in range(n)] for k, n in enumerate([0, 1, 2, 150])}
+    for name, content in said.items():
+        text = {
+            "indented": lambda: json.dumps(content, indent=2, ensure_ascii=False),
+            "flat": lambda: json.dumps(content),
+            "line each": lambda: "[\r\n" + ",\r\n".join(map(json.dumps, content)) + "\r\n\r\n]\r\n",
+            "leading commas": lambda: "[" + "\n , ".join(map(json.dumps, content)) + "]"}[style]()
+        (tmp_path / f"{name}.json").write_text(text, newline="")
+    whole = segments.as_transcript(segments.parse_arrays(
+        lines.whole_files(spark, str(tmp_path)), segments.SEGMENT_FIELDS))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    spark.conf.set("spark.sql.files.openCostInBytes", "64")
+    try:
+        found = segments.read_transcript(spark, str(tmp_path), layout="array")
+        assert rows(found) == rows(whole) == sorted(
+            [(e, i, x["start"], x["end"], x["text"]) for e, c in said.items()
+             for i, x in enumerate(c)], key=repr)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 UTTERANCES = "episode_id string, pos long, start double, end double, speaker string, text string"
 SAID = [("e", 5, 1.0, 2.0, "S1", 'say "x"\n'), ("e", 2, 0.0, 1.0, "S0", "é"),
         ("f", 0, 0.5, 0.75, "S0", " pad ")]
