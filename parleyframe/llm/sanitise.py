@@ -1,23 +1,28 @@
 """Personal data and the terms that give it away, with DataFrame functions only.
 
 Values of four kinds are found by pattern and check.  What else betrays them is
-measured on the corpus: a context is a distinct line; for a protected value c
-and a word t beside it, the part of c's information that t discloses is
-PMI(c; t) / IC(c), with probabilities counted over the distinct lines of all
-documents.  Words that stand with c in ``support`` or more lines and disclose
-``generalise`` or more of it are spans too, in the lines where c stands:
-``term`` (replaced by a placeholder), or ``reveal`` from ``remove`` on (taken out).
+measured on the corpus: for a protected value c and a word t, the part of c's
+information that t discloses is PMI(c; t) / IC(c), with probabilities counted
+over the distinct texts; c and t stand together in a text where t is in a line
+of c or one beside it.  Words that stand together with c in ``support`` or more
+texts and disclose ``generalise`` or more of it are spans too, wherever they are
+in a text that holds c: ``term`` (replaced by a placeholder), or ``reveal`` from
+``remove`` on (taken out).  A word is two letters or digits or more, one of them
+a letter.
 
 Null and empty texts hold nothing.  No pattern crosses a line feed, so lines are
 searched apart.  Equal texts are searched once, by a 128-bit key; rows that
-repeat an id or a text are answered one by one.
+repeat an id or a text are answered one by one.  Tables with lines and values
+are removed when the spans are known.
 """
 
+from contextlib import contextmanager
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from parleyframe.llm.common import id_and_text, text_key
-from parleyframe.sources.tables import settle
+from parleyframe.sources.tables import drop_folder, run_folder, settle
 
 #: Order of kinds that start at one place.
 KINDS = ("email", "ip", "card", "phone", "term", "reveal")
@@ -32,10 +37,10 @@ PATTERNS = {
 # What a line with a valid match of any kind holds at least.
 _ANY = r"@|\+[0-9]|[0-9]\.[0-9]++\.[0-9]++\.[0-9]|[0-9](?:[\x20-]?[0-9]){13}"
 _BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-_WORD = r"\p{L}{3,}"
+_WORD = r"(?<![\p{L}\p{N}])(?=\p{N}*+\p{L})[\p{L}\p{N}]{2,}+"
 #: Up to so many terms are joined as a copy in every task; more by a shuffle.
 COPIED_TERMS = 20_000
-#: Common words are ruled out by this part of the contexts, dealt by hash.
+#: Common words are ruled out by this part of the texts, dealt by hash.
 BOUNDED_BY = 16
 
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]",
@@ -124,83 +129,94 @@ def _words(text):
         F.regexp_extract_all(low, F.lit(_WORD), F.lit(0))))
 
 
-def disclosing_terms(texts, lines, values, support=3, generalise=0.8):
+def disclosing_terms(texts, lines, values, folder=None, support=3, generalise=0.8):
     """kind, value, term, share (of the value's information, 0 to 1): the words
     that give a protected value away."""
-    # Contexts of protected values: distinct lines.
-    held = values.select("a", "b", "line", "kind", "value").distinct().join(
-        lines.select("a", "b", "line", "text"), ["a", "b", "line"]).select(
-        "kind", "value", "text").distinct()
-    of_value = held.groupBy("kind", "value").agg(F.count("*").alias("n_value"))
-    often = held.join(of_value.where(F.col("n_value") >= support), ["kind", "value"])
+    held = values.select("a", "b", "line", "kind", "value").distinct()
+    of_value = settle(
+        held.groupBy("kind", "value").agg(F.count_distinct("a", "b").alias("n_value"))
+        .where(F.col("n_value") >= support), "often", folder)
+    beside = held.join(of_value, ["kind", "value"]).withColumn(
+        "line", F.explode(F.array(*(F.col("line") + k for k in (-1, 0, 1))))).distinct()
     together = settle(
-        often.select("kind", "value", "n_value", F.explode(_words(F.col("text"))).alias("term"))
-        .groupBy("kind", "value", "n_value", "term").agg(F.count("*").alias("n_both"))
-        .where(F.col("n_both") >= support), "terms-beside-values")
-    contexts = texts.select(F.explode(F.split("text", "\n")).alias("text"))
-    total = contexts.agg(F.count_distinct(F.xxhash64("text"))).first()[0]
-    # In more lines than this a word discloses too little about any of its values.
+        beside.join(lines.select("a", "b", "line", "text"), ["a", "b", "line"]).select(
+            "kind", "value", "n_value", "a", "b", F.explode(_words(F.col("text"))).alias("term"))
+        .distinct().groupBy("kind", "value", "n_value", "term").agg(F.count("*").alias("n_both"))
+        .where(F.col("n_both") >= support), "terms-beside-values", folder)
+    total = texts.agg(F.count_distinct("key.a")).first()[0]
+    # In more texts than this a word discloses too little about any of its values.
     most = F.col("n_both") * F.pow(total / F.col("n_value"), F.lit(1 - generalise))
     terms = settle(together.where(F.col("n_value") < total).groupBy("term").agg(
-        F.max(most).alias("most")), "terms")
-    # Common words are known by a part of the contexts, a lower bound; the others
+        F.max(most).alias("most")), "terms", folder)
+    # Common words are known by a part of the texts, a lower bound; the others
     # are counted over all of them.
-    part = _lines_with(
-        contexts.where(F.pmod(F.xxhash64("text"), F.lit(BOUNDED_BY)) == 0), terms)
+    part = _texts_with(texts.where(F.pmod("key.a", F.lit(BOUNDED_BY)) == 0), terms)
     rare = settle(terms.join(part, "term", "left").where(
-        F.coalesce("n_term", F.lit(0)) <= F.col("most") * 1.001).select("term"), "rare-terms")
-    of_term = _lines_with(contexts, rare)
+        F.coalesce("n_term", F.lit(0)) <= F.col("most") * 1.001).select("term"),
+        "rare-terms", folder)
+    # Settled, so that a word beside many values is split in the join.
+    of_term = settle(_texts_with(texts, rare), "texts-of-terms", folder)
     share = (F.log(F.col("n_both") * total) - F.log(F.col("n_value") * F.col("n_term"))) / F.log(
         total / F.col("n_value"))
     return together.join(of_term, "term").where(F.col("n_value") < total).select(
         "kind", "value", "term", share.alias("share")).where(F.col("share") >= generalise)
 
 
-def _lines_with(contexts, terms):
-    """term, n_term: the number of distinct contexts that hold each of the terms."""
+def _texts_with(texts, terms):
+    """term, n_term: the number of distinct texts that hold each of the terms."""
     wanted = terms.select("term")
-    few = wanted.count() <= COPIED_TERMS
-    return contexts.select(
-        F.xxhash64("text").alias("context"), F.explode(_words(F.col("text"))).alias("term")).join(
-        F.broadcast(wanted) if few else wanted, "term", "left_semi").distinct().groupBy(
+    few = wanted.count()
+    if not few:
+        return wanted.withColumn("n_term", F.lit(0).cast("bigint"))
+    return texts.select(
+        F.col("key.a").alias("context"), F.explode(_words(F.col("text"))).alias("term")).join(
+        F.broadcast(wanted) if few <= COPIED_TERMS else wanted, "term", "left_semi").distinct().groupBy(
         "term").agg(F.count("*").alias("n_term"))
 
 
 def term_spans(lines, values, disclosing, remove=0.95):
-    """a, b, line, kind, begin, end, term of disclosing words in the lines of their values."""
-    wanted = values.select("a", "b", "line", "kind", "value").distinct().join(
-        disclosing, ["kind", "value"]).groupBy("a", "b", "line", "term").agg(
+    """a, b, line, kind, begin, end, term of disclosing words in the texts of their values."""
+    wanted = values.select("a", "b", "kind", "value").distinct().join(
+        disclosing, ["kind", "value"]).groupBy("a", "b", "term").agg(
         F.max("share").alias("share"))
-    there = lines.join(wanted.select("a", "b", "line").distinct(), ["a", "b", "line"], "left_semi")
+    there = lines.join(wanted.select("a", "b").distinct(), ["a", "b"], "left_semi")
     words = _placed(there.select(
         "a", "b", "line", "start", F.posexplode(_found(F.col("text"), _WORD_OR_ADDRESS)).alias("at", "f")
     ).select("a", "b", "line", "start", "at", "f.gap", "f.match"), ("a", "b", "line"))
     return words.withColumn("term", F.lower("match")).join(
-        wanted, ["a", "b", "line", "term"]).select(
+        wanted, ["a", "b", "term"]).select(
         "a", "b", "line", F.when(F.col("share") >= remove, "reveal").otherwise("term").alias("kind"),
         (F.col("start") + F.col("begin")).alias("begin"),
         (F.col("start") + F.col("end")).alias("end"), "term")
 
 
+@contextmanager
 def _searched(docs, id_column, text_column, support, generalise, remove):
-    """Texts with their keys, and the spans of values and of terms."""
-    texts = id_and_text(docs, id_column, text_column).withColumn("key", text_key(F.col("text")))
-    lines = settle(suspect_lines(texts), "suspect-lines")
-    values = settle(values_in(lines), "personal-values")
-    disclosing = disclosing_terms(texts, lines, values, support, generalise)
-    return texts, values, settle(term_spans(lines, values, disclosing, remove), "terms")
+    """Texts with their keys, and the spans of values and of terms, for the time of a
+    ``with`` block: what holds personal data is deleted at its end."""
+    spark = docs.sparkSession
+    folder = run_folder(spark)
+    try:
+        texts = id_and_text(docs, id_column, text_column).withColumn("key", text_key(F.col("text")))
+        lines = settle(suspect_lines(texts), "suspect-lines", folder)
+        values = settle(values_in(lines), "personal-values", folder)
+        disclosing = settle(
+            disclosing_terms(texts, lines, values, folder, support, generalise), "shares", folder)
+        yield texts, values, settle(term_spans(lines, values, disclosing, remove), "terms", folder)
+    finally:
+        drop_folder(spark, folder)
 
 
 def spans(docs, id_column="doc_id", text_column="text", support=3, generalise=0.8, remove=0.95):
     """doc_id, base and terms: arrays of (begin, place in KINDS, end, kind), ascending."""
-    texts, values, terms = _searched(
-        docs, id_column, text_column, support, generalise, remove)
     order = F.array(*map(F.lit, KINDS))
     span = F.struct("begin", F.array_position(order, F.col("kind")).alias("place"), "end", "kind")
     is_term = F.col("kind").isin("term", "reveal")
-    found = settle(values.drop("value").unionByName(terms.drop("term")).groupBy("a", "b").agg(
-        F.array_sort(F.collect_set(F.when(~is_term, span))).alias("base"),
-        F.array_sort(F.collect_set(F.when(is_term, span))).alias("terms")), "spans")
+    with _searched(docs, id_column, text_column, support, generalise, remove) as searched:
+        texts, values, terms = searched
+        found = settle(values.drop("value").unionByName(terms.drop("term")).groupBy("a", "b").agg(
+            F.array_sort(F.collect_set(F.when(~is_term, span))).alias("base"),
+            F.array_sort(F.collect_set(F.when(is_term, span))).alias("terms")), "spans")
     none = F.array().cast("array<struct<begin:int,place:bigint,end:int,kind:string>>")
     return texts.select("doc_id", "key.a", "key.b").join(found, ["a", "b"], "left").select(
         "doc_id", F.coalesce("base", none).alias("base"), F.coalesce("terms", none).alias("terms"))
@@ -255,13 +271,14 @@ def _cut(text, spans):
 def sanitise(docs, id_column="doc_id", text_column="text", support=3, generalise=0.8, remove=0.95):
     """``docs`` with values replaced by labels, disclosing words by ``[TERM]`` or nothing:
     the original texts, cut once by the spans that ``spans`` tells."""
-    _, values, terms = _searched(docs, id_column, text_column, support, generalise, remove)
+    with _searched(docs, id_column, text_column, support, generalise, remove) as searched:
+        found = settle(cuts(*searched[1:]), "cuts")
     known = F.coalesce(docs[text_column], F.lit(""))
     key, text = text_key(known), F.col("row")[text_column]
     # Only texts that are searched can have cuts; the others stay where they are.
     suspect = docs.where(known.rlike(_ANY)).select(
         F.struct("*").alias("row"), key["a"].alias("a"), key["b"].alias("b")).join(
-        settle(cuts(values, terms), "cuts"), ["a", "b"], "left")
+        found, ["a", "b"], "left")
     out = suspect.withColumn("clean", F.when(
         F.col("cuts").isNull(), text).otherwise(_cut(text, F.col("cuts"))))
     return docs.where(~known.rlike(_ANY)).unionByName(out.select(*(

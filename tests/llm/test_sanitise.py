@@ -1,7 +1,13 @@
 import hashlib
+import math
+import os
+import random
 import re
 
+import regex
+
 from parleyframe.llm import sanitise
+from parleyframe.sources.tables import working_folder
 from tests.llm.conftest import ODD
 
 TEXTS = [
@@ -64,7 +70,7 @@ def test_disclosing_terms(documents):
     text = BETRAYED[1][1]
     place = text.index("zanzibar")
     assert f"term:{place}:{place + 8}" in rows[1].split(",")
-    assert f":{text.index('bravo', 20)}:" not in rows[1]  # one line is no evidence
+    assert f":{text.index('bravo', 20)}:" not in rows[1]  # one text is no evidence
     assert rows[10] == rows[11] == rows[100] == ""
     clean = {r["doc_id"]: r["text"] for r in sanitise.sanitise(docs, generalise=0.7).collect()}
     assert "[TERM] office" in clean[1] and "[EMAIL]" in clean[1] and "kim@" not in clean[1]
@@ -122,3 +128,94 @@ def test_no_character_of_a_span_survives(documents):
         assert re.fullmatch(cut_by(text, spans[i]), clean[i], re.DOTALL), (text, clean[i])
     assert clean[400] == "call [PHONE] or"
     assert "zanzibar" not in clean[300] + clean[301] and "term:" in spans[300]
+
+
+WORD = regex.compile(r"(?<![\p{L}\p{N}])(?=\p{N}*+\p{L})[\p{L}\p{N}]{2,}")
+ADDRESS = re.compile(PATTERNS[0][1])
+
+
+def brute_terms(texts, support=3, generalise=0.8, remove=0.95):
+    """Spans of terms by text, restated with loops over distinct texts."""
+    def words(line):
+        return {w.lower() for w in WORD.findall(ADDRESS.sub(" ", line))}
+
+    texts, of_value, of_term, both = sorted(set(texts)), {}, {}, {}
+    for text in texts:
+        lines = text.split("\n")
+        for word in set().union(*map(words, lines)):
+            of_term[word] = of_term.get(word, 0) + 1
+        near = {}
+        for i, line in enumerate(lines):
+            for kind, pattern, valid in PATTERNS:
+                for m in re.finditer(pattern, line):
+                    if valid(m[0]):
+                        value = kind, plain(m[0]) if kind in ("card", "phone") else m[0].lower()
+                        near.setdefault(value, set()).update(
+                            *map(words, lines[max(0, i - 1):i + 2]))
+        for value, some in near.items():
+            of_value.setdefault(value, set()).add(text)
+            for word in some:
+                both[value, word] = both.get((value, word), 0) + 1
+    shares = {}
+    for (value, word), n in both.items():
+        p = len(of_value[value]) / len(texts)
+        if n >= support and p < 1:
+            share = math.log(n / len(texts) / p / (of_term[word] / len(texts))) / -math.log(p)
+            if share >= generalise:
+                for text in of_value[value]:
+                    at = shares.setdefault(text, {})
+                    at[word] = max(share, at.get(word, 0))
+    spans = {}
+    for text, found in shares.items():
+        hidden = ADDRESS.sub(lambda m: " " * len(m[0]), text)
+        spans[text] = {
+            f"{'reveal' if found[m[0].lower()] >= remove else 'term'}:{m.start()}:{m.end()}"
+            for m in WORD.finditer(hidden) if m[0].lower() in found}
+    return spans
+
+
+def test_terms_against_brute_force(documents):
+    pick = random.Random(4)
+    people = [(f"{n} {s}", f"{n.lower()}@corp{k}.example") for k, (n, s) in enumerate(
+        [("Kim", "Zanzibar"), ("Bo", "X7q"), ("Ana", "Li"), ("Joe", "Smith")])]
+    fill = [f"w{chr(97 + k)}ord" for k in range(20)]
+    texts = []
+    for k in range(400):
+        lines = [" ".join(pick.choices(fill, k=6)) for _ in range(pick.randint(1, 4))]
+        if k % 8 < len(people) and pick.random() < 0.8:
+            name, mail = people[k % 8]
+            lines[pick.randint(0, len(lines)):0] = pick.choice(
+                [[name, mail], [f"{name}: {mail}"], [f"{mail} and {name}", "x", name],
+                 [mail, *[""] * (k % 8 < 2), name]])
+        elif k % 50 == 7:
+            lines.append(pick.choice(people[:2])[0])
+        texts.append("\n".join(lines))
+    texts += texts[:40]
+    expected = brute_terms(texts)
+    rows = sanitise.digests(documents(list(enumerate(texts)))).collect()
+    kinds = set()
+    for row in rows:
+        found = {x for x in row["spans"].split(",") if x.startswith(("term", "reveal"))}
+        assert found == expected.get(texts[row["doc_id"]], set()), texts[row["doc_id"]]
+        kinds |= {x.split(":")[0] for x in found}
+    assert kinds == {"term", "reveal"}
+
+
+def test_a_name_above_its_address_goes_everywhere(spark, documents):
+    signed = [(k, f"Kim Zanzibar wrote note {w}\n\nmore\nKim Zanzibar\nkim@corp.example")
+              for k, w in enumerate(["alpha", "bravo", "delta"])]
+    docs = documents(signed + OTHERS)
+    before = set(os.listdir(runs(spark)))
+    clean = {r["doc_id"]: r["text"] for r in sanitise.sanitise(docs).collect()}
+    for k, text in signed:
+        assert "Zanzibar" not in clean[k] and "Kim" not in clean[k] and "note" in clean[k]
+    # What is left on disk has places and labels, no personal data.
+    left = [os.path.join(runs(spark), x) for x in set(os.listdir(runs(spark))) - before]
+    assert left and all(
+        set(spark.read.parquet(f"{x}/*").columns) == {"a", "b", "cuts"} for x in left)
+
+
+def runs(spark):
+    folder = os.path.join(working_folder(spark), "parleyframe")
+    os.makedirs(folder, exist_ok=True)
+    return folder
