@@ -7,6 +7,11 @@ side by side through numpy.  The network is trained by backpropagation through
 time on a bounded sample: ``per_language`` documents of each label on average,
 and ``SAMPLE_CHARS`` characters of each, from a place its id decides.
 
+With ``noise`` one more label is learnt, for what is no language of the sample: its
+texts with their characters shuffled, with other letters drawn in place of their
+own, and with characters of other scripts.  It is never predicted: a text whose
+most probable label it is, is ``und``.
+
 A null text, or one without a letter, is ``und`` with score 0; so is every text
 when there is nothing to learn from.  A null id is not held out and not learnt
 from; a null label is not learnt from.  Repeated rows are answered alike.
@@ -21,6 +26,10 @@ from parleyframe.llm.common import column_of, map_batches, packed, with_fields
 UNDETERMINED = "und"
 PIECE = 128
 SAMPLE_CHARS = 1500
+#: First characters of the runs of 96 that other scripts are drawn from.
+SCRIPTS = (0x370, 0x400, 0x5D0, 0x620, 0x900, 0xE00, 0x3040, 0x4E00, 0x6000, 0xAC00)
+#: A network that also knows noise is larger and trained for longer.
+WITH_NOISE = {"noise": True, "units": 8, "steps": 240}
 #: Pieces that run through the network together.
 TOGETHER = 4096
 
@@ -224,9 +233,27 @@ def held_out(id_column):
     return F.coalesce(F.crc32(id_column.cast("string")) % 3 == 1, F.lit(False))
 
 
+def noise_like(texts, seed=5):
+    """Texts of no language, made from others: each in one of three ways in turn."""
+    rng, out = np.random.default_rng(seed), []
+    for number, text in enumerate(texts):
+        if number % 3 == 0:
+            out.append("".join(rng.permutation(list(text))))
+        elif number % 3 == 1:
+            letters = iter(rng.integers(97, 123, len(text)))
+            out.append("".join(chr(next(letters)) if c.isalpha() else c for c in text))
+        else:
+            first = rng.choice(SCRIPTS)
+            out.append("".join(map(chr, rng.integers(first, first + 96, len(text) // 3 + 1))))
+    return out
+
+
 def fit(docs, id_column="doc_id", text_column="text", label_column="lang", per_language=250,
-        **training):
-    """The network, or None if no document has a label to learn from."""
+        noise=False, units=5, **training):
+    """The network, or None if no document has a label to learn from.
+
+    The label of ``noise`` is None; as many of its texts are made as of two labels.
+    """
     known = docs.select(
         docs[id_column].alias("id"), docs[text_column].alias("text"),
         docs[label_column].alias("label")).where(
@@ -248,9 +275,14 @@ def fit(docs, id_column="doc_id", text_column="text", label_column="lang", per_l
     labels = sorted({row["label"] for row in sample})
     if not labels:
         return None
-    x, sizes, owner = pieces_of([row["text"] for row in sample])
-    label = np.array([labels.index(row["label"]) for row in sample])[owner]
-    return Network(labels).train(x, sizes, label, **training)
+    texts, label = [row["text"] for row in sample], [labels.index(row["label"]) for row in sample]
+    if noise:
+        chosen = np.random.default_rng(3).permutation(len(texts))[:2 * per_language]
+        texts += noise_like([texts[k] for k in chosen])
+        label += [len(labels)] * len(chosen)
+        labels = [*labels, None]
+    x, sizes, owner = pieces_of(texts)
+    return Network(labels, units).train(x, sizes, np.array(label)[owner], **training)
 
 
 def with_language(docs, network, text_column="text", batch_texts=500):
@@ -266,6 +298,7 @@ def with_language(docs, network, text_column="text", batch_texts=500):
                 continue
             chances = network.predict([t if ok else "" for t, ok in zip(texts, written)])
             best = chances.argmax(axis=1)
+            written = [ok and network.labels[k] is not None for k, ok in zip(best, written)]
             names += [network.labels[k] if ok else UNDETERMINED for k, ok in zip(best, written)]
             scores += [
                 min(1.0, float(c[k])) if ok else 0.0 for c, k, ok in zip(chances, best, written)]
@@ -287,8 +320,8 @@ def identify(docs, id_column="doc_id", text_column="text", label_column="lang",
 
 
 def keep_identified(docs, text_column="text", label_column="lang", id_column="doc_id",
-                    least_score=0.5, **fitting):
+                    least_score=0.3, **fitting):
     """``docs`` without those of undetermined language or a score under ``least_score``."""
-    network = fit(docs, id_column, text_column, label_column, **fitting)
+    network = fit(docs, id_column, text_column, label_column, **(WITH_NOISE | fitting))
     return with_language(docs, network, text_column).where(
         (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score)).select("row.*")

@@ -1,4 +1,8 @@
+import pathlib
+import string
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from parleyframe.llm import language
 from tests.llm.conftest import LONG, ODD
@@ -61,6 +65,7 @@ def test_odd_rows(odd):
         assert row["held_out"] is not None
     kept = language.keep_identified(odd, steps=2, batch=8)
     assert kept.columns == odd.columns
+    assert language.keep_identified(odd.limit(0)).collect() == []
     assert {2, 3, 4, 8}.isdisjoint(r["doc_id"] for r in kept.collect())
 
 
@@ -68,3 +73,31 @@ def test_nothing_to_learn(documents, none):
     rows = language.identify(documents([(1, "text without a label")])).collect()
     assert [(r["lang_pred"], r["score"]) for r in rows] == [("und", 0.0)]
     assert language.identify(none).collect() == []
+
+
+def test_noise_is_rejected_and_languages_are_kept(spark, documents):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = docs.where(language.held_out(F.col("doc_id")) & (F.length("text") > 0))
+    network = language.fit(docs, **language.WITH_NOISE)
+
+    def kept(table):
+        rows = language.with_language(table.select("text"), network).collect()
+        return np.mean([r["lang_pred"] != "und" and r["score"] >= 0.3 for r in rows])
+
+    assert held.count() > 200 and kept(held) == 1
+    rng = np.random.default_rng(0)
+
+    def random_words(letters):
+        return " ".join("".join(rng.choice(list(letters), rng.integers(2, 10))) for _ in range(150))
+
+    random = [random_words("abcdefghijklmnopqrstuvwxyz") for _ in range(30)]
+    coded = [random_words(string.ascii_letters + string.digits + "+/") for _ in range(30)]
+    japanese = ["吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。" * 5]
+    russian = ["Все счастливые семьи похожи друг на друга, каждая несчастлива по-своему. " * 4]
+    source = [p.read_text() for p in pathlib.Path(language.__file__).parent.glob("*.py")]
+    shuffled = ["".join(rng.permutation(list(r["text"]))) for r in held.limit(60).collect()]
+    for texts, most in ((random, 0), (coded, 0), (japanese, 0), (russian, 0), (source, 0.25),
+                        (shuffled, 0.25)):
+        share = kept(documents(list(enumerate(texts))))
+        print(texts[0][:20], share)
+        assert share <= most
