@@ -11,6 +11,8 @@ DECIMAL_PATTERN = (
 )
 INFINITY_PATTERN = r"(?i)^[+-]?inf(inity)?$"
 NAN_PATTERN = r"(?i)^[+-]?nan$"
+# Texts whose sum a decimal of 38 digits holds.
+SHORT_PATTERN = r"^[+-]?[0-9]{1,18}(\.[0-9]{0,18})?$"
 
 
 def parse_float(c):
@@ -24,6 +26,14 @@ def parse_float(c):
         .when(bare.rlike(NAN_PATTERN), float("nan")))
 
 
+def sum_of_texts(a, b):
+    """The double nearest to the sum of two numbers as they are written; NULL where
+    one is long or has an exponent."""
+    def exact(c):
+        return F.when(c.rlike(SHORT_PATTERN), c.try_cast("decimal(37,18)"))
+    return (exact(strip(a)) + exact(strip(b))).cast("double")
+
+
 def at_least(x, bound):
     """``x >= bound``, false for NaN (Spark alone ranks NaN above every number)."""
     return F.coalesce((x >= bound) & ~F.isnan(x), F.lit(False))

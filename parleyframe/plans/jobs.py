@@ -178,12 +178,16 @@ def assign(transcript, turns, settings=DEFAULTS, strict=False, folder=None):
 def assign_files(spark, transcript_path, rttm_path, output_path, settings=DEFAULTS,
                  layout="records", rttm_mode=FAILFAST, rttm_episodes="line", strict=True,
                  partitioned=False, folder=None):
-    """The same from transcript JSON and RTTM files to segment JSON."""
+    """The same from transcript JSON and RTTM files to segment JSON.
+
+    A turn ends at the sum of start and duration as they are written; a sum of doubles
+    would let its last bit decide between turns that overlap a segment equally long."""
     transcript = read_transcript(
         spark, transcript_path, settings.transcript_time_factor, layout, partitioned)
     # Lines to be left out are read, so that they can be counted.
     turns = read_rttm(
-        spark, rttm_path, PERMISSIVE if rttm_mode == DROPMALFORMED else rttm_mode, rttm_episodes)
+        spark, rttm_path, PERMISSIVE if rttm_mode == DROPMALFORMED else rttm_mode, rttm_episodes,
+        exact=True)
     result = assign(transcript, turns, settings, strict, folder)
     write_segments(result, output_path, layout=layout)
     return result

@@ -5,7 +5,7 @@
 
 from pyspark.sql import functions as F
 
-from parleyframe.functions.numbers import parse_float, required
+from parleyframe.functions.numbers import parse_float, required, sum_of_texts
 from parleyframe.functions.text import SPACE_RUN, fixed, strip, words
 from parleyframe.sources.lines import (
     computed_once, ordered_lines, settled_while, write_lines)
@@ -17,13 +17,15 @@ FIELDS_NEEDED = 9
 RECORDING_FIELD, START_FIELD, DURATION_FIELD, SPEAKER_FIELD = 2, 4, 5, 8
 
 
-def parse_rttm(lines, mode=FAILFAST, episode_from_line=False):
+def parse_rttm(lines, mode=FAILFAST, episode_from_line=False, exact=False):
     """Parse (episode_id, line_no, value) into speaker turns.
 
     Blank lines and ``#`` comments are skipped.  A malformed line fails the job
     (FAILFAST), is kept with NULL fields and its text in ``_corrupt_record``
     (PERMISSIVE), or is left out (DROPMALFORMED).  With ``episode_from_line``
-    the episode is the recording named in the line.
+    the episode is the recording named in the line.  The end is the sum of two
+    doubles; if ``exact``, that of the numbers as they are written, so that turns
+    that end together do so to the last bit.
     """
     if mode not in (FAILFAST, PERMISSIVE, DROPMALFORMED):
         raise ValueError(f"unknown mode {mode!r}")
@@ -37,6 +39,8 @@ def parse_rttm(lines, mode=FAILFAST, episode_from_line=False):
         .withColumn("fields", words(F.col("line")))
         .withColumns({
             "start": parse_float(field(START_FIELD)), "span": parse_float(field(DURATION_FIELD)),
+            "sum": sum_of_texts(field(START_FIELD), field(DURATION_FIELD)) if exact
+                   else F.lit(None).cast("double"),
             "head": F.upper(field(1)), "recording": field(RECORDING_FIELD),
             "speaker": field(SPEAKER_FIELD), "n_fields": F.size("fields")})
         .drop("fields"))
@@ -57,7 +61,7 @@ def parse_rttm(lines, mode=FAILFAST, episode_from_line=False):
     columns = [
         episode.alias("episode_id"), "line_no",
         F.when(good, F.col("start")).alias("start"),
-        F.when(good, F.col("start") + F.col("span")).alias("end"),
+        F.when(good, F.coalesce("sum", F.col("start") + F.col("span"))).alias("end"),
         F.when(good, F.col("speaker")).alias("speaker"),
     ]
     if mode == PERMISSIVE:
@@ -65,7 +69,7 @@ def parse_rttm(lines, mode=FAILFAST, episode_from_line=False):
     return parsed.select(*columns)
 
 
-def read_rttm(spark, path, mode=FAILFAST, episodes="line"):
+def read_rttm(spark, path, mode=FAILFAST, episodes="line", exact=False):
     """Speaker turns of a file, folder or pattern.
 
     ``episodes`` says where the episode id is: the ``file`` name, the
@@ -74,7 +78,7 @@ def read_rttm(spark, path, mode=FAILFAST, episodes="line"):
     if episodes not in ("file", "directory", "line"):
         raise ValueError(f"unknown place of the episode id {episodes!r}")
     return parse_rttm(
-        ordered_lines(spark, path, episodes == "directory"), mode, episodes == "line")
+        ordered_lines(spark, path, episodes == "directory"), mode, episodes == "line", exact)
 
 
 def rttm_line(start, end, speaker, recording=None):

@@ -33,6 +33,18 @@ def test_assign_files(spark, tmp_path):
             spark, str(tmp_path / "t"), str(tmp_path / "r"), str(tmp_path / "out2"), **own)
 
 
+def test_turns_that_end_together_tie(spark, tmp_path):
+    (tmp_path / "t.json").write_text(
+        '{"episode_id": "x", "pos": 0, "start": 0.1, "end": 1, "text": "one"}')
+    # As doubles 0.1 and 0.2 make more than 0.3.
+    (tmp_path / "r.rttm").write_text("".join(
+        f"SPEAKER x 1 {span} <NA> <NA> {speaker} <NA> <NA>\n"
+        for span, speaker in [("0.000 0.300", "A"), ("0.100 0.200", "B")]))
+    said = jobs.assign_files(
+        spark, str(tmp_path / "t.json"), str(tmp_path / "r.rttm"), str(tmp_path / "out"))
+    assert [r.speaker for r in said.collect()] == ["A"]
+
+
 UTTERANCES = "episode_id string, pos long, start double, end double, speaker string, text string"
 EPISODES = "episode_id string, name string, description string, duration_ms long"
 

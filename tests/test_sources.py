@@ -39,6 +39,16 @@ def test_malformed_rttm(spark, rows, line):
     assert kept == [("e", 0, 2.0, 5.0, "S1", None), ("e", 1, None, None, None, line)]
 
 
+def test_exact_ends(spark):
+    times = ["0.1 0.2", "1.010 0.320", "-0.1 .4", "1e-1 0.2", "0.1 inf", "+5. -4.9",
+             "123456789012345678 0.25", "0.1234567890123456789 0", "1_0.1 0.2"]
+    lines = [f"SPEAKER e 1 {x} <NA> <NA> S1 <NA> <NA>" for x in times]
+    exact = [r.end for r in parse(spark, *lines, exact=True).orderBy("line_no").collect()]
+    summed = [sum(map(float, x.split())) for x in times]
+    assert exact == [0.3, 1.33, *summed[2:5], 0.1, *summed[6:]]
+    assert [r.end for r in parse(spark, *lines).orderBy("line_no").collect()] == summed
+
+
 def test_lines_of_split_files_are_numbered(spark, rows, tmp_path):
     texts = {f"ep{k}": [f"{k}:{i}:{'x' * (i % 40)}" for i in range(400 * k)] for k in (1, 2, 7)}
     for name, content in texts.items():
