@@ -29,12 +29,13 @@ from parleyframe.sources.tables import settle
 
 CAPACITY = 4096
 END = 1
-#: Words in each of two generations a worker remembers; a word that is met again
-#: moves to the younger, and the older is forgotten when that is full.
-REMEMBERED_WORDS = 150_000
+#: Words a worker remembers; beyond them it forgets those that the texts at hand lack.
+REMEMBERED_WORDS = 300_000
+#: Marks after a word's letters, read apart from these; an apostrophe may belong to them.
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 
 # Control characters, wide blanks and letters past Latin: the library reads these texts whole.
-_UNUSUAL = re.compile(r"[\x00-\x08\x0E-\x1F\x7F-\xA0ɐ-\U0010FFFF]|<\|")
+_UNUSUAL = re.compile(r"[^\x09-\x0D\x20-\x7E\xA1-\u024F]")
 _PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 _encoders = {}
@@ -55,7 +56,7 @@ class WordEncoder:
         kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
         self.by_word = bool(mark) and kinds == ["NFC", "Replace", "Lowercase"] and (
             json.dumps(_PARTS) in json.dumps(spec["pre_tokenizer"]))
-        self.words, self.older = {}, {}
+        self.words, self.ends = {}, {}
         if self.by_word:
             self.letters = Tokenizer.from_str(file)
             self.letters.normalizer = normalizers.Sequence([])
@@ -66,7 +67,6 @@ class WordEncoder:
             self.last = np.zeros(max(vocabulary.values()) + 1, bool)
             for token, number in vocabulary.items():
                 self.last[number] = token.endswith(mark)
-            self.stops = {x: self._ids([x])[0] for x in ".,"}
 
     def _ids(self, texts):
         found = self.whole.encode_batch_fast(texts, add_special_tokens=False)
@@ -82,50 +82,47 @@ class WordEncoder:
         data = ids.tobytes()
         return [data[4 * a:4 * b] for a, b in zip([0, *ends], ends)]
 
-    def _remembered(self, word):
-        ids = self.words.get(word)
-        if ids is None:
-            ids = self.older.get(word)
-            if ids is not None:
-                self.words[word] = ids
-        return ids
+    def _learn(self, words):
+        """Remember words, those of letters with marks after them in two parts."""
+        known, letters, marked, others = self.words, set(), [], []
+        for word in words:
+            if word.isalpha():
+                letters.add(word)
+                continue
+            stem = word.rstrip(_MARKS)
+            if stem.isalpha():
+                marked.append((word, stem))
+                if stem not in known:
+                    letters.add(stem)
+            else:
+                others.append(word)
+        if letters:
+            letters = list(letters)
+            known.update(zip(letters, self._letter_words(letters)))
+        if others:
+            known.update(zip(others, self._ids(others)))
+        if len(self.ends) > REMEMBERED_WORDS:
+            self.ends = {}
+        for word, stem in marked:
+            end = word[len(stem):]
+            if end not in self.ends:
+                self.ends[end] = self._ids([end])[0]
+            known[word] = known[stem] + self.ends[end]
 
     def __call__(self, texts):
         out, split = [None] * len(texts), {}
         for i, text in enumerate(texts):
-            if self.by_word and not _UNUSUAL.search(text):
+            if self.by_word and "<|" not in text and not _UNUSUAL.search(text):
                 split[i] = text.lower().split()
             else:
                 out[i] = self._ids([text])[0]
+        met = set().union(*split.values())
         if len(self.words) > REMEMBERED_WORDS:
-            self.words, self.older = {}, self.words
-        known, table, stopped = self.words, {}, []
-        letters, others = set(), []
-        for word in set().union(*split.values()) if split else ():
-            ids = self._remembered(word)
-            if ids is not None:
-                table[word] = ids
-            elif word.isalpha():
-                letters.add(word)
-            elif word[-1] in self.stops and word[:-1].isalpha():
-                stopped.append(word)
-                if self._remembered(word[:-1]) is None:
-                    letters.add(word[:-1])
-            else:
-                others.append(word)
-        if letters:
-            letters = list(letters)
-            found = dict(zip(letters, self._letter_words(letters)))
-            known.update(found)
-            table.update(found)
-        if others:
-            found = dict(zip(others, self._ids(others)))
-            known.update(found)
-            table.update(found)
-        for word in stopped:
-            table[word] = known[word[:-1]] + self.stops[word[-1]]
+            self.words = {word: self.words[word] for word in met & self.words.keys()}
+        self._learn(met.difference(self.words))
+        ids = self.words.__getitem__
         for i, words in split.items():
-            out[i] = b"".join(map(table.__getitem__, words))
+            out[i] = b"".join(map(ids, words))
         return out
 
 

@@ -33,6 +33,25 @@ def test_odd_texts():
         assert np.frombuffer(ENCODER([text or ""])[0], "<u4").tolist() == ids(text or "")
 
 
+def test_marks_after_letters_are_read_once(monkeypatch):
+    encoder = packing.WordEncoder(FILE)
+    texts = [f"one{mark} two{mark}, three'{mark} a{mark}b {mark}" for mark in packing._MARKS]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder(texts)] == list(map(ids, texts))
+    read, own = [], encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda words: read.extend(words) or own(words))
+    encoder(["four$$$ five$$$ six$$$"])
+    assert read == ["$$$"]
+
+
+def test_forgetting(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED_WORDS", 3)
+    encoder = packing.WordEncoder(FILE)
+    for text in ["one two three four", "two five", "two six!", "one two seven"]:
+        (found,) = encoder([text])
+        assert np.frombuffer(found, "<u4").tolist() == ids(text)
+    assert set(encoder.words) == {"one", "two", "seven"}
+
+
 def check(rows, texts, capacity):
     expected = []
     for i, text in texts:
