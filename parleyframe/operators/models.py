@@ -28,6 +28,8 @@ from parleyframe.sources.tables import settle
 POSITIONS_PER_PART = 2 ** 32
 # Prompts asked between two commits to an answer table.
 PROMPTS_AT_ONCE = 10_000
+# Texts of a batch a Python worker holds as Python objects, with what is found in them.
+TEXTS_AT_ONCE = 32
 
 _LOADED: dict[str, Any] = {}
 
@@ -204,14 +206,19 @@ def generate(prompts, model: Model, concurrency=None):
     """
     schema = prompts.drop("response").schema.add("response", "string")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ask = model.get()
         for batch in batches:
-            yield batch.assign(response=[ask(p) for p in batch["prompt"]])
+            if "response" in batch.schema.names:
+                batch = batch.drop_columns(["response"])
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                some = batch.slice(at, TEXTS_AT_ONCE)
+                answers = [ask(p) for p in some["prompt"].to_pylist()]
+                yield some.append_column("response", pa.array(answers, pa.string()))
 
     if concurrency:
         prompts = prompts.repartition(concurrency)
-    return prompts.mapInPandas(run, schema)
+    return prompts.mapInArrow(run, schema)
 
 
 def answers_in(spark, path):
@@ -263,9 +270,10 @@ def with_entities(table, column, model: Model):
     def extract(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         find = model.get()
         for texts in batches:
-            yield pd.Series([
-                [{"text": t, "label": k} for t, k in find(text)]
-                for text in texts])
+            for at in range(0, len(texts), TEXTS_AT_ONCE):
+                yield pd.Series([
+                    [{"text": t, "label": k} for t, k in find(text)]
+                    for text in texts.iloc[at:at + TEXTS_AT_ONCE]])
 
     return table.withColumn("entities", extract(column))
 

@@ -142,3 +142,34 @@ def test_answers_outlive_a_failure(spark, rows, tmp_path):
     assert Counter(f.name.split("-")[0] for f in (tmp_path / "calls").iterdir()) == after
     assert run(Model("other", load_marking(str(tmp_path / "calls"), None))) == expected
     assert models.answers_in(spark, table).count() == 60
+
+
+def load_counting():
+    class Answer(str):
+        """A text that counts the answers a worker holds."""
+        held = 0
+
+        def __new__(cls, _):
+            Answer.held += 1
+            return str.__new__(cls, Answer.held)
+
+        def __del__(self):
+            Answer.held -= 1
+    return Answer
+
+
+def test_few_answers_are_held_at_once(spark):
+    prompts = spark.range(500).coalesce(1).selectExpr("cast(id as string) as prompt", "'old' as response")
+    answered = models.generate(prompts, models.Model("counting", load_counting)).collect()
+    assert [r.prompt for r in answered] == list(map(str, range(500)))
+    assert max(int(r.response) for r in answered) <= 2 * models.TEXTS_AT_ONCE
+
+
+def load_letters():
+    return lambda text: [(c, "LETTER") for c in text]
+
+
+def test_entities_of_many_texts(spark):
+    table = spark.range(101).coalesce(1).selectExpr("cast(id as string) as name")
+    found = models.with_entities(table, "name", models.Model("letters", load_letters)).collect()
+    assert ["".join(e.text for e in r.entities) for r in found] == [r.name for r in found]
