@@ -12,8 +12,10 @@ a bucket would grow too large (known from counts over hash cells), three, four o
 all five do.  What such a bucket counts about shorter phrases is a part, and parts
 are added up.  A map task sends equal suffixes once, with their number.  Suffixes
 end before words that are rare themselves, found by exact counts and a bitmap of
-fixed size.  Words travel as 64-bit hashes; the exact table of all words shows
-whether two share one, and then other hashes are drawn.
+fixed size, and between two words whose pair is rare: pairs are counted in hash
+cells, so a cell holds no fewer than each of its pairs, and no frequent phrase has
+a pair in a cell with fewer than a phrase needs.  Words travel as 64-bit hashes; the
+exact table of all words shows whether two share one, and then other hashes are drawn.
 
 Null text is empty, null ``lang`` is ``und``; ids are not used, and repeated rows
 count as often as they stand.
@@ -34,7 +36,9 @@ LONGEST, LEAST, FIRST = 5, 100, 2000
 UNIT_WORDS, SENT_WORDS, BUCKET = 2_000_000, 1_000_000, 500_000
 #: Bits of the bitmap of frequent words, and the fewest cells suffixes are counted in.
 BITS, CELLS = 1 << 23, 1 << 16
-_SLICE, _CHUNK = 4096, 8_000_000
+#: The fewest and the most cells pairs are counted in; their bitmap is broadcast.
+PAIR_CELLS, MOST_PAIR_CELLS = 1 << 16, 1 << 28
+_SLICE, _PAIR_SLICE, _CHUNK = 4096, 1 << 16, 8_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # odd
 _BREAKS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b"." * 9)
 
@@ -93,13 +97,17 @@ def _hashes(names, seed):
                     np.uint64)
 
 
-def _suffixes(ids, keep):
-    """Columns of the numbers of the suffixes of two words or more."""
+def _suffixes(ids, keep, pairs=None):
+    """Columns of the numbers of the suffixes of two words or more.  They hold words to
+    ``keep`` only, and neighbours only for which ``pairs`` (of two columns) is true."""
     x = np.concatenate([np.where(keep[ids], ids, 0), np.zeros(LONGEST, np.int32)])
-    at = np.flatnonzero((x[:-LONGEST] != 0) & (x[1:1 - LONGEST] != 0))
+    linked = (x[:-1] != 0) & (x[1:] != 0)
+    if pairs is not None:
+        linked[linked] = pairs(x[:-1][linked], x[1:][linked])
+    at = np.flatnonzero(linked)
     columns = [x[at], x[at + 1]]
     for i in range(2, LONGEST):
-        columns.append(np.where(columns[-1] != 0, x[at + i], 0))
+        columns.append(np.where((columns[-1] != 0) & linked[at + i - 1], x[at + i], 0))
     return np.stack(columns)
 
 
@@ -135,11 +143,29 @@ def _tallied(cells, most):
     return np.unique(cells, return_counts=True)
 
 
-def _counted(texts, seed, cells):
-    """Words with their hashes and counts, and counts of suffixes by cell, by unit."""
+def _packed_cells(cells, counts):
+    """Sorted cells of a slice as gaps, and the bytes of their counts by place."""
+    counts = counts.astype("<u4").view(np.uint8).reshape(-1, 4)
+    return np.diff(cells, prepend=0).astype("<u2").tobytes() + counts.T.tobytes()
+
+
+def _unpacked_cells(data):
+    data = zstandard.ZstdDecompressor().decompress(data)
+    size = len(data) // 6
+    counts = np.frombuffer(data, np.uint8, 4 * size, 2 * size).reshape(4, size)
+    return (np.cumsum(np.frombuffer(data, "<u2", size), dtype=np.int64),
+            np.ascontiguousarray(counts.T).view("<u4").ravel())
+
+
+def _counted(texts, seed, cells, pair_cells):
+    """Words with their hashes and counts, and counts of suffixes by cell, by unit.
+
+    Slices of cells are numbered by level, those of pairs alone after the others.
+    """
     slices = cells // _SLICE
 
     def run(batches):
+        pack = zstandard.ZstdCompressor(level=1).compress
         for ids, names in _units(batches, UNIT_WORDS):
             hashes, n = _hashes(names, seed), np.bincount(ids, minlength=len(names))
             size = len(names) - 1
@@ -149,16 +175,16 @@ def _counted(texts, seed, cells):
                 "h": pa.array(hashes[1:].view(np.int64)), "n": pa.array(n[1:], pa.int64()),
                 "slice": pa.nulls(size, pa.int32()), "cells": pa.nulls(size, pa.binary())})
             columns, at, packed = _suffixes(ids, np.ones(len(names), bool)), [], []
-            mixed = _mixed(hashes[columns[0]])
-            for level, column in enumerate(columns[1:-1]):
-                mixed = _longer(mixed, hashes[column])
-                found, many = _tallied((mixed % np.uint64(cells)).astype(np.int64), cells)
-                edges = np.searchsorted(found, np.arange(slices + 1) * _SLICE)
+            leading = _leading(columns[:-1], hashes)
+            for level, (mixed, of, width) in enumerate(
+                    [*((x, cells, _SLICE) for x in leading),
+                     (leading[0], pair_cells, _PAIR_SLICE)]):
+                found, many = _tallied((mixed % np.uint64(of)).astype(np.int64), of)
+                edges = np.searchsorted(found, np.arange(of // width + 1) * width)
                 for i in np.flatnonzero(np.diff(edges)):
                     some = slice(edges[i], edges[i + 1])
                     at.append(level * slices + int(i))
-                    packed.append((found[some] % _SLICE).astype("<u2").tobytes()
-                                  + many[some].astype("<u4").tobytes())
+                    packed.append(pack(_packed_cells(found[some] % width, many[some])))
             n = len(at)
             yield pa.record_batch({
                 "lang": pa.nulls(n, pa.string()), "word": pa.nulls(n, pa.string()),
@@ -168,31 +194,42 @@ def _counted(texts, seed, cells):
     return texts.mapInArrow(run, COUNTED)
 
 
-def _hot_cells(counted, cells):
+def _cells(counted, cells, pair_cells, least):
     """Cells (by level) with more suffixes than a bucket takes, no more than there are
-    buckets, and the number of suffixes."""
+    buckets; bits of the cells of pairs with ``least`` or more; the number of suffixes
+    that begin in these."""
     slices = cells // _SLICE
 
     def add(rows: pa.Table) -> pa.Table:
-        total = np.zeros(_SLICE, np.int64)
+        number = rows["slice"][0].as_py()
+        level = min(number // slices, LONGEST - 2)
+        at = number - level * slices
+        total = np.zeros(_SLICE if level < LONGEST - 2 else _PAIR_SLICE, np.int64)
         for data in rows["cells"]:
-            data = data.as_py()
-            size = len(data) // 6
-            total[np.frombuffer(data, "<u2", size)] += np.frombuffer(data, "<u4", size, 2 * size)
-        level, at = divmod(rows["slice"][0].as_py(), slices)
-        hot = np.flatnonzero(total > BUCKET)
+            found, many = _unpacked_cells(data.as_py())
+            total[found] += many
+        if level == LONGEST - 2:
+            enough = total >= least
+            cell, n = [at], [total[enough].sum()]
+            bits = [np.packbits(enough, bitorder="little").tobytes()]
+        else:
+            hot = np.flatnonzero(total > BUCKET)
+            cell, n, bits = at * _SLICE + hot, total[hot], [None] * len(hot)
         return pa.table({
-            "level": pa.array([-1, *[level] * len(hot)], pa.int32()),
-            "cell": pa.array([-1, *(at * _SLICE + hot)], pa.int64()),
-            "n": pa.array([total.sum() if level == 0 else 0, *total[hot]], pa.int64())})
+            "level": pa.array([level] * len(cell), pa.int32()), "cell": pa.array(cell, pa.int64()),
+            "n": pa.array(n, pa.int64()), "bits": pa.array(bits, pa.binary())})
 
     found = settle(counted.where("slice is not null").groupBy("slice").applyInArrow(
-        add, "level int, cell bigint, n bigint"), "hot-cells")
-    total = found.where("level < 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = [[] for _ in range(LONGEST - 2)]
-    for row in found.where("level >= 0").collect():
-        hot[row["level"]].append(row["cell"])
-    return [np.array(sorted(x), np.int64) for x in hot], total
+        add, "level int, cell bigint, n bigint, bits binary").where("n > 0"), "cells")
+    hot, total = [[] for _ in range(LONGEST - 2)], 0
+    bits = np.zeros((pair_cells // _PAIR_SLICE, _PAIR_SLICE // 8), np.uint8)
+    for row in found.toLocalIterator():
+        if row["level"] < LONGEST - 2:
+            hot[row["level"]].append(row["cell"])
+        else:
+            bits[row["cell"]] = np.frombuffer(bytes(row["bits"]), np.uint8)
+            total += row["n"]
+    return [np.array(sorted(x), np.int64) for x in hot], bits.ravel(), total
 
 
 def _bitmap(words, least):
@@ -210,21 +247,26 @@ def _bitmap(words, least):
 
 # ------------------------------------------------------------------ routing
 
-def _buckets(texts, seed, bits, hot, cells, buckets):
+def _buckets(texts, seed, bits, pair_bits, hot, cells, buckets):
     """(bucket, suffixes): distinct suffixes of a unit with their numbers, packed."""
     spark = texts.sparkSession
-    # At most ``BITS`` bits, and a cell for every ``BUCKET`` suffixes.
-    shared = spark.sparkContext.broadcast((bits, hot))
+    # At most ``BITS`` and ``MOST_PAIR_CELLS`` bits, and a cell for every ``BUCKET`` suffixes.
+    shared = spark.sparkContext.broadcast((bits, pair_bits, hot))
 
     def run(batches):
-        frequent, full = shared.value
+        frequent, together, full = shared.value
         bitmap = np.unpackbits(frequent, bitorder="little").view(bool)
         pack = zstandard.ZstdCompressor(level=1).compress
         for ids, names in _units(batches, SENT_WORDS):
             hashes = _hashes(names, seed)
             keep = bitmap[hashes.view(np.int64) % BITS]
             keep[0] = False
-            columns = _suffixes(ids, keep)
+
+            def frequent_pair(one, other):
+                cell = _longer(_mixed(hashes[one]), hashes[other]) % np.uint64(8 * len(together))
+                return together[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8) & 1
+
+            columns = _suffixes(ids, keep, frequent_pair)
             leading = _leading(columns, hashes)
             # Those with the same two words side by side; equal ones are told by all words.
             order = np.argsort(leading[0] << np.uint64(32) | leading[-1] >> np.uint64(32))
@@ -349,9 +391,11 @@ def phrases(docs, text_column="text", lang_column="lang", least=LEAST):
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     # About a word in six bytes, and several cells for every bucket.
     cells = max(CELLS, 1 << (4 * size // BUCKET).bit_length())
+    # About a cell for ten pairs, until they are as many as may be.
+    pair_cells = min(max(PAIR_CELLS, 1 << (size // 64).bit_length()), MOST_PAIR_CELLS)
     seed = 0
     while True:
-        counted = settle(_counted(texts, seed, cells), "counted-words")
+        counted = settle(_counted(texts, seed, cells, pair_cells), "counted-words")
         words = settle(counted.where("word is not null").select("h", "lang", "word", "n")
                        .repartition("h").groupBy("h", "lang", "word").agg(F.sum("n").alias("n")),
                        "words")
@@ -359,8 +403,9 @@ def phrases(docs, text_column="text", lang_column="lang", least=LEAST):
                 "count > 1").isEmpty():
             break
         seed += 1
-    hot, total = _hot_cells(counted, cells)
-    routed = _buckets(texts, seed, _bitmap(words, least), hot, cells, max(1, -(-total // BUCKET)))
+    hot, pair_bits, total = _cells(counted, cells, pair_cells, least)
+    routed = _buckets(texts, seed, _bitmap(words, least), pair_bits, hot, cells,
+                      max(1, -(-total // BUCKET)))
     return words, settle(_sorted(routed, least), "phrases")
 
 

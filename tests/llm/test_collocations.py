@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -96,6 +97,29 @@ def test_no_rows(none):
     assert collocations.collocations(none).collect() == []
 
 
+def test_rare_pairs_are_not_sent(documents, monkeypatch):
+    # Every word is frequent, and of the pairs only "new york" and "york city".
+    rng = np.random.default_rng(1)
+    text = " ".join(f"w{i}" for i in rng.permutation(np.repeat(np.arange(300), 40)))
+    text += ". new york city" * 40
+    plain, sent = collocations._sorted, []
+
+    def watched(buckets, least):
+        sent.append(sum(collocations._unpacked(r["suffixes"])[1].sum() for r in buckets.collect()))
+        return plain(buckets, least)
+    monkeypatch.setattr(collocations, "_sorted", watched)
+    assert result(collocations.collocations(documents([(1, text)], "en"), least=40)) == brute(
+        [("en", text)], 40)
+    assert 80 <= sent[0] < 200
+
+
+def test_counts_of_cells_come_back():
+    cells, counts = np.array([0, 1, 255, 256, 65535]), np.array([1, 255, 256, 70000, 2 ** 32 - 1])
+    found, many = collocations._unpacked_cells(
+        zstandard.ZstdCompressor().compress(collocations._packed_cells(cells, counts)))
+    assert found.tolist() == cells.tolist() and many.tolist() == counts.tolist()
+
+
 def test_long_text_in_chunks(documents, monkeypatch):
     monkeypatch.setattr(collocations, "_CHUNK", 50)
     text = "one two three, four five. " * 40 + "six seven " * 30
