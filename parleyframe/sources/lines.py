@@ -9,6 +9,13 @@ from pyspark.sql import types as T
 from parleyframe.sources.tables import drop_folder, run_folder, settle
 
 EXTENSION = r"\.[^.]*$"
+#: Without Hadoop's native library the local file system starts a process for the
+#: permissions of every file and another for its checksum file; the raw one starts none
+#: and writes no checksums.  Other file systems take no notice.
+MANY_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem",
+              "fs.file.impl.disable.cache": "true"}
+#: Spark lists every folder in a task of its own, up to this number of tasks.
+_LISTING, _LISTED_AT_ONCE = "spark.sql.sources.parallelPartitionDiscovery.parallelism", 4
 
 
 def ordered_lines(spark, path, partitioned=False):
@@ -28,7 +35,9 @@ def ordered_lines(spark, path, partitioned=False):
         episode = F.col("episode_id")
     else:
         episode = F.regexp_replace(F.col("_metadata.file_name"), EXTENSION, "")
-    return reader.text(path).select(
+    with _listing_in_few_tasks(spark):
+        files = reader.text(path)
+    return files.select(
         episode.alias("episode_id"),
         F.struct(
             F.col("_metadata.file_path").alias("file"),
@@ -37,6 +46,18 @@ def ordered_lines(spark, path, partitioned=False):
         "value")
 
 
+@contextmanager
+def _listing_in_few_tasks(spark):
+    """A few listing tasks a core for any number of folders."""
+    kept = int(spark.conf.get(_LISTING))
+    few = _LISTED_AT_ONCE * spark.sparkContext.defaultParallelism
+    spark.conf.set(_LISTING, min(kept, few))
+    try:
+        yield
+    finally:
+        spark.conf.set(_LISTING, kept)
+
+
 def numbered_lines(spark, path, partitioned=False):
     """The same with ``line_no`` counting from 0 within each episode.
 
@@ -89,7 +110,8 @@ def write_lines(lines, path, order, mode="errorifexists", per_episode=False):
     ordered = lines.repartitionByRange("episode_id", *order).sortWithinPartitions(
         "episode_id", *order)
     if per_episode:
-        ordered.select("episode_id", "line").write.mode(mode).partitionBy("episode_id").text(path)
+        ordered.select("episode_id", "line").write.options(**MANY_FILES).mode(mode).partitionBy(
+            "episode_id").text(path)
     else:
         ordered.select("line").write.mode(mode).text(path)
 

@@ -41,6 +41,12 @@ def drop_folder(spark, folder):
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _writer(table):
+    """A writer of tables between steps; the session's limit of records a file is meant
+    for results, and would cut these into as many small files."""
+    return table.write.option("maxRecordsPerFile", 0)
+
+
 def settle(table, name, folder=None):
     """Write a table once, into a run's folder, and read it back.
 
@@ -50,7 +56,7 @@ def settle(table, name, folder=None):
     """
     spark = table.sparkSession
     path = f"{folder or run_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    table.write.parquet(path)
+    _writer(table).parquet(path)
     return spark.read.schema(table.schema).parquet(path)
 
 
@@ -123,7 +129,7 @@ class Steps:
         finished = self._finished(path)
         if finished is None:
             table = watched()
-            table.write.mode("overwrite").parquet(path)
+            _writer(table).mode("overwrite").parquet(path)
             finished = table.schema, seen and seen.get
             # Written last: its row says that the table is whole.
             self.spark.range(1).select(

@@ -178,6 +178,29 @@ def test_segments_round_trip(spark, rows, tmp_path, layout):
     assert rows(found) == sorted(expected, key=repr)
 
 
+def test_record_limit_cuts_results_only(spark, tmp_path):
+    """Tables between steps are whole, and arrays in many files bring no checksum files."""
+    limit, path = "spark.sql.files.maxRecordsPerFile", str(tmp_path / "out")
+    said = spark.range(30, numPartitions=1).selectExpr(
+        "'e' episode_id", "id pos", "id * 1.0D start", "id + 1.0D end", "'S' speaker", "'t' text")
+    listing = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    tasks = spark.conf.get(listing)
+    kept = spark.conf.get(limit)
+    spark.conf.set(limit, 3)
+    try:
+        with lines.settled_while(said, "lines") as rows:
+            assert len(rows.inputFiles()) == 1
+        segments.write_segments(said, path, layout="array")
+    finally:
+        spark.conf.set(limit, kept)
+    names = os.listdir(tmp_path / "out" / "episode_id=e")
+    assert len([n for n in names if n.endswith(".txt")]) >= 11
+    assert [n for n in names if n.endswith(".crc")] == []
+    found = segments.read_utterances(spark, path, layout="array", partitioned=True)
+    assert found.orderBy("pos").select("start").collect() == said.select("start").collect()
+    assert spark.conf.get(listing) == tasks
+
+
 def test_null_fields_are_written(spark):
     frame = spark.createDataFrame([("a", None)], "text string, speaker string")
     line = frame.select(segments.segment_json(["speaker", "text"]).alias("x")).first().x
