@@ -31,6 +31,15 @@ def map_batches(frame, function, schema):
     return frame.mapInArrow(run, schema)
 
 
+def shuffled(side):
+    """A side of a join that shuffles both.
+
+    Spark sizes the rows that an explode makes as if there were one for each row that
+    goes in, so without the hint it may collect and broadcast any number of them.
+    """
+    return side.hint("merge")
+
+
 def packed(docs):
     """All columns as one struct ``row``, to pass through Python together."""
     return docs.select(F.struct("*").alias("row"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from parleyframe.llm.common import id_and_text, map_batches, text_key
+from parleyframe.llm.common import id_and_text, map_batches, shuffled, text_key
 from parleyframe.llm.components import components
 from parleyframe.sources.tables import settle
 
@@ -109,7 +109,7 @@ def _between(members):
         "v", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
     smallest = points.groupBy("v", "point").agg(
         F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").drop("high")
-    return points.join(smallest, ["v", "point"]).where("fp > low").select(
+    return points.join(shuffled(smallest), ["v", "point"]).where("fp > low").select(
         F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
 
 
@@ -125,7 +125,7 @@ def links(distinct):
         "fp", F.posexplode(F.array(*(
             F.col("fp").bitwiseAND(F.lit(_signed(mask))) for mask in MASKS))).alias("v", "bits"))
     sizes = tables.groupBy("v", "bits").agg(F.count("*").alias("n")).where("n > 1")
-    shared = settle(tables.join(sizes, ["v", "bits"]), "shared-masks")
+    shared = settle(tables.join(shuffled(sizes), ["v", "bits"]), "shared-masks")
     small = shared.where(F.col("n") <= PAIRED).groupBy("v", "bits").agg(
         F.collect_list("fp").alias("fps"))
     return _paired(small).distinct().unionByName(_between(shared.where(F.col("n") > PAIRED)))

@@ -62,6 +62,18 @@ def test_links_join_what_is_within_the_radius(spark, monkeypatch, paired):
     assert roots(signed.values(), found) == roots(signed.values(), near)
 
 
+def test_exploded_rows_are_not_broadcast(spark, monkeypatch):
+    """Spark takes 31 masks of each fingerprint, or 500 points, for one row."""
+    monkeypatch.setattr(simhash, "PAIRED", 2)
+    tables = []
+    monkeypatch.setattr(simhash, "settle", lambda table, name: tables.append(table) or table)
+    tables.append(simhash.links(spark.range(1000).withColumnRenamed("id", "fp")))
+    assert len(tables) == 2
+    for table in tables:
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "posexplode" in plan and "BroadcastExchange" not in plan
+
+
 def test_components(spark):
     rng = random.Random(9)
     linked = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)]
