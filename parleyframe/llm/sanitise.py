@@ -21,7 +21,7 @@ from contextlib import contextmanager
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from parleyframe.llm.common import id_and_text, text_key
+from parleyframe.llm.common import id_and_text, shuffled, text_key
 from parleyframe.sources.tables import drop_folder, run_folder, settle
 
 #: Order of kinds that start at one place.
@@ -184,7 +184,7 @@ def term_spans(lines, values, disclosing, remove=0.95):
         "a", "b", "line", "start", F.posexplode(_found(F.col("text"), _WORD_OR_ADDRESS)).alias("at", "f")
     ).select("a", "b", "line", "start", "at", "f.gap", "f.match"), ("a", "b", "line"))
     return words.withColumn("term", F.lower("match")).join(
-        wanted, ["a", "b", "term"]).select(
+        shuffled(wanted), ["a", "b", "term"]).select(
         "a", "b", "line", F.when(F.col("share") >= remove, "reveal").otherwise("term").alias("kind"),
         (F.col("start") + F.col("begin")).alias("begin"),
         (F.col("start") + F.col("end")).alias("end"), "term")

@@ -77,6 +77,16 @@ def test_disclosing_terms(documents):
     assert clean[10] == CLEAN[0][1]
 
 
+def test_words_of_lines_are_not_broadcast(spark):
+    """Spark takes the words of a line for one row."""
+    lines = spark.range(9).selectExpr("id a", "id b", "1 line", "'a b c' text", "0 start")
+    values = spark.range(9).selectExpr(
+        "id a", "id b", "1 line", "'email' kind", "0 begin", "1 end", "'v' value")
+    shares = spark.range(1).selectExpr("'email' kind", "'v' value", "'abc' term", "0.9D share")
+    plan = sanitise.term_spans(lines, values, shares)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in next(x for x in plan.split("\n") if "Join" in x)
+
+
 def test_sanitise_keeps_rows_and_columns(odd):
     out = sanitise.sanitise(odd)
     assert out.columns == odd.columns
