@@ -16,6 +16,9 @@ MANY_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem",
               "fs.file.impl.disable.cache": "true"}
 #: Spark lists every folder in a task of its own, up to this number of tasks.
 _LISTING, _LISTED_AT_ONCE = "spark.sql.sources.parallelPartitionDiscovery.parallelism", 4
+#: Spark takes opening a file for reading 4 MB, so a task reads 32 small files at most;
+#: each task that settles lines writes a file of its own.
+_OPENING, _OPENED_FOR, _OPENS_FOR = "spark.sql.files.openCostInBytes", "4194304b", "256k"
 
 
 def ordered_lines(spark, path, partitioned=False):
@@ -58,6 +61,19 @@ def _listing_in_few_tasks(spark):
         spark.conf.set(_LISTING, kept)
 
 
+@contextmanager
+def _small_files_in_few_tasks(spark):
+    """More small files a task, unless the session sets another cost than Spark's own."""
+    kept = spark.conf.get(_OPENING)
+    if kept == _OPENED_FOR:
+        spark.conf.set(_OPENING, _OPENS_FOR)
+    try:
+        yield
+    finally:
+        if kept == _OPENED_FOR:
+            spark.conf.unset(_OPENING)
+
+
 def numbered_lines(spark, path, partitioned=False):
     """The same with ``line_no`` counting from 0 within each episode.
 
@@ -66,8 +82,9 @@ def numbered_lines(spark, path, partitioned=False):
     task ever sees more than one split.  ``ordered_lines`` does without where the
     order alone is enough.
     """
-    rows = settle(
-        ordered_lines(spark, path, partitioned).select("episode_id", "line_no.*", "value"), "lines")
+    with _small_files_in_few_tasks(spark):
+        rows = settle(ordered_lines(spark, path, partitioned).select(
+            "episode_id", "line_no.*", "value"), "lines")
     before = (Window.partitionBy("episode_id").orderBy("file", "block")
               .rowsBetween(Window.unboundedPreceding, -1))
     splits = (

@@ -201,6 +201,20 @@ def test_record_limit_cuts_results_only(spark, tmp_path):
     assert spark.conf.get(listing) == tasks
 
 
+def test_small_files_are_read_in_few_tasks(spark, rows, tmp_path, monkeypatch):
+    """Lines of 600 files are settled in files a core, not one for every 32."""
+    settled, kept = [], spark.conf.get("spark.sql.files.openCostInBytes")
+    settle = lines.settle
+    monkeypatch.setattr(lines, "settle", lambda *a: settled.append(settle(*a)) or settled[-1])
+    for k in range(600):
+        (tmp_path / f"e{k}.json").write_text(f"a{k}\nb{k}\n")
+    found = lines.numbered_lines(spark, str(tmp_path))
+    assert len(settled[0].inputFiles()) <= 2 * spark.sparkContext.defaultParallelism
+    assert rows(found, "episode_id", "line_no", "value") == sorted(
+        ((f"e{k}", n, f"{c}{k}") for k in range(600) for n, c in enumerate("ab")), key=repr)
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == kept
+
+
 def test_null_fields_are_written(spark):
     frame = spark.createDataFrame([("a", None)], "text string, speaker string")
     line = frame.select(segments.segment_json(["speaker", "text"]).alias("x")).first().x
